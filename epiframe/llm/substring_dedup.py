@@ -123,7 +123,9 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     runs = staged(text.mapInArrow(_run_batches(width, gram), "_k1 long, _k2 long, begin int, length int, anchor long, digest long, inner int"), "runs")
     place = F.xxhash64("_k1", "_k2", "begin")
     kinds = runs.groupBy("anchor", "digest").agg(F.count("*").alias("seen"), F.min(place).alias("first"), F.max("inner").alias("inner"))
-    several = kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("seen").alias("all"), F.max("inner").alias("own")).where("all > 1 or own > 0").select("anchor", ((F.col("kinds") > 1) | (F.col("own") > 0)).alias("mixed"))
+    # Grouped tables are written before they are joined: a join of two fresh exchanges lets Spark split a hot key.
+    kinds = staged(kinds, "kinds")
+    several = staged(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("seen").alias("all"), F.max("inner").alias("own")).where("all > 1 or own > 0").select("anchor", ((F.col("kinds") > 1) | (F.col("own") > 0)).alias("mixed")), "several")
     kinds = staged(kinds.drop("inner").join(several, "anchor"), "kinds")
     marked = staged(
         runs.join(kinds, ["anchor", "digest"])
@@ -135,7 +137,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     opened = marked.where("open").select("_k1", "_k2", F.struct("begin", F.when(F.col("whole"), 2).otherwise(1).alias("weight")).alias("run")).groupBy("_k1", "_k2").agg(F.collect_set("run").alias("asked"))
     windows = staged(text.dropDuplicates(["_k1", "_k2"]).join(opened, ["_k1", "_k2"]).mapInArrow(_window_batches(width, gram), "_k1 long, _k2 long, begin int, weight int, anchor long, window long"), "windows")
-    twice = windows.groupBy("anchor", "window").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor", "window")
+    twice = staged(windows.groupBy("anchor", "window").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor", "window"), "twice")
     single = windows.where("weight = 1").join(twice, ["anchor", "window"]).select("_k1", "_k2", "begin", (F.col("begin") + width).alias("end"))
     whole = marked.where("whole").select("_k1", "_k2", "begin", (F.col("begin") + F.col("length") + (width - 1)).alias("end"))
     return whole.union(single).groupBy("_k1", "_k2").agg(F.collect_list(F.struct("begin", "end")).alias("spans"))
