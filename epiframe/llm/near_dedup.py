@@ -5,14 +5,13 @@
 * Each tree of the forest is an order of the class signatures: tree ``t`` reads
   the hashes from ``t * DEPTH`` on, around the end.  Classes that agree on the
   first ``DEPTH`` values of a tree form a region of that order.
-* In a region every class is a candidate with the region's smallest id and with
-  its neighbours by longest common prefix in the sorted order, which goes as
-  deep as the region needs.  That links a large group of near copies with a
-  number of candidates linear in its size.
-* After these links, regions that still hold several components are gone
-  through again: every pair of different components in regions of at most
-  ``REGION`` classes; in larger ones an exact prefix-filter join (a link of
-  similarity s must share one of each set's rarest shingles) covers all pairs.
+* Every class is a candidate with the smallest id of its regions, and with the
+  neighbour of longest common prefix over all orders; a prefix goes as deep as
+  its region needs.  That links a large group of near copies with two
+  candidates a class, however many regions share them.
+* After these links, the classes of regions that still hold several components
+  are gone through again, by an exact prefix-filter join that covers all pairs
+  of different components and needs no bound on a region's size.
 
 Shingles: ``words`` consecutive words after A-Z are lower-cased; shorter texts
 are one shingle; empty and null texts have none and are linked with nothing.
@@ -39,8 +38,6 @@ PERCENT = 75
 TREES = 32
 DEPTH = 4
 HASHES = TREES * DEPTH
-NEIGHBOURS = 2
-REGION = 64
 _A = np.random.default_rng(71).integers(1, 1 << 63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = np.random.default_rng(72).integers(1, 1 << 63, HASHES, dtype=np.uint64)
 
@@ -94,23 +91,21 @@ def _sets(width: int):
     return scan
 
 
-def _neighbours(reach: int):
-    """Rows sorted by (region, signature order, rep) -> (a, b, lcp) with the ``reach`` rows before in the same region."""
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list[tuple[int, int]] = []
-        for batch in batches:
-            a, b = [], []
-            for region, rep in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist()):
-                if last and last[-1][0] != region:
-                    last = []
-                for _, other in last:
-                    a.append(other)
-                    b.append(rep)
-                last = [*last[-(reach - 1) :], (region, rep)] if reach > 1 else [(region, rep)]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return scan
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by (region, rest of the order, rep) -> (a, b, lcp) for each two that follow one another in a region."""
+    before = (None, b"", None)
+    for batch in batches:
+        a, b, lcp = [], [], []
+        for region, tail, rep in zip(*(c.to_pylist() for c in batch.columns)):
+            if region == before[0] and rep != before[2]:
+                depth = 0
+                while depth < len(tail) and tail[depth : depth + 4] == before[1][depth : depth + 4]:
+                    depth += 4
+                a.append(before[2])
+                b.append(rep)
+                lcp.append(depth // 4)
+            before = (region, tail, rep)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(lcp, pa.int32())], names=["a", "b", "lcp"])
 
 
 def _ordered(a: str, b: str):
@@ -146,21 +141,27 @@ def forest_regions(classes: DataFrame) -> DataFrame:
 def _prefix_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """All pairs that can meet the threshold among ``crowd`` (id, component), of different components.
 
-    Each set keeps its rarest ``n - ceil(percent * n / 100) + 1`` shingles: two
-    sets that meet the threshold share one of them.  Shingles held by a single
-    component give no pair.
+    Shingles are ordered by rarity.  A pair (the smaller set first) that meets
+    the threshold shares one of the rarest ``n - ceil(2p / (100 + p) * n) + 1``
+    shingles of the smaller and ``n - ceil(p / 100 * n) + 1`` of the larger set.
+    With the places of a shared shingle, no more can be common than what either
+    set has from there on: that drops pairs that share only a common passage.
+    Shingles held by a single component give no pair.
     """
     posts = crowd.join(sets, "id").select("id", "component", F.size("set").alias("n"), F.explode("set").alias("shingle"))
-    counts = posts.groupBy("shingle").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi"))
+    counts = staged(posts.groupBy("shingle").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")), "frequencies")
     ranked = posts.join(counts, "shingle").groupBy("id", "component", "n").agg(F.array_sort(F.collect_list(F.struct("df", "shingle", (F.col("lo") < F.col("hi")).alias("mixed")))).alias("all"))
-    keep = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
-    short = ranked.select("id", "component", "n", F.explode(F.slice("all", F.lit(1), keep)).alias("s")).where("s.mixed").select("id", "component", "n", F.col("s.shingle").alias("shingle"))
-    other = short.select("shingle", F.col("id").alias("id2"), F.col("component").alias("component2"), F.col("n").alias("n2"))
-    fits = 100 * F.least("n", "n2") >= percent * F.greatest("n", "n2")
-    return short.join(other, "shingle").where((F.col("id") < F.col("id2")) & (F.col("component") != F.col("component2")) & fits).select(F.col("id").alias("a"), F.col("id2").alias("b")).distinct()
+    larger = F.col("n") - F.ceil(F.col("n") * percent / 100).cast("int") + 1
+    smaller = F.col("n") - F.ceil(F.col("n") * (2 * percent) / (100 + percent)).cast("int") + 1
+    rows = staged(ranked.select("id", "component", "n", smaller.alias("smaller"), F.posexplode(F.slice("all", F.lit(1), larger)).alias("place", "s")).where("s.mixed").select("id", "component", "n", "place", "smaller", F.col("s.shingle").alias("shingle")), "prefixes")
+    other = rows.where("place < smaller").select("shingle", F.col("id").alias("id2"), F.col("component").alias("component2"), F.col("n").alias("n2"), F.col("place").alias("place2"))
+    order = (F.col("n") > F.col("n2")) | ((F.col("n") == F.col("n2")) & (F.col("id") > F.col("id2")))
+    most = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+    fits = (100 * F.col("n2") >= percent * F.col("n")) & ((100 + percent) * most >= percent * (F.col("n") + F.col("n2")))
+    return rows.join(other, "shingle").where(order & (F.col("component") != F.col("component2")) & fits).select(*_ordered("id", "id2")).distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT, region: int = REGION) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id, size, component) for every row of ``docs``; component is the smallest id linked with it, directly or not."""
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     described = staged(text.mapInArrow(_describe(width), "id long, size long, one long, two long, sig binary"), "described")
@@ -175,9 +176,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     near = (
         regions.where("n > 2").join(order, "rep").select("region", tail.alias("tail"), "rep")
         .repartitionByRange("region", "tail", "rep").sortWithinPartitions("region", "tail", "rep")
-        .mapInArrow(_neighbours(NEIGHBOURS), "a long, b long")
+        .mapInArrow(_neighbours, "a long, b long, lcp int")
     )
-    first = regions.where("rep <> low").select(*_ordered("low", "rep")).union(near.where("a <> b").select(*_ordered("a", "b"))).distinct()
+    near = staged(near, "neighbours")
+    deepest = near.select("a", "b", "lcp").union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "lcp")).groupBy("a").agg(F.max(F.struct("lcp", "b")).alias("m")).select(*_ordered("a", "m.b"))
+    lowest = regions.where("rep <> low").groupBy("rep").agg(F.min("low").alias("low")).select(*_ordered("low", "rep"))
+    first = lowest.union(deepest).distinct()
     first = staged(_size_ok(sizes, first, percent), "pairs")
 
     wanted = regions.select(F.col("rep").alias("id")).distinct()
@@ -190,11 +194,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     at = regions.select("region", F.col("rep").alias("id"), "n").join(label, "id")
     mixed = at.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("region")
     open_ = staged(at.join(mixed, "region"), "open")
-    few = open_.where(F.col("n") <= region).groupBy("region").agg(F.collect_list(F.struct("id", "component")).alias("m"))
-    pair = F.struct(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-    rest = few.select(F.explode("m").alias("x"), "m").select("x", F.explode("m").alias("y")).where("x.id < y.id and x.component <> y.component").select(pair.alias("p")).select("p.a", "p.b").distinct()
-    crowd = open_.where(F.col("n") > region).select("id", "component").distinct()
-    second = _size_ok(sizes, rest.union(_prefix_pairs(crowd, sets, percent)).distinct(), percent).join(first, ["a", "b"], "left_anti")
+    second = _prefix_pairs(open_.select("id", "component").distinct(), sets, percent).join(first, ["a", "b"], "left_anti")
+    second = staged(second, "second")
     all_links = links.union(_confirm(second, sets, percent))
     joined = staged(components(all_links), "components")
 
