@@ -34,44 +34,61 @@ WINDOW = 4096
 END_ID = 2
 OPEN_WINDOWS = 1024
 #: Words kept in a worker's token cache, in each of its two generations.
-CACHE_WORDS = 250_000
-_MARK = re.compile(rb"(?<=[A-Za-z])([,.])(?=[ \n])")
+CACHE_WORDS = 500_000
+_PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
+_SIGNED = re.compile(rb"([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 
 
-class TokenCache:
+def _byte_letters() -> dict[int, str]:
+    """The printable stand-in that byte-level vocabularies have for each byte: itself if printable Latin-1, else the next character from 256 on."""
+    own = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class TokenCache(dict):
     """Token ids of white-space separated words, as little-endian unsigned 32-bit bytes.
 
-    The tokenizer never joins characters across ASCII white space, lower-cases,
-    and takes a lone comma or full stop after a letter as a piece of its own;
-    so the ids of a text are the ids of its words, and words recur.
+    The tokenizer lower-cases, never joins characters across ASCII white space,
+    and cuts where letters meet other signs than an apostrophe; so the ids of a
+    text are those of its words, and words recur.  Words of plain letters go to
+    the tokenizer's model directly, in its byte letters.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
+        super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[bytes, bytes] = {}
+        self.model = self.tokenizer.model
+        self.letters = _byte_letters()
         self.old: dict[bytes, bytes] = {}
 
+    def _ids(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        low = text.lower()
+        if _PLAIN(low) and len(low) == len(text):
+            ids = [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(self.letters))]
+        elif (m := _SIGNED(word)) and b"<|" not in word and _PLAIN(m[1].decode("utf-8", "replace").lower()):
+            return self[m[1]] + self[m[2]]
+        else:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def __missing__(self, word: bytes) -> bytes:
+        ids = self.old.pop(word, None)
+        if ids is None:
+            ids = self._ids(word)
+        if len(self) >= CACHE_WORDS:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
+        return ids
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [(t if b"<|" in t else _MARK.sub(rb" \1", t).lower()).split() for t in texts]
-        need = set().union(*split) - self.young.keys() if split else set()
-        if len(self.young) + len(need) > CACHE_WORDS:
-            self.old, self.young = self.young, {}
-            need = set().union(*split)
-        miss = []
-        for w in need:
-            if (ids := self.old.get(w)) is not None:
-                self.young[w] = ids
-            else:
-                miss.append(w)
-        for i in range(0, len(miss), 4096):
-            part = miss[i : i + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                self.young[w] = np.array(e.ids, dtype="<u4").tobytes()
-        take = self.young.__getitem__
-        return [b"".join(map(take, words)) for words in split]
+        take = self.__getitem__
+        return [b"".join(map(take, (t if b"<|" in t else t.lower()).split())) for t in texts]
 
 
 _caches: dict[str, TokenCache] = {}
