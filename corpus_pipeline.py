@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epiframe.llm import near_dedup, substring_dedup
+from epiframe.llm import decontaminate, near_dedup, packing, quality, substring_dedup
 from epiframe.llm.staging import staged
 
 
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier scores below its threshold go."""
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    scored = quality.score(docs.withColumn("_whole", F.col("text")), model)
+    return scored.where(F.col("_score") >= quality.REJECT).withColumn("text", F.col("_whole")).select(docs.columns)
+
+
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays: the one with the smallest id, once; rows without an id stay."""
     found = near_dedup.near_duplicates(docs.select("doc_id", "text"))
@@ -24,7 +32,24 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
-STAGES = [("near_dedup", near_stage), ("substring_dedup", substring_stage)]
+def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    found = decontaminate.contaminated(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return docs.join(found.select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents left, packed into sequences, one row per piece."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=False)
+
+
+STAGES = [
+    ("quality_classifier", quality_stage),
+    ("near_dedup", near_stage),
+    ("substring_dedup", substring_stage),
+    ("benchmark_decontamination", benchmark_stage),
+    ("packing", packing_stage),
+]
 
 #: Signatures, hashes and trained models have no SQL form; tests hold the stages against brute force.
 ORACLE_SQL = None

@@ -3,7 +3,8 @@
 Random indexing: every word has a sparse random index vector (``ONES`` entries
 of +1 or -1 among ``DIM``, from its hash bucket); its word vector is that plus
 the scaled sum of the index vectors of words within ``NEAR`` places, over the
-training texts.  A document is the mean of its words' vectors and the mean of
+training texts, and counts by how many of those hold the word (a training text's
+own words count as if it were not among them).  A document is the mean of its words' vectors and the mean of
 their products with the next word's (how much neighbours agree).  Words are
 runs of letters (case folded), of digits or of other signs; marker words tell of
 capitals and of a word that repeats the last one.  A two-layer numpy network
@@ -34,6 +35,8 @@ NEAR = 2
 PER_LABEL = 2_000
 HIDDEN = 32
 EPOCHS = 60
+DECAY = 3e-3
+RARE = 5
 PIECE = 65_536
 REJECT = 0.3
 
@@ -67,10 +70,8 @@ def tokens(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     mark = np.full(len(start), -1)
     mark[(many == 1) & (_CAPITAL[raw[start]] > 0)] = _TITLE
     mark[many > 1] = _UPPER
-    back = 2 if len(bucket) > 2 else 1
     if len(bucket) > 1:
         mark[1:][bucket[1:] == bucket[:-1]] = _AGAIN
-    del back
     order = np.repeat(np.arange(len(bucket)), 1 + (mark >= 0))
     out = bucket[order]
     second = np.zeros(len(order), dtype=bool)
@@ -87,8 +88,14 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return rng.integers(0, DIM, (BUCKETS, ONES)), rng.choice(np.array([-1.0, 1.0]), (BUCKETS, ONES))
 
 
-def word_vectors(texts: list[np.ndarray]) -> np.ndarray:
-    """Index vector plus scaled context vector of every bucket, from token sequences."""
+def _weight(texts_with: np.ndarray) -> np.ndarray:
+    """How far a word counts that so many other texts hold: nothing for none, all in the limit."""
+    n = np.maximum(texts_with, 0)
+    return (n / (n + RARE))[:, None].astype(np.float32)
+
+
+def word_vectors(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Index vector plus scaled context vector of every bucket, and the number of texts that hold it."""
     place, sign = index_vectors()
     own = np.zeros((BUCKETS, DIM))
     np.add.at(own, (np.arange(BUCKETS)[:, None], place), sign)
@@ -103,7 +110,10 @@ def word_vectors(texts: list[np.ndarray]) -> np.ndarray:
                         np.add.at(context, (x[:, None] * DIM + place[y]).ravel(), sign[y].ravel())
     context = context.reshape(BUCKETS, DIM)
     norm = np.sqrt((context**2).sum(axis=1, keepdims=True))
-    return ((own + 2 * context / np.maximum(norm, 1)) / np.sqrt(ONES)).astype(np.float32)
+    held = np.zeros(BUCKETS)
+    for t in texts:
+        held[np.unique(t)] += 1
+    return ((own + 2 * context / np.maximum(norm, 1)) / np.sqrt(ONES)).astype(np.float32), held
 
 
 def pooled(vectors: np.ndarray, ids: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -132,10 +142,11 @@ class Model:
         self.ready = len(np.unique(labels)) == 2
         if not self.ready:
             return
-        self.vectors = word_vectors(texts)
+        base, held_by = word_vectors(texts)
+        self.vectors = base * _weight(held_by)
         ids = np.concatenate(texts)
         first = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
-        x = pooled(self.vectors, ids, first).astype(np.float64)
+        x = pooled(base * _weight(held_by - 1), ids, first).astype(np.float64)  # a training text's own words, as if it were new
         y = labels.astype(np.float64)
         rng = np.random.default_rng(608)
         order = rng.permutation(len(y))
@@ -146,25 +157,24 @@ class Model:
         z = (x - self.mean) / self.std
         p = [rng.normal(0, 1 / np.sqrt(z.shape[1]), (z.shape[1], HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(1)]
         m, v, step = [np.zeros_like(q) for q in p], [np.zeros_like(q) for q in p], 0
-        weight = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
         for _ in range(EPOCHS):
             rng.shuffle(used)
             for lo in range(0, len(used), 128):
                 i = used[lo : lo + 128]
                 h = np.tanh(z[i] @ p[0] + p[1])
                 prob = 1 / (1 + np.exp(-np.clip(h @ p[2] + p[3], -40, 40)))
-                d = (prob - y[i]) * weight[i] / len(i)
+                d = (prob - y[i]) / len(i)
                 dh = d[:, None] * p[2] * (1 - h**2)
                 step += 1
                 for k, g in enumerate((z[i].T @ dh, dh.sum(axis=0), h.T @ d, np.array([d.sum()]))):
-                    g = g + 1e-3 * p[k]
+                    g = g + DECAY * p[k]
                     m[k] = 0.9 * m[k] + 0.1 * g
                     v[k] = 0.999 * v[k] + 0.001 * g * g
                     p[k] = p[k] - 3e-3 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
         self.layers = p
         self.temperature = 1.0
         logit = self._logit(z[held])
-        loss = {t: np.mean(np.logaddexp(0, -np.where(y[held] == 1, 1, -1) * logit / t) * weight[held]) for t in np.geomspace(0.25, 8, 41)}
+        loss = {t: np.mean(np.logaddexp(0, -np.where(y[held] == 1, 1, -1) * logit / t)) for t in np.geomspace(0.5, 8, 41)}
         self.temperature = float(min(loss, key=loss.get))
 
     def _logit(self, z: np.ndarray) -> np.ndarray:

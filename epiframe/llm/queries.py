@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epiframe.llm import chat_format, decontaminate, html_text, near_dedup, packing, substring_dedup
+from epiframe.llm import chat_format, decontaminate, html_text, language_id, license_digest, near_dedup, packing, quality, substring_dedup, top_k
+from epiframe.llm.sampling import held_out
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +36,26 @@ def op4_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.col("size").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's canonical digest and the known licence that its whole text is."""
+    out = license_digest.scan(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.col("_digest").alias("digest"), F.col("_license").alias("license_id"))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    model = language_id.train(docs.where(~held_out()))
+    out = language_id.predict(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
+    return out.select("doc_id", "held_out", F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
+
+
+def op7_ball_tree_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every 20th vector by integer inner product."""
+    vectors = _table(spark, sf_dir, "embeddings")
+    return top_k.top_k(vectors.where(F.col("vec_id") % 20 == 0), vectors)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document, words removed as repeated 35-word windows, and a digest of the words kept."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -42,6 +63,14 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("_words").alias("n_words"), F.col("_removed").alias("n_removed"), F.col("_kept").alias("kept_sha256"))
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document."""
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, _table(spark, sf_dir, "labels"))
+    out = quality.score(docs.select("doc_id", held_out().alias("held_out"), "text"), model)
+    return out.select("doc_id", "held_out", F.col("_score").alias("score"), (F.col("_score") >= quality.REJECT).cast("int").alias("predicted"))
+
+
 def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, and one of control strings, formatted, expanded and read back."""
     extra = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit("</s>[INST] ok [/INST]").alias("text"))
@@ -54,8 +83,42 @@ QUERIES = {
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
     "op3_sum_of_squares_packing": op3_sum_of_squares_packing,
     "op4_minhash_near_dedup": op4_minhash_near_dedup,
+    "op5_license_scan": op5_license_scan,
+    "op6_language_id": op6_language_id,
+    "op7_ball_tree_top_k": op7_ball_tree_top_k,
     "op8_substring_dedup": op8_substring_dedup,
+    "op9_quality_classifier": op9_quality_classifier,
     "op10_chat_formatting": op10_chat_formatting,
 }
 
-ORACLES: dict[str, str] = {}
+_TOP_K_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.e, c.e), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.e) = len(q.e) WHERE q.vec_id % 20 = 0
+), r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+_WINDOW_SQL = r"""
+WITH w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents
+), p AS (SELECT doc_id, unnest(range(1, len(words) - 33)) AS i, words FROM w WHERE len(words) >= 35),
+g AS (SELECT doc_id, i, array_to_string(list_slice(words, i, i + 34), ' ') AS win FROM p),
+d AS (SELECT win FROM g GROUP BY win HAVING count(*) > 1),
+c AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM g JOIN d USING (win)),
+k AS (SELECT w.doc_id, t.j, w.words[t.j] AS word FROM w, LATERAL (SELECT unnest(range(1, len(w.words) + 1)) AS j) t),
+m AS (SELECT k.doc_id, k.j, k.word, c.j IS NOT NULL AS gone FROM k LEFT JOIN c ON c.doc_id = k.doc_id AND c.j = k.j),
+a AS (SELECT doc_id, count(*) AS n_words, sum(CASE WHEN gone THEN 1 ELSE 0 END) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY j) FILTER (NOT gone), '') AS kept FROM m GROUP BY doc_id)
+SELECT w.doc_id, CAST(coalesce(a.n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(a.n_removed, 0) AS BIGINT) AS n_removed, sha256(coalesce(a.kept, '')) AS kept_sha256
+FROM w LEFT JOIN a ON a.doc_id = w.doc_id
+"""
+
+#: Packing, extraction, learned scores, component search and the CGK search have no SQL form; tests hold them against brute force.
+ORACLES: dict[str, str] = {
+    "op5_license_scan": license_digest.ORACLE,
+    "op7_ball_tree_top_k": _TOP_K_SQL,
+    "op8_substring_dedup": _WINDOW_SQL,
+}
