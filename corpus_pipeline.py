@@ -13,8 +13,8 @@ from epiframe.llm.staging import staged
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier scores below its threshold go."""
     model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = quality.score(docs.withColumn("_whole", F.col("text")), model)
-    return scored.where(F.col("_score") >= quality.REJECT).withColumn("text", F.col("_whole")).select(docs.columns)
+    scored = quality.score(docs, model, keep_text=True)
+    return scored.where(F.col("_score") >= quality.REJECT).withColumnRenamed("_text", "text").select(docs.columns)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,10 +26,9 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeated 35-word windows are cut from the texts; texts without any stay as they are."""
-    out = substring_dedup.remove_repeats(docs.withColumn("_whole", F.col("text")))
-    text = F.when(F.col("_removed") > 0, F.col("_kept")).otherwise(F.col("_whole"))
-    return out.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
+    """Repeated 35-word windows are cut from the texts; texts without any stay as they are, null becomes empty."""
+    out = substring_dedup.remove_repeats(docs)
+    return out.withColumn("text", F.col("_kept")).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 
 def benchmark_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,6 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from epiframe.llm.staging import map_arrow
 from epiframe.llm.textscan import chunks, mix, rolling, span_hash
 
 EDITS = 0.15
@@ -212,17 +213,29 @@ class Block:
                     yield d, i, *best
 
 
+#: Stretches that a task gathers before it embeds them together.
+GATHER = 20_000
+
+
 def _scan(block):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         b = block.value
+        ids: list = []
+        gathered: dict[int, list] = {}
+
+        def decided() -> Iterator[pa.RecordBatch]:
+            nonlocal ids, gathered
+            if out := [(ids[d], b.ids[i], edits, start) for d, i, edits, start in b.decide(gathered)]:
+                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], names=["doc_id", "item_id", "edits", "start_word"])
+            ids, gathered = [], {}
+
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            gathered: dict[int, list] = {}
             for lo, _, raw, at in chunks(batch.column(1)):
-                b.gather(raw, at, lo, gathered)
-            out = [(ids[d], b.ids[i], edits, start) for d, i, edits, start in b.decide(gathered)]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*out)], names=["doc_id", "item_id", "edits", "start_word"])
+                b.gather(raw, at, len(ids) + lo, gathered)
+            ids += batch.column(0).to_pylist()
+            if sum(len(part[0]) for parts in gathered.values() for part in parts) > GATHER:
+                yield from decided()
+        yield from decided()
 
     return scan
 
@@ -249,6 +262,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     out = spark.createDataFrame([], schema)
     for ids, texts in _blocks(benchmark):
         block = spark.sparkContext.broadcast(Block(ids, texts, edits, tables, sample))
-        out = out.union(text.mapInArrow(_scan(block), schema))
+        out = out.union(map_arrow(text, _scan(block), schema))
     best = out.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "start_word")).alias("m"))
     return best.select("doc_id", "item_id", "m.edits", "m.start_word")

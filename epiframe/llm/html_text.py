@@ -32,6 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from epiframe.llm.staging import map_arrow
+
 THRESHOLD = 0.25
 SMOOTH = 1.0
 LINKS = 0.5
@@ -241,4 +243,4 @@ def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """All rows and other columns of ``pages`` with ``_text``, the main text."""
     others = [c for c in pages.columns if c != html_col]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*others).schema]
-    return pages.select(*others, F.col(html_col).alias("_html")).mapInArrow(_extract, ", ".join([*fields, "_text string"]))
+    return map_arrow(pages.select(*others, F.col(html_col).alias("_html")), _extract, ", ".join([*fields, "_text string"]))

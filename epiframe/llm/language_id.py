@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epiframe.llm.sampling import held_out, per_label
+from epiframe.llm.staging import map_arrow
 from epiframe.llm.textscan import chunks
 
 GRAMS = 3
@@ -103,7 +104,7 @@ class Model:
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", per_language: int = PER_LANGUAGE) -> Model:
     """Fit on a bounded sample of ``docs`` (the caller keeps held-out rows away); needs doc_id for the sample's order."""
     sample = per_label(docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select("doc_id", lang_col, text_col), lang_col, per_language)
-    rows = sorted((r.lang, bytes(r.bits)) for r in sample.select(lang_col, text_col).mapInArrow(_packed, "lang string, bits binary").collect())
+    rows = sorted((r.lang, bytes(r.bits)) for r in map_arrow(sample.select(lang_col, text_col), _packed, "lang string, bits binary").collect())
     order = np.random.default_rng(5).permutation(len(rows))
     return Model([rows[i][0] for i in order], [rows[i][1] for i in order])
 
@@ -133,7 +134,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     others = [c for c in docs.columns if c != text_col]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema]
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(*others, F.col(text_col).alias("_text")).mapInArrow(_score(sent), ", ".join([*fields, "_lang string", "_score double"]))
+    return map_arrow(docs.select(*others, F.col(text_col).alias("_text")), _score(sent), ", ".join([*fields, "_lang string", "_score double"]))
 
 
 __all__ = ["Model", "held_out", "predict", "presence", "train"]

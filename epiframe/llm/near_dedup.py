@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epiframe.llm.components import components
-from epiframe.llm.staging import staged
+from epiframe.llm.staging import map_arrow, staged
 from epiframe.llm.textscan import Words, chunks, mix, rolling, signed, window_rows
 
 SHINGLE = 5
@@ -164,7 +164,7 @@ def _prefix_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id, size, component) for every row of ``docs``; component is the smallest id linked with it, directly or not."""
     text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    described = staged(text.mapInArrow(_describe(width), "id long, size long, one long, two long, sig binary"), "described")
+    described = staged(map_arrow(text, _describe(width), "id long, size long, one long, two long, sig binary"), "described")
     named = described.where("id is not null and size > 0")
     classes = staged(named.groupBy("one", "two", "size").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "classes")
     sizes = classes.groupBy("id").agg(F.max("size").alias("size"))
@@ -173,12 +173,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     order = classes.select(F.col("id").alias("rep"), "sig")
     depth = 4 * DEPTH
     tail = F.expr(f"substring(concat(sig, sig), tree * {depth} + {depth + 1}, 48)")
-    near = (
+    sorted_rows = (
         regions.where("n > 2").join(order, "rep").select("region", tail.alias("tail"), "rep")
         .repartitionByRange("region", "tail", "rep").sortWithinPartitions("region", "tail", "rep")
-        .mapInArrow(_neighbours, "a long, b long, lcp int")
     )
-    near = staged(near, "neighbours")
+    near = staged(map_arrow(sorted_rows, _neighbours, "a long, b long, lcp int"), "neighbours")
     deepest = near.select("a", "b", "lcp").union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "lcp")).groupBy("a").agg(F.max(F.struct("lcp", "b")).alias("m")).select(*_ordered("a", "m.b"))
     lowest = regions.where("rep <> low").groupBy("rep").agg(F.min("low").alias("low")).select(*_ordered("low", "rep"))
     first = lowest.union(deepest).distinct()
@@ -186,7 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     wanted = regions.select(F.col("rep").alias("id")).distinct()
     once = text.join(wanted, "id").dropDuplicates(["id"])
-    sets = staged(once.mapInArrow(_sets(width), "id long, set array<long>"), "sets")
+    sets = staged(map_arrow(once, _sets(width), "id long, set array<long>"), "sets")
     links = staged(_confirm(first, sets, percent), "links")
 
     found = components(links)

@@ -27,7 +27,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from epiframe.llm.staging import map_arrow
 from epiframe.llm.textscan import text_buffers
 
 WINDOW = 4096
@@ -225,6 +227,4 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     ``tokenizer`` is the path of a tokenizers JSON file that every executor has.
     """
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + (", ids array<int>" if with_ids else "")
-    from pyspark.sql import functions as F
-
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(_pack(tokenizer, window, end_id, open_windows, with_ids), schema)
+    return map_arrow(docs.select(F.col(id_col).cast("long"), F.col(text_col)), _pack(tokenizer, window, end_id, open_windows, with_ids), schema)

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epiframe.llm.sampling import held_out, per_label
+from epiframe.llm.staging import map_arrow
 from epiframe.llm.textscan import chunks, span_hash
 
 BUCKETS = 32_768
@@ -200,25 +201,25 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_c
     known = labels.where(F.col(label_col).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
     few = per_label(known, "label", per_label_rows)
     sample = docs.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(few), "doc_id").select("label", "text")
-    rows = sorted((r.label, bytes(r.ids)) for r in sample.mapInArrow(_tokens, "label int, ids binary").collect())
+    rows = sorted((r.label, bytes(r.ids)) for r in map_arrow(sample, _tokens, "label int, ids binary").collect())
     return Model([np.frombuffer(b, "<u2").astype(np.int64) for _, b in rows], np.array([label for label, _ in rows]))
 
 
-def _score(model):
+def _score(model, keep: bool):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
         for batch in batches:
             names = batch.schema.names
             score = [m.scores(*tokens(raw, at)) for _, _, raw, at in chunks(batch.column(names.index("_text")))]
-            rest = [(n, batch.column(i)) for i, n in enumerate(names) if n != "_text"]
+            rest = [(n, batch.column(i)) for i, n in enumerate(names) if keep or n != "_text"]
             yield pa.RecordBatch.from_arrays([c for _, c in rest] + [pa.array(np.concatenate(score) if score else np.zeros(0))], names=[n for n, _ in rest] + ["_score"])
 
     return scan
 
 
-def score(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """All rows and other columns of ``docs`` with ``_score``, the probability of label 1."""
+def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = False) -> DataFrame:
+    """All rows and other columns of ``docs`` with ``_score``, the probability of label 1, and with ``keep_text`` the text as ``_text``."""
     others = [c for c in docs.columns if c != text_col]
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema]
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return docs.select(*others, F.col(text_col).alias("_text")).mapInArrow(_score(sent), ", ".join([*fields, "_score double"]))
+    return map_arrow(docs.select(*others, F.col(text_col).alias("_text")), _score(sent, keep_text), ", ".join([*fields, *(["_text string"] if keep_text else []), "_score double"]))

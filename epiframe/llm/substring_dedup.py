@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epiframe.llm.staging import staged
+from epiframe.llm.staging import map_arrow, staged
 from epiframe.llm.textscan import Words, chunks, mix, rolling, signed, window_rows
 
 WIDTH = 35
@@ -120,7 +120,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(_k1, _k2, spans): the word ranges [begin, end) of each document that repeated windows cover; spans may overlap."""
     gram = min(GRAM, width)
     text = _with_key(docs, id_col, text_col).select("_k1", "_k2", F.col(text_col).alias("_text"))
-    runs = staged(text.mapInArrow(_run_batches(width, gram), "_k1 long, _k2 long, begin int, length int, anchor long, digest long, inner int"), "runs")
+    runs = staged(map_arrow(text, _run_batches(width, gram), "_k1 long, _k2 long, begin int, length int, anchor long, digest long, inner int"), "runs")
     place = F.xxhash64("_k1", "_k2", "begin")
     kinds = runs.groupBy("anchor", "digest").agg(F.count("*").alias("seen"), F.min(place).alias("first"), F.max("inner").alias("inner"))
     # Grouped tables are written before they are joined: a join of two fresh exchanges lets Spark split a hot key.
@@ -136,7 +136,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         "marked",
     )
     opened = marked.where("open").select("_k1", "_k2", F.struct("begin", F.when(F.col("whole"), 2).otherwise(1).alias("weight")).alias("run")).groupBy("_k1", "_k2").agg(F.collect_set("run").alias("asked"))
-    windows = staged(text.dropDuplicates(["_k1", "_k2"]).join(opened, ["_k1", "_k2"]).mapInArrow(_window_batches(width, gram), "_k1 long, _k2 long, begin int, weight int, anchor long, window long"), "windows")
+    windows = staged(map_arrow(text.dropDuplicates(["_k1", "_k2"]).join(opened, ["_k1", "_k2"]), _window_batches(width, gram), "_k1 long, _k2 long, begin int, weight int, anchor long, window long"), "windows")
     twice = staged(windows.groupBy("anchor", "window").agg(F.sum("weight").alias("n")).where("n > 1").select("anchor", "window"), "twice")
     single = windows.where("weight = 1").join(twice, ["anchor", "window"]).select("_k1", "_k2", "begin", (F.col("begin") + width).alias("end"))
     whole = marked.where("whole").select("_k1", "_k2", "begin", (F.col("begin") + F.col("length") + (width - 1)).alias("end"))
@@ -166,6 +166,9 @@ def _cut(with_text: bool):
                     removed.append(b - a - int(keep.sum()))
                     data = bytes(raw[at[i - lo] : at[i - lo + 1]])
                     base = at[i - lo]
+                    if with_text and keep.all():
+                        kept.append(data.decode())
+                        continue
                     out = b" ".join(data[s:e] for s, e in zip((words.start[a:b][keep] - base).tolist(), (words.end[a:b][keep] - base).tolist()))
                     kept.append(out.decode() if with_text else hashlib.sha256(out).hexdigest())
             rest = [(n, batch.column(i)) for i, n in enumerate(names) if n not in ("_text", "_spans")]
@@ -175,10 +178,10 @@ def _cut(with_text: bool):
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, digest: bool = False) -> DataFrame:
-    """All rows and other columns of ``docs`` with ``_words``, ``_removed`` and ``_kept``: the words kept, joined by one space (or their SHA-256)."""
+    """All rows and other columns of ``docs`` with ``_words``, ``_removed`` and ``_kept``: the words kept, joined by one space, or with ``digest`` their SHA-256; a text that loses no word stays as it is."""
     keyed = _with_key(docs, id_col, text_col)
     spans = repeated_spans(docs, id_col, text_col, width).withColumnRenamed("spans", "_spans")
     others = [c for c in docs.columns if c != text_col]
     joined = keyed.withColumnRenamed(text_col, "_text").join(spans, list(_KEY), "left").select(*others, "_text", "_spans")
     fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema]
-    return joined.mapInArrow(_cut(not digest), ", ".join([*fields, "_words long, _removed long, _kept string"]))
+    return map_arrow(joined, _cut(not digest), ", ".join([*fields, "_words long, _removed long, _kept string"]))

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from epiframe.llm.staging import map_arrow
+
 SCALE = 64
 K = 20
 LEAF = 512
@@ -200,6 +202,6 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, id_col: str = "
                 for lo in range(0, len(at), GROUP):
                     first.offer(np.arange(lo, min(lo + GROUP, len(at))), probe_ids[where], seen)
             sent[n] = ids[at], vectors, first.score[:, -1].copy()
-        parts = parts.union(pool.mapInArrow(_search(spark.sparkContext.broadcast(sent), k), schema))
+        parts = parts.union(map_arrow(pool, _search(spark.sparkContext.broadcast(sent), k), schema))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
