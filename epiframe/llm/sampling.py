@@ -13,7 +13,16 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % FOLDS == 0, F.lit(True))
 
 
+#: Classes of the id's hash that a label's sample is drawn from, so that no task sorts all rows of a label.
+CLASSES = 16
+
+
 def per_label(rows: DataFrame, label: str, most: int, id_col: str = "doc_id") -> DataFrame:
-    """At most ``most`` rows of each label, by hash of the id; tasks keep no more than that before they shuffle."""
-    order = Window.partitionBy(label).orderBy(F.xxhash64(id_col), F.col(id_col))
-    return rows.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= most).drop("_rank")
+    """At most ``most`` rows of each label (up to rounding): those of lowest hash in each hash class of the id.
+
+    Every task keeps only its own lowest rows of a class before the shuffle.
+    """
+    each = -(-most // CLASSES)
+    part = F.pmod(F.xxhash64(F.lit(1), id_col), F.lit(CLASSES))
+    order = Window.partitionBy(label, "_class").orderBy(F.xxhash64(id_col), F.col(id_col))
+    return rows.withColumn("_class", part).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each).drop("_rank", "_class")
