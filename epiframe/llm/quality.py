@@ -33,12 +33,12 @@ BUCKETS = 32_768
 DIM = 64
 ONES = 4
 NEAR = 2
-PER_LABEL = 2_000
+PER_LABEL = 1_200
 HIDDEN = 32
 EPOCHS = 60
 DECAY = 3e-3
 RARE = 5
-PIECE = 65_536
+PIECE = 32_768
 REJECT = 0.3
 
 _UPPER, _TITLE, _AGAIN = 0, 1, 2
