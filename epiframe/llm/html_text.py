@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epiframe.llm.staging import map_arrow
+from epiframe.llm.staging import Carried, map_arrow
 
 THRESHOLD = 0.25
 SMOOTH = 1.0
@@ -241,6 +241,6 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def extract(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """All rows and other columns of ``pages`` with ``_text``, the main text."""
-    others = [c for c in pages.columns if c != html_col]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.select(*others).schema]
-    return map_arrow(pages.select(*others, F.col(html_col).alias("_html")), _extract, ", ".join([*fields, "_text string"]))
+    carried = Carried(pages, html_col, "_text")
+    out = map_arrow(pages.select(carried.column, F.col(html_col).alias("_html")), _extract, carried.schema("_text string"))
+    return out.select(*carried.restored(), "_text")

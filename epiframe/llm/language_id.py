@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epiframe.llm.sampling import held_out, per_label
-from epiframe.llm.staging import map_arrow
+from epiframe.llm.staging import Carried, map_arrow
 from epiframe.llm.textscan import chunks
 
 GRAMS = 3
@@ -131,10 +131,10 @@ def _score(model):
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """All rows and other columns of ``docs`` with ``_lang`` and ``_score``."""
-    others = [c for c in docs.columns if c != text_col]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema]
+    carried = Carried(docs, text_col, "_lang", "_score")
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return map_arrow(docs.select(*others, F.col(text_col).alias("_text")), _score(sent), ", ".join([*fields, "_lang string", "_score double"]))
+    out = map_arrow(docs.select(carried.column, F.col(text_col).alias("_text")), _score(sent), carried.schema("_lang string, _score double"))
+    return out.select(*carried.restored(), "_lang", "_score")
 
 
 __all__ = ["Model", "held_out", "predict", "presence", "train"]

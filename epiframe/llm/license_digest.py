@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from epiframe.llm.staging import Carried
+
 #: Short licence texts and notices as their stewards publish them.
 LICENSES = [
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
@@ -79,8 +81,9 @@ def scan(docs: DataFrame, known: DataFrame | None = None, text_col: str = "text"
     """All columns of ``docs`` with ``_digest`` and ``_license`` (null: none known)."""
     known = catalogue(docs.sparkSession) if known is None else known
     known = known.select(F.col("license_digest").alias("_known"), F.col("license_id").alias("_license"))
-    out = docs.withColumn("_digest", F.sha2(canonical(F.col(text_col)), 256))
-    return out.join(known, F.col("_digest") == F.col("_known"), "left").drop("_known")
+    carried = Carried(docs, "_digest", "_license")
+    out = docs.select(carried.column, F.sha2(canonical(F.col(text_col)), 256).alias("_digest"))
+    return out.join(known, F.col("_digest") == F.col("_known"), "left").select(*carried.restored(), "_digest", "_license")
 
 
 def _quoted(text: str) -> str:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epiframe.llm.sampling import held_out, per_label
-from epiframe.llm.staging import map_arrow
+from epiframe.llm.staging import Carried, map_arrow
 from epiframe.llm.textscan import chunks, span_hash
 
 BUCKETS = 32_768
@@ -219,7 +219,9 @@ def _score(model, keep: bool):
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = False) -> DataFrame:
     """All rows and other columns of ``docs`` with ``_score``, the probability of label 1, and with ``keep_text`` the text as ``_text``."""
-    others = [c for c in docs.columns if c != text_col]
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema]
+    outputs = ["_text", "_score"] if keep_text else ["_score"]
+    carried = Carried(docs, text_col, *outputs)
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    return map_arrow(docs.select(*others, F.col(text_col).alias("_text")), _score(sent, keep_text), ", ".join([*fields, *(["_text string"] if keep_text else []), "_score double"]))
+    schema = carried.schema("_text string, _score double" if keep_text else "_score double")
+    out = map_arrow(docs.select(carried.column, F.col(text_col).alias("_text")), _score(sent, keep_text), schema)
+    return out.select(*carried.restored(), *outputs)

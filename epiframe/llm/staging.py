@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -34,9 +36,28 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 BATCH_ROWS = 1_000
 
 
-def map_arrow(df: DataFrame, function, schema: str) -> DataFrame:
+def map_arrow(df: DataFrame, function, schema: str | T.StructType) -> DataFrame:
     """``df.mapInArrow`` with batches of at most BATCH_ROWS rows (a session setting that is only ever lowered)."""
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
         conf.set(key, BATCH_ROWS)
     return df.mapInArrow(function, schema)
+
+
+class Carried:
+    """The columns of a table that an operator hands through, as one struct ``_row``, so that their names clash with none of its own.
+
+    Columns named like one of the operator's outputs are left out: the output takes their place.
+    """
+
+    def __init__(self, df: DataFrame, *replaced: str):
+        self.names = [c for c in df.columns if c not in replaced]
+        self.column = F.struct(F.lit(0).alias("_"), *(F.col(f"`{c}`") for c in self.names)).alias("_row")
+        self.field = df.select(self.column).schema["_row"]
+
+    def schema(self, outputs: str) -> T.StructType:
+        """``_row`` and the output columns (a DDL string)."""
+        return T.StructType([self.field, *T.StructType.fromDDL(outputs).fields])
+
+    def restored(self) -> list[Column]:
+        return [F.col("_row").getField(c).alias(c) for c in self.names]

@@ -28,10 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epiframe.llm.staging import map_arrow, staged
+from epiframe.llm.staging import Carried, map_arrow, staged
 from epiframe.llm.textscan import Words, chunks, mix, rolling, signed, window_rows
 
 WIDTH = 35
@@ -111,15 +111,15 @@ def _window_batches(width: int, gram: int):
     return scan
 
 
-def _with_key(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def _keys(id_col: str, text_col: str) -> list[Column]:
     """Rows with the same id and text share a key, and so their result."""
-    return docs.withColumns({"_k1": F.coalesce(F.col(id_col).cast("long"), F.lit(0)), "_k2": F.xxhash64(F.col(text_col), F.col(id_col).isNull())})
+    return [F.coalesce(F.col(id_col).cast("long"), F.lit(0)).alias("_k1"), F.xxhash64(F.col(text_col), F.col(id_col).isNull()).alias("_k2")]
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """(_k1, _k2, spans): the word ranges [begin, end) of each document that repeated windows cover; spans may overlap."""
     gram = min(GRAM, width)
-    text = _with_key(docs, id_col, text_col).select("_k1", "_k2", F.col(text_col).alias("_text"))
+    text = docs.select(*_keys(id_col, text_col), F.col(text_col).alias("_text"))
     runs = staged(map_arrow(text, _run_batches(width, gram), "_k1 long, _k2 long, begin int, length int, anchor long, digest long, inner int"), "runs")
     place = F.xxhash64("_k1", "_k2", "begin")
     kinds = runs.groupBy("anchor", "digest").agg(F.count("*").alias("seen"), F.min(place).alias("first"), F.max("inner").alias("inner"))
@@ -178,10 +178,10 @@ def _cut(with_text: bool):
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH, digest: bool = False) -> DataFrame:
-    """All rows and other columns of ``docs`` with ``_words``, ``_removed`` and ``_kept``: the words kept, joined by one space, or with ``digest`` their SHA-256; a text that loses no word stays as it is."""
-    keyed = _with_key(docs, id_col, text_col)
+    """All rows of ``docs`` and its columns but the text, with ``_words``, ``_removed`` and ``_kept``: the words kept, joined by one space, or with ``digest`` their SHA-256; a text that loses no word stays as it is."""
+    carried = Carried(docs, text_col, "_words", "_removed", "_kept")
     spans = repeated_spans(docs, id_col, text_col, width).withColumnRenamed("spans", "_spans")
-    others = [c for c in docs.columns if c != text_col]
-    joined = keyed.withColumnRenamed(text_col, "_text").join(spans, list(_KEY), "left").select(*others, "_text", "_spans")
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*others).schema]
-    return map_arrow(joined, _cut(not digest), ", ".join([*fields, "_words long, _removed long, _kept string"]))
+    keyed = docs.select(carried.column, *_keys(id_col, text_col), F.col(text_col).alias("_text"))
+    joined = keyed.join(spans, list(_KEY), "left").select("_row", "_text", "_spans")
+    cut = map_arrow(joined, _cut(not digest), carried.schema("_words long, _removed long, _kept string"))
+    return cut.select(*carried.restored(), "_words", "_removed", "_kept")
