@@ -74,6 +74,28 @@ def parse_boxes(text: Column) -> Column:
     return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.when(~flat(box(i)), box(i)))).otherwise(F.array().cast("array<array<double>>"))
 
 
+def coordinates_to_loc(text: Column) -> Column:
+    """Bracketed coordinate lists such as ``[0.1, 0.2]`` as location tokens, values cut and not rounded."""
+    found = F.regexp_extract_all(text, F.lit(r"\[\s*[0-9.]+(?:\s*,\s*[0-9.]+)*\s*\]"), 0)
+    one = lambda b: F.array_join(F.transform(F.regexp_extract_all(b, F.lit(r"[0-9.]+"), 0), lambda x: loc(x.cast("double"), rounded=False)), "")
+    return F.aggregate(F.transform(found, lambda b: F.struct(b.alias("b"), one(b).alias("t"))), text, lambda s, x: F.replace(s, x["b"], x["t"]))
+
+
+def resolve_tokens(text: Column, names: dict[str, str]) -> Column:
+    """Named tokens replaced by their spelling."""
+    for k, v in names.items():
+        text = F.replace(text, F.lit(k), F.lit(v))
+    return text
+
+
+def split_tags(text: Column, tags: Sequence[str]) -> Column:
+    """Map of tag to what follows it, up to the next tag, in any order; of a repeated tag the first counts."""
+    every = "|".join(re.escape(t) for t in tags)
+    after = lambda t: F.trim(F.regexp_extract(text, rf"(?s){re.escape(t)}(.*?)(?:{every}|\z)", 1))
+    pairs = F.map_from_arrays(F.array(*map(F.lit, tags)), F.array(*(F.when(text.contains(t), after(t)) for t in tags)))
+    return F.map_filter(pairs, lambda _, v: v.isNotNull())
+
+
 def points_text(name: Column, points: Column) -> Column:
     """Point text; a negative coordinate means that it can't be seen."""
     hidden = F.exists(points, lambda x: x < 0)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from epiframe.functions import text as T
+from epiframe.operators import samples as P
 from epiframe.plans.numbers import _VEC, _vec
 from epiframe.plans.registry import query, table
 
@@ -101,3 +102,56 @@ def builder_choice(spark, d):
 def best_version(spark, d):
     v = table(spark, d, "events").select((F.col("event_id") % 3).alias("major"), (F.col("event_id") % 11).alias("minor")).where("major = 2")
     return v.groupBy("major").agg(F.max_by("minor", F.struct("major", "minor")).alias("minor"))
+
+
+_CAMERA = "CASE customer.c_custkey % 4 WHEN 0 THEN 'Left-Wrist Cam' WHEN 1 THEN 'head.RGB' WHEN 2 THEN 'side  view' ELSE 'depth' END"
+
+
+@query(f"SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 'wrist_left' WHEN 1 THEN 'exterior' WHEN 2 THEN 'exterior' END AS slot, trim(regexp_replace(lower({_CAMERA}), '[^a-z0-9]+', '_', 'g'), '_') AS name FROM customer")
+def camera_slots(spark, d):
+    k = F.col("c_custkey") % 4
+    raw = F.when(k == 0, "Left-Wrist Cam").when(k == 1, "head.RGB").when(k == 2, "side  view").otherwise("depth")
+    return table(spark, d, "customer").select("c_custkey", P.camera_slot(raw).alias("slot"), P.camera_name(raw).alias("name"))
+
+
+@query("SELECT c_mktsegment, slot, min(c_name) AS camera FROM (SELECT c_mktsegment, c_name || ' front' AS c_name, 'exterior' AS slot FROM customer) GROUP BY c_mktsegment, slot")
+def camera_pick(spark, d):
+    c = table(spark, d, "customer").select("c_mktsegment", F.concat("c_name", F.lit(" front")).alias("camera"))
+    return P.pick_cameras(c, "c_mktsegment", "camera", ["front"]).select("c_mktsegment", "slot", "camera")
+
+
+@query("SELECT event_id, 'move to <loc' || lpad(CAST(least(CAST(floor((event_id % 97) / 100.0 * 1024) AS INTEGER), 1023) AS VARCHAR), 4, '0') || '><loc0512> now' AS text FROM events")
+def coordinate_tokens(spark, d):
+    t = F.format_string("move to [%.2f, 0.5] now", (F.col("event_id") % 97) / F.lit(100.0))
+    return table(spark, d, "events").select("event_id", T.coordinates_to_loc(t).alias("text"))
+
+
+@query("SELECT event_id, event_type AS arm, CAST(user_id AS VARCHAR) AS hand FROM events")
+def part_tags(spark, d):
+    t = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("<arm>"), "event_type", F.lit(" <hand> "), F.col("user_id").cast("string"))).otherwise(F.concat(F.lit("<hand>"), F.col("user_id").cast("string"), F.lit("<arm> "), "event_type"))
+    m = table(spark, d, "events").select("event_id", T.split_tags(t, ["<arm>", "<hand>"]).alias("m"))
+    return m.select("event_id", F.col("m")["<arm>"].alias("arm"), F.col("m")["<hand>"].alias("hand"))
+
+
+@query("SELECT user_id, round((SELECT avg(value) FROM events), 6) AS mean FROM (SELECT DISTINCT user_id FROM events)")
+def broadcast_stats(spark, d):
+    e = table(spark, d, "events")
+    return P.with_global_stats(e.select("user_id").distinct(), e.agg(F.round(F.avg("value"), 6).alias("mean")))
+
+
+@query("SELECT event_id, CAST(i AS BIGINT) AS i, round(value + i * 0.1, 6) AS t FROM events, (SELECT unnest(range(0, 3)) AS i)")
+def trajectory_times(spark, d):
+    t = table(spark, d, "events").select("event_id", F.posexplode(P.trajectory_times(F.col("value"), 0.1, F.lit(3))).alias("i", "t"))
+    return t.select("event_id", F.col("i").cast("long").alias("i"), F.round("t", 6).alias("t"))
+
+
+@query("SELECT event_id // 64 AS batch, count(*) AS n, CAST(sum(event_id % 3 + 1) AS BIGINT) AS items FROM events GROUP BY event_id // 64")
+def collate_batches(spark, d):
+    e = table(spark, d, "events").select("event_id", F.floor(F.col("event_id") / 64).alias("batch"), F.array_repeat("value", (F.col("event_id") % 3 + 1).cast("int")).alias("v"))
+    return P.collate(e, "batch", "v", ["event_id"]).select("batch", F.size("rows").cast("long").alias("n"), F.size(F.flatten("rows")).cast("long").alias("items"))
+
+
+@query("SELECT conv_id, turn, CASE WHEN conv_id % 3 = 0 THEN 'Plan: ' || role ELSE 'Task: ' || text END AS sample FROM conversations")
+def built_samples(spark, d):
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("task"), F.when(F.col("conv_id") % 3 == 0, F.col("role")).alias("plan"))
+    return P.build_samples(c, {"plan": 1.0}, "conv_id").select("conv_id", "turn", "sample")

@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from epiframe.functions import align, codes, normalize, rotations, text, transforms
-from epiframe.operators import selection, serving, statistics
+from epiframe.operators import samples, selection, serving, statistics
 from epiframe.operators.episodes import Episodes
 
 
@@ -174,3 +174,22 @@ def test_permutation():
 def test_bad_weight_raises(spark):
     with pytest.raises(Exception, match="positive"):
         spark.range(1).select(statistics.effective_length(F.lit(3), F.lit(0.0))).collect()
+
+
+def test_samples(spark, tmp_path):
+    chunk = F.array(*(F.lit(float(i)) for i in range(4)))
+    moved = [r[0] for r in spark.range(50).select(samples.time_shift(chunk, F.col("id"), 2)).distinct().collect()]
+    assert sorted(moved) == [[0.0, 0.0, 0.0, 1.0], [0.0, 0.0, 1.0, 2.0], [0.0, 1.0, 2.0, 3.0], [1.0, 2.0, 3.0, 3.0], [2.0, 3.0, 3.0, 3.0]]
+    k = [r[0][1] for r in spark.range(50).select(samples.amplitude(chunk, F.col("id"), 0.1)).collect()]
+    assert 0.9 <= min(k) < max(k) <= 1.1
+    t, l, m = samples.padded_sequence(F.array(F.lit(1).cast("long")), F.array(F.lit(2).cast("long")), 3, 0, -100)
+    assert list(spark.range(1).select(t, l, m).first()) == [[1, 0, 0], [2, -100, -100], [True, False, False]]
+    slots = samples.fill_slots(F.create_map(F.lit("a"), F.lit("x")), ["b", "a"], F.lit("none"))
+    assert spark.range(1).select(slots).first()[0] == ["none", "x"]
+    assert one(spark, text.resolve_tokens(F.col("s"), {"<a>": "A"}), s="<a>b<a>") == "AbA"
+    assert samples.widths_seen(spark.createDataFrame([(1, [1]), (1, [1, 2])], "b int, v array<int>"), "b", "v").count() == 2
+    for kind in ("csv", "json"):
+        samples.write_results(spark.range(2), str(tmp_path / kind), kind)
+    assert spark.read.json(str(tmp_path / "json")).count() == spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
+    with pytest.raises(ValueError):
+        samples.write_results(spark.range(2), str(tmp_path / "x"), "xml")
