@@ -19,8 +19,16 @@ from epiframe.operators.episodes import with_offsets
 from epiframe.operators.selection import rank_rows
 from epiframe.spec import Feature, json_safe, table_schema
 
-#: The seven annotation files of the older layout.
-ANNOTATIONS = ("tasks", "coarse_tasks", "plans", "memories", "bboxes", "action_hints", "traces")
+#: The annotation files of a store, as JSON lines of {"<kind>_index", "<kind>"}.
+ANNOTATIONS = {
+    "subtask": "annotations/subtask_annotations.jsonl",
+    "scene": "annotations/scene_annotations.jsonl",
+    "gripper_mode": "annotations/gripper_mode_annotation.jsonl",
+    "gripper_activity": "annotations/gripper_activity_annotation.jsonl",
+    "eef_velocity": "annotations/eef_velocity_annotation.jsonl",
+    "eef_acc_mag": "annotations/eef_acc_mag_annotation.jsonl",
+    "eef_direction": "annotations/eef_direction_annotation.jsonl",
+}
 FILES_PER_CHUNK = 1000
 FILE_BYTES = 100 << 20
 
@@ -90,13 +98,35 @@ class Store:
         return df.select("episode_index", *(F.col(f"`{c}`") for c in df.columns if c.startswith("stats/")))
 
     def annotations(self) -> DataFrame:
-        """(kind, index, text) of the JSON-lines dictionaries that exist, each {index, text}."""
-        schema = "index long, text string"
-        found = [self.spark.read.schema(schema).json(p).withColumn("kind", F.lit(k)) for k in ANNOTATIONS if exists(self.spark, p := f"{self.root}/meta/{k}.jsonl")]
-        out = self.spark.createDataFrame([], schema + ", kind string")
-        for df in found:
-            out = out.unionByName(df)
-        return out.select("kind", "index", "text")
+        """(kind, index, text) of the annotation dictionaries that exist."""
+        out = self.spark.createDataFrame([], "kind string, index long, text string")
+        for kind, path in ANNOTATIONS.items():
+            if exists(self.spark, f"{self.root}/{path}"):
+                lines = self.spark.read.schema(f"{kind}_index long, {kind} string").json(f"{self.root}/{path}")
+                out = out.union(lines.select(F.lit(kind), f"{kind}_index", kind))
+        return out
+
+
+class EpisodeFileStore(Store):
+    """The older layout: one data file per episode, JSON lines for tasks, episodes and their statistics."""
+
+    def frames(self, columns: Sequence[str] | None = None, episodes: Sequence[int] | None = None) -> DataFrame:
+        """Frames; of listed episodes only their files are opened."""
+        if episodes is None:
+            return super().frames(columns)
+        per_chunk = self.info().get("chunks_size", FILES_PER_CHUNK)
+        paths = [f"{self.root}/data/chunk-{e // per_chunk:03d}/episode_{e:06d}.parquet" for e in episodes]
+        df = self.spark.read.schema(table_schema(self.features())).parquet(*paths)
+        return df.select(*columns) if columns else df
+
+    def tasks(self) -> DataFrame:
+        return self.spark.read.schema("task_index long, task string").json(f"{self.root}/meta/tasks.jsonl")
+
+    def episodes(self) -> DataFrame:
+        return self.spark.read.schema("episode_index long, tasks array<string>, length long").json(f"{self.root}/meta/episodes.jsonl")
+
+    def episode_statistics(self) -> DataFrame:
+        return self.spark.read.json(f"{self.root}/meta/episodes_stats.jsonl")
 
 
 def concat_stores(stores: Sequence[Store]) -> DataFrame:

@@ -14,6 +14,8 @@ from epiframe.functions import arrays as A
 
 #: Columns that every frame table has.
 FRAME_COLUMNS = {"timestamp": T.DoubleType(), "frame_index": T.LongType(), "episode_index": T.LongType(), "index": T.LongType(), "task_index": T.LongType()}
+#: Further index columns that a frame table may have.
+OPTIONAL_COLUMNS = ("coarse_task_index", "coarse_quality_index", "quality_index")
 SCALARS = {"float32": T.FloatType(), "float64": T.DoubleType(), "int64": T.LongType(), "int32": T.IntegerType(), "bool": T.BooleanType(), "string": T.StringType(), "image": T.BinaryType()}
 MOST_RANK = 5
 
@@ -44,10 +46,11 @@ class Feature:
 def table_schema(features: dict[str, Feature]) -> T.StructType:
     """Schema of a frame table; names may not hold a slash."""
     fields = [T.StructField(n, k) for n, k in FRAME_COLUMNS.items()]
+    fields += [T.StructField(n, T.LongType()) for n in OPTIONAL_COLUMNS if n in features]
     for name, f in features.items():
         if "/" in name:
             raise ValueError(f"{name}: a feature name may not hold '/'")
-        if name not in FRAME_COLUMNS and (kind := f.spark_type()) is not None:
+        if name not in (*FRAME_COLUMNS, *OPTIONAL_COLUMNS) and (kind := f.spark_type()) is not None:
             fields.append(T.StructField(name, kind, metadata={"shape": list(f.shape)}))
     return T.StructType(fields)
 

@@ -1,4 +1,5 @@
 import json
+import os
 
 import numpy as np
 import pytest
@@ -45,9 +46,10 @@ def test_concat_manifest_annotations(store, spark, tmp_path):
     assert S.concat_stores([store, store]).groupBy("dataset_index").count().count() == 2
     assert S.stores_of_manifest(spark, [store.root, store.root, str(tmp_path / "none")]) == [store.root]
     assert store.annotations().count() == 0
-    with open(f"{store.root}/meta/plans.jsonl", "w") as f:
-        f.write('{"index": 1, "text": "one"}\n')
-    assert [tuple(r) for r in store.annotations().collect()] == [("plans", 1, "one")]
+    os.makedirs(f"{store.root}/annotations")
+    with open(f"{store.root}/annotations/scene_annotations.jsonl", "w") as f:
+        f.write('{"scene_index": 1, "scene": "one"}\n')
+    assert [tuple(r) for r in store.annotations().collect()] == [("scene", 1, "one")]
 
 
 def test_rolling(spark):
@@ -101,3 +103,24 @@ def test_spec():
 def test_part_column(spark):
     df = spark.createDataFrame([([0.0, 1.0, 0.25],)], "a array<double>")
     assert df.select(Part("g", ("a",), (1,), (2,), flip=True).column()).first()[0] == [0.0, 0.75]
+
+
+def test_episode_file_store(spark, tmp_path):
+    root = str(tmp_path)
+    os.makedirs(f"{root}/meta")
+    os.makedirs(f"{root}/data/chunk-000")
+    S.write_json(spark, f"{root}/meta/info.json", {"fps": 10, "chunks_size": 1000, "features": {"speed": {"dtype": "float64", "shape": [1], "names": None}}})
+    import pandas as pd
+
+    for e in range(3):
+        pd.DataFrame({"speed": [1.0 * e, 2.0], "timestamp": [0.0, 0.1], "frame_index": [0, 1], "episode_index": [e, e], "index": [2 * e, 2 * e + 1], "task_index": [0, 0]}).to_parquet(f"{root}/data/chunk-000/episode_{e:06d}.parquet")
+    with open(f"{root}/meta/tasks.jsonl", "w") as f:
+        f.write('{"task_index": 0, "task": "lift"}\n')
+    with open(f"{root}/meta/episodes.jsonl", "w") as f:
+        f.write('{"episode_index": 0, "tasks": ["lift"], "length": 2}\n')
+    store = S.EpisodeFileStore(spark, root)
+    assert store.count() == 6
+    assert sorted(r["index"] for r in store.frames(["index"], [0, 2]).collect()) == [0, 1, 4, 5]
+    assert store.tasks().first().task == "lift" and store.episodes().first().length == 2
+    path = spark.range(1).select(S.episode_path(F.lit(1234))).first()[0]
+    assert path == "data/chunk-001/episode_001234.parquet"
