@@ -9,7 +9,7 @@ from typing import Protocol
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from epiframe.functions.arrays import chunk_delta, chunk_undelta, dot
+from epiframe.functions.arrays import chunk_delta
 
 
 class Transform(Protocol):
@@ -69,9 +69,9 @@ class RelativeJoint:
 
 def relative(chunk: Column, state: Column, sign: int = -1, dims: Sequence[int] | None = None) -> Column:
     """Each step of a chunk of vectors plus ``sign`` times the state."""
-    pick = [F.lit(True) if dims is None else None]
-    use = (lambda i: pick[0]) if dims is None else (lambda i: i.isin(*dims))
-    return F.transform(chunk, lambda row: F.transform(row, lambda x, i: F.when(use(i), x + sign * F.element_at(state, i + 1)).otherwise(x)))
+    if dims is None:
+        return F.transform(chunk, lambda row: F.zip_with(row, state, lambda x, s: x + sign * s))
+    return F.transform(chunk, lambda row: F.transform(row, lambda x, i: F.when(i.isin(*dims), x + sign * F.element_at(state, i + 1)).otherwise(x)))
 
 
 def wrap_angle(x: Column) -> Column:
@@ -156,6 +156,3 @@ def cosine_schedule(step: Column, peak: float, floor: float, warmup: int, consta
     """Linear warm-up, a constant stretch, then a half cosine down to the floor."""
     after = F.least((step - warmup - constant) / F.lit(float(max(1, total - warmup - constant))), F.lit(1.0))
     return F.when(step < warmup, peak * step / max(1, warmup)).when(step < warmup + constant, F.lit(peak)).otherwise(floor + (peak - floor) * 0.5 * (1 + F.cos(F.lit(3.141592653589793) * after)))
-
-
-__all__ = ["Concat", "RelativeJoint", "Transform", "chunk_undelta", "dot"]

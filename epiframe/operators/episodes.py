@@ -23,9 +23,6 @@ class Episodes:
         self.by = Window.partitionBy(*self.key).orderBy(*self.order)
         self.whole = self.by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
-    def _with(self, **columns: Column) -> Episodes:
-        return Episodes(self.df.withColumns(columns), self.key, self.order)
-
     def frame_index(self) -> Column:
         """0-based place in the episode."""
         return F.row_number().over(self.by) - 1
@@ -69,11 +66,10 @@ class Episodes:
         """``steps`` values up to this frame, ``stride`` frames apart, oldest first, held at the start."""
         return self.at_offsets(c, [-k * stride for k in range(steps - 1, -1, -1)])
 
-    def islands(self, c: str) -> Column:
-        """Number of the run of equal values that a frame is in, from 0."""
+    def changed(self, c: str) -> Column:
+        """1 where the value differs from the frame before, else 0; its running sum numbers the runs of equal values."""
         before = F.lag(F.struct(F.col(c).alias("v"))).over(self.by)
-        changed = F.when(before.isNotNull() & ~before["v"].eqNullSafe(F.col(c)), 1).otherwise(0)
-        return changed
+        return F.when(before.isNotNull() & ~before["v"].eqNullSafe(F.col(c)), 1).otherwise(0)
 
     def running(self, c: Column | str) -> Column:
         return F.sum(c).over(self.by.rowsBetween(Window.unboundedPreceding, 0))

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epiframe.functions import text as T
-from epiframe.operators.selection import hashed_uniform
+from epiframe.operators.selection import hashed_uniform, is_missing
 
 #: Words in a camera's name and the slot they stand for, in order of priority.
 CAMERA_SLOTS = (("wrist_left", r"(left.*(wrist|hand))|((wrist|hand).*left)"), ("wrist_right", r"(right.*(wrist|hand))|((wrist|hand).*right)"), ("wrist", r"wrist|hand|gripper"), ("exterior", r"ext|front|top|head|side|base|cam|image"))
@@ -77,11 +77,11 @@ def padded_sequence(tokens: Column, labels: Column, width: int, pad: int, ignore
 
 #: Builders by name: (applicable, text) over the columns of an annotated frame.
 BUILDERS = {
-    "task": (lambda: ~T.is_missing(F.col("task")), lambda: F.concat(F.lit("Task: "), F.col("task"))),
-    "plan": (lambda: ~T.is_missing(F.col("plan")), lambda: F.concat(F.lit("Plan: "), F.col("plan"))),
+    "task": (lambda: ~is_missing(F.col("task")), lambda: F.concat(F.lit("Task: "), F.col("task"))),
+    "plan": (lambda: ~is_missing(F.col("plan")), lambda: F.concat(F.lit("Plan: "), F.col("plan"))),
     "boxes": (lambda: T.boxes_text(F.col("boxes")).isNotNull(), lambda: T.boxes_text(F.col("boxes"))),
     "trace": (lambda: T.trace_text(F.col("trace")).isNotNull(), lambda: T.trace_text(F.col("trace"))),
-    "memory": (lambda: ~T.is_missing(F.col("memory")), lambda: F.concat(F.lit("Memory: "), F.col("memory"))),
+    "memory": (lambda: ~is_missing(F.col("memory")), lambda: F.concat(F.lit("Memory: "), F.col("memory"))),
 }
 
 

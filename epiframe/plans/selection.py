@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from epiframe.functions import arrays as A
 from epiframe.operators import selection as S
-from epiframe.operators.episodes import Episodes
 from epiframe.plans.registry import query, table
 from epiframe.plans.windows import FRAMES_SQL, STEPS, frames
 
@@ -193,6 +192,3 @@ def unique_indices(spark, d):
 def noop_parts(spark, d):
     v = table(spark, d, "embeddings").withColumns({"m": F.transform("embedding", lambda x: x >= F.lit(0.2).cast("float")), "p": F.transform("embedding", lambda x: F.lit(False))})
     return v.select("vec_id", S.noop_parts(F.col("m"), F.col("p"), 0, 4).alias("noop"))
-
-
-__all__ = ["Episodes"]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from epiframe.operators import statistics as S
-from epiframe.operators.episodes import Episodes, explode_steps
+from epiframe.operators.episodes import explode_steps
 from epiframe.plans.registry import query, table
 from epiframe.plans.windows import FRAMES_SQL, STEPS, frames
 
@@ -133,6 +133,3 @@ SELECT event_type, round(avg(value), 6) AS init FROM f WHERE r = 1 GROUP BY even
 def init_positions(spark, d):
     e = frames(spark, d)
     return e.df.withColumn("i", e.frame_index()).where("i = 0").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("init"))
-
-
-__all__ = ["Episodes"]

@@ -35,9 +35,6 @@ def chunk_pad_mask(spark, d):
     return e.df.select("event_id", e.chunk_pad(STEPS).alias("m")).select("event_id", F.posexplode("m").alias("step", "pad")).withColumn("step", F.col("step").cast("long"))
 
 
-_HISTORY = "SELECT f.event_id, g{k}.value AS v{k}"
-
-
 @query("""WITH f AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events)
 SELECT f.event_id, a.value AS h0, b.value AS h1, c.value AS h2, f.value AS h3 FROM f
 JOIN f a ON a.user_id = f.user_id AND a.i = greatest(f.i - 9, 0) JOIN f b ON b.user_id = f.user_id AND b.i = greatest(f.i - 6, 0)
@@ -123,7 +120,7 @@ SELECT user_id, CAST(run AS BIGINT) AS run, bit, n, NOT (run > 0 AND run < top A
 def run_validity(spark, d):
     e = frames(spark, d)
     b = Episodes(e.df.withColumn("bit", F.col("value") > 20), e.key, e.order)
-    r = Episodes(b.df.withColumn("changed", b.islands("bit")), e.key, e.order)
+    r = Episodes(b.df.withColumn("changed", b.changed("bit")), e.key, e.order)
     runs = r.df.withColumn("run", r.running("changed")).groupBy("user_id", "run").agg(F.first("bit").alias("bit"), F.count("*").alias("n"))
     top = runs.groupBy("user_id").agg(F.max("run").alias("top"))
     inner = (F.col("run") > 0) & (F.col("run") < F.col("top")) & (F.col("n") <= 2)
