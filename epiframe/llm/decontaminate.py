@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epiframe.llm.staging import map_arrow
-from epiframe.llm.textscan import chunks, mix, rolling, span_hash
+from epiframe.llm.textscan import chunks, rolling, span_hash
 
 EDITS = 0.15
 TABLES = 24

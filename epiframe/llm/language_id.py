@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epiframe.llm.sampling import held_out, per_label
+from epiframe.llm.sampling import per_label
 from epiframe.llm.staging import Carried, map_arrow
 from epiframe.llm.textscan import chunks
 
@@ -135,6 +135,3 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(model)
     out = map_arrow(docs.select(carried.column, F.col(text_col).alias("_text")), _score(sent), carried.schema("_lang string, _score double"))
     return out.select(*carried.restored(), "_lang", "_score")
-
-
-__all__ = ["Model", "held_out", "predict", "presence", "train"]
