@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epiframe.llm.staging import map_arrow
+from epiframe.llm.staging import map_arrow, united
 from epiframe.llm.textscan import chunks, rolling, span_hash
 
 EDITS = 0.15
@@ -259,9 +259,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, item_id long, edits long, start_word long"
-    out = spark.createDataFrame([], schema)
-    for ids, texts in _blocks(benchmark):
-        block = spark.sparkContext.broadcast(Block(ids, texts, edits, tables, sample))
-        out = out.union(map_arrow(text, _scan(block), schema))
+    passes = (map_arrow(text, _scan(spark.sparkContext.broadcast(Block(ids, texts, edits, tables, sample))), schema) for ids, texts in _blocks(benchmark))
+    out = united(passes, spark.createDataFrame([], schema))
     best = out.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "start_word")).alias("m"))
     return best.select("doc_id", "item_id", "m.edits", "m.start_word")

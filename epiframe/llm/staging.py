@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,16 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def united(frames: Iterable[DataFrame], empty: DataFrame, every: int = 16) -> DataFrame:
+    """The union of the passes of a loop over blocks; each ``every`` of them are written, so that the plan stays small."""
+    done, now, n = empty, empty, 0
+    for df in frames:
+        now, n = now.union(df), n + 1
+        if n == every:
+            done, now, n = done.union(staged(now, "blocks")), empty, 0
+    return done.union(now)
+
+
 #: Rows that Spark sends to or takes from Python at once, so that long texts do not pile up.
 BATCH_ROWS = 1_000
 

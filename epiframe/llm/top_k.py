@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from epiframe.llm.staging import map_arrow
+from epiframe.llm.staging import map_arrow, united
 
 SCALE = 64
 K = 20
@@ -189,19 +189,23 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, id_col: str = "
     pool = pick(candidates)
     schema = "query_id long, vec_id long, score long"
     probe = [(r.id, r.vector) for r in pool.limit(PROBE).toLocalIterator()]
-    parts = spark.createDataFrame([], schema)
     arrow = lambda rows: (np.array([i for i, _ in rows], np.int64), integer_vectors(pa.array([v for _, v in rows], pa.list_(pa.float64()))))
     probe_ids, probe_vectors = arrow(probe)
-    for rows in _query_blocks(pick(queries).dropDuplicates(["id"])):
+
+    def sent(rows: list) -> dict:
+        """The block's queries by vector length, each with the kth score that the probe gives it."""
         ids, by_length = arrow(rows)
-        sent = {}
+        out = {}
         for n, (at, vectors) in by_length.items():
             first = TopK(ids[at], vectors, k)
             if n in probe_vectors:
                 where, seen = probe_vectors[n]
                 for lo in range(0, len(at), GROUP):
                     first.offer(np.arange(lo, min(lo + GROUP, len(at))), probe_ids[where], seen)
-            sent[n] = ids[at], vectors, first.score[:, -1].copy()
-        parts = parts.union(map_arrow(pool, _search(spark.sparkContext.broadcast(sent), k), schema))
+            out[n] = ids[at], vectors, first.score[:, -1].copy()
+        return out
+
+    passes = (map_arrow(pool, _search(spark.sparkContext.broadcast(sent(rows)), k), schema) for rows in _query_blocks(pick(queries).dropDuplicates(["id"])))
+    parts = united(passes, spark.createDataFrame([], schema))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

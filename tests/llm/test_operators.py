@@ -414,7 +414,9 @@ def test_held_out_rule(spark):
 # --- op7 -------------------------------------------------------------------
 
 
-def test_top_k_equals_brute_force(spark):
+@pytest.mark.parametrize("block", [16_384, 1])
+def test_top_k_equals_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(top_k, "BLOCK", block)
     rng = np.random.default_rng(9)
     rows = [(i, [float(x) for x in np.round(rng.normal(size=6), 1)]) for i in range(300)]
     rows += [(400 + i, rows[0][1]) for i in range(60)]
