@@ -85,13 +85,13 @@ def keyed_override(spark, d):
 
 
 @query("""WITH f AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
-SELECT a.event_id, b.event_id AS wanted, b.value FROM f a JOIN f b ON a.user_id = b.user_id AND b.i = least(a.i + 3, a.n - 1) WHERE a.i % 5 = 0""")
+SELECT a.event_id, b.event_id AS wanted, b.value FROM f a JOIN f b ON a.user_id = b.user_id AND b.i = least(a.i + 3, a.n - 1)""")
 def index_remap(spark, d):
     from epiframe.plans.windows import frames
 
     e = frames(spark, d)
     f = e.df.select("event_id", "user_id", "value", e.frame_index().alias("i"), e.length().alias("n"))
-    asked = f.where("i % 5 = 0").select("event_id", "user_id", F.least(F.col("i") + 3, F.col("n") - 1).alias("i"))
+    asked = f.select("event_id", "user_id", F.least(F.col("i") + 3, F.col("n") - 1).alias("i"))
     return asked.join(f.select("user_id", "i", F.col("event_id").alias("wanted"), "value"), ["user_id", "i"]).select("event_id", "wanted", "value")
 
 

@@ -50,10 +50,9 @@ for _name, _mode, _sql in (
     query(f"SELECT event_id, round({_sql}, 6) AS y FROM events", name=_name)(_norm(_mode))
 
 
-@query("SELECT event_id, round(value, 4) AS x FROM events WHERE value BETWEEN 0 AND 90")
+@query("SELECT event_id, round(value, 4) AS x FROM events")
 def norm_roundtrip(spark, d):
-    e = table(spark, d, "events").where("value between 0 and 90")
-    return e.select("event_id", F.round(N.backward(N.forward(F.col("value"), "q01/q99-tail", _stats()), "q01/q99-tail", _stats()), 4).alias("x"))
+    return table(spark, d, "events").select("event_id", F.round(N.backward(N.forward(F.col("value"), "q01/q99-tail", _stats()), "q01/q99-tail", _stats()), 4).alias("x"))
 
 
 @query(f"SELECT event_id, greatest(least(value, {Q99}), {Q01})::DOUBLE AS clipped, greatest(least(value, {MEAN + 2 * STD}), {MEAN - 2 * STD})::DOUBLE AS pulled FROM events")
@@ -160,11 +159,12 @@ def proprio_bins(spark, d):
     return _vec(spark, d).select("vec_id", C.bin_unit(F.element_at("e", 1) * 4).alias("bin"))
 
 
-@query(f"""WITH {_VEC}, k AS (SELECT unnest(range(0, 8)) AS k), i AS (SELECT unnest(range(0, 8)) AS i)
-SELECT vec_id, CAST(k AS BIGINT) AS k, round(sum(e[i + 1] * (CASE WHEN k = 0 THEN sqrt(1/8.0::DOUBLE) ELSE sqrt(2/8.0::DOUBLE) END) * cos(pi() * (i + 0.5) * k / 8)), 6) AS c FROM v, k, i GROUP BY vec_id, k""")
+@query(f"""WITH {_VEC}, k AS (SELECT unnest(range(0, 8)) AS k), i AS (SELECT unnest(range(0, 8)) AS i), b AS (SELECT unnest(range(0, 8)) AS b)
+SELECT vec_id, CAST(b AS BIGINT) AS block, CAST(k AS BIGINT) AS k, round(sum(e[8 * b + i + 1] * (CASE WHEN k = 0 THEN sqrt(1/8.0::DOUBLE) ELSE sqrt(2/8.0::DOUBLE) END) * cos(pi() * (i + 0.5) * k / 8)), 6) AS c FROM v, k, i, b GROUP BY vec_id, b, k""")
 def block_dct(spark, d):
-    x = _vec(spark, d).select("vec_id", F.posexplode(F.element_at(C.block_dct(F.col("e"), 8), 1)).alias("k", "c"))
-    return x.select("vec_id", F.col("k").cast("long").alias("k"), F.round("c", 6).alias("c"))
+    x = _vec(spark, d).select("vec_id", F.posexplode(C.block_dct(F.col("e"), 8)).alias("block", "b"))
+    x = x.select("vec_id", "block", F.posexplode("b").alias("k", "c"))
+    return x.select("vec_id", F.col("block").cast("long").alias("block"), F.col("k").cast("long").alias("k"), F.round("c", 6).alias("c"))
 
 
 @query(f"WITH {_VEC} SELECT vec_id, CAST(CAST(round_even(2 * tanh(e[1] * 5), 0) AS BIGINT) + 2 + 5 * (CAST(round_even(2 * tanh(e[2] * 5), 0) AS BIGINT) + 2) + 25 * (CAST(round_even(tanh(e[3] * 5), 0) AS BIGINT) + 1) AS BIGINT) AS code FROM v")
@@ -176,24 +176,24 @@ def fsq_codes(spark, d):
 
 def _book(spark, d, lo, hi):
     rows = _vec(spark, d).where((F.col("vec_id") >= lo) & (F.col("vec_id") < hi)).orderBy("vec_id").collect()
-    return [(r.vec_id, r.e[:8]) for r in rows]
+    return [(r.vec_id, r.e) for r in rows]
 
 
-_NEAR = "list_sum(list_transform(range(1, 9), lambda i: pow({a}[i] - b.e[i], 2)))"
+_NEAR = "list_sum(list_transform(range(1, 65), lambda i: pow({a}[i] - b.e[i], 2)))"
 
 
 @query(f"""WITH {_VEC}, m AS (SELECT v.vec_id, b.vec_id AS code, row_number() OVER (PARTITION BY v.vec_id ORDER BY {_NEAR.format(a='v.e')}, b.vec_id) AS r FROM v, v b WHERE b.vec_id < 16)
 SELECT vec_id, code FROM m WHERE r = 1""")
 def nearest_code(spark, d):
-    return C.nearest_code(_vec(spark, d).withColumn("h", F.slice("e", 1, 8)), "h", _book(spark, d, 0, 16)).select("vec_id", "code")
+    return C.nearest_code(_vec(spark, d), "e", _book(spark, d, 0, 16)).select("vec_id", "code")
 
 
 @query(f"""WITH {_VEC}, m AS (SELECT v.vec_id, v.e, b.e AS be, b.vec_id AS code, row_number() OVER (PARTITION BY v.vec_id ORDER BY {_NEAR.format(a='v.e')}, b.vec_id) AS r FROM v, v b WHERE b.vec_id < 16),
-l AS (SELECT vec_id, code AS code0, list_transform(range(1, 9), lambda i: e[i] - be[i]) AS rest FROM m WHERE r = 1),
+l AS (SELECT vec_id, code AS code0, list_transform(range(1, 65), lambda i: e[i] - be[i]) AS rest FROM m WHERE r = 1),
 n AS (SELECT l.vec_id, code0, b.vec_id AS code1, row_number() OVER (PARTITION BY l.vec_id ORDER BY {_NEAR.format(a='l.rest')}, b.vec_id) AS r FROM l, v b WHERE b.vec_id BETWEEN 16 AND 31)
 SELECT vec_id, code0, code1 FROM n WHERE r = 1""")
 def residual_vq2(spark, d):
-    return C.residual_codes(_vec(spark, d).withColumn("h", F.slice("e", 1, 8)), "h", [_book(spark, d, 0, 16), _book(spark, d, 16, 32)]).select("vec_id", "code0", "code1")
+    return C.residual_codes(_vec(spark, d), "e", [_book(spark, d, 0, 16), _book(spark, d, 16, 32)]).select("vec_id", "code0", "code1")
 
 
 @query("SELECT event_id, 1000 - greatest(0, least(CAST(floor(value) AS BIGINT), 99)) AS token FROM events")
