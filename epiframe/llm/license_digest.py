@@ -8,8 +8,9 @@ space; equivalent spellings are mapped to one (-ise and -ize, -our and -or,
 licence and license, sub license and sublicense, owner and holder, per cent and
 percent, https and http, and so on); "all rights reserved" is dropped.
 
-The catalogue is joined by SHA-256.  The built-in one has a fixed number of rows
-and is broadcast; another catalogue is joined as Spark's statistics say.  A
+The catalogue is joined by SHA-256.  The built-in one is a fixed table of digests
+(LICENSE files with and without titles, numbered or bulleted, and full texts; see
+:mod:`epiframe.llm.license_variants`) and is broadcast; another catalogue is joined as Spark's statistics say.  A
 document is one row in and one row out, for each licence with its digest; null
 and empty texts have the digest of the empty string and no licence.  Texts are
 digested whole; nothing is shuffled with the built-in catalogue.
@@ -17,6 +18,9 @@ digested whole; nothing is shuffled with the built-in catalogue.
 
 from __future__ import annotations
 
+import csv
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +42,9 @@ LICENSES = [
     ("MIT-line", "Released under the MIT License."),
 ]
 
+#: Digests of all known forms of licences, those above and of :mod:`epiframe.llm.license_variants`.
+TABLE = Path(__file__).parent / "license_digests.csv"
+
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Typographic signs that count as punctuation.
 _SIGNS = " ©«®·»‐‑‒–—―‘’‚“”„•…™"
@@ -71,15 +78,23 @@ def canonical(text: Column) -> Column:
 
 
 def catalogue(spark: SparkSession) -> DataFrame:
-    """(license_id, license_digest) of the built-in licences."""
+    """(license_id, license_digest) of the built-in licences' short texts."""
     rows = F.explode(F.array(*(F.struct(F.lit(i).alias("license_id"), F.lit(t).alias("text")) for i, t in LICENSES)))
     known = spark.range(1).select(rows.alias("l")).select("l.license_id", F.sha2(canonical(F.col("l.text")), 256).alias("license_digest"))
     return F.broadcast(known)
 
 
+def known_forms(spark: SparkSession) -> DataFrame:
+    """(license_id, license_digest) of every form of the built-in licences: titled, bulleted and full texts as well."""
+    with TABLE.open(newline="") as f:
+        lines = [f"{r['license_id']} {r['license_digest']}" for r in csv.DictReader(f)]
+    lines = spark.range(1).select(F.explode(F.split(F.lit("\n".join(lines)), "\n")).alias("line"))
+    return F.broadcast(lines.select(F.split("line", " ")[0].alias("license_id"), F.split("line", " ")[1].alias("license_digest")))
+
+
 def scan(docs: DataFrame, known: DataFrame | None = None, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``_digest`` and ``_license`` (null: none known)."""
-    known = catalogue(docs.sparkSession) if known is None else known
+    known = known_forms(docs.sparkSession) if known is None else known
     known = known.select(F.col("license_digest").alias("_known"), F.col("license_id").alias("_license"))
     carried = Carried(docs, "_digest", "_license")
     out = docs.select(carried.column, F.sha2(canonical(F.col(text_col)), 256).alias("_digest"))

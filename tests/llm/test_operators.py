@@ -359,6 +359,28 @@ def test_license_digests_are_distinct(spark):
     assert license_digest.catalogue(spark).select("license_digest").distinct().count() == len(license_digest.LICENSES)
 
 
+def test_license_files_are_known(spark):
+    from pathlib import Path
+
+    short = dict(license_digest.LICENSES)
+    bullets = short["BSD-3-Clause"].replace(" 1. ", "\n\n* ").replace(" 2. ", "\n\n* ").replace(" 3. ", "\n\n* ")
+    rows = [("MIT", f"MIT License\n\nCopyright (c) 2020 X\n\n{short['MIT']}\n"), ("MIT", f"The MIT License (MIT)\n\nCopyright (c) 2015 X\n\n{short['MIT']}"), ("ISC", f"ISC License\n\nCopyright (c) 2020, X\n\n{short['ISC']}")]
+    rows += [("BSD-3-Clause", f"BSD 3-Clause License\n\nCopyright (c) 2020, X\nAll rights reserved.\n\n{t}") for t in (short["BSD-3-Clause"], bullets)]
+    full = sorted((Path(license_digest.__file__).parent / "licenses").glob("*.txt"))
+    assert {"Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "MPL-2.0", "BSL-1.0"} <= {f.stem for f in full}
+    rows += [(f.stem, f.read_text()) for f in full] + [(None, full[0].read_text() + " more"), (None, "MIT License")]
+    out = license_digest.scan(documents(spark, [(i, t) for i, (_, t) in enumerate(rows)])).select("doc_id", "_license").collect()
+    assert [r._license for r in sorted(out, key=lambda r: r.doc_id)] == [i for i, _ in rows]
+
+
+def test_license_table_is_that_of_the_texts(spark):
+    from epiframe.llm import license_variants
+
+    known = license_digest.known_forms(spark).collect()
+    assert sorted(map(tuple, known)) == license_variants.digests(spark)
+    assert {tuple(r) for r in license_digest.catalogue(spark).collect()} <= set(map(tuple, known))
+
+
 def test_license_plan_is_native(spark, sf):
     plan = queries.op5_license_scan(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
