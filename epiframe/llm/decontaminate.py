@@ -9,14 +9,21 @@ runs of letters and digits).
   whether it moves on.  Sequences at small edit distance give bit strings at
   small Hamming distance.
 * Bit sampling: each of ``TABLES`` embeddings keeps ``SAMPLE`` of its bits as
-  a key; a window and an item with an equal key are candidates.  ``TABLES`` is
-  what :func:`recall` (measured in tests) needs to reach 0.95 at the bound.
-* Candidates are verified by the exact edit distance of the item to the best
-  span around the window.
-
-Windows are item-sized.  By the pigeonhole principle a span within k edits of n
+  a key; a window and a piece of an item with an equal key are candidates.
+  ``TABLES`` is what recall (measured in tests) needs to reach 0.95 at the bound
+  with up to ``LONGEST`` words; it would fall with length, as the walks drift
+  apart with every edit.
+* Longer items are therefore cut into pieces of ``LONGEST // 2 + 1`` to
+  ``LONGEST`` words.  A span within the bound of the item is within the bound of
+  at least one of its pieces (else all together had more edits than the bound),
+  so recall at any length is at least that of one piece.
+* Candidates are verified by the exact edit distance of the whole item to the
+  best span around the window; of a longer item only for pieces within their own
+  bound.
+
+Windows are piece-sized.  By the pigeonhole principle a span within k edits of n
 words keeps a run of ``(n - k) // (k + 1)`` of them whole, so only windows that
-hold such a run of that item in some place are embedded; this loses nothing.
+hold such a run of that piece in some place are embedded; this loses nothing.
 
 The benchmark is used in blocks of at most ``BLOCK_ITEMS`` items and
 ``BLOCK_WORDS`` words; only one block at a time is sent to the executors, so a
@@ -44,6 +51,7 @@ SAMPLE = 12
 BLOCK_ITEMS = 20_000
 BLOCK_WORDS = 2_000_000
 SHORTEST = 5
+LONGEST = 59
 
 _WORD = np.zeros(256, dtype=bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
@@ -75,6 +83,17 @@ def seed_length(n: int, edits: float = EDITS) -> int:
     return max(1, (n - k) // (k + 1))
 
 
+def cuts(n: int, edits: float = EDITS) -> list[int]:
+    """First words of the pieces of an item of n words, and n: of the numbers of pieces that fit, that with the longest seeds."""
+    if n <= LONGEST:
+        return [0, n]
+
+    def cut(m: int) -> list[int]:
+        return [n * i // m for i in range(m + 1)]
+
+    return max((cut(m) for m in range(-(-n // LONGEST), n // (LONGEST // 2 + 1) + 1)), key=lambda c: min(seed_length(b - a, edits) for a, b in zip(c, c[1:])))
+
+
 def embed(windows: np.ndarray, table: int) -> np.ndarray:
     """CGK bits (rows, 3n) of word-hash windows (rows, n) with the random functions of one table."""
     rows, n = windows.shape
@@ -111,6 +130,18 @@ def best_span(item: np.ndarray, text: np.ndarray) -> tuple[int, int]:
     return int(row[end]), end
 
 
+def distances(items: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """The edit distance of each row of ``items`` to the nearest span of the same row of ``texts``."""
+    row = np.zeros((len(texts), texts.shape[1] + 1), dtype=np.int16)
+    ramp = np.arange(texts.shape[1] + 1, dtype=np.int16)
+    for i in range(items.shape[1]):
+        new = np.empty_like(row)
+        new[:, 0] = i + 1
+        np.minimum(row[:, :-1] + (texts != items[:, i : i + 1]), row[:, 1:] + 1, out=new[:, 1:], casting="same_kind")
+        row = np.minimum.accumulate(new - ramp, axis=1) + ramp
+    return row.min(axis=1)
+
+
 class Block:
     """Items of the benchmark with their seeds and LSH keys."""
 
@@ -125,32 +156,38 @@ class Block:
             if first[i + 1] - first[i] >= SHORTEST:
                 self.ids.append(item)
                 self.words.append(hashes[first[i] : first[i + 1]])
-        seeds: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        #: Pieces of items: item, first word in it, words.
+        self.pieces: list[tuple[int, int, np.ndarray]] = []
         for i, w in enumerate(self.words):
+            c = cuts(len(w), edits)
+            self.pieces += [(i, lo, w[lo:hi]) for lo, hi in zip(c, c[1:])]
+        self.sizes = np.array([len(w) for _, _, w in self.pieces], dtype=np.int64)
+        self.cut = np.array([len(w) < len(self.words[i]) for i, _, w in self.pieces], dtype=bool)
+        seeds: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {}
+        for p, (_, _, w) in enumerate(self.pieces):
             g = seed_length(len(w), edits)
             runs = rolling(w, g)
-            seeds.setdefault(g, []).append((runs, np.full(len(runs), i), np.arange(len(runs))))
+            seeds.setdefault(g, []).append((runs, np.full(len(runs), p), np.arange(len(runs))))
         self.seeds = {}
         for g, parts in seeds.items():
-            run, item, place = (np.concatenate(p) for p in zip(*parts))
+            run, piece, place = (np.concatenate(p) for p in zip(*parts))
             order = np.argsort(run, kind="stable")
-            self.seeds[g] = run[order], item[order], place[order]
-        self.lengths: dict[int, tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]] = {}
-        for n in sorted({len(w) for w in self.words}):
-            same = np.array([i for i, w in enumerate(self.words) if len(w) == n])
-            stack = np.stack([self.words[i] for i in same])
+            self.seeds[g] = run[order], piece[order], place[order]
+        self.lengths: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {}
+        for n in np.unique(self.sizes).tolist():
+            same = np.flatnonzero(self.sizes == n)
+            stack = np.stack([self.pieces[p][2] for p in same])
             by_table = []
             for t in range(tables):
                 k = keys(stack, t, sample)
                 order = np.argsort(k, kind="stable")
                 by_table.append((k[order], same[order]))
-            self.lengths[n] = same, by_table
+            self.lengths[n] = by_table
 
     def windows(self, hashes: np.ndarray, first: np.ndarray) -> dict[int, np.ndarray]:
-        """Start words of the windows to embed, by item length: those aligned with a seed or shifted by up to the bound."""
+        """Start words of the windows to embed, by piece length: those aligned with a seed or shifted by up to the bound."""
         found: dict[int, list[np.ndarray]] = {}
-        size = np.array([len(w) for w in self.words])
-        for g, (run, item, place) in self.seeds.items():
+        for g, (run, piece, place) in self.seeds.items():
             grams = rolling(hashes, g)
             lo = np.searchsorted(run, grams, side="left")
             hit = np.flatnonzero((lo < len(run)) & (run[np.minimum(lo, len(run) - 1)] == grams))
@@ -160,7 +197,7 @@ class Block:
             many = np.searchsorted(run, grams[hit], side="right") - lo
             at = np.repeat(hit, many)
             which = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            begin, n = at - place[which], size[item[which]]
+            begin, n = at - place[which], self.sizes[piece[which]]
             for length in np.unique(n):
                 found.setdefault(int(length), []).append(np.unique(begin[n == length]))
         out = {}
@@ -171,50 +208,81 @@ class Block:
         return out
 
     def gather(self, raw: np.ndarray, at: np.ndarray, base: int, into: dict[int, list]) -> None:
-        """Adds the stretches around the windows of a chunk to ``into``, by item length: (document, start, words).
+        """Adds the stretches around the windows of a chunk to ``into``, by piece length: (document, start, words).
 
         A stretch begins ``k`` words before its window and ends ``3k`` after it; words beyond the document count as
-        one that no item holds.
+        one that no item holds.  The words of documents that have windows are kept under 0: (documents, words).
         """
         hashes, first = fold_words(raw, at)
+        docs = [np.zeros(0, np.int64)]
         for n, start in self.windows(hashes, first).items():
             start = start[(start > -n) & (start < len(hashes))]
-            k = bound(n, self.edits)
             doc = np.searchsorted(first, np.clip(start + n // 2, 0, len(hashes) - 1), side="right") - 1
+            k = bound(n, self.edits)
             index = start[:, None] + np.arange(-k, n + 3 * k + 1)
             inside = (index >= first[doc][:, None]) & (index < first[doc + 1][:, None])
             words = np.where(inside, hashes[np.clip(index, 0, len(hashes) - 1)], np.uint64(1))
             into.setdefault(n, []).append((doc + base, start - first[doc], words))
+            docs.append(doc)
+        if len(held := np.unique(np.concatenate(docs))):
+            into.setdefault(0, []).append((held + base, [hashes[first[d] : first[d + 1]].copy() for d in held]))
 
     def decide(self, gathered: dict[int, list]) -> Iterator[tuple[int, int, int, int]]:
         """(document, item, edit distance, start word) of every verified match, the best for each pair."""
+        texts = {int(d): w for docs, words in gathered.get(0, []) for d, w in zip(docs, words)}
+        pairs: dict[tuple[int, int], set[int]] = {}  # where the item would begin in the document
         for n, parts in gathered.items():
+            if n == 0:
+                continue
             doc, start, words = (np.concatenate(p) for p in zip(*parts))
             k = bound(n, self.edits)
-            pairs: dict[tuple[int, int], set[int]] = {}
             for lo in range(0, len(doc), 8192):
                 window = words[lo : lo + 8192, k : k + n]
-                for t, (sorted_keys, items) in enumerate(self.lengths[n][1]):
+                found = []
+                for t, (sorted_keys, pieces) in enumerate(self.lengths[n]):
                     key = keys(window, t, self.sample)
-                    a, b = np.searchsorted(sorted_keys, key, "left"), np.searchsorted(sorted_keys, key, "right")
-                    for j in np.flatnonzero(b > a):
-                        for i in items[a[j] : b[j]]:
-                            pairs.setdefault((int(doc[lo + j]), int(i)), set()).add(int(lo + j))
-            for (d, i), rows in pairs.items():
-                best, done = None, None
-                for r in sorted(rows, key=lambda r: start[r]):
-                    if done is not None and start[r] <= done:
-                        continue  # inside the stretch compared last
-                    done = start[r] + k
-                    edits, end = best_span(self.words[i], words[r])
-                    if edits <= k and (best is None or edits < best[0]):
-                        best = edits, max(0, int(start[r]) - k + end - n)
-                if best:
-                    yield d, i, *best
-
-
-#: Stretches that a task gathers before it embeds them together.
+                    a = np.searchsorted(sorted_keys, key, "left")
+                    many = np.searchsorted(sorted_keys, key, "right") - a
+                    place = np.repeat(a - (np.cumsum(many) - many), many) + np.arange(many.sum())
+                    found.append(np.repeat(np.arange(len(key)), many) * len(self.pieces) + pieces[place])
+                rows, which = np.divmod(np.unique(np.concatenate(found)), len(self.pieces))
+                for at in range(0, len(rows), 1024):
+                    r, ps = rows[at : at + 1024] + lo, which[at : at + 1024]
+                    part = self.cut[ps]
+                    if part.any():
+                        part[part] = distances(np.stack([self.pieces[p][2] for p in ps[part]]), words[r[part]]) <= k
+                    keep = part | ~self.cut[ps]
+                    for j, p in zip(r[keep].tolist(), ps[keep].tolist()):
+                        i, offset, _ = self.pieces[p]
+                        pairs.setdefault((int(doc[j]), i), set()).add(int(start[j]) - offset)
+        for (d, i), starts in pairs.items():
+            n = len(self.words[i])
+            k = bound(n, self.edits)
+            # Words before a piece can be edited too: a piece may stand k words beside the item's begin.
+            before, after = (k, 3 * k) if n <= LONGEST else (2 * k, 3 * k)
+            best, done = None, None
+            for at in sorted(starts):
+                if done is not None and at <= done:
+                    continue  # inside the stretch compared last
+                done = at + k
+                edits, end = best_span(self.words[i], _stretch(texts[d], at - before, at + n + after + 1))
+                if edits <= k and (best is None or edits < best[0]):
+                    best = edits, max(0, at - before + end - n)
+            if best:
+                yield d, i, *best
+
+
+def _stretch(words: np.ndarray, lo: int, hi: int) -> np.ndarray:
+    """Words ``lo`` to ``hi`` of a document; those beyond it count as one that no item holds."""
+    out = np.full(hi - lo, 1, dtype=np.uint64)
+    a, b = max(lo, 0), max(min(hi, len(words)), max(lo, 0))
+    out[a - lo : b - lo] = words[a:b]
+    return out
+
+
+#: Windows, and words of documents that have any, that a task gathers before it embeds the windows together.
 GATHER = 20_000
+GATHER_WORDS = 4_000_000
 
 
 def _scan(block):
@@ -233,7 +301,7 @@ def _scan(block):
             for lo, _, raw, at in chunks(batch.column(1)):
                 b.gather(raw, at, len(ids) + lo, gathered)
             ids += batch.column(0).to_pylist()
-            if sum(len(part[0]) for parts in gathered.values() for part in parts) > GATHER:
+            if sum(len(part[0]) for n, parts in gathered.items() if n for part in parts) > GATHER or sum(len(w) for _, words in gathered.get(0, []) for w in words) > GATHER_WORDS:
                 yield from decided()
         yield from decided()
 

@@ -227,6 +227,35 @@ def test_cgk_recall_at_the_bound():
     assert hits >= 0.95 * 150
 
 
+def within_the_bound(rng, w, share=decontaminate.EDITS):
+    w = list(w)
+    for _ in range(decontaminate.bound(len(w), share)):
+        kind, at = rng.randrange(3), rng.randrange(len(w))
+        w[at : at + (kind < 2)] = [f"z{rng.randrange(10**9)}"] if kind else []
+    return w
+
+
+@pytest.mark.parametrize("n", [60, 120, 250, 400, 800])
+def test_cgk_recall_of_long_items_at_the_bound(n):
+    rng, count = random.Random(61), 60
+    items = [[f"v{rng.randrange(3000)}" for _ in range(n)] for _ in range(count)]
+    block = decontaminate.Block(list(range(count)), [" ".join(i) for i in items], decontaminate.EDITS, decontaminate.TABLES, decontaminate.SAMPLE)
+    text = " ".join(f"{' '.join(within_the_bound(rng, w))}{' b' * 3 * n}" for w in items)
+    raw, gathered = np.frombuffer(text.encode(), np.uint8), {}
+    block.gather(raw, np.array([0, len(raw)]), 0, gathered)
+    hits = {i: (edits, start) for _, i, edits, start in block.decide(gathered)}
+    assert len(hits) >= 0.95 * count
+    assert all(edits <= decontaminate.bound(n) for edits, _ in hits.values())
+
+
+@pytest.mark.parametrize("n", range(1, 400))
+def test_pieces_make_the_item(n):
+    c = decontaminate.cuts(n)
+    sizes = [b - a for a, b in zip(c, c[1:])]
+    assert c[0] == 0 and c[-1] == n and all(0 < s <= decontaminate.LONGEST for s in sizes)
+    assert n <= decontaminate.LONGEST or min(sizes) > decontaminate.LONGEST // 2
+
+
 def test_best_span_equals_dynamic_programme():
     rng = np.random.default_rng(7)
     for _ in range(40):
