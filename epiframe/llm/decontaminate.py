@@ -17,6 +17,9 @@ runs of letters and digits).
   ``LONGEST`` words.  A span within the bound of the item is within the bound of
   at least one of its pieces (else all together had more edits than the bound),
   so recall at any length is at least that of one piece.
+* Items of so few words that the bound is 0 (fewer than 7) are matched exactly,
+  by their words, however short; one of a single common word is in most
+  documents.
 * Candidates are verified by the exact edit distance of the whole item to the
   best span around the window; of a longer item only for pieces within their own
   bound.
@@ -50,7 +53,6 @@ TABLES = 24
 SAMPLE = 12
 BLOCK_ITEMS = 20_000
 BLOCK_WORDS = 2_000_000
-SHORTEST = 5
 LONGEST = 59
 
 _WORD = np.zeros(256, dtype=bool)
@@ -153,12 +155,22 @@ class Block:
         at = np.concatenate([[0], np.cumsum([len(t) for t in encoded])]).astype(np.int64)
         hashes, first = fold_words(np.frombuffer(b"".join(encoded), np.uint8), at)
         for i, item in enumerate(ids):
-            if first[i + 1] - first[i] >= SHORTEST:
+            if first[i + 1] > first[i]:
                 self.ids.append(item)
                 self.words.append(hashes[first[i] : first[i + 1]])
+        #: Items that must be whole, by length: hash of the words, item, words.
+        self.exact: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted({len(w) for w in self.words if not bound(len(w), edits)}):
+            same = np.array([i for i, w in enumerate(self.words) if len(w) == n])
+            stack = np.stack([self.words[i] for i in same])
+            run = np.concatenate([rolling(w, n) for w in stack])
+            order = np.argsort(run, kind="stable")
+            self.exact[n] = run[order], same[order], stack[order]
         #: Pieces of items: item, first word in it, words.
         self.pieces: list[tuple[int, int, np.ndarray]] = []
         for i, w in enumerate(self.words):
+            if not bound(len(w), edits):
+                continue
             c = cuts(len(w), edits)
             self.pieces += [(i, lo, w[lo:hi]) for lo, hi in zip(c, c[1:])]
         self.sizes = np.array([len(w) for _, _, w in self.pieces], dtype=np.int64)
@@ -207,13 +219,36 @@ class Block:
             out[n] = np.unique((start[:, None] + np.arange(-shift, shift + 1)).ravel())
         return out
 
+    def whole(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(document, item, first word) of the items without edits, the leftmost place for each pair."""
+        found = [np.zeros((0, 3), dtype=np.int64)]
+        for n, (run, item, stack) in self.exact.items():
+            grams = rolling(hashes, n)
+            lo = np.searchsorted(run, grams, side="left")
+            hit = np.flatnonzero((lo < len(run)) & (run[np.minimum(lo, len(run) - 1)] == grams))
+            doc = np.searchsorted(first, hit, side="right") - 1
+            inside = hit + n <= first[doc + 1]
+            hit, doc = hit[inside], doc[inside]
+            # A document's first place of each run, before runs are spread over the items that share it.
+            _, at = np.unique(np.stack([doc, lo[hit]], axis=1), axis=0, return_index=True)
+            hit, doc = hit[at], doc[at]
+            many = np.searchsorted(run, grams[hit], side="right") - lo[hit]
+            which = np.repeat(lo[hit] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+            at, doc = np.repeat(hit, many), np.repeat(doc, many)
+            same = (hashes[at[:, None] + np.arange(n)] == stack[which]).all(axis=1)
+            found.append(np.stack([doc, item[which], at - first[doc]], axis=1)[same])
+        return tuple(np.concatenate(found).T)
+
     def gather(self, raw: np.ndarray, at: np.ndarray, base: int, into: dict[int, list]) -> None:
         """Adds the stretches around the windows of a chunk to ``into``, by piece length: (document, start, words).
 
         A stretch begins ``k`` words before its window and ends ``3k`` after it; words beyond the document count as
-        one that no item holds.  The words of documents that have windows are kept under 0: (documents, words).
+        one that no item holds.  The words of documents that have windows are kept under 0: (documents, words), and
+        items found whole under -1: (document, item, first word).
         """
         hashes, first = fold_words(raw, at)
+        if self.exact and len((exact := self.whole(hashes, first))[0]):
+            into.setdefault(-1, []).append((exact[0] + base, *exact[1:]))
         docs = [np.zeros(0, np.int64)]
         for n, start in self.windows(hashes, first).items():
             start = start[(start > -n) & (start < len(hashes))]
@@ -229,10 +264,12 @@ class Block:
 
     def decide(self, gathered: dict[int, list]) -> Iterator[tuple[int, int, int, int]]:
         """(document, item, edit distance, start word) of every verified match, the best for each pair."""
+        for doc, item, start in gathered.get(-1, []):
+            yield from ((d, i, 0, at) for d, i, at in zip(doc.tolist(), item.tolist(), start.tolist()))
         texts = {int(d): w for docs, words in gathered.get(0, []) for d, w in zip(docs, words)}
         pairs: dict[tuple[int, int], set[int]] = {}  # where the item would begin in the document
         for n, parts in gathered.items():
-            if n == 0:
+            if n <= 0:
                 continue
             doc, start, words = (np.concatenate(p) for p in zip(*parts))
             k = bound(n, self.edits)

@@ -203,6 +203,14 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(documents(spark, rows), bench.limit(0)).count() == 0
 
 
+def test_short_items_match_exactly(spark):
+    items = [(1, "Paris"), (2, "forty two"), (3, "the red planet"), (4, "two plus two four"), (5, "a b c d e f"), (6, "PARIS!"), (7, "?"), (8, "one two three four five six seven")]
+    rows = [(10, "In Paris, paris"), (11, "It is forty-two."), (12, "forty"), (13, "two"), (14, "It is the RED planet"), (15, "the red big planet"), (16, "two plus two: four"), (17, "x a b c d e f"), (18, "a b c d e"), (19, "Parisian"), (20, "zero one two three 4 five six seven"), (None, "Paris")]
+    got = decontaminate.contaminated(documents(spark, rows).coalesce(1), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = [(10, 1, 0, 1), (10, 6, 0, 1), (11, 2, 0, 2), (14, 3, 0, 2), (16, 4, 0, 0), (17, 5, 0, 1), (20, 8, 1, 1), (None, 1, 0, 0), (None, 6, 0, 0)]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
     items = [(i, " ".join(f"q{i}x{j}" for j in range(20))) for i in range(5)]
