@@ -10,7 +10,13 @@ other paths (headings, list items) join where the content paths' innermost
 common element, below ``body``, holds them and links do not fill them.
 
 Elements that never hold an article's text are skipped while scanning: by tag
-(SKIP_TAGS), by role, by a class or id word (SKIP_WORDS), or when hidden.
+(SKIP_TAGS), by role, or when hidden.  Elements with a word of SKIP_WORDS in a
+class or id are judged when the page is read, as layout wrappers have such words
+too ("content-sidebar-wrap", "has-sidebar").  One stays if it holds the principal
+article, and where its name only contains the word also if it holds most of the
+text without links of that article or, on a page without any, of the page.  An
+element whose whole name is such a word ("sidebar") stays only around a principal
+article that holds most of the page's text.
 Character references are decoded, white space inside a block becomes one space,
 blocks are joined in page order by one space.
 
@@ -73,17 +79,33 @@ def _skipped(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
         return True
     if attrs.get("role", "").lower() in SKIP_ROLES:
         return True
-    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
-        if name.lower() in SKIP_NAMES or not SKIP_WORDS.isdisjoint(w.lower() for w in _WORD.findall(name)):
-            return True
     return False
 
 
+def _suspect(tag: str, attrs: dict[str, str]) -> str | None:
+    """"whole" if a class or id is a word of what is no article's text, "part" if one only contains such a word."""
+    kind = None
+    if not attrs or tag in ("html", "body", "article", "main"):
+        return kind
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        if name.lower() in SKIP_NAMES or name.lower() in SKIP_WORDS:
+            return "whole"
+        if not SKIP_WORDS.isdisjoint(w.lower() for w in _WORD.findall(name)):
+            kind = "part"
+    return kind
+
+
 class _Scanner:
     """Blocks of a page: each a list of (path, text, in link)."""
 
     def __init__(self):
         self.stack: list[tuple[str, str, bool]] = []  # tag, label, skipped from here on
+        self.marked: list[int | None] = []  # for each of the stack, its index in elements
+        self.elements: list[tuple[str, tuple[int, ...]]] = []  # articles, mains and suspects: kind, elements above
+        self.lengths: list[int] = []  # of the text without links in each of elements
+        self.total = 0
+        self.above: list[list[tuple[int, ...]]] = []  # elements above each leaf, by block
+        self.leaves_above: list[tuple[int, ...]] = []
         self.blocks: list[list[tuple[tuple[str, ...], str, bool]]] = []
         self.leaves: list[tuple[tuple[str, ...], str, bool]] = []
 
@@ -91,12 +113,13 @@ class _Scanner:
         if self.leaves:
             if any(not t.isspace() for _, t, _ in self.leaves):
                 self.blocks.append(self.leaves)
-            self.leaves = []
+                self.above.append(self.leaves_above)
+            self.leaves, self.leaves_above = [], []
 
     def pop_to(self, at: int) -> None:
         if any(tag not in INLINE_TAGS for tag, _, _ in self.stack[at:]):
             self.end_block()
-        del self.stack[at:]
+        del self.stack[at:], self.marked[at:]
 
     def close_nearest(self, tags, scope) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
@@ -120,6 +143,14 @@ class _Scanner:
         skipped = above or _skipped(tag, known, any(t in ("article", "main") for t, _, _ in self.stack))
         label = ".".join([tag, *sorted(known.get("class", "").split())])
         self.stack.append((tag, label, skipped))
+        kind = None if skipped else tag if tag in ("article", "main") else _suspect(tag, known)
+        if kind:
+            self.elements.append((kind, self.open_elements()))
+            self.lengths.append(0)
+        self.marked.append(len(self.elements) - 1 if kind else None)
+
+    def open_elements(self) -> tuple[int, ...]:
+        return tuple(e for e in self.marked if e is not None)
 
     def close(self, tag: str) -> None:
         for i in range(len(self.stack) - 1, -1, -1):
@@ -132,7 +163,33 @@ class _Scanner:
     def text(self, text: str) -> None:
         if self.stack and self.stack[-1][2]:
             return
-        self.leaves.append((tuple(label for _, label, _ in self.stack), html.unescape(text), any(t == "a" for t, _, _ in self.stack)))
+        above, linked, plain = self.open_elements(), any(t == "a" for t, _, _ in self.stack), html.unescape(text)
+        self.leaves.append((tuple(label for _, label, _ in self.stack), plain, linked))
+        self.leaves_above.append(above)
+        if not linked:
+            n = len(" ".join(plain.split()))
+            self.total += n
+            for e in above:
+                self.lengths[e] += n
+
+    def dropped(self) -> set[int]:
+        """The suspect elements that are skipped after all."""
+        suspects = {e for e, (kind, _) in enumerate(self.elements) if kind in ("whole", "part")}
+        articles = [e for e, (kind, _) in enumerate(self.elements) if kind == "article"] or [e for e, (kind, _) in enumerate(self.elements) if kind == "main"]
+        best = max(articles, key=lambda e: self.lengths[e], default=None)
+        around = self.elements[best][1] if best is not None else ()
+        out = set()
+        for e in suspects:
+            kind, above = self.elements[e]
+            if e in around:
+                keep = kind == "part" or 2 * self.lengths[best] > self.total
+            elif best is None or best in above:
+                keep = kind == "part" and 2 * self.lengths[e] > (self.total if best is None else self.lengths[best])
+            else:
+                keep = False
+            if not keep:
+                out.add(e)
+        return out
 
     def scan(self, page: str):
         at, low = 0, None
@@ -155,7 +212,10 @@ class _Scanner:
                 end = low.find(f"</{tag}", at)
                 at = len(page) if end < 0 else end
         self.end_block()
-        return self.blocks
+        if not (dropped := self.dropped()):
+            return self.blocks
+        kept = ([leaf for leaf, above in zip(block, over) if dropped.isdisjoint(above)] for block, over in zip(self.blocks, self.above))
+        return [block for block in kept if any(not t.isspace() for _, t, _ in block)]
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:

@@ -365,6 +365,16 @@ def test_main_text_edges(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("wrapper", ['class="content-sidebar-wrap"', 'class="site has-sidebar"', 'class="no-sidebar"', 'class="page-with-nav"', 'class="comments-open"', 'id="content-with-ads"', 'class="widget"'])
+@pytest.mark.parametrize("inner", ["article", "main", 'div class="post"'])
+def test_layout_wrappers_keep_their_article(wrapper, inner):
+    if "widget" in wrapper and "div" in inner:
+        pytest.skip("an element that is named a widget and has no article is one")
+    side = f'<div class="sidebar"><p>Related, things. To read, now.</p></div><div class="comments-area"><article class="comment-body"><p>I disagree, wholly.</p></article></div>' if inner == "article" else '<div class="sidebar"><p>Related, things. To read, now.</p></div>'
+    page = f'<body><div id="top-menu"><ul><li><a href=a>One</a></ul></div><div {wrapper}><{inner}><h1>Head</h1><p>{PARAGRAPH}</p><div class="ad-slot"><p>Buy, now.</p></div><p>{PARAGRAPH}</p></{inner.split()[0]}>{side}</div></body>'
+    assert html_text.main_text(page) == f"Head {PARAGRAPH} {PARAGRAPH}"
+
+
 def test_extract_keeps_rows_and_columns(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "<p>Hi.</p>", "y"), (2, "<p>Hi.</p>", "y")], "page_id long, html string, _text2 string")
     assert sorted((r.page_id, r._text, r._text2) for r in html_text.extract(df).collect()) == [(1, "", "x"), (2, "Hi.", "y"), (2, "Hi.", "y")]
