@@ -44,6 +44,12 @@ def test_benchmark_stage_drops_documents_with_items(spark):
     assert sorted(r.doc_id for r in out.collect()) == [2, 3]
 
 
+def test_benchmark_stage_judges_rows_without_an_id_and_rows_that_share_one(spark):
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").first()
+    out = p.benchmark_stage(spark, docs(spark, [(None, f"before {item.text}"), (None, "no item"), (1, f"{item.text} after"), (1, "clean words only")]), SF)
+    assert sorted((r.doc_id or 0, r.text) for r in out.collect()) == [(0, "no item"), (1, "clean words only")]
+
+
 def test_quality_stage_keeps_clean_documents(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     kept = p.quality_stage(spark, table, SF).select("doc_id", F.lit(1).alias("kept"))
