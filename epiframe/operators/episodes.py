@@ -14,6 +14,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from epiframe.operators.selection import order_bounds, order_bucket
+
 
 class Episodes:
     """A frame table with its episode key and frame order."""
@@ -44,12 +46,8 @@ class Episodes:
         return F.coalesce(moved, edge.over(self.whole))["v"]
 
     def at_offsets(self, c: str, offsets: Sequence[int]) -> Column:
-        """Values at several offsets, each held at the episode's ends, as one array from one bounded frame."""
-        lo, hi = min(0, *offsets), max(0, *offsets)
-        seen = F.collect_list(F.struct(F.col(c).alias("v"))).over(self.by.rowsBetween(lo, hi))
-        before = F.least(self.frame_index(), F.lit(-lo))
-        places = [F.least(F.greatest(before + o, F.lit(0)), F.size(seen) - 1) for o in offsets]
-        return F.array(*(F.element_at(seen, p.cast("int") + 1)["v"] for p in places))
+        """Values at several offsets, each held at the episode's ends, as one array; a frame holds only the values it asks for."""
+        return F.array(*(self.shift(c, o) for o in offsets))
 
     def chunk(self, c: str, steps: int) -> Column:
         """The next ``steps`` values from this frame on, the last repeated past the end."""
@@ -108,14 +106,15 @@ def episode_table(df: DataFrame, key: str) -> DataFrame:
     return with_offsets(lengths, key, "length")
 
 
-def with_offsets(rows: DataFrame, key: str, size: str, start: str = "from_index", end: str = "to_index") -> DataFrame:
-    """Running totals of ``size`` in the order of an integer ``key``: blocks of keys are summed, then their starts are added."""
-    block = F.floor(F.col(key) / 4096).cast("long")
-    blocks = rows.groupBy(block.alias("_b")).agg(F.sum(size).alias("_n"))
-    before = blocks.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
+def with_offsets(rows: DataFrame, key: str, size: str, start: str = "from_index", end: str = "to_index", buckets: int | None = None) -> DataFrame:
+    """Running totals of ``size`` in the order of a unique ``key``: buckets of its order are summed, then their starts are added."""
+    bounds = order_bounds(rows, [key], buckets)
+    bucket = order_bucket(bounds, [key])
+    sums = rows.select(bucket.alias("_b"), size).groupBy("_b").agg(F.sum(size).alias("_n"))
+    before = sums.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_start"))
     inside = F.sum(size).over(Window.partitionBy("_b").orderBy(key).rowsBetween(Window.unboundedPreceding, 0))
     return (
-        rows.withColumn("_b", block).join(before, "_b")
+        rows.withColumn("_b", bucket).join(F.broadcast(before), "_b")  # one row a bucket
         .withColumn(end, (F.col("_start") + inside).cast("long"))
         .withColumn(start, (F.col(end) - F.col(size)).cast("long"))
         .drop("_b", "_start")

@@ -13,18 +13,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def decode(rows: DataFrame, key: str, dictionary: DataFrame, dict_key: str, text: str, out: str, missing: str | None = None) -> DataFrame:
-    """Text of a dictionary index; of repeated entries the smallest text counts; ``missing`` where there is none."""
-    once = dictionary.groupBy(F.col(dict_key).alias("_k")).agg(F.min(text).alias("_t"))
+def decode(rows: DataFrame, key: str, dictionary: DataFrame, dict_key: str, text: str, out: str, missing: str | None = None, order: Sequence[str] = ()) -> DataFrame:
+    """Text of a dictionary index; of repeated entries the first in ``order`` counts (ties, and no order: the smallest text); ``missing`` where there is none."""
+    once = dictionary.groupBy(F.col(dict_key).alias("_k")).agg(F.min(F.struct(*order, F.struct(text).alias("_t")))["_t"][text].alias("_t"))
     found = rows.join(once, F.col(key) == F.col("_k"), "left")
     return found.withColumn(out, F.col("_t") if missing is None else F.coalesce(F.col("_t"), F.lit(missing))).drop("_k", "_t")
 
 
-def decode_ordinal(rows: DataFrame, key: str, dictionary: DataFrame, order: Sequence[str], text: str, out: str) -> DataFrame:
+def decode_ordinal(rows: DataFrame, key: str, dictionary: DataFrame, order: Sequence[str], text: str, out: str, buckets: int | None = None) -> DataFrame:
     """Text at a place of an ordered dictionary."""
     from epiframe.operators.selection import rank_rows
 
-    placed = rank_rows(dictionary.select(*order, text), order, "_k").select("_k", F.col(text).alias("_t"))
+    placed = rank_rows(dictionary.select(*order, text), order, "_k", buckets).select("_k", F.col(text).alias("_t"))
     return rows.join(placed, F.col(key) == F.col("_k"), "left").withColumn(out, F.col("_t")).drop("_k", "_t")
 
 

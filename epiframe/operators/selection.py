@@ -17,16 +17,50 @@ def is_missing(c: Column) -> Column:
     return c.isNull() | F.lower(F.trim(c.cast("string"))).isin(*MISSING_TEXT)
 
 
-def rank_rows(df: DataFrame, order: Sequence[str], out: str = "_rank") -> DataFrame:
-    """0-based global rank of a table in the order of unique columns, without a one-task window.
+#: Rows that one bucket of a global order should hold, the most buckets, and the rows looked at for each bucket's bound.
+BUCKET_ROWS = 250_000
+MOST_BUCKETS = 8_192
+BOUND_SAMPLE = 20
 
-    Rows are range-partitioned, counted by partition, and numbered from their partition's start.
+
+def order_bounds(df: DataFrame, order: Sequence[str], buckets: int | None = None) -> Column | None:
+    """Upper bounds of all but the last bucket of a table's global order, as a literal array of structs; None for one bucket.
+
+    The driver sees at most BOUND_SAMPLE * MOST_BUCKETS rows of the order columns.
+    """
+    keys = df.select(*order)
+    n = keys.count()
+    buckets = min(MOST_BUCKETS, n // BUCKET_ROWS + 1) if buckets is None else buckets
+    if buckets < 2 or not n:
+        return None
+    sample = keys.sample(min(1.0, 2 * BOUND_SAMPLE * buckets / n), 11).orderBy(F.struct(*order)).limit(BOUND_SAMPLE * MOST_BUCKETS).collect()
+    picked = list(dict.fromkeys(sample[len(sample) * i // buckets] for i in range(1, buckets))) if sample else []
+    types = [keys.schema[c].dataType for c in order]
+    return F.array(*(F.struct(*(F.lit(v).cast(t).alias(c) for v, t, c in zip(row, types, order))) for row in picked)) if picked else None
+
+
+def order_bucket(bounds: Column | None, order: Sequence[str]) -> Column:
+    """The number of a row's bucket: how many bounds are not above it, by binary search."""
+    if bounds is None:
+        return F.lit(0)
+    key = F.struct(*order)
+    steps = F.array(*(F.lit(1 << i) for i in range(MOST_BUCKETS.bit_length(), -1, -1)))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(bounds, at + step - 1) <= key, F.lit(False)), at + step).otherwise(at))
+
+
+def rank_rows(df: DataFrame, order: Sequence[str], out: str = "_rank", buckets: int | None = None) -> DataFrame:
+    """0-based global rank of a table in the order of unique columns (nulls first), without a one-task window.
+
+    Rows get a bucket of the order by literal bounds, buckets are counted, and rows are numbered from their bucket's
+    start.  The bounds are fixed before the plan runs, so counts and rows agree however either is planned or run again.
+    Two passes over the order columns come before the one shuffle of the rows.
     """
-    ranged = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    counts = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
-    starts = counts.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
-    local = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
-    return ranged.join(F.broadcast(starts), "_p").withColumn(out, (F.col("_s") + local).cast("long")).drop("_p", "_s")
+    bounds = order_bounds(df, order, buckets)
+    bucketed = df.withColumn("_b", order_bucket(bounds, order))
+    counts = df.select(order_bucket(bounds, order).alias("_b")).groupBy("_b").agg(F.count("*").alias("_n"))
+    starts = counts.select("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_s"))
+    local = F.row_number().over(Window.partitionBy("_b").orderBy(*order)) - 1
+    return bucketed.join(F.broadcast(starts), "_b").withColumn(out, (F.col("_s") + local).cast("long")).drop("_b", "_s")  # at most MOST_BUCKETS rows
 
 
 def split_episodes(episodes: DataFrame, key: str, share: float, train: bool) -> DataFrame:
@@ -167,10 +201,11 @@ def missing_keys(wanted: DataFrame, known: DataFrame, keys: Sequence[str]) -> Da
 
 
 def key_diff(a: DataFrame, b: DataFrame, key: str, value: str) -> DataFrame:
-    """Keys whose values differ between two flattened tables; an absent side is ``<MISSING>``."""
-    left, right = a.select(F.col(key).alias("key"), F.col(value).cast("string").alias("l")), b.select(F.col(key).alias("key"), F.col(value).cast("string").alias("r"))
-    j = left.join(right, "key", "full_outer")
-    return j.select("key", F.coalesce("l", F.lit("<MISSING>")).alias("left_value"), F.coalesce("r", F.lit("<MISSING>")).alias("right_value")).where("left_value <> right_value")
+    """Keys whose values differ between two flattened tables; an absent side is ``<MISSING>``, a null value stays null."""
+    side = lambda df, name: df.select(F.col(key).alias("key"), F.struct(F.col(value).cast("string").alias("v")).alias(name))
+    j = side(a, "l").join(side(b, "r"), "key", "full_outer").where(~F.col("l").eqNullSafe(F.col("r")))
+    shown = lambda name: F.when(F.col(name).isNull(), F.lit("<MISSING>")).otherwise(F.col(name)["v"])
+    return j.select("key", shown("l").alias("left_value"), shown("r").alias("right_value"))
 
 
 def keep_first(df: DataFrame, key: Sequence[str], order: Sequence[str]) -> DataFrame:

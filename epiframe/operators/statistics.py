@@ -2,15 +2,18 @@
 
 Long form throughout: one row per (group, step, dim) value.  Means, deviations
 and extremes are partial aggregates that combine before the shuffle.  Exact
-order statistics need the sorted values of a group: they are found by rank over
-value counts, so equal values take one row.
+order statistics take two passes: sketches bound each wanted place from both
+sides, then only values between the bounds are kept apart (those elsewhere are
+counted together before the shuffle), so a group's sorted window is a small
+share of its rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Low and high quantiles that statistics carry.
@@ -29,23 +32,73 @@ def moments(rows: DataFrame, by: Sequence[str], value: str = "value", population
     return rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), std.alias("std"))
 
 
-def floor_quantiles(rows: DataFrame, by: Sequence[str], quantiles: Sequence[float], value: str = "value") -> DataFrame:
-    """The value at place ``int(q * (n - 1))`` of each group's sorted values, one column per quantile.
+#: Accuracy of the sketches (their rank error is n / ACCURACY) and the distance of the bounds from a wanted place, in errors.
+ACCURACY = 10_000
+MARGIN = 4
+#: Groups whose bounds are sent to every task as literals (about 200 bytes each); more groups are joined.
+LITERAL_GROUPS = 10_000
+
+
+def _same(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Column:
+    return reduce(lambda a, b: a & b, (left[c].eqNullSafe(right[f"_by_{c}"]) for c in by), F.lit(True))
 
-    Value counts combine before the shuffle; a running count over the distinct
-    values of a group gives each one's place.
+
+def _placed(rows: DataFrame, by: Sequence[str], quantiles: Sequence[float], value: str) -> DataFrame:
+    """(by, _v, _c, _end, _n, _kept): values of each group near the wanted places with how many there are and up to them.
+
+    Values outside the bounds are in rows with ``_kept`` false, counted by the bound below them; groups of at most
+    ACCURACY values, where the margin is less than some places, keep all.
     """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_c"))
-    w = Window.partitionBy(*by).orderBy(value)
-    placed = counts.withColumns({"_end": F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(Window.partitionBy(*by))})
-    place = lambda q: F.floor(F.lit(q) * (F.col("_n") - 1))
-    hit = lambda q: (F.col("_end") > place(q)) & (F.col("_end") - F.col("_c") <= place(q))
-    return placed.groupBy(*by).agg(*(F.max(F.when(hit(q), F.col(value))).alias(quantile_name(q)) for q in quantiles))
+    known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    wanted = sorted({min(1.0, max(0.0, q + side * MARGIN / ACCURACY)) for q in quantiles for side in (-1, 1)})
+    sketch = known.groupBy(*(F.col(c).alias(f"_by_{c}") for c in by)).agg(F.percentile_approx("_v", [float(q) for q in wanted], ACCURACY).alias("_s"), F.count("*").alias("_m"))
+    few = sketch.limit(LITERAL_GROUPS + 1).collect()
+    if len(few) <= LITERAL_GROUPS:
+        sketch = rows.sparkSession.createDataFrame(few, sketch.schema)
+    joined = known.join(F.broadcast(sketch) if len(few) <= LITERAL_GROUPS else sketch, _same(known, sketch, by))
+    place = {q: i for i, q in enumerate(wanted)}
+    s = lambda q: F.get("_s", F.lit(place[q]))
+    v = F.col("_v")
+    spans = [(max(0.0, q - MARGIN / ACCURACY), min(1.0, q + MARGIN / ACCURACY)) for q in quantiles]
+    kept = reduce(lambda a, b: a | b, ((v >= s(lo)) & (v <= s(hi)) for lo, hi in spans), F.col("_m") <= ACCURACY)
+    below = F.array_max(F.filter("_s", lambda x: x < v))
+    counted = joined.select(*by, kept.alias("_kept"), F.when(kept, v).otherwise(below).alias("_v")).groupBy(*by, "_kept", "_v").agg(F.count("*").alias("_c"))
+    # Values between two bounds are all kept or all counted together, so the latter follow the bound below them.
+    w = Window.partitionBy(*by).orderBy(F.col("_v").asc_nulls_first(), F.col("_kept").desc())
+    return counted.withColumns({"_end": F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(Window.partitionBy(*by))})
+
+
+def _at(place: Column) -> Column:
+    """The value at a 0-based place of the sorted values, an aggregate over :func:`_placed`."""
+    hit = (F.col("_end") > place) & (F.col("_end") - F.col("_c") <= place)
+    missed = F.raise_error(F.lit("a wanted place lies outside the sketch's bounds")).cast("double")
+    return F.max(F.when(hit, F.when(F.col("_kept"), F.col("_v")).otherwise(missed)))
+
+
+def floor_quantiles(rows: DataFrame, by: Sequence[str], quantiles: Sequence[float], value: str = "value") -> DataFrame:
+    """The value at place ``int(q * (n - 1))`` of each group's sorted values, one column per quantile."""
+    placed = _placed(rows, by, quantiles, value)
+    return placed.groupBy(*by).agg(*(_at(F.floor(F.lit(q) * (F.col("_n") - 1))).alias(quantile_name(q)) for q in quantiles))
 
 
 def linear_quantiles(rows: DataFrame, by: Sequence[str], quantiles: Sequence[float], value: str = "value") -> DataFrame:
-    """Linearly interpolated exact quantiles."""
-    return rows.groupBy(*by).agg(*(F.percentile(value, F.lit(q)).alias(quantile_name(q)) for q in quantiles))
+    """Linearly interpolated exact quantiles, from the values at the two places around ``q * (n - 1)``."""
+    placed = _placed(rows, by, quantiles, value)
+    place = lambda q: F.lit(q) * (F.col("_n") - 1)
+    ends = [c for i, q in enumerate(quantiles) for c in (_at(F.floor(place(q))).alias(f"_lo{i}"), _at(F.ceil(place(q))).alias(f"_hi{i}"))]
+    found = placed.groupBy(*by).agg(F.max("_n").alias("_n"), *ends)
+
+    def between(i: int, q: float) -> Column:
+        lo, hi, at = F.col(f"_lo{i}").cast("double"), F.col(f"_hi{i}").cast("double"), place(q)
+        return F.when(F.floor(at) == F.ceil(at), lo).otherwise((F.ceil(at) - at) * lo + (at - F.floor(at)) * hi)
+
+    return found.select(*by, *(between(i, q).alias(quantile_name(q)) for i, q in enumerate(quantiles)))
+
+
+def approximate_quantiles(rows: DataFrame, by: Sequence[str], quantiles: Sequence[float], value: str = "value", accuracy: int = ACCURACY) -> DataFrame:
+    """Quantiles from one mergeable sketch a group, with a rank error of at most n / accuracy."""
+    found = rows.groupBy(*by).agg(F.percentile_approx(value, [float(q) for q in quantiles], accuracy).alias("_s"))
+    return found.select(*by, *(F.get("_s", F.lit(i)).alias(quantile_name(q)) for i, q in enumerate(quantiles)))
 
 
 def step_statistics(rows: DataFrame, by: Sequence[str], value: str = "value", quantiles: Sequence[float] = (*LOW, *HIGH)) -> DataFrame:

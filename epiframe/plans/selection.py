@@ -74,7 +74,8 @@ def activity_mask(spark, d):
     return e.df.select("event_id", e.chunk("value", STEPS).alias("c")).select("event_id", S.active(F.col("c"), 25.0, True).alias("active"))
 
 
-@query(_ACTIVE + "SELECT event_id, CAST(step AS BIGINT) AS step, CASE WHEN active THEN value ELSE 0 END AS value FROM c JOIN a USING (event_id)")
+@query(f"""WITH {FRAMES_SQL}, z AS (SELECT event_id, step, value, first_value(value) OVER (PARTITION BY event_id ORDER BY step) AS v0 FROM c)
+SELECT event_id, CAST(step AS BIGINT) AS step, CASE WHEN bool_or(step < 4 AND abs(value - v0) >= 25) OVER (PARTITION BY event_id) THEN value ELSE 0 END AS value FROM z""")
 def masked_zero(spark, d):
     e = frames(spark, d)
     c = e.df.select("event_id", e.chunk("value", STEPS).alias("c"))
@@ -129,6 +130,13 @@ def resume_rows(spark, d):
     return S.resume_after(r, "rank", 3, 64).select("event_id", "rank")
 
 
+@query("SELECT *, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice) - 1 AS rank FROM (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_returnflag FROM lineitem)")
+def ranked_payload(spark, d):
+    """Global ranks of a table of many partitions that keeps its other columns."""
+    rows = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag").repartition(27)
+    return S.rank_rows(rows, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"], "rank", buckets=24)
+
+
 @query("SELECT event_id FROM (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS i FROM events) WHERE i % 5 = 2")
 def strided_shard(spark, d):
     return S.rank_rows(table(spark, d, "events").select("event_id"), ["event_id"]).where(S.strided_shard(F.col("_rank"), 5, 2)).select("event_id")

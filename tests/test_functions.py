@@ -193,3 +193,59 @@ def test_samples(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "json")).count() == spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 2
     with pytest.raises(ValueError):
         samples.write_results(spark.range(2), str(tmp_path / "x"), "xml")
+
+
+def test_ranks_of_a_table_of_many_partitions_with_payload(spark):
+    from pyspark.sql import Window
+
+    df = spark.range(40_000).repartition(23).select(((F.col("id") * 7919) % 40_009).alias("k"), F.when(F.col("id") % 3 > 0, F.col("id") % 5).alias("g"), F.repeat(F.lit("x"), 20).alias("payload"))
+    got = selection.rank_rows(df, ["g", "k"], buckets=50)
+    wrong = got.withColumn("want", F.row_number().over(Window.orderBy("g", "k")) - 1).where("want <> _rank").count()
+    assert wrong == 0 and got.count() == 40_000 and got.columns == ["k", "g", "payload", "_rank"]
+
+
+def test_ranks_of_an_empty_table(spark):
+    assert selection.rank_rows(spark.range(0), ["id"], buckets=8).count() == 0
+
+
+def test_ordinal_lookup_over_a_dictionary_of_many_partitions(spark):
+    from epiframe.operators.lookups import decode_ordinal
+
+    d = spark.range(20_000).repartition(21).select((F.col("id") * 3).alias("k"), F.concat(F.lit("t"), F.col("id")).alias("text"))
+    got = decode_ordinal(spark.range(20_000), "id", d, ["k"], "text", "out", buckets=40)
+    assert got.where(F.col("out") == F.concat(F.lit("t"), F.col("id"))).count() == 20_000
+
+
+def test_first_of_repeated_dictionary_entries(spark):
+    from epiframe.operators.lookups import decode
+
+    d = spark.createDataFrame([(1, 5, "b"), (1, 7, "a"), (2, 1, "c")], "k long, line long, text string")
+    rows = decode(spark.range(1, 4), "id", d, "k", "text", "out", "none", order=["line"])
+    assert sorted((r.id, r.out) for r in rows.collect()) == [(1, "b"), (2, "c"), (3, "none")]
+
+
+def test_difference_of_keys_tells_null_from_absent(spark):
+    a = spark.createDataFrame([("x", None), ("y", None), ("z", "1")], "k string, v string")
+    b = spark.createDataFrame([("x", None), ("z", "1"), ("w", None)], "k string, v string")
+    assert sorted(map(tuple, selection.key_diff(a, b, "k", "v").collect())) == [("w", "<MISSING>", None), ("y", None, "<MISSING>")]
+
+
+@pytest.mark.parametrize("n", [1, 2, 7, 150, 9_999, 60_000])
+@pytest.mark.parametrize("ties", [False, True])
+def test_exact_quantiles(spark, n, ties):
+    x = np.random.default_rng(n).normal(size=n)
+    x = np.round(x, 1) if ties else x
+    df = spark.createDataFrame([(float(v),) for v in x], "value double").repartition(5)
+    qs = (0.00001, 0.001, 0.01, 0.5, 0.99, 0.99999)
+    floor, linear = statistics.floor_quantiles(df, [], qs).first(), statistics.linear_quantiles(df, [], qs).first()
+    s = np.sort(x)
+    assert [floor[i] for i in range(len(qs))] == [s[int(q * (n - 1))] for q in qs]
+    assert [linear[i] for i in range(len(qs))] == pytest.approx([np.quantile(x, q) for q in qs], abs=1e-12)
+    assert abs((s <= statistics.approximate_quantiles(df, [], (0.5,)).first()[0]).mean() - 0.5) <= max(2 / n, 0.05)
+
+
+def test_quantiles_of_groups_with_a_null_key_and_no_rows(spark):
+    df = spark.createDataFrame([(None, 1.0), (None, 3.0), ("a", 2.0), ("a", None), ("b", None)], "g string, value double")
+    got = {r.g: r.q5 for r in statistics.linear_quantiles(df, ["g"], (0.5,)).collect()}
+    assert got == {None: 2.0, "a": 2.0}
+    assert statistics.floor_quantiles(df.limit(0), ["g"], (0.5,)).count() == 0
