@@ -1,27 +1,36 @@
 """Main text of HTML pages by tag-path ratios.
 
-A tolerant scanner turns a page into blocks of text leaves.  For each
-root-to-leaf tag path (tags with their classes) the text length and the
-punctuation of all its leaves are added up; a leaf's two features are its
-path's text per leaf and punctuation per leaf.  Both are smoothed over the page
-order with a Gaussian, scaled, fused by their geometric mean, averaged by path,
-and paths at or above ``THRESHOLD`` of the best are content.  Short blocks of
-other paths (headings, list items) join where the content paths' innermost
-common element, below ``body``, holds them and links do not fill them.
-
-Elements that never hold an article's text are skipped while scanning: by tag
-(SKIP_TAGS), by role, or when hidden.  Elements with a word of SKIP_WORDS in a
-class or id are judged when the page is read, as layout wrappers have such words
-too ("content-sidebar-wrap", "has-sidebar").  One stays if it holds the principal
-article, and where its name only contains the word also if it holds most of the
-text without links of that article or, on a page without any, of the page.  An
-element whose whole name is such a word ("sidebar") stays only around a principal
-article that holds most of the page's text.
+A tolerant scanner turns a page into blocks of text.  A block's path is the
+root-to-leaf sequence of its block elements (tags with their classes); paths and
+elements are numbered and know their parent, so memory is linear in the page
+however deep it nests.
+
+1. For each path the length and the punctuation of the text without links are
+   added up over its blocks; a block's features are its path's length and
+   punctuation per block.
+2. Both are smoothed over the page order with a Gaussian and scaled.
+3. They are fused by their geometric mean, averaged by path, and weighed by what
+   the path's names say: more inside ``article`` or ``main``, less inside a form or an
+   element whose class or id says that it is an advert, a comment, a sidebar, ...
+   (less again if that is all that the name says).  Names only weigh: the page's
+   best path is content whatever it is called, as layout wrappers and articles
+   have such names too ("content-sidebar-wrap", "share-price").
+4. Paths at or above ``THRESHOLD`` of the best are content.
+
+The region is the innermost element with ``REGION`` of the content, or the article or
+main element around that.  Blocks of other paths in it (headings, list items, tables)
+join unless names below the region weigh against them or, outside an article, links
+fill them; if the region is the body, those that stand between content, and headings
+before it.
+
+Elements are skipped where HTML itself says that they hold no article text: what is
+not shown (head, script, style, template, hidden, ...), form controls, and sections
+that are navigation, header (outside an article), footer or aside, by tag or role.
 Character references are decoded, white space inside a block becomes one space,
 blocks are joined in page order by one space.
 
 Null or empty html gives the empty string; html without tags is one block.
-Unclosed and misnested tags are closed as browsers do for p, li, td and the
+Unclosed and misnested tags are closed as browsers do for head, p, li, td and the
 like; a tag cut off at the end is dropped.  Pages are independent rows: there
 is no shuffle, and memory is that of the page at hand.
 """
@@ -30,7 +39,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,21 +49,31 @@ from pyspark.sql import functions as F
 
 from epiframe.llm.staging import Carried, map_arrow
 
-THRESHOLD = 0.25
-SMOOTH = 1.0
+THRESHOLD = 0.35
+SMOOTH = 0.6
 LINKS = 0.5
-
-SKIP_TAGS = frozenset("head title nav footer aside form button select textarea script style noscript iframe template svg math object canvas menu dialog audio video map datalist".split())
+REGION = 0.7
+#: Weights of names along a path.
+ARTICLE, SAID, HINTED, FORM = 6.0, 0.1, 0.6, 0.1
+#: Share of the punctuation feature that a path without punctuation has.
+PLAIN = 0.05
+
+SKIP_TAGS = frozenset("head title button select option optgroup textarea script style noscript iframe template svg object canvas audio video map datalist nav footer aside menu dialog".split())
+HEAD_TAGS = frozenset("head title base link meta style script noscript template".split())
 RAW_TAGS = frozenset("script style textarea title noscript iframe xmp noembed noframes".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE_TAGS = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q s samp small span strike strong sub sup time tt u var wbr img".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LEAF_TAGS = HEADINGS | frozenset("p li dt dd td th caption figcaption pre".split())
 SKIP_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar form toolbar".split())
-SKIP_WORDS = frozenset(
+#: Words of a class or id that weigh against its element.
+AGAINST = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertising sponsor sponsored promo promoted promotion banner nav navbar navigation menu sidebar sidenav rail footer masthead breadcrumb breadcrumbs "
     "cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social comment comments commentlist disqus respond replies "
-    "related recommended recommendations pagination pager widget widgets toolbar skip copyright disclaimer outbrain taboola".split()
+    "related recommended recommendations pagination pager widget widgets toolbar skip copyright disclaimer outbrain taboola header topbar siteheader".split()
 )
-SKIP_NAMES = frozenset("header site-header page-header siteheader top-bar topbar bottom-bar".split())
+#: Words that add nothing to a name: one of only these and words against is all against.
+NEUTRAL = frozenset("top bottom left right main site page global area list section box slot block container wrap wrapper inner outer body item items row col panel bar text title form thread js is the a".split())
 #: An opening tag of the first kind closes an open element of the second, up to the nearest of the third.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -77,121 +96,112 @@ def _skipped(tag: str, attrs: dict[str, str], inside_article: bool) -> bool:
         return False
     if "hidden" in attrs or attrs.get("aria-hidden", "").lower() == "true" or "display:none" in attrs.get("style", "").replace(" ", "").lower():
         return True
-    if attrs.get("role", "").lower() in SKIP_ROLES:
-        return True
-    return False
+    return attrs.get("role", "").lower() in SKIP_ROLES
 
 
-def _suspect(tag: str, attrs: dict[str, str]) -> str | None:
-    """"whole" if a class or id is a word of what is no article's text, "part" if one only contains such a word."""
-    kind = None
+def _weight(tag: str, attrs: dict[str, str]) -> float:
+    """How far an element's name speaks for its text."""
+    if tag == "form":
+        return FORM
     if not attrs or tag in ("html", "body", "article", "main"):
-        return kind
+        return 1.0
+    weight = 1.0
     for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
-        if name.lower() in SKIP_NAMES or name.lower() in SKIP_WORDS:
-            return "whole"
-        if not SKIP_WORDS.isdisjoint(w.lower() for w in _WORD.findall(name)):
-            kind = "part"
-    return kind
-
-
-class _Scanner:
-    """Blocks of a page: each a list of (path, text, in link)."""
-
-    def __init__(self):
-        self.stack: list[tuple[str, str, bool]] = []  # tag, label, skipped from here on
-        self.marked: list[int | None] = []  # for each of the stack, its index in elements
-        self.elements: list[tuple[str, tuple[int, ...]]] = []  # articles, mains and suspects: kind, elements above
-        self.lengths: list[int] = []  # of the text without links in each of elements
-        self.total = 0
-        self.above: list[list[tuple[int, ...]]] = []  # elements above each leaf, by block
-        self.leaves_above: list[tuple[int, ...]] = []
-        self.blocks: list[list[tuple[tuple[str, ...], str, bool]]] = []
-        self.leaves: list[tuple[tuple[str, ...], str, bool]] = []
-
-    def end_block(self) -> None:
-        if self.leaves:
-            if any(not t.isspace() for _, t, _ in self.leaves):
-                self.blocks.append(self.leaves)
-                self.above.append(self.leaves_above)
-            self.leaves, self.leaves_above = [], []
-
-    def pop_to(self, at: int) -> None:
-        if any(tag not in INLINE_TAGS for tag, _, _ in self.stack[at:]):
-            self.end_block()
-        del self.stack[at:], self.marked[at:]
-
-    def close_nearest(self, tags, scope) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] in tags:
-                self.pop_to(i)
+        words = {w.lower() for w in _WORD.findall(name)}
+        if not AGAINST.isdisjoint(words):
+            weight = min(weight, SAID if words <= AGAINST | NEUTRAL else HINTED)
+    return weight
+
+
+class Page:
+    """Paths, elements and blocks of a page.
+
+    ``paths``: parent path, weight of the names on it, tag of its last element.  ``elements``: parent element, tag, weight.
+    ``blocks``: path, element, text, characters without links, characters in links.
+    """
+
+    def __init__(self, page: str):
+        self.paths: list[tuple[int, float, str]] = [(-1, 1.0, "")]
+        self.elements: list[tuple[int, str, float]] = [(-1, "", 1.0)]
+        self.blocks: list[tuple[int, int, str, int, int]] = []
+        self._numbers: dict[tuple[int, str], int] = {}
+        # tag, path, element, skipped, in an article, in a link; inline elements have the path and element around them.
+        self._stack: list[tuple[str, int, int, bool, bool, bool]] = [("", 0, 0, False, False, False)]
+        self._open: Counter[str] = Counter()
+        self._text: list[str] = []
+        self._linked = 0
+        self._scan(page)
+
+    def _end_block(self) -> None:
+        if self._text:
+            text = " ".join("".join(self._text).split())
+            if text:
+                _, path, element, *_ = self._stack[-1]
+                self.blocks.append((path, element, text, max(0, len(text) - self._linked), self._linked))
+            self._text, self._linked = [], 0
+
+    def _pop_to(self, at: int) -> None:
+        if any(e[0] not in INLINE_TAGS for e in self._stack[at:]):
+            self._end_block()
+        self._open.subtract(e[0] for e in self._stack[at:])
+        del self._stack[at:]
+
+    def _close_nearest(self, tags, scope) -> None:
+        for i in range(len(self._stack) - 1, 0, -1):
+            if self._stack[i][0] in tags:
+                self._pop_to(i)
                 return
-            if self.stack[i][0] in scope:
+            if self._stack[i][0] in scope:
                 return
 
-    def open(self, tag: str, attrs: str) -> None:
-        if tag in CLOSES_P:
-            self.close_nearest({"p"}, P_SCOPE)
+    def _start(self, tag: str, text: str) -> None:
+        if self._open["head"] and tag not in HEAD_TAGS:
+            self._end("head")
+        if tag in CLOSES_P and self._open["p"]:
+            self._close_nearest({"p"}, P_SCOPE)
+        if tag in HEADINGS and self._stack[-1][0] in HEADINGS:
+            self._pop_to(len(self._stack) - 1)
         if tag in CLOSES:
-            self.close_nearest(*CLOSES[tag])
-        if tag not in INLINE_TAGS:
-            self.end_block()
+            self._close_nearest(*CLOSES[tag])
+        inline = tag in INLINE_TAGS
+        if not inline:
+            self._end_block()
         if tag in VOID_TAGS:
             return
-        above = bool(self.stack) and self.stack[-1][2]
-        known = _attributes(attrs) if attrs.strip(" /") else {}
-        skipped = above or _skipped(tag, known, any(t in ("article", "main") for t, _, _ in self.stack))
-        label = ".".join([tag, *sorted(known.get("class", "").split())])
-        self.stack.append((tag, label, skipped))
-        kind = None if skipped else tag if tag in ("article", "main") else _suspect(tag, known)
-        if kind:
-            self.elements.append((kind, self.open_elements()))
-            self.lengths.append(0)
-        self.marked.append(len(self.elements) - 1 if kind else None)
-
-    def open_elements(self) -> tuple[int, ...]:
-        return tuple(e for e in self.marked if e is not None)
-
-    def close(self, tag: str) -> None:
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                self.pop_to(i)
-                return
-        if tag not in INLINE_TAGS:
-            self.end_block()
-
-    def text(self, text: str) -> None:
-        if self.stack and self.stack[-1][2]:
+        _, path, element, skipped, article, link = self._stack[-1]
+        attrs = _attributes(text) if text.strip(" /") else {}
+        skipped = skipped or _skipped(tag, attrs, article)
+        opens = tag in ("article", "main")
+        if not skipped and not inline:
+            label = ".".join([tag, *sorted(attrs.get("class", "").split()), attrs.get("id", "")])
+            weight = _weight(tag, attrs) * (ARTICLE if opens and not article else 1.0)
+            number = self._numbers.setdefault((path, label), len(self.paths))
+            if number == len(self.paths):
+                self.paths.append((path, self.paths[path][1] * weight, tag))
+            self.elements.append((element, tag, self.elements[element][2] * weight))
+            path, element = number, len(self.elements) - 1
+        self._stack.append((tag, path, element, skipped, article or opens, link or tag == "a"))
+        self._open[tag] += 1
+
+    def _end(self, tag: str) -> None:
+        if self._open[tag]:
+            for i in range(len(self._stack) - 1, 0, -1):
+                if self._stack[i][0] == tag:
+                    self._pop_to(i)
+                    return
+        elif tag not in INLINE_TAGS:
+            self._end_block()
+
+    def _add(self, text: str) -> None:
+        _, _, _, skipped, _, link = self._stack[-1]
+        if skipped:
             return
-        above, linked, plain = self.open_elements(), any(t == "a" for t, _, _ in self.stack), html.unescape(text)
-        self.leaves.append((tuple(label for _, label, _ in self.stack), plain, linked))
-        self.leaves_above.append(above)
-        if not linked:
-            n = len(" ".join(plain.split()))
-            self.total += n
-            for e in above:
-                self.lengths[e] += n
-
-    def dropped(self) -> set[int]:
-        """The suspect elements that are skipped after all."""
-        suspects = {e for e, (kind, _) in enumerate(self.elements) if kind in ("whole", "part")}
-        articles = [e for e, (kind, _) in enumerate(self.elements) if kind == "article"] or [e for e, (kind, _) in enumerate(self.elements) if kind == "main"]
-        best = max(articles, key=lambda e: self.lengths[e], default=None)
-        around = self.elements[best][1] if best is not None else ()
-        out = set()
-        for e in suspects:
-            kind, above = self.elements[e]
-            if e in around:
-                keep = kind == "part" or 2 * self.lengths[best] > self.total
-            elif best is None or best in above:
-                keep = kind == "part" and 2 * self.lengths[e] > (self.total if best is None else self.lengths[best])
-            else:
-                keep = False
-            if not keep:
-                out.add(e)
-        return out
-
-    def scan(self, page: str):
+        plain = html.unescape(text)
+        self._text.append(plain)
+        if link:
+            self._linked += len(" ".join(plain.split()))
+
+    def _scan(self, page: str) -> None:
         at, low = 0, None
         while m := _TAG.match(page, at):
             at = m.end()
@@ -199,23 +209,18 @@ class _Scanner:
             if tag is None:
                 piece = m[0]
                 if piece[0] != "<" or piece == "<":
-                    self.text(piece)
+                    self._add(piece)
                 continue
             tag = tag.lower()
             if m[1] or m[4]:
-                self.close(tag)
+                self._end(tag)
                 continue
-            attrs = m[3] if m[2] else m[6]
-            self.open(tag, attrs)
+            self._start(tag, m[3] if m[2] else m[6])
             if tag in RAW_TAGS:
                 low = page.lower() if low is None else low
                 end = low.find(f"</{tag}", at)
                 at = len(page) if end < 0 else end
-        self.end_block()
-        if not (dropped := self.dropped()):
-            return self.blocks
-        kept = ([leaf for leaf, above in zip(block, over) if dropped.isdisjoint(above)] for block, over in zip(self.blocks, self.above))
-        return [block for block in kept if any(not t.isspace() for _, t, _ in block)]
+        self._end_block()
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
@@ -225,69 +230,70 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, 3, mode="edge"), kernel, mode="valid")
 
 
-def content_paths(leaves: list[tuple[tuple[str, ...], str, bool]]) -> set[tuple[str, ...]]:
-    """The tag paths whose fused, smoothed ratios reach the threshold."""
-    length, punct, count = defaultdict(float), defaultdict(float), defaultdict(int)
-    for path, text, linked in leaves:
-        length[path] += 0 if linked else len(text)
-        punct[path] += 0 if linked else len(_PUNCT.findall(text))
+def content_paths(page: Page) -> set[int]:
+    """The paths whose fused, smoothed and weighed ratios reach the threshold."""
+    length, punct, count = defaultdict(float), defaultdict(float), Counter()
+    for path, _, text, plain, linked in page.blocks:
+        length[path] += plain
+        punct[path] += len(_PUNCT.findall(text)) * plain / max(1, plain + linked)
         count[path] += 1
-    text_ratio = _smooth(np.array([length[p] / count[p] for p, _, _ in leaves]))
-    punct_ratio = _smooth(np.array([punct[p] / count[p] for p, _, _ in leaves]))
+    text_ratio = _smooth(np.array([length[b[0]] / count[b[0]] for b in page.blocks]))
+    punct_ratio = _smooth(np.array([punct[b[0]] / count[b[0]] for b in page.blocks]))
     if not text_ratio.max() > 0:
         return set()
-    scaled = punct_ratio / punct_ratio.max() if punct_ratio.max() > 0 else np.ones(len(leaves))
-    fused = np.sqrt(text_ratio / text_ratio.max() * scaled)
+    scaled = punct_ratio / punct_ratio.max() if punct_ratio.max() > 0 else np.ones(len(page.blocks))
+    fused = np.sqrt(text_ratio / text_ratio.max() * (PLAIN + (1 - PLAIN) * scaled))
     score = defaultdict(float)
-    for (path, _, _), f in zip(leaves, fused):
-        score[path] += f / count[path]
-    best = max(score.values())
-    return {p for p, s in score.items() if best > 0 and s >= THRESHOLD * best and length[p] > 0}
-
-
-def _common(paths: set[tuple[str, ...]]) -> tuple[str, ...]:
-    it = iter(paths)
-    common = next(it)
-    for p in it:
-        n = 0
-        while n < min(len(common), len(p)) and common[n] == p[n]:
-            n += 1
-        common = common[:n]
-    return common
-
-
-def _block_of(path: tuple[str, ...]) -> tuple[str, ...]:
-    """The path without inline elements at its end."""
-    n = len(path)
-    while n and path[n - 1].split(".")[0] in INLINE_TAGS:
-        n -= 1
-    return path[:n]
+    for block, f in zip(page.blocks, fused):
+        score[block[0]] += f / count[block[0]]
+    weighed = {p: s * page.paths[p][1] for p, s in score.items() if length[p] > 0}
+    best = max(weighed.values(), default=0)
+    return {p for p, s in weighed.items() if best > 0 and s >= THRESHOLD * best}
+
+
+def region(page: Page, chosen: set[int]) -> int:
+    """The element that is taken for the article."""
+    held = np.zeros(len(page.elements))
+    for path, element, _, plain, _ in page.blocks:
+        if path in chosen:
+            up, tag, _ = page.elements[element]
+            held[up if tag in LEAF_TAGS else element] += plain
+    for e in range(len(held) - 1, 0, -1):  # parents come before their children
+        held[page.elements[e][0]] += held[e]
+    root = around = int(np.flatnonzero(held >= REGION * held[0]).max())
+    while around > 0:
+        if page.elements[around][1] in ("article", "main"):
+            root = around
+            break
+        around = page.elements[around][0]
+    return root
 
 
 def main_text(page: str | None) -> str:
     """The article text of one page."""
     if not page:
         return ""
-    blocks = _Scanner().scan(page)
-    leaves = [(p, " ".join(t.split()), linked) for b in blocks for p, t, linked in b]
-    leaves = [x for x in leaves if x[1]]
-    if not leaves:
+    p = Page(page)
+    chosen = content_paths(p) if p.blocks else set()
+    if not chosen:
         return ""
-    chosen = content_paths(leaves)
-    holders = {_block_of(p)[:-1] for p in chosen}
-    inside = _common(holders) if holders else ()
-    narrow = len(inside) > 0 and inside[-1].split(".")[0] not in ("html", "body")
-    out = []
-    for block in blocks:
-        text = " ".join("".join(t for _, t, _ in block).split())
-        if not text:
+    root = region(p, chosen)
+    article = p.elements[root][1] in ("article", "main")
+    whole = p.elements[root][1] in ("", "html", "body")
+    inside = np.zeros(len(p.elements), dtype=bool)
+    for e in range(root, len(p.elements)):
+        inside[e] = e == root or p.elements[e][0] >= 0 and inside[p.elements[e][0]]
+    core = [i for i, b in enumerate(p.blocks) if b[0] in chosen]
+    kept, first, last = set(core), min(core), max(core)
+    for i, (path, element, _, plain, linked) in enumerate(p.blocks):
+        if i in kept or not inside[element] or p.elements[element][2] < HINTED * p.elements[root][2] * (1 - 1e-9):
             continue
-        if not any(p in chosen and not t.isspace() for p, t, _ in block):
-            linked = sum(len(t) for _, t, link in block if link)
-            if not narrow or block[0][0][: len(inside)] != inside or linked > LINKS * sum(len(t) for _, t, _ in block):
-                continue
-        out.append(text)
-    return " ".join(out)
+        if not article and linked > LINKS * (plain + linked):
+            continue
+        if whole and not first < i < last and not (p.elements[element][1] in HEADINGS and i + 1 in kept):
+            continue
+        kept.add(i)
+    return " ".join(p.blocks[i][2] for i in sorted(kept))
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

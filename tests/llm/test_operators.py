@@ -375,6 +375,46 @@ def test_layout_wrappers_keep_their_article(wrapper, inner):
     assert html_text.main_text(page) == f"Head {PARAGRAPH} {PARAGRAPH}"
 
 
+SECOND = "Another paragraph, longer than the first, tells of other things, at length. It ends here, after some more words."
+MENU = '<div><ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul></div>'
+LYING = [
+    (f'<body>{MENU}<div class="share-price"><p>{PARAGRAPH}</p><p>{SECOND}</p></div></body>', f"{PARAGRAPH} {SECOND}"),
+    (f'<body>{MENU}<article><p>{PARAGRAPH}</p><div class="notice-board"><p>{SECOND}</p></div></article></body>', f"{PARAGRAPH} {SECOND}"),
+    (f'<body><form action="/"><div class="page">{MENU}<div><p>{PARAGRAPH}</p><p>{SECOND}</p></div></div></form></body>', f"{PARAGRAPH} {SECOND}"),
+    (f'<body>{MENU}<div class="widget"><p>{PARAGRAPH}</p><p>{SECOND}</p></div></body>', f"{PARAGRAPH} {SECOND}"),
+]
+PLAIN = [
+    (f"<body>{MENU}<div><h1>Head</h1><p>{PARAGRAPH}</p><ul><li>An item</li></ul><p>{SECOND}</p></div><div>Buy now</div></body>", f"Head {PARAGRAPH} An item {SECOND}"),
+    (f"<body>{MENU}<h1>Head</h1><p>{PARAGRAPH}</p><ul><li>An item</li></ul><p>{SECOND}</p><div>Buy now</div></body>", f"Head {PARAGRAPH} An item {SECOND}"),
+    (f"<head><title>T</title><div class=x>{MENU}<div><p>{PARAGRAPH}<p>{SECOND}</div><div><a href=/>A link, in a box.</a></div></div>", f"{PARAGRAPH} {SECOND}"),
+    (f'<body>{MENU}<article><p>{PARAGRAPH}</p><ul><li><a href="/s">A source</a></li></ul></article></body>', f"{PARAGRAPH} A source"),
+]
+
+
+@pytest.mark.parametrize("page,text", LYING + PLAIN)
+def test_names_only_weigh_and_ratios_choose(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_without_ratios_the_text_is_not_found(monkeypatch, spark, sf):
+    pages = [r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()] + [p for p, _ in PLAIN[:3]] + list(PAGES.values())
+    right = [html_text.main_text(p) for p in pages]
+    monkeypatch.setattr(html_text, "content_paths", lambda page: {b[0] for b in page.blocks})
+    assert sum(html_text.main_text(p) == t for p, t in zip(pages, right)) <= 0.1 * len(pages)
+
+
+def test_deep_nesting_takes_linear_memory():
+    import tracemalloc
+
+    peaks = []
+    for n in (8_000, 32_000):
+        tracemalloc.start()
+        assert html_text.main_text("<div>ab, c. " * n) == " ".join(["ab, c."] * n)
+        peaks.append(tracemalloc.get_traced_memory()[1])
+        tracemalloc.stop()
+    assert peaks[1] < 6 * peaks[0] < 6 * 40e6
+
+
 def test_extract_keeps_rows_and_columns(spark):
     df = spark.createDataFrame([(1, None, "x"), (2, "<p>Hi.</p>", "y"), (2, "<p>Hi.</p>", "y")], "page_id long, html string, _text2 string")
     assert sorted((r.page_id, r._text, r._text2) for r in html_text.extract(df).collect()) == [(1, "", "x"), (2, "Hi.", "y"), (2, "Hi.", "y")]
