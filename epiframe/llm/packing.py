@@ -8,16 +8,22 @@ filled to ``h``, so a placement is one vector expression over the level array.
 
 Every input partition packs its own documents, in their order, so a lost task
 gives the same result again and no row moves.  Memory: at most ``open_windows``
-open windows; when more would be open, and at the end, the open ones are joined
-and cut into full windows.  The tokens left at the end (less than one window a
-partition) are cut into powers of two, which need no padding.
+open windows; when one more would be open, the fullest is filled up from the
+emptiest and leaves, or takes all of it, and the others stay as they are.  At the
+end the open ones are joined and cut into full windows; the tokens left then (less
+than one window a partition) are cut into powers of two, which need no padding.
 
 Null and empty text: the end id alone.  Repeated rows are packed again.  A null
 id is carried along.  Any other column is ignored.
+
+Any tokenizers file can be used.  One that normalises and cuts texts as
+``WORDWISE`` says is applied word by word, with a cache of bounded size; of any
+other the whole text is encoded.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -35,8 +41,21 @@ from epiframe.llm.textscan import text_buffers
 WINDOW = 4096
 END_ID = 2
 OPEN_WINDOWS = 1024
-#: Words kept in a worker's token cache, in each of its two generations.
-CACHE_WORDS = 500_000
+#: Bytes of a worker's token cache, in each of its two generations; longer words than LONG_WORD bytes are not kept.
+CACHE_BYTES = 96 << 20
+ENTRY_BYTES = 200
+LONG_WORD = 1_024
+#: The normaliser and the pre-tokenizer under which the ids of a text are those of its words.
+WORDWISE = (
+    {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+)
 _PLAIN = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 _SIGNED = re.compile(rb"([A-Za-z\x80-\xff]+)([!-&(-/:-@\[-`{-~]+)").fullmatch
 
@@ -48,6 +67,23 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+def _tokenizer(path: str):
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(path)
+
+
+class WholeTexts:
+    """Token ids of whole texts, as little-endian unsigned 32-bit bytes."""
+
+    def __init__(self, path: str):
+        self.tokenizer = _tokenizer(path)
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        return [np.array(self.tokenizer.encode(t.decode("utf-8", "replace"), add_special_tokens=False).ids, dtype="<u4").tobytes() for t in texts]
+
+
 class TokenCache(dict):
     """Token ids of white-space separated words, as little-endian unsigned 32-bit bytes.
 
@@ -58,14 +94,12 @@ class TokenCache(dict):
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
         super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer = _tokenizer(path)
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
         self.old: dict[bytes, bytes] = {}
+        self.held = 0
 
     def _ids(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
@@ -82,10 +116,14 @@ class TokenCache(dict):
         ids = self.old.pop(word, None)
         if ids is None:
             ids = self._ids(word)
-        if len(self) >= CACHE_WORDS:
-            self.old = dict(self)
-            self.clear()
-        self[word] = ids
+        if len(word) <= LONG_WORD:
+            size = ENTRY_BYTES + len(word) + len(ids)
+            if self.held + size > CACHE_BYTES:
+                self.old = dict(self)
+                self.clear()
+                self.held = 0
+            self[word] = ids
+            self.held += size
         return ids
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
@@ -93,14 +131,24 @@ class TokenCache(dict):
         return [b"".join(map(take, (t if b"<|" in t else t.lower()).split())) for t in texts]
 
 
-_caches: dict[str, TokenCache] = {}
+def encoder(path: str) -> TokenCache | WholeTexts:
+    """The encoder that gives a tokenizer file's ids."""
+    with open(path, encoding="utf-8") as f:
+        parts = json.load(f)
+    special = all(t["content"].startswith("<|") and not (t["lstrip"] or t["rstrip"] or t["single_word"]) for t in parts["added_tokens"])
+    suffixed = parts["model"]["type"] == "BPE" and parts["model"].get("end_of_word_suffix") == "</w>"
+    wordwise = special and suffixed and (parts["normalizer"], parts["pre_tokenizer"]) == WORDWISE
+    return TokenCache(path) if wordwise else WholeTexts(path)
 
 
-def token_cache(path: str) -> TokenCache:
-    """The worker's cache for a tokenizer file; it outlives tasks."""
-    if path not in _caches:
-        _caches[path] = TokenCache(path)
-    return _caches[path]
+_encoders: dict[str, TokenCache | WholeTexts] = {}
+
+
+def worker_encoder(path: str) -> TokenCache | WholeTexts:
+    """The worker's encoder for a tokenizer file; it outlives tasks."""
+    if path not in _encoders:
+        _encoders[path] = encoder(path)
+    return _encoders[path]
 
 
 class Packer:
@@ -139,9 +187,7 @@ class Packer:
         level = int(np.argmin(change))
         pieces = []
         if level:
-            pieces = self.open[level].pop()
-            self.levels[level] -= 1
-            self.count -= 1
+            pieces = self._take(level)
         pieces.append(piece)
         if level + size == self.window:
             self._emit(pieces)
@@ -150,15 +196,44 @@ class Packer:
         self.levels[level + size] += 1
         self.count += 1
         if self.count > self.limit:
-            self.join(final=False)
-
-    def join(self, final: bool) -> None:
-        """Join the open windows and cut them into full ones; at the end the rest into powers of two."""
+            self._close_one()
+
+    def _take(self, level: int) -> list[tuple]:
+        self.levels[level] -= 1
+        self.count -= 1
+        return self.open[level].pop()
+
+    def _close_one(self) -> None:
+        """The fullest open window takes tokens from the emptiest until it is full or the other is gone."""
+        used = np.flatnonzero(self.levels)
+        high = int(used[-1])
+        pieces = self._take(high)
+        low = int(np.flatnonzero(self.levels)[0])
+        other = self._take(low)
+        room = self.window - high
+        while other and room:
+            doc, start, ids, total = other.pop()
+            if len(ids) // 4 > room:
+                other.append((doc, start, ids[: -4 * room], total))
+                start, ids = start + len(ids) // 4 - room, ids[-4 * room :]
+            pieces.append((doc, start, ids, total))
+            room -= len(ids) // 4
+        for rest in (pieces, other):
+            level = sum(len(p[2]) // 4 for p in rest)
+            if level == self.window:
+                self._emit(rest)
+            elif rest:
+                self.open.setdefault(level, []).append(rest)
+                self.levels[level] += 1
+                self.count += 1
+
+    def join(self) -> None:
+        """Join the open windows and cut them into full ones, the rest into powers of two."""
         queue = [p for level in sorted(self.open, reverse=True) for pieces in self.open[level] for p in pieces]
         self.open, self.count = {}, 0
         self.levels[:] = 0
         left = sum(len(p[2]) // 4 for p in queue)
-        target, now, filled = self._target(left, final), [], 0
+        target, now, filled = self._target(left), [], 0
         queue.reverse()
         while queue and target:
             doc, start, ids, total = queue.pop()
@@ -170,21 +245,19 @@ class Packer:
             if filled == target:
                 self._emit(now)
                 left -= target
-                target, now, filled = self._target(left, final), [], 0
-        for piece in reversed(queue):
-            self._place(piece)
+                target, now, filled = self._target(left), [], 0
 
-    def _target(self, left: int, final: bool) -> int:
+    def _target(self, left: int) -> int:
         if left >= self.window:
             return self.window
-        return 1 << (left.bit_length() - 1) if final and left else 0
+        return 1 << (left.bit_length() - 1) if left else 0
 
 
 def _pack(path: str, window: int, end_id: int, open_windows: int, with_ids: bool):
     tail = np.array([end_id], dtype="<u4").tobytes()
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = token_cache(path)
+        cache = worker_encoder(path)
         packer = Packer(window, open_windows, TaskContext.get().partitionId() << 33)
 
         def out() -> pa.RecordBatch:
@@ -214,7 +287,7 @@ def _pack(path: str, window: int, end_id: int, open_windows: int, with_ids: bool
                     packer.add(doc, ids + tail)
                 if packer.done:
                     yield out()
-        packer.join(final=True)
+        packer.join()
         if packer.done:
             yield out()
 

@@ -325,10 +325,56 @@ def test_sum_of_squares_choice():
     # Two windows at 6 score 4; a third document of 3 lowers the sum by splitting them.
     assert dict(Counter({h: int(c) for h, c in enumerate(p.levels) if c})) in ({6: 1, 9: 1, 3: 1}, {9: 2})
     p.add(9, one(4))
-    p.join(final=True)
+    p.join()
     assert sum(len(r[2]) // 4 for r in p.done) == 22
 
 
+def test_one_window_closes_when_too_many_are_open():
+    p = packing.Packer(10, 4, 0)
+    for doc in range(9):
+        p.add(doc, bytes([doc]) * 4 * 7)
+        assert p.count <= 4 and p.count == sum(map(len, p.open.values())) == int(p.levels.sum())
+    assert p.done
+    sizes = Counter()
+    for _, _, ids, _, sequence, _ in p.done:
+        sizes[sequence] += len(ids) // 4
+    assert set(sizes.values()) == {10}
+    p.join()
+    pieces = defaultdict(list)
+    for doc, start, ids, total, _, _ in p.done:
+        assert set(ids) == {doc} and total == 7
+        pieces[doc] += range(start, start + len(ids) // 4)
+    assert all(sorted(v) == list(range(7)) for v in pieces.values()) and len(pieces) == 9
+
+
+def test_other_tokenizers_encode_whole_texts(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    other, texts = Tokenizer.from_file(path), ["Two Words, here.\n\n And  MORE", None, "", "a" * 5000]
+    got = {r.doc_id: r for r in packing.pack(documents(spark, list(enumerate(texts))), path, window=8192, end_id=7).collect()}
+    want = {i: other.encode(t or "", add_special_tokens=False).ids + [7] for i, t in enumerate(texts)}
+    joined = defaultdict(list)
+    for r in sorted(packing.pack(documents(spark, list(enumerate(texts))), path, window=8192, end_id=7).collect(), key=lambda r: (r.doc_id, r.start)):
+        joined[r.doc_id] += r.ids
+    assert joined == want and got.keys() == want.keys()
+
+
+def test_token_cache_is_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(packing, "CACHE_BYTES", 20_000)
+    cache = packing.encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [" ".join(f"w{i}x{j}" for j in range(50)).encode() for i in range(20)] + [b"y" * 5000, b"w0x1 w19x3"]
+    plain = packing.WholeTexts(public_tokenizers.path("word_bpe_49k.json"))
+    assert cache.encode(texts) == plain.encode(texts)
+    size = sum(packing.ENTRY_BYTES + len(k) + len(v) for k, v in cache.items())
+    assert size == cache.held <= 20_000 and max(map(len, cache)) <= packing.LONG_WORD
+
+
+def test_packing_packs_repeated_rows_again(spark):
+    out = packing.pack(documents(spark, [(1, "same text")] * 3), public_tokenizers.path("word_bpe_49k.json")).collect()
+    assert sum(r.length for r in out) == 3 * out[0].doc_tokens
+
+
 def test_packing_of_an_empty_table(spark):
     assert packing.pack(documents(spark, []), public_tokenizers.path("word_bpe_49k.json")).count() == 0
 
