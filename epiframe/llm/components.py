@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from epiframe.llm.staging import staged
+from epiframe.llm.staging import dropped, staged
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -27,7 +27,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     Edges with a null end or equal ends are ignored; repeated edges count once.
     Rounds grow with the logarithm of the longest path; each is written to the
-    shared folder, so a lost executor costs one round at most.  Only one row of
+    shared folder and the one before goes, so a lost executor costs one round at most.  Only one row of
     counts per round reaches the driver.
     """
     now = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
@@ -37,7 +37,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         if mark == before or mark[0] == 0:
             break
         before = mark
-        now = staged(_star(_star(now, True), False), "edges")
+        old, now = now, staged(_star(_star(now, True), False), "edges")
+        dropped(old)
     found = now.groupBy("a").agg(F.min("b").alias("b"))
     roots = found.select(F.col("b").alias("a"), F.col("b")).distinct()
     return found.union(roots).select(F.col("a").alias("node"), F.col("b").alias("component"))

@@ -364,7 +364,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     spark = docs.sparkSession
     text = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, item_id long, edits long, start_word long"
-    passes = (map_arrow(text, _scan(spark.sparkContext.broadcast(Block(ids, texts, edits, tables, sample))), schema) for ids, texts in _blocks(benchmark))
+    blocks = (spark.sparkContext.broadcast(Block(ids, texts, edits, tables, sample)) for ids, texts in _blocks(benchmark))
+    passes = ((map_arrow(text, _scan(b), schema), b) for b in blocks)
     out = united(passes, spark.createDataFrame([], schema))
     best = out.groupBy("doc_id", "item_id").agg(F.min(F.struct("edits", "start_word")).alias("m"))
     return best.select("doc_id", "item_id", "m.edits", "m.start_word")

@@ -1,14 +1,17 @@
 """MinHash near-dedup with an LSH forest, links confirmed on full shingle sets.
 
-* Documents with the same shingle set form a class; its smallest id stands for
-  it, so thousands of copies cost one signature.
+* Documents with the same shingle set form a class, known by a key of the set, so
+  thousands of copies cost one signature.
 * Each tree of the forest is an order of the class signatures: tree ``t`` reads
   the hashes from ``t * DEPTH`` on, around the end.  Classes that agree on the
   first ``DEPTH`` values of a tree form a region of that order.
-* Every class is a candidate with the smallest id of its regions, and with the
+* Every class is a candidate with the smallest key of its regions, and with the
   neighbour of longest common prefix over all orders; a prefix goes as deep as
   its region needs.  That links a large group of near copies with two
   candidates a class, however many regions share them.
+* Regions that then hold several components are walked deeper: in each of their
+  orders, neighbours of longest common prefix that lie in different components
+  are the next candidates.
 * After these links, the classes of regions that still hold several components
   are gone through again, by an exact prefix-filter join that covers all pairs
   of different components and needs no bound on a region's size.
@@ -16,7 +19,9 @@
 Shingles: ``words`` consecutive words after A-Z are lower-cased; shorter texts
 are one shingle; empty and null texts have none and are linked with nothing.
 A row without an id is linked with nothing, its component is null and it is
-kept.  Rows that share an id are one node.  Sets are compared by 64-bit hashes.
+kept.  Rows that share an id are linked, whatever their texts; each keeps its own
+set, and links are confirmed on the sets of all its texts.  Sets are compared by
+64-bit hashes, and known by 192 bits of them.
 A link needs 100 * |intersection| >= PERCENT * |union|.
 """
 
@@ -30,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from epiframe.llm.components import components
-from epiframe.llm.staging import map_arrow, staged
+from epiframe.llm.staging import dropped, map_arrow, staged
 from epiframe.llm.textscan import Words, chunks, mix, rolling, signed, window_rows
 
 SHINGLE = 5
@@ -64,19 +69,29 @@ def signature(shingles: np.ndarray) -> np.ndarray:
     return (low >> np.uint64(32)).astype(np.uint32)
 
 
+def _digest(shingles: np.ndarray) -> tuple[np.uint64, np.uint64]:
+    """Two hashes of a set."""
+    if not len(shingles):
+        return np.uint64(0), np.uint64(0)
+    return np.bitwise_xor.reduce(mix(shingles)), np.add.reduce(mix(shingles ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+
+
 def _describe(width: int):
+    """(id, text_hash, text) -> (id, text_hash, size, one, two, sig)."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, raw, at in chunks(batch.column(1)):
+            for lo, hi, raw, at in chunks(batch.column(2)):
                 size, one, two, sig = [], [], [], []
                 for s in shingle_sets(raw, at, width):
                     size.append(len(s))
-                    one.append(np.bitwise_xor.reduce(mix(s)) if len(s) else np.uint64(0))
-                    two.append(np.add.reduce(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))) if len(s) else np.uint64(0))
+                    x, y = _digest(s)
+                    one.append(x)
+                    two.append(y)
                     sig.append(signature(mix(s)).astype(">u4").tobytes() if len(s) else b"")
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(signed(np.array(one, np.uint64))), pa.array(signed(np.array(two, np.uint64))), pa.array(sig, pa.binary())],
-                    names=["id", "size", "one", "two", "sig"],
+                    [batch.column(0).slice(lo, hi - lo), batch.column(1).slice(lo, hi - lo), pa.array(size, pa.int64()), pa.array(signed(np.array(one, np.uint64))), pa.array(signed(np.array(two, np.uint64))), pa.array(sig, pa.binary())],
+                    names=["id", "text_hash", "size", "one", "two", "sig"],
                 )
 
     return scan
@@ -85,8 +100,13 @@ def _describe(width: int):
 def _sets(width: int):
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lo, hi, raw, at in chunks(batch.column(1)):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array([signed(s) for s in shingle_sets(raw, at, width)], pa.list_(pa.int64()))], names=["id", "set"])
+            for _, _, raw, at in chunks(batch.column(0)):
+                sets = list(shingle_sets(raw, at, width))
+                one, two = zip(*map(_digest, sets))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([len(s) for s in sets], pa.int64()), pa.array(signed(np.array(one, np.uint64))), pa.array(signed(np.array(two, np.uint64))), pa.array([signed(s) for s in sets], pa.list_(pa.int64()))],
+                    names=["size", "one", "two", "set"],
+                )
 
     return scan
 
@@ -128,7 +148,7 @@ def _size_ok(sizes: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def forest_regions(classes: DataFrame) -> DataFrame:
-    """(region, rep, low, n): for each tree, the classes that share its first DEPTH values with another; low is the region's smallest id."""
+    """(region, rep, low, n): for each tree, the classes that share its first DEPTH values with another; low is the region's smallest key."""
     step = 4 * DEPTH
     keys = classes.where("size > 0").select(
         F.col("id").alias("rep"),
@@ -161,43 +181,86 @@ def _prefix_pairs(crowd: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return rows.join(other, "shingle").where(order & (F.col("component") != F.col("component2")) & fits).select(*_ordered("id", "id2")).distinct()
 
 
+def _class_key():
+    """The key of a class, from the hashes and the size of its set."""
+    return F.xxhash64("one", "two", "size")
+
+
+def _mixed(regions: DataFrame, label: DataFrame) -> DataFrame:
+    """(region, id, component) of the regions that hold several components."""
+    at = regions.select("region", "tree", F.col("rep").alias("id")).join(label, "id")
+    mixed = at.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("region")
+    return at.join(mixed, "region")
+
+
+def _labels(wanted: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) of all wanted classes."""
+    found = components(links).select(F.col("node").alias("id"), "component")
+    return wanted.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """(id, size, component) for every row of ``docs``; component is the smallest id linked with it, directly or not."""
-    text = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    described = staged(map_arrow(text, _describe(width), "id long, size long, one long, two long, sig binary"), "described")
-    named = described.where("id is not null and size > 0")
-    classes = staged(named.groupBy("one", "two", "size").agg(F.min("id").alias("id"), F.first("sig").alias("sig")), "classes")
-    sizes = classes.groupBy("id").agg(F.max("size").alias("size"))
+    return _grouped(docs, id_col, text_col, width, percent, True).select("id", "size", "component")
+
+
+def near_duplicate_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """(id, text_hash, size, group) for every row of ``docs``: its near-duplicate group by its text alone, whatever its id.
+
+    ``text_hash`` is xxhash64 of the text, by which rows of one id are told apart; ``group`` is null for texts without shingles.
+    """
+    return _grouped(docs, id_col, text_col, width, percent, False).select("id", "text_hash", "size", F.col("root").alias("group"))
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, join_ids: bool) -> DataFrame:
+    text = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
+    described = staged(map_arrow(text, _describe(width), "id long, text_hash long, size long, one long, two long, sig binary"), "described")
+    named = described.where("id is not null and size > 0" if join_ids else "size > 0").withColumn("key", _class_key())
+    holder = F.min(F.struct("id", "text_hash")).alias("holder")
+    classes = staged(named.groupBy("key").agg(F.first("size").alias("size"), holder, F.first("sig").alias("sig")).withColumnRenamed("key", "id"), "classes")
+    # Texts of one id: its class of smallest key is linked with the others.
+    shared = named.groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("top")).where("a < top").select("id", "a")
+    same_id = staged(named.select("id", F.col("key").alias("b")).join(shared, "id").where(F.col("a") < F.col("b")).where(F.lit(join_ids)).select("a", "b").distinct(), "same-id")
+    sizes = classes.select("id", "size")
     regions = staged(forest_regions(classes), "regions")
 
     order = classes.select(F.col("id").alias("rep"), "sig")
     depth = 4 * DEPTH
     tail = F.expr(f"substring(concat(sig, sig), tree * {depth} + {depth + 1}, 48)")
-    sorted_rows = (
-        regions.where("n > 2").join(order, "rep").select("region", tail.alias("tail"), "rep")
-        .repartitionByRange("region", "tail", "rep").sortWithinPartitions("region", "tail", "rep")
-    )
-    near = staged(map_arrow(sorted_rows, _neighbours, "a long, b long, lcp int"), "neighbours")
+
+    def neighbours(of: DataFrame) -> DataFrame:
+        rows = of.join(order, "rep").select("region", tail.alias("tail"), "rep").repartitionByRange("region", "tail", "rep").sortWithinPartitions("region", "tail", "rep")
+        return map_arrow(rows, _neighbours, "a long, b long, lcp int")
+
+    near = staged(neighbours(regions.where("n > 2")), "neighbours")
     deepest = near.select("a", "b", "lcp").union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "lcp")).groupBy("a").agg(F.max(F.struct("lcp", "b")).alias("m")).select(*_ordered("a", "m.b"))
     lowest = regions.where("rep <> low").groupBy("rep").agg(F.min("low").alias("low")).select(*_ordered("low", "rep"))
-    first = lowest.union(deepest).distinct()
-    first = staged(_size_ok(sizes, first, percent), "pairs")
+    first = staged(_size_ok(sizes, lowest.union(deepest).distinct(), percent), "pairs")
 
     wanted = regions.select(F.col("rep").alias("id")).distinct()
-    once = text.join(wanted, "id").dropDuplicates(["id"])
-    sets = staged(map_arrow(once, _sets(width), "id long, set array<long>"), "sets")
-    links = staged(_confirm(first, sets, percent), "links")
-
-    found = components(links)
-    label = wanted.join(found.select(F.col("node").alias("id"), "component"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-    at = regions.select("region", F.col("rep").alias("id"), "n").join(label, "id")
-    mixed = at.groupBy("region").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("region")
-    open_ = staged(at.join(mixed, "region"), "open")
-    second = _prefix_pairs(open_.select("id", "component").distinct(), sets, percent).join(first, ["a", "b"], "left_anti")
-    second = staged(second, "second")
-    all_links = links.union(_confirm(second, sets, percent))
-    joined = staged(components(all_links), "components")
-
-    of_class = classes.select("one", "two", "size", F.col("id").alias("rep")).join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("one", "two", "size", F.coalesce("component", "rep").alias("component"))
-    merged = described.join(of_class, ["one", "two", "size"], "left")
-    return merged.select("id", "size", F.when(F.col("id").isNull(), None).otherwise(F.coalesce("component", "id")).alias("component"))
+    holders = wanted.join(classes.select("id", "holder"), "id").select(F.col("holder").alias("row")).distinct()
+    texts = text.select(F.struct("id", "text_hash").alias("row"), "text").join(holders, "row")
+    found_sets = map_arrow(texts.select("text"), _sets(width), "size long, one long, two long, set array<long>").select(_class_key().alias("id"), "set")
+    sets = staged(found_sets.join(wanted, "id").dropDuplicates(["id"]), "sets")
+    links = staged(_confirm(first, sets, percent).union(same_id), "links")
+
+    label = staged(_labels(wanted, links), "labels")
+    open_ = staged(_mixed(regions, label), "open")
+    walked = neighbours(open_.select(F.col("id").alias("rep"), "region", "tree"))
+    apart = walked.select("a", "b").distinct().join(label.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(label.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
+    deeper = staged(_size_ok(sizes, apart.where("ca <> cb").select(*_ordered("a", "b")).distinct(), percent).join(first, ["a", "b"], "left_anti"), "deeper")
+    more = staged(links.union(_confirm(deeper, sets, percent)), "links")
+
+    label_now = staged(_labels(wanted, more), "labels")
+    crowd = staged(_mixed(open_.select("region", "tree", F.col("id").alias("rep")), label_now).select("id", "component").distinct(), "crowd")
+    second = staged(_prefix_pairs(crowd, sets, percent).join(first.union(deeper), ["a", "b"], "left_anti"), "second")
+    joined = components(more.union(_confirm(second, sets, percent)))
+    # The smallest id of each class of a component.
+    roots = classes.join(joined.select(F.col("node").alias("id"), F.col("component").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "holder.id")
+    roots = roots.toDF("key", "root", "holder")
+    lowest_id = roots.groupBy("root").agg(F.min("holder").alias("component"))
+    of_class = staged(roots.join(lowest_id, "root").select("key", "root", "component"), "components")
+    dropped(same_id, regions, near, first, sets, links, label, open_, deeper, more, label_now, crowd, second, classes)
+
+    merged = described.withColumn("key", F.when(F.col("size") > 0, _class_key())).join(of_class, "key", "left")
+    return merged.select("id", "text_hash", "size", "root", F.when(F.col("id").isNull() | (F.col("size") == 0), F.col("id")).otherwise(F.coalesce("component", "id")).alias("component"))

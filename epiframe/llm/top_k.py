@@ -205,7 +205,8 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K, id_col: str = "
             out[n] = ids[at], vectors, first.score[:, -1].copy()
         return out
 
-    passes = (map_arrow(pool, _search(spark.sparkContext.broadcast(sent(rows)), k), schema) for rows in _query_blocks(pick(queries).dropDuplicates(["id"])))
+    blocks = (spark.sparkContext.broadcast(sent(rows)) for rows in _query_blocks(pick(queries).dropDuplicates(["id"])))
+    passes = ((map_arrow(pool, _search(b, k), schema), b) for b in blocks)
     parts = united(passes, spark.createDataFrame([], schema))
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id"))
     return parts.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -147,6 +147,40 @@ def test_near_dedup_of_rows_without_ids_repeated_rows_and_no_rows(spark):
     assert near_dedup.near_duplicates(documents(spark, [])).count() == 0
 
 
+def test_near_dedup_of_texts_that_share_an_id(spark):
+    rng = random.Random(22)
+    a, b, c = (prose(rng, 80, 5000) for _ in range(3))
+    rows = [(5, a), (5, b), (3, a), (9, b + " z1"), (9, b), (20, c), (21, c + " end"), (20, prose(rng, 40, 5000)), (30, ""), (30, None), (31, "")]
+    out = near_dedup.near_duplicates(documents(spark, rows)).collect()
+    got = defaultdict(set)
+    for r in out:
+        got[r.id].add(r.component)
+    assert got == {5: {3}, 3: {3}, 9: {3}, 20: {20}, 21: {20}, 30: {30}, 31: {31}} and len(out) == len(rows)
+
+
+def test_near_dedup_of_very_long_texts(spark):
+    rng = random.Random(23)
+    long = prose(rng, 120_000, 50_000)
+    rows = [(1, long), (2, long + " one more"), (3, prose(rng, 60_000, 50_000)), (4, "x" * 1_000_000), (5, "x" * 1_000_000)]
+    assert {r.id: r.component for r in near_dedup.near_duplicates(documents(spark, rows)).collect()} == {1: 1, 2: 1, 3: 3, 4: 4, 5: 4}
+
+
+def test_staged_tables_go(spark):
+    from pathlib import Path
+
+    from epiframe.llm import staging
+
+    folder = Path(staging.shared_folder(spark).removeprefix("file:"))
+    before = set(folder.iterdir())
+    near_dedup.near_duplicates(documents(spark, [(1, "a b c d e f g h"), (2, "a b c d e f g h i"), (3, "z")])).collect()
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
+    assert {"epiframe-described", "epiframe-components"} <= left and not left & {"epiframe-sets", "epiframe-regions", "epiframe-links"}
+    with staging.scratch(spark):
+        near_dedup.near_duplicates(documents(spark, [(1, "a b c")])).collect()
+        inside = set(folder.iterdir())
+    assert inside > set(folder.iterdir())
+
+
 def test_prefix_join_finds_every_link(spark):
     rng = random.Random(3)
     sets = {i: frozenset(rng.sample(range(60), rng.randrange(15, 40))) for i in range(120)}

@@ -32,6 +32,16 @@ def test_near_stage_keeps_one_of_each_group(spark):
     assert sorted((r.doc_id or 0) for r in out.collect()) == [0, 1, 3, 4, 5]
 
 
+def test_near_stage_loses_no_distinct_text(spark):
+    rng = random.Random(2)
+    a, b, c, d = (" ".join(f"w{rng.randrange(900)}" for _ in range(80)) for _ in range(4))
+    rows = [(1, a), (1, b), (1, a), (2, b + " end"), (7, c), (7, c + " end"), (None, d), (None, d), (None, a), (None, "one"), (None, "two"), (9, "one")]
+    out = sorted(((r.doc_id, r.text) for r in p.near_stage(spark, docs(spark, rows), SF).collect()), key=str)
+    either = [x for x in out if x[0] == 7]
+    assert len(either) == 1 and either[0][1].startswith(c)
+    assert [x for x in out if x[0] != 7] == sorted([(1, a), (1, b), (None, d), (None, "two"), (9, "one")], key=str)
+
+
 def test_substring_stage_cuts_passages(spark):
     passage = " ".join(f"p{i}" for i in range(50))
     out = {r.doc_id: r for r in p.substring_stage(spark, docs(spark, [(1, f"a  {passage} b"), (2, f"{passage}\nc"), (3, "d  e"), (4, None)]), SF).collect()}
