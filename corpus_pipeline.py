@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiframe.llm import decontaminate, near_dedup, packing, quality, substring_dedup
-from epiframe.llm.staging import staged
+from epiframe.llm.staging import dropped, scratch, staged
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,11 +18,17 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays: the one with the smallest id, once; rows without an id stay."""
-    found = near_dedup.near_duplicates(docs.select("doc_id", "text"))
-    gone = found.where("id <> component").select(F.col("id").alias("doc_id")).distinct()
-    named = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"])
-    return named.select(docs.columns).union(docs.where("doc_id is null"))
+    """One document of each group of near-duplicate texts stays: that of the smallest id.
+
+    Each row is judged by its own text: different texts of one id stay, and of rows with the same id and text one stays.
+    Texts without words are in no group.  Of a group without ids the text of smallest hash stays.
+    """
+    found = near_dedup.near_duplicate_texts(docs.select("doc_id", "text"))
+    row = F.struct(F.col("id").isNull().alias("n"), "id", "text_hash")
+    best = found.where("group is not null").groupBy("group").agg(F.min(row).alias("best"))
+    gone = found.join(best, "group").where(row != F.col("best")).select(F.struct(F.col("id").alias("doc_id"), "text_hash").alias("_row")).distinct()
+    keyed = docs.withColumn("_row", F.struct("doc_id", F.xxhash64("text").alias("text_hash")))
+    return keyed.join(gone, "_row", "left_anti").dropDuplicates(["_row"]).select(docs.columns)
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -56,8 +62,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages in order over ``documents``, each result written and read again."""
+    """The stages in order over ``documents``, each result written and read again; what a stage wrote on the way goes when its result is there."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        before = docs
+        with scratch(spark):
+            result = stage(spark, docs, sf_dir)
+            docs = staged(result, name, keep=True)
+        dropped(before)
     return STAGES[-1][1](spark, docs, sf_dir)
