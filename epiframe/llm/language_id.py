@@ -1,7 +1,7 @@
 """Language identification with string kernels.
 
 A text's blended spectrum is the set of its byte n-grams of 1 to ``GRAMS``
-letters (case folded, digits and white space unified), hashed to ``BUCKETS``;
+bytes (A-Z in lower case, digits and white space unified), hashed to ``BUCKETS``;
 the kernel of two texts is the share of n-grams present in both, normalised.
 Training takes at most ``PER_LANGUAGE`` labelled rows of each language, of which
 ``LANDMARKS`` are Nystroem landmarks; one-versus-rest kernel ridge regression is
@@ -15,11 +15,11 @@ without a shuffle; repeated rows are scored alike.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ LANDMARKS = 320
 RIDGE = 1e-2
 ROWS = 128
 UNKNOWN = "und"
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER = regex.compile(r"\p{L}")
 _FOLD = np.arange(256, dtype=np.uint32)
 _FOLD[65:91] += 32
 _FOLD[48:58] = 48
@@ -103,8 +103,11 @@ class Model:
 
 def train(docs: DataFrame, lang_col: str = "lang", text_col: str = "text", per_language: int = PER_LANGUAGE) -> Model:
     """Fit on a bounded sample of ``docs`` (the caller keeps held-out rows away); needs doc_id for the sample's order."""
-    sample = per_label(docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select("doc_id", lang_col, text_col), lang_col, per_language)
-    rows = sorted((r.lang, bytes(r.bits)) for r in map_arrow(sample.select(lang_col, text_col), _packed, "lang string, bits binary").collect())
+    usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}")).select("doc_id", F.col(lang_col).alias("_lang"), F.col(text_col).alias("_text"))
+    few = per_label(usable.select("doc_id", "_lang", F.xxhash64("_text").alias("_hash")), "_lang", per_language, tie="_hash")
+    # At most per_language rows a language (rounded up to whole hash classes), so this side is bounded; texts come in by the join.
+    sample = usable.withColumn("_hash", F.xxhash64("_text")).join(F.broadcast(few), ["doc_id", "_lang", "_hash"]).dropDuplicates(["doc_id", "_lang", "_hash"])
+    rows = sorted((r.lang, bytes(r.bits)) for r in map_arrow(sample.select("_lang", "_text"), _packed, "lang string, bits binary").collect())
     order = np.random.default_rng(5).permutation(len(rows))
     return Model([rows[i][0] for i in order], [rows[i][1] for i in order])
 

@@ -2,7 +2,8 @@ r"""Licence scan: digests of whole, canonical texts joined to those of known lic
 
 Canonical form, by built-in functions only: line ends unified; A-Z lower-cased;
 copyright lines removed (a line that opens, after signs, with a copyright mark
-followed by a year, a placeholder or "by", or with the copyright sign); all
+followed by a year, a placeholder or "by", or with the copyright sign; of a line
+that goes on with a licence's own first words those stay); all
 ASCII signs and the usual typographic quotes, dashes and bullets become one
 space; equivalent spellings are mapped to one (-ise and -ize, -our and -or,
 licence and license, sub license and sublicense, owner and holder, per cent and
@@ -48,7 +49,10 @@ TABLE = Path(__file__).parent / "license_digests.csv"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Typographic signs that count as punctuation.
 _SIGNS = " ©«®·»‐‑‒–—―‘’‚“”„•…™"
-_COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9]|\[|<|\{|by )|©|\(c\)[ \t]*([0-9]|copyright))[^\n]*"
+#: Words with which a licence's own text begins, on the line of a copyright statement too.
+_OPENINGS = "permission is hereby granted|permission to use|redistribution and use|this software is provided|this is free and unencumbered|licensed under the"
+#: A copyright statement, up to a licence's own words (kept) or the end of its line.
+_COPYRIGHT = r"(^|\n)[^a-z0-9\n]*(copyright[ \t]*(\(c\)|©|[0-9]|\[|<|\{|by )|©|\(c\)[ \t]*([0-9]|copyright))([^\n]*?(" + _OPENINGS + r")|[^\n]*)"
 _PUNCTUATION = r"[^a-z0-9\x{80}-\x{10FFFF}]+"
 #: (pattern, replacement) over canonical words, each followed by a space; $n stands for a group.
 _SPELLINGS = [
@@ -69,7 +73,7 @@ _SPELLINGS = [
 def canonical(text: Column) -> Column:
     """The canonical form of a whole text; null counts as empty."""
     c = F.translate(F.coalesce(text, F.lit("")), "\r" + _UPPER, "\n" + _LOWER)
-    c = F.regexp_replace(c, _COPYRIGHT, "\n")
+    c = F.regexp_replace(c, _COPYRIGHT, "\n$6")
     c = F.translate(c, _SIGNS, " " * len(_SIGNS))
     c = F.concat(F.lit(" "), F.regexp_replace(c, _PUNCTUATION, " "), F.lit(" "))
     for pattern, by in _SPELLINGS:
@@ -107,7 +111,7 @@ def _quoted(text: str) -> str:
 
 def _canonical_sql(text: str) -> str:
     c = f"translate(coalesce({text}, ''), chr(13) || '{_UPPER}', chr(10) || '{_LOWER}')"
-    c = f"regexp_replace({c}, {_quoted(_COPYRIGHT)}, chr(10), 'g')"
+    c = f"regexp_replace({c}, {_quoted(_COPYRIGHT)}, chr(10) || '{chr(92)}6', 'g')"
     c = f"translate({c}, {_quoted(_SIGNS)}, {_quoted(' ' * len(_SIGNS))})"
     c = f"' ' || regexp_replace({c}, {_quoted(_PUNCTUATION)}, ' ', 'g') || ' '"
     for pattern, by in _SPELLINGS:

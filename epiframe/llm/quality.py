@@ -10,8 +10,8 @@ runs of letters (case folded), of digits or of other signs; marker words tell of
 capitals and of a word that repeats the last one.  A two-layer numpy network
 gives a logit; a temperature fitted on a fifth of the sample calibrates it.
 
-Training takes at most ``PER_LABEL`` labelled rows of each label; tokens of those
-(2 bytes each) are all that reaches the driver.  Scoring reads every text whole,
+Training takes at most ``PER_LABEL`` labelled rows of each label, of at most
+``SAMPLE_BYTES`` each; tokens of those (2 bytes each) are all that reaches the driver.  Scoring reads every text whole,
 where it lies, without a shuffle.  Null and empty texts are scored as texts
 without words.  Without labelled rows of both labels every score is 0.5.
 """
@@ -33,12 +33,16 @@ BUCKETS = 32_768
 DIM = 64
 ONES = 4
 NEAR = 2
-PER_LABEL = 1_200
+PER_LABEL = 2_000
+#: Labelled texts of more bytes are not trained on, so that the sample is bounded in bytes too.
+SAMPLE_BYTES = 65_536
 HIDDEN = 32
 EPOCHS = 60
 DECAY = 3e-3
 RARE = 5
-PIECE = 32_768
+#: Words that are pooled at once, and of whose neighbours the context is counted at once.
+POOLED = 32_768
+PIECE = 262_144
 REJECT = 0.3
 
 _UPPER, _TITLE, _AGAIN = 0, 1, 2
@@ -101,14 +105,15 @@ def word_vectors(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     own = np.zeros((BUCKETS, DIM))
     np.add.at(own, (np.arange(BUCKETS)[:, None], place), sign)
     context = np.zeros(BUCKETS * DIM)
-    for t in texts:
-        for lo in range(0, len(t), PIECE):
-            for gap in range(1, NEAR + 1):
-                a = t[lo : lo + PIECE + gap]
-                for x, y in ((a[:-gap], a[gap:]), (a[gap:], a[:-gap])):
-                    context += np.bincount((x[:, None] * DIM + place[y]).ravel(), weights=sign[y].ravel(), minlength=BUCKETS * DIM) if len(x) > 20_000 else 0
-                    if len(x) <= 20_000:
-                        np.add.at(context, (x[:, None] * DIM + place[y]).ravel(), sign[y].ravel())
+    ids = np.concatenate(texts) if texts else np.zeros(0, np.int64)
+    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    for lo in range(0, len(ids), PIECE):
+        for gap in range(1, NEAR + 1):
+            a, d = ids[lo : lo + PIECE + gap], doc[lo : lo + PIECE + gap]
+            same = d[:-gap] == d[gap:]
+            left, right = a[:-gap][same], a[gap:][same]
+            for x, y in ((left, right), (right, left)):
+                context += np.bincount((x[:, None] * DIM + place[y]).ravel(), weights=sign[y].ravel(), minlength=BUCKETS * DIM)
     context = context.reshape(BUCKETS, DIM)
     norm = np.sqrt((context**2).sum(axis=1, keepdims=True))
     held = np.zeros(BUCKETS)
@@ -123,9 +128,9 @@ def pooled(vectors: np.ndarray, ids: np.ndarray, first: np.ndarray) -> np.ndarra
     total = np.zeros((n, 2 * DIM), dtype=np.float64)
     count = np.diff(first)
     doc = np.repeat(np.arange(n), count)
-    for lo in range(0, len(ids), PIECE):
-        d = doc[lo : lo + PIECE]
-        v = vectors[ids[lo : lo + PIECE + 1]]
+    for lo in range(0, len(ids), POOLED):
+        d = doc[lo : lo + POOLED]
+        v = vectors[ids[lo : lo + POOLED + 1]]
         cut = np.flatnonzero(np.r_[True, d[1:] != d[:-1]])
         total[d[cut], :DIM] += np.add.reduceat(v[: len(d)], cut, axis=0)
         pair = v[: len(v) - 1] * v[1:]
@@ -199,8 +204,9 @@ def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_col: str = "text", per_label_rows: int = PER_LABEL) -> Model:
     """Fit on a bounded sample of the labelled rows that are not held out; of several labels of one id the largest counts."""
     known = labels.where(F.col(label_col).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
+    short = docs.where(F.coalesce(F.octet_length(text_col), F.lit(0)) <= SAMPLE_BYTES).select("doc_id", F.col(text_col).alias("text"))
     few = per_label(known, "label", per_label_rows)
-    sample = docs.select("doc_id", F.col(text_col).alias("text")).join(F.broadcast(few), "doc_id").select("label", "text")
+    sample = short.join(F.broadcast(few), "doc_id").select("label", "text")
     rows = sorted((r.label, bytes(r.ids)) for r in map_arrow(sample, _tokens, "label int, ids binary").collect())
     return Model([np.frombuffer(b, "<u2").astype(np.int64) for _, b in rows], np.array([label for label, _ in rows]))
 

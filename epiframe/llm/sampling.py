@@ -17,12 +17,12 @@ def held_out(id_col: str = "doc_id") -> Column:
 CLASSES = 16
 
 
-def per_label(rows: DataFrame, label: str, most: int, id_col: str = "doc_id") -> DataFrame:
-    """At most ``most`` rows of each label (up to rounding): those of lowest hash in each hash class of the id.
+def per_label(rows: DataFrame, label: str, most: int, id_col: str = "doc_id", tie: str | None = None) -> DataFrame:
+    """At most ``most`` rows of each label (up to rounding): those of lowest hash in each hash class of the id; ``tie`` orders rows of one id.
 
-    Every task keeps only its own lowest rows of a class before the shuffle.
+    Every task keeps only its own lowest rows of a class before the shuffle; ``rows`` should be ids and labels, without texts.
     """
     each = -(-most // CLASSES)
     part = F.pmod(F.xxhash64(F.lit(1), id_col), F.lit(CLASSES))
-    order = Window.partitionBy(label, "_class").orderBy(F.xxhash64(id_col), F.col(id_col))
+    order = Window.partitionBy(label, "_class").orderBy(F.xxhash64(id_col), F.col(id_col), *([tie] if tie else []))
     return rows.withColumn("_class", part).withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") <= each).drop("_rank", "_class")

@@ -1,8 +1,8 @@
 """Exact top-k search by inner product: a ball tree for each shard, branch and bound.
 
 Components are turned into integers, floor(SCALE * x), so scores are exact and
-ties are real; ties go to the smaller id.  A shard is a bounded run of vectors
-inside a task; its ball tree is walked best node first, a node's upper bound for
+ties are real; ties go to the smaller id.  A shard is a run of vectors inside a
+task, of at most twice ``SHARD_BYTES``; its ball tree is walked best node first, a node's upper bound for
 a query being <q, centre> + |q| * radius, and queries whose bound is below
 their current kth score leave the node.  The kth score is shared: from shard to
 shard within a task, and into every task from a first look at ``PROBE``
@@ -35,7 +35,7 @@ from epiframe.llm.staging import map_arrow, united
 SCALE = 64
 K = 20
 LEAF = 512
-SHARD = 65_536
+SHARD_BYTES = 64 << 20
 BLOCK = 16_384
 PROBE = 4_096
 GROUP = 1_024
@@ -156,9 +156,10 @@ def _search(block, k: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for n, (rows, vectors) in integer_vectors(batch.column(1)).items():
                 if n in queries:
-                    for lo in range(0, len(rows), SHARD):
-                        held[n].append((ids[rows[lo : lo + SHARD]], vectors[lo : lo + SHARD]))
-                        if sum(len(x) for x, _ in held[n]) >= SHARD:
+                    size = max(1, SHARD_BYTES // (8 * n))
+                    for lo in range(0, len(rows), size):
+                        held[n].append((ids[rows[lo : lo + size]], vectors[lo : lo + size]))
+                        if sum(len(x) for x, _ in held[n]) >= size:
                             shard(n)
         for n, q in queries.items():
             shard(n)

@@ -516,12 +516,27 @@ def test_pages_give_their_articles(spark, sf):
 def test_license_spellings(spark):
     mit = dict(license_digest.LICENSES)["MIT"]
     same = ["MIT\n"[:0] + mit, f"Copyright (c) 2020 Some One\n\n{mit}", "© 1999 X\n(c) 2001 Y\n" + mit.upper(), mit.replace("sublicense", "sub-licence").replace(" ", "\r\n").replace('"', "“")]
+    same += [f"Copyright (c) 2020 Some One. {mit}", f"Copyright 2019 A\nCopyright 2020 B, C <c@d.org> All rights reserved. {mit}", mit]
     other = [None, "", mit + " more", mit[: len(mit) // 2], "The above copyright notice"]
     out = license_digest.scan(documents(spark, list(enumerate(same + other)))).select("doc_id", "_license").collect()
     assert [r._license for r in sorted(out, key=lambda r: r.doc_id)] == ["MIT"] * len(same) + [None] * len(other)
     assert license_digest.scan(documents(spark, [])).count() == 0
 
 
+def test_license_of_very_long_texts_repeated_rows_and_its_sql(spark, tmp_path):
+    import duckdb
+
+    mit, isc = dict(license_digest.LICENSES)["MIT"], dict(license_digest.LICENSES)["ISC"]
+    rows = [(1, mit), (1, mit), (2, f"(c) 2001 X {isc}"), (3, "word " * 400_000 + mit), (4, "copyright " * 100_000), (5, isc + " not"), (None, mit), (6, f"Copyright 2020 a\n© b\n{isc}")]
+    df = documents(spark, rows)
+    got = license_digest.scan(df).select("doc_id", F.col("_digest").alias("digest"), F.col("_license").alias("license_id")).collect()
+    df.select("doc_id", "text").write.parquet(f"{tmp_path}/documents")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents/*.parquet'")
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, con.execute(license_digest.ORACLE).fetchall()))
+    assert Counter(r.license_id for r in got) == {"MIT": 3, "ISC": 2, None: 3}
+
+
 def test_license_digests_are_distinct(spark):
     assert license_digest.catalogue(spark).select("license_digest").distinct().count() == len(license_digest.LICENSES)
 
@@ -567,6 +582,9 @@ def test_language_edges(spark):
     model = language_id.train(spark.createDataFrame([(i, "en" if i % 2 else "de", "the of and" if i % 2 else "der die und") for i in range(40)], "doc_id long, lang string, text string"))
     out = {r.doc_id: r for r in language_id.predict(documents(spark, [(1, None), (2, ""), (3, "12 !?"), (4, "the und of and the"), (5, "der " * 50000)]), model).collect()}
     assert [out[i]._lang for i in (1, 2, 3, 4, 5)] == ["und", "und", "und", "en", "de"]
+    odd = [(1, "²"), (2, "½ 3"), (3, "_"), (4, "ª"), (5, "日本"), (5, "日本")]
+    assert [r._lang == "und" for r in sorted(language_id.predict(documents(spark, odd), model).collect(), key=lambda r: r.doc_id)] == [True, True, True, False, False, False]
+    assert language_id.predict(documents(spark, []), model).count() == 0
     none = language_id.train(spark.createDataFrame([], "doc_id long, lang string, text string"))
     assert language_id.predict(documents(spark, [(1, "word")]), none).first()._lang == "und"
 
@@ -586,6 +604,37 @@ def test_quality_edges(spark):
     assert out == {1: 0.5, 2: 0.5}
 
 
+def test_quality_of_very_long_texts_repeated_rows_and_no_rows(spark):
+    rng = random.Random(31)
+    rows = [(i, prose(rng, 50, 300) if i % 2 else "!!! 111 " * 20) for i in range(200)] + [(300, "x" * 200_000), (301, prose(rng, 30_000, 300)), (302, prose(rng, 50, 300))]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)] + [(300, 1), (7, 0)], "doc_id long, quality int")
+    model = quality.train(documents(spark, rows), labels)
+    out = defaultdict(set)
+    for r in quality.score(documents(spark, [*rows, rows[302 - 100]]), model).collect():
+        out[r.doc_id].add(r._score)
+    assert all(len(s) == 1 for s in out.values()) and all(0 <= min(s) <= 1 for s in out.values())
+    assert min(out[301] | out[302]) > 0.5 > max(out[0])
+    assert quality.score(documents(spark, []), model).count() == 0
+
+
+def test_context_vectors_equal_brute_force():
+    rng = np.random.default_rng(32)
+    texts = [rng.integers(8, 40, n) for n in (0, 1, 2, 30, 200)]
+    place, sign = quality.index_vectors()
+    want = np.zeros((quality.BUCKETS, quality.DIM))
+    for t in texts:
+        for i, x in enumerate(t):
+            for j in range(max(0, i - quality.NEAR), min(len(t), i + quality.NEAR + 1)):
+                if i != j:
+                    np.add.at(want[x], place[t[j]], sign[t[j]])
+    own = np.zeros_like(want)
+    np.add.at(own, (np.arange(quality.BUCKETS)[:, None], place), sign)
+    norm = np.sqrt((want**2).sum(axis=1, keepdims=True))
+    got, held = quality.word_vectors(texts)
+    assert np.allclose(got, (own + 2 * want / np.maximum(norm, 1)) / 2, atol=1e-6)
+    assert held[texts[3][0]] == sum(texts[3][0] in t for t in texts)
+
+
 def test_quality_tokens():
     raw = np.frombuffer("The cat CAT 12!! cat cat".encode(), np.uint8)
     ids, first = quality.tokens(raw, np.array([0, len(raw)]))
@@ -622,6 +671,14 @@ def test_top_k_equals_brute_force(spark, monkeypatch, block):
     assert not got
 
 
+def test_top_k_of_no_rows_and_with_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(top_k, "SHARD_BYTES", 64)
+    df = spark.createDataFrame([(i, [float(i), 1.0], 1, 2, 3) for i in range(41)], "vec_id long, embedding array<double>, id int, score int, rank int")
+    got = top_k.top_k(df.where("vec_id % 20 = 0"), df, k=2).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(0, 1, 1), (0, 2, 2), (20, 1, 40), (20, 2, 39), (40, 1, 39), (40, 2, 38)]
+    assert top_k.top_k(df.limit(0), df).count() == 0 == top_k.top_k(df, df.limit(0)).count()
+
+
 def test_ball_tree_prunes():
     rng = np.random.default_rng(10)
     centres = rng.normal(size=(20, 8)) * 1000
