@@ -144,6 +144,24 @@ def distances(items: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return row.min(axis=1)
 
 
+#: Pairs of places and items that are held at once.
+PORTION = 1_000_000
+
+
+def _portions(many: np.ndarray) -> Iterator[slice]:
+    """Slices of an array of counts that each add up to at most PORTION, or hold one count."""
+    upto, lo = np.cumsum(many), 0
+    while lo < len(many):
+        hi = max(lo + 1, int(np.searchsorted(upto, (upto[lo - 1] if lo else 0) + PORTION, side="right")))
+        yield slice(lo, hi)
+        lo = hi
+
+
+def _spread(start: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... of many[0] numbers, then those of start[1], and so on."""
+    return np.repeat(start - (np.cumsum(many) - many), many) + np.arange(many.sum())
+
+
 class Block:
     """Items of the benchmark with their seeds and LSH keys."""
 
@@ -207,11 +225,11 @@ class Block:
                 continue
             lo = lo[hit]
             many = np.searchsorted(run, grams[hit], side="right") - lo
-            at = np.repeat(hit, many)
-            which = np.repeat(lo - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            begin, n = at - place[which], self.sizes[piece[which]]
-            for length in np.unique(n):
-                found.setdefault(int(length), []).append(np.unique(begin[n == length]))
+            for part in _portions(many):
+                which = _spread(lo[part], many[part])
+                begin, n = np.repeat(hit[part], many[part]) - place[which], self.sizes[piece[which]]
+                for length in np.unique(n):
+                    found.setdefault(int(length), []).append(np.unique(begin[n == length]))
         out = {}
         for n, parts in found.items():
             start = np.unique(np.concatenate(parts))
@@ -233,10 +251,11 @@ class Block:
             _, at = np.unique(np.stack([doc, lo[hit]], axis=1), axis=0, return_index=True)
             hit, doc = hit[at], doc[at]
             many = np.searchsorted(run, grams[hit], side="right") - lo[hit]
-            which = np.repeat(lo[hit] - (np.cumsum(many) - many), many) + np.arange(many.sum())
-            at, doc = np.repeat(hit, many), np.repeat(doc, many)
-            same = (hashes[at[:, None] + np.arange(n)] == stack[which]).all(axis=1)
-            found.append(np.stack([doc, item[which], at - first[doc]], axis=1)[same])
+            for part in _portions(many):
+                which = _spread(lo[hit[part]], many[part])
+                at, holder = np.repeat(hit[part], many[part]), np.repeat(doc[part], many[part])
+                same = (hashes[at[:, None] + np.arange(n)] == stack[which]).all(axis=1)
+                found.append(np.stack([holder, item[which], at - first[holder]], axis=1)[same])
         return tuple(np.concatenate(found).T)
 
     def gather(self, raw: np.ndarray, at: np.ndarray, base: int, into: dict[int, list]) -> None:
@@ -262,6 +281,18 @@ class Block:
         if len(held := np.unique(np.concatenate(docs))):
             into.setdefault(0, []).append((held + base, [hashes[first[d] : first[d + 1]].copy() for d in held]))
 
+    def _candidates(self, window: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row, piece) of the windows of n words and the pieces that have an equal key in some table, by portions of rows."""
+        lows, counts = [], []
+        for t, (sorted_keys, _) in enumerate(self.lengths[n]):
+            key = keys(window, t, self.sample)
+            lows.append(np.searchsorted(sorted_keys, key, "left"))
+            counts.append(np.searchsorted(sorted_keys, key, "right") - lows[-1])
+        for part in _portions(np.sum(counts, axis=0)):
+            rows = np.arange(len(window))[part]
+            found = [np.repeat(rows, many[part]) * len(self.pieces) + pieces[_spread(low[part], many[part])] for low, many, (_, pieces) in zip(lows, counts, self.lengths[n])]
+            yield np.divmod(np.unique(np.concatenate(found)), len(self.pieces))
+
     def decide(self, gathered: dict[int, list]) -> Iterator[tuple[int, int, int, int]]:
         """(document, item, edit distance, start word) of every verified match, the best for each pair."""
         for doc, item, start in gathered.get(-1, []):
@@ -275,23 +306,16 @@ class Block:
             k = bound(n, self.edits)
             for lo in range(0, len(doc), 8192):
                 window = words[lo : lo + 8192, k : k + n]
-                found = []
-                for t, (sorted_keys, pieces) in enumerate(self.lengths[n]):
-                    key = keys(window, t, self.sample)
-                    a = np.searchsorted(sorted_keys, key, "left")
-                    many = np.searchsorted(sorted_keys, key, "right") - a
-                    place = np.repeat(a - (np.cumsum(many) - many), many) + np.arange(many.sum())
-                    found.append(np.repeat(np.arange(len(key)), many) * len(self.pieces) + pieces[place])
-                rows, which = np.divmod(np.unique(np.concatenate(found)), len(self.pieces))
-                for at in range(0, len(rows), 1024):
-                    r, ps = rows[at : at + 1024] + lo, which[at : at + 1024]
-                    part = self.cut[ps]
-                    if part.any():
-                        part[part] = distances(np.stack([self.pieces[p][2] for p in ps[part]]), words[r[part]]) <= k
-                    keep = part | ~self.cut[ps]
-                    for j, p in zip(r[keep].tolist(), ps[keep].tolist()):
-                        i, offset, _ = self.pieces[p]
-                        pairs.setdefault((int(doc[j]), i), set()).add(int(start[j]) - offset)
+                for rows, which in self._candidates(window, n):
+                    for at in range(0, len(rows), 1024):
+                        r, ps = rows[at : at + 1024] + lo, which[at : at + 1024]
+                        part = self.cut[ps]
+                        if part.any():
+                            part[part] = distances(np.stack([self.pieces[p][2] for p in ps[part]]), words[r[part]]) <= k
+                        keep = part | ~self.cut[ps]
+                        for j, p in zip(r[keep].tolist(), ps[keep].tolist()):
+                            i, offset, _ = self.pieces[p]
+                            pairs.setdefault((int(doc[j]), i), set()).add(int(start[j]) - offset)
         for (d, i), starts in pairs.items():
             n = len(self.words[i])
             k = bound(n, self.edits)

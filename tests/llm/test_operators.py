@@ -245,6 +245,40 @@ def test_short_items_match_exactly(spark):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
 
 
+def brute_matches(items, rows):
+    """Every (document, item) with a span within the bound, by the exact edit distance of each item to each whole text."""
+    code = defaultdict(lambda: len(code))
+    fold = lambda t: np.array([code[w] for w in re.findall("[^\\W_]+", (t or "").lower())], np.int64)
+    out = {}
+    for d, t in rows:
+        for i, item in items:
+            a, b = fold(item), fold(t)
+            if len(a) and len(b):
+                edits, _ = decontaminate.best_span(a, b)
+                if edits <= decontaminate.bound(len(a)):
+                    out[d, i] = edits
+    return out
+
+
+def test_decontamination_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "PORTION", 50)
+    rng = random.Random(51)
+    stock = prose(rng, 12, 500)
+    items = [(i, f"{stock} {prose(rng, n, 500)}") for i, n in enumerate([3, 5, 8, 13, 21, 34, 55, 90, 140] * 3)] + [(40 + n, prose(rng, n, 500)) for n in range(1, 15)]
+    items += [(90, items[4][1]), (91, items[4][1].upper())]
+    rows = [(i, prose(rng, rng.randrange(60, 400), 500)) for i in range(20)] + [(50 + i, " ".join([stock] * 6)) for i in range(3)]
+    for j, (i, t) in enumerate(items):
+        w = t.split()
+        for share in (0, 0.05, 0.1, 0.15):
+            rows.append((1000 + 10 * j + int(100 * share), f"{prose(rng, 30, 500)} {' '.join(within_the_bound(rng, w, share))} {prose(rng, 30, 500)}"))
+    rows.append((9000, prose(rng, 30_000, 500) + " " + items[8][1]))
+    got = {(r.doc_id, r.item_id): r.edits for r in decontaminate.contaminated(documents(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = brute_matches(items, rows)
+    assert got.keys() <= want.keys() and all(got[k] >= want[k] for k in got)
+    assert all(got[k] == 0 for k, e in want.items() if e == 0)
+    assert len(got) >= 0.97 * len(want) and sum(got[k] == want[k] for k in got) >= 0.98 * len(got)
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 2)
     items = [(i, " ".join(f"q{i}x{j}" for j in range(20))) for i in range(5)]
