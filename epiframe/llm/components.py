@@ -34,7 +34,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     now, before = staged(now, "edges"), None
     while True:
         mark = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if mark == before or mark[0] == 0:
+        if mark[0] == 0:
+            return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
+        if mark == before:
             break
         before = mark
         old, now = now, staged(_star(_star(now, True), False), "edges")

@@ -112,7 +112,7 @@ def _sets(width: int):
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (region, rest of the order, rep) -> (a, b, lcp) for each two that follow one another in a region."""
+    """Rows sorted by (region, rest of the order, rep) -> (a, b, lcp), both ways, for each two that follow one another in a region."""
     before = (None, b"", None)
     for batch in batches:
         a, b, lcp = [], [], []
@@ -121,9 +121,9 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 depth = 0
                 while depth < len(tail) and tail[depth : depth + 4] == before[1][depth : depth + 4]:
                     depth += 4
-                a.append(before[2])
-                b.append(rep)
-                lcp.append(depth // 4)
+                a += [before[2], rep]
+                b += [rep, before[2]]
+                lcp += [depth // 4] * 2
             before = (region, tail, rep)
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(lcp, pa.int32())], names=["a", "b", "lcp"])
 
@@ -193,10 +193,12 @@ def _mixed(regions: DataFrame, label: DataFrame) -> DataFrame:
     return at.join(mixed, "region")
 
 
-def _labels(wanted: DataFrame, links: DataFrame) -> DataFrame:
-    """(id, component) of all wanted classes."""
-    found = components(links).select(F.col("node").alias("id"), "component")
-    return wanted.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+def _joined(label: DataFrame, links: DataFrame) -> DataFrame:
+    """``label`` (id, component) after ``links`` join some of its components; only links between components are gone through."""
+    of = lambda end: label.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+    between = links.join(of("a"), "a").join(of("b"), "b").where("ca <> cb").select(F.col("ca").alias("a"), F.col("cb").alias("b"))
+    found = components(between).select(F.col("node").alias("component"), F.col("component").alias("joined"))
+    return label.join(found, "component", "left").select("id", F.coalesce("joined", "component").alias("component"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -220,7 +222,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     classes = staged(named.groupBy("key").agg(F.first("size").alias("size"), holder, F.first("sig").alias("sig")).withColumnRenamed("key", "id"), "classes")
     # Texts of one id: its class of smallest key is linked with the others.
     shared = named.groupBy("id").agg(F.min("key").alias("a"), F.max("key").alias("top")).where("a < top").select("id", "a")
-    same_id = staged(named.select("id", F.col("key").alias("b")).join(shared, "id").where(F.col("a") < F.col("b")).where(F.lit(join_ids)).select("a", "b").distinct(), "same-id")
+    same_id = named.select("id", F.col("key").alias("b")).join(shared, "id").where("a < b").select("a", "b")
     sizes = classes.select("id", "size")
     regions = staged(forest_regions(classes), "regions")
 
@@ -232,8 +234,7 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
         rows = of.join(order, "rep").select("region", tail.alias("tail"), "rep").repartitionByRange("region", "tail", "rep").sortWithinPartitions("region", "tail", "rep")
         return map_arrow(rows, _neighbours, "a long, b long, lcp int")
 
-    near = staged(neighbours(regions.where("n > 2")), "neighbours")
-    deepest = near.select("a", "b", "lcp").union(near.select(F.col("b").alias("a"), F.col("a").alias("b"), "lcp")).groupBy("a").agg(F.max(F.struct("lcp", "b")).alias("m")).select(*_ordered("a", "m.b"))
+    deepest = neighbours(regions.where("n > 2")).groupBy("a").agg(F.max(F.struct("lcp", "b")).alias("m")).select(*_ordered("a", "m.b"))
     lowest = regions.where("rep <> low").groupBy("rep").agg(F.min("low").alias("low")).select(*_ordered("low", "rep"))
     first = staged(_size_ok(sizes, lowest.union(deepest).distinct(), percent), "pairs")
 
@@ -242,25 +243,24 @@ def _grouped(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     texts = text.select(F.struct("id", "text_hash").alias("row"), "text").join(holders, "row")
     found_sets = map_arrow(texts.select("text"), _sets(width), "size long, one long, two long, set array<long>").select(_class_key().alias("id"), "set")
     sets = staged(found_sets.join(wanted, "id").dropDuplicates(["id"]), "sets")
-    links = staged(_confirm(first, sets, percent).union(same_id), "links")
+    links = _confirm(first, sets, percent)
+    # Every class is there, as those of one id need not share a region.
+    label = staged(_joined(classes.select("id", F.col("id").alias("component")), links.union(same_id) if join_ids else links), "labels")
 
-    label = staged(_labels(wanted, links), "labels")
     open_ = staged(_mixed(regions, label), "open")
-    walked = neighbours(open_.select(F.col("id").alias("rep"), "region", "tree"))
-    apart = walked.select("a", "b").distinct().join(label.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(label.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
-    deeper = staged(_size_ok(sizes, apart.where("ca <> cb").select(*_ordered("a", "b")).distinct(), percent).join(first, ["a", "b"], "left_anti"), "deeper")
-    more = staged(links.union(_confirm(deeper, sets, percent)), "links")
+    walked = neighbours(open_.select(F.col("id").alias("rep"), "region", "tree")).where("a < b").select("a", "b").distinct()
+    apart = walked.join(label.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a").join(label.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b")
+    deeper = staged(_size_ok(sizes, apart.where("ca <> cb").select("a", "b"), percent).join(first, ["a", "b"], "left_anti"), "deeper")
+    label_now = staged(_joined(label, _confirm(deeper, sets, percent)), "labels")
 
-    label_now = staged(_labels(wanted, more), "labels")
     crowd = staged(_mixed(open_.select("region", "tree", F.col("id").alias("rep")), label_now).select("id", "component").distinct(), "crowd")
-    second = staged(_prefix_pairs(crowd, sets, percent).join(first.union(deeper), ["a", "b"], "left_anti"), "second")
-    joined = components(more.union(_confirm(second, sets, percent)))
+    second = _prefix_pairs(crowd, sets, percent).join(first.union(deeper), ["a", "b"], "left_anti")
+    joined = _joined(label_now, _confirm(second, sets, percent))
     # The smallest id of each class of a component.
-    roots = classes.join(joined.select(F.col("node").alias("id"), F.col("component").alias("root")), "id", "left").select("id", F.coalesce("root", "id").alias("root"), "holder.id")
-    roots = roots.toDF("key", "root", "holder")
+    roots = classes.join(joined, "id").select(F.col("id").alias("key"), F.col("component").alias("root"), F.col("holder.id").alias("holder"))
     lowest_id = roots.groupBy("root").agg(F.min("holder").alias("component"))
     of_class = staged(roots.join(lowest_id, "root").select("key", "root", "component"), "components")
-    dropped(same_id, regions, near, first, sets, links, label, open_, deeper, more, label_now, crowd, second, classes)
+    dropped(regions, first, sets, label, open_, deeper, label_now, crowd, classes)
 
     merged = described.withColumn("key", F.when(F.col("size") > 0, _class_key())).join(of_class, "key", "left")
     return merged.select("id", "text_hash", "size", "root", F.when(F.col("id").isNull() | (F.col("size") == 0), F.col("id")).otherwise(F.coalesce("component", "id")).alias("component"))
