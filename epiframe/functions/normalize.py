@@ -3,11 +3,17 @@
 Modes: ``identity`` (clamp to the range forward, nothing back), ``min/max``, any
 ``qLOW/qHIGH`` pair, ``z-score``, the tail-compressed ``z-score-tail`` and
 ``q01/q99-tail``, ``tanh`` and constant ranges ``"lo/hi"``.
+
+Statistics are columns: scalars for :func:`forward` and :func:`backward`, arrays over
+dimensions for :func:`vector`, arrays over steps of arrays over dimensions for
+:func:`chunk`.  Dimensions beyond the statistics pass through; statistics of more
+steps than a chunk has are cut, of fewer raise.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Mapping
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -19,22 +25,41 @@ TAIL = 0.075
 
 @dataclass(frozen=True)
 class Stats:
-    """Statistics of one component; each a column."""
+    """Statistics of one component, or arrays of them; each a column.  ``quantiles`` by name: q01, q99, q001, ..."""
 
     min: Column
     max: Column
     mean: Column
     std: Column
-    q01: Column
-    q99: Column
+    quantiles: Mapping[str, Column] = field(default_factory=dict)
+
+    @property
+    def q01(self) -> Column:
+        return self.quantile("q01")
+
+    @property
+    def q99(self) -> Column:
+        return self.quantile("q99")
+
+    def quantile(self, name: str) -> Column:
+        if name not in self.quantiles:
+            raise KeyError(f"the statistics have no {name}")
+        return self.quantiles[name]
+
+    def map(self, f: Callable[[Column], Column]) -> Stats:
+        return Stats(f(self.min), f(self.max), f(self.mean), f(self.std), {k: f(v) for k, v in self.quantiles.items()})
+
+    def at(self, i: Column) -> Stats:
+        """The statistics at a 0-based place of arrays."""
+        return self.map(lambda c: F.get(c, i))
 
     @staticmethod
-    def of(prefix: str = "") -> Stats:
-        return Stats(*(F.col(prefix + n) for n in ("min", "max", "mean", "std", "q01", "q99")))
+    def of(prefix: str = "", quantiles: tuple[str, ...] = ("q01", "q99")) -> Stats:
+        return Stats(*(F.col(prefix + n) for n in ("min", "max", "mean", "std")), {q: F.col(prefix + q) for q in quantiles})
 
     @staticmethod
-    def fixed(min: float, max: float, mean: float, std: float, q01: float, q99: float) -> Stats:
-        return Stats(*(F.lit(float(x)) for x in (min, max, mean, std, q01, q99)))
+    def fixed(min: float, max: float, mean: float, std: float, q01: float, q99: float, **quantiles: float) -> Stats:
+        return Stats(*(F.lit(float(x)) for x in (min, max, mean, std)), {k: F.lit(float(x)) for k, x in {"q01": q01, "q99": q99, **quantiles}.items()})
 
 
 def _range(mode: str, s: Stats) -> tuple[Column, Column]:
@@ -42,7 +67,7 @@ def _range(mode: str, s: Stats) -> tuple[Column, Column]:
         return s.min, s.max
     if mode.startswith("q"):
         low, high = mode.removesuffix("-tail").split("/")
-        return getattr(s, low), getattr(s, high)
+        return s.quantile(low), s.quantile(high)
     low, high = mode.split("/")
     return F.lit(float(low)), F.lit(float(high))
 
@@ -98,6 +123,58 @@ def backward(y: Column, mode: str, s: Stats) -> Column:
     return expand_tails(x, s) if mode.endswith("-tail") else x
 
 
+def vector(x: Column, mode: str, s: Stats, inverse: bool = False) -> Column:
+    """A vector by statistics that are arrays over its dimensions; dimensions beyond them pass through."""
+    one = backward if inverse else forward
+    return F.transform(x, lambda v, i: F.when(i < F.size(s.mean), one(v, mode, s.at(i))).otherwise(v))
+
+
+def chunk(x: Column, mode: str, s: Stats, inverse: bool = False) -> Column:
+    """A chunk of vectors by stepwise statistics; those of later steps than it has are not used, too few raise."""
+    one = backward if inverse else forward
+
+    def step(row: Column, j: Column) -> Column:
+        t = s.at(j)
+        return F.transform(row, lambda v, i: F.when(i < F.size(t.mean), one(v, mode, t.at(i))).otherwise(v))
+
+    short = F.raise_error(F.concat(F.lit("statistics of "), F.size(s.mean).cast("string"), F.lit(" steps for a chunk of "), F.size(x).cast("string")))
+    return F.when(F.size(s.mean) >= F.size(x), F.transform(x, step)).otherwise(short.cast("array<array<double>>"))
+
+
+def round_trip_error(x: Column, mode: str, s: Stats) -> Column:
+    """How far a component is from itself after both ways."""
+    return F.abs(backward(forward(x, mode, s), mode, s) - x)
+
+
+def close(x: Column, y: Column, rtol: float = 1e-5, atol: float = 1e-5) -> Column:
+    """Whether two components are equal up to the tolerances."""
+    return F.abs(x - y) <= atol + rtol * F.abs(y)
+
+
+@dataclass(frozen=True)
+class Resolved:
+    """How a part is normalised: its mode, whether by stepwise statistics, and whether results are clipped."""
+
+    mode: str
+    stepwise: bool
+    clip: bool
+
+
+def resolve(key: str, kind: str, default: str, modes: Mapping[str, str], unclipped: frozenset[str] | set[str], available: Mapping[str, set[str]], stepwise: bool, strict: bool = True) -> Resolved:
+    """The normaliser of a part; ``available`` has its kinds of statistics ("global", "stepwise").
+
+    States always take global statistics, actions stepwise ones if asked.  A part without the statistics that it needs
+    raises if ``strict``, else it is ``identity``.
+    """
+    per_step = stepwise and kind == "action"
+    mode = modes.get(key, default)
+    if ("stepwise" if per_step else "global") not in available.get(key, set()):
+        if strict and mode != "identity":
+            raise KeyError(f"no {'stepwise' if per_step else 'global'} statistics for {key}")
+        return Resolved("identity", False, False)
+    return Resolved(mode, per_step, key not in unclipped)
+
+
 def resolve_mode(key: str, default: str, exceptions: dict[str, str], available: set[str] | None = None) -> str:
     """The mode of a part: its own exception or the default; ``identity`` where it has no statistics."""
     if available is not None and key not in available:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from typing import Protocol
 
@@ -67,6 +67,51 @@ class RelativeJoint:
         return self._apply(parts, 1)
 
 
+@dataclass(frozen=True)
+class EachPart:
+    """A column function on each of some parts, with its inverse if it has one."""
+
+    keys: tuple[str, ...]
+    to: Callable[[Column], Column]
+    back: Callable[[Column], Column] | None = None
+
+    @property
+    def invertible(self) -> bool:
+        return self.back is not None
+
+    def forward(self, parts: dict[str, Column]) -> dict[str, Column]:
+        return {k: self.to(v) if k in self.keys else v for k, v in parts.items()}
+
+    def backward(self, parts: dict[str, Column]) -> dict[str, Column]:
+        return {k: self.back(v) if self.back and k in self.keys else v for k, v in parts.items()}
+
+
+@dataclass(frozen=True)
+class Composite:
+    """Transforms one after another; backward goes through those that can be inverted, last first."""
+
+    steps: tuple
+
+    @property
+    def invertible(self) -> bool:
+        return all(s.invertible for s in self.steps)
+
+    def forward(self, parts: dict[str, Column]) -> dict[str, Column]:
+        for s in self.steps:
+            parts = s.forward(parts)
+        return parts
+
+    def backward(self, parts: dict[str, Column]) -> dict[str, Column]:
+        for s in reversed(self.steps):
+            parts = s.backward(parts) if s.invertible else parts
+        return parts
+
+
+def observation_tolerance(fps: float) -> float:
+    """Seconds by which an observation may miss its time: 0.4 of a frame."""
+    return 0.4 / fps
+
+
 def relative(chunk: Column, state: Column, sign: int = -1, dims: Sequence[int] | None = None) -> Column:
     """Each step of a chunk of vectors plus ``sign`` times the state."""
     if dims is None:

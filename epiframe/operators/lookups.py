@@ -68,3 +68,13 @@ def override(rows: DataFrame, keys: Sequence[str], special: DataFrame, text: str
 def require(df: DataFrame, c: str, message: str) -> DataFrame:
     """Raises at run time where a looked-up value is null."""
     return df.withColumn(c, F.when(F.col(c).isNull(), F.raise_error(F.lit(message)).cast(df.schema[c].dataType)).otherwise(F.col(c)))
+
+
+def requested_rows(asked: DataFrame, rows: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Each request with the row it names: many requests of one row read it once, a request without a row is dropped."""
+    return asked.join(rows, list(on))
+
+
+def remapped_vocabulary(old: DataFrame, new: DataFrame, name: str, token: str) -> DataFrame:
+    """(name, old_id, new_id) over two dictionaries: null where one has no such name."""
+    return old.select(name, F.col(token).alias("old_id")).join(new.select(name, F.col(token).alias("new_id")), name, "full_outer")

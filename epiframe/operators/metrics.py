@@ -68,3 +68,14 @@ def success_rates(rows: DataFrame, task: str, success: str) -> DataFrame:
     """Successes, trials and rate of each task and, as ``__overall__``, of all together."""
     r = rows.rollup(task).agg(F.sum(F.col(success).cast("long")).alias("successes"), F.count("*").alias("trials"), F.grouping(task).alias("_g"))
     return r.select(F.when(F.col("_g") == 1, "__overall__").otherwise(F.col(task)).alias(task), "successes", "trials", (F.col("successes") / F.col("trials")).alias("rate"))
+
+
+def phase_rates(rows: DataFrame, task: str, phases: Sequence[str]) -> DataFrame:
+    """Mean of each phase's mark by task, nulls left out, and under ``__overall__`` the mean of the tasks' rates."""
+    each = rows.groupBy(task).agg(*(F.avg(F.col(p).cast("double")).alias(p) for p in phases))
+    return each.unionByName(each.agg(*(F.avg(p).alias(p) for p in phases)).withColumn(task, F.lit("__overall__")))
+
+
+def accumulated_means(rows: DataFrame, step: str, field: str, value: str, allowed: Sequence[str]) -> DataFrame:
+    """Mean over a step's micro-batches of each allowed field; fields that none reports are not there."""
+    return rows.where(F.col(field).isin(*allowed) & F.col(value).isNotNull()).groupBy(step, field).agg(F.avg(value).alias(value))

@@ -88,6 +88,60 @@ def first_movement(frames: DataFrame, key: str, order: Sequence[str], value: str
     return moved.withColumn("_start", start).where("_i >= _start").drop("_i", "_move", "_start")
 
 
+def first_movement_of(frames: DataFrame, key: str, order: Sequence[str], vectors: Sequence[str], threshold: float) -> DataFrame:
+    """As :func:`first_movement`, by the Euclidean norm of the change over all components of several vector parts."""
+    by = Window.partitionBy(key).orderBy(*order)
+    whole = F.concat(*(F.col(v).cast("array<double>") for v in vectors))
+    before = F.lag(whole).over(by)
+    square = F.aggregate(F.zip_with(whole, before, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x)
+    moved = frames.withColumns({"_i": F.row_number().over(by), "_move": F.sqrt(square)})
+    all_rows = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    start = F.coalesce(F.min(F.when(F.col("_move") > threshold, F.col("_i"))).over(all_rows), F.max("_i").over(all_rows))
+    return moved.withColumn("_start", start).where("_i >= _start").drop("_i", "_move", "_start")
+
+
+def qualified_only(rows: DataFrame, flag: str) -> DataFrame:
+    """Rows that are marked as qualified; a missing mark counts as one."""
+    return rows.where(F.coalesce(F.col(flag).cast("boolean"), F.lit(True)))
+
+
+def inside_range(episodes: DataFrame, first: str, last: str, start: int, end: int) -> DataFrame:
+    """Episodes whose frames all lie in [start, end]."""
+    return episodes.where((F.col(first) >= start) & (F.col(last) <= end))
+
+
+def unique_sorted(df: DataFrame, *columns: str) -> DataFrame:
+    """Distinct rows of some columns, in their order across partitions."""
+    return df.select(*columns).distinct().orderBy(*columns)
+
+
+def common_keys(a: DataFrame, b: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Keys that both tables have, once."""
+    return a.select(*keys).intersect(b.select(*keys))
+
+
+def active_dims(chunk: Column, thresholds: Sequence[float], relative: bool, always: Sequence[int] = ()) -> Column:
+    """For each dimension of a chunk of vectors whether it leaves its first value (or zero) by at least its threshold in the chunk's first half; those in ``always`` are."""
+    half = F.slice(chunk, 1, F.floor(F.size(chunk) / 2).cast("int"))
+
+    def moves(d: int, threshold: float) -> Column:
+        base = F.get(F.get(chunk, F.lit(0)), F.lit(d)) if relative else F.lit(0.0)
+        return F.exists(half, lambda row: F.abs(F.get(row, F.lit(d)) - base) >= threshold)
+
+    return F.array(*(F.lit(True) if d in always else moves(d, t) for d, t in enumerate(thresholds)))
+
+
+def zero_inactive_dims(chunk: Column, mask: Column) -> Column:
+    """A chunk of vectors with the dimensions whose mask is false set to 0."""
+    return F.transform(chunk, lambda row: F.zip_with(row, mask, lambda x, m: F.when(m, x).otherwise(F.lit(0.0))))
+
+
+def constant_part(chunk: Column, start: int, width: int, threshold: float) -> Column:
+    """Whether a part of a chunk of vectors stays the same at every step once it is binarised."""
+    bits = F.transform(chunk, lambda row: F.transform(F.slice(row, start + 1, width), lambda x: x > threshold))
+    return F.forall(bits, lambda b: b == F.get(bits, F.lit(0)))
+
+
 def active(chunk: Column, threshold: float, relative: bool) -> Column:
     """Whether a scalar chunk leaves its first value (or zero) by at least ``threshold`` in its first half."""
     base = F.element_at(chunk, 1) if relative else F.lit(0.0)
@@ -113,10 +167,11 @@ def all_active(width: int) -> Column:
     return F.array_repeat(F.lit(True), width)
 
 
-def noop_parts(mask: Column, padded: Column, start: int, width: int) -> Column:
-    """Whether a part is inactive or padded in every dimension."""
+def noop_parts(mask: Column, padded: Column, start: int, width: int, constant: Column | None = None) -> Column:
+    """Whether a part is inactive or padded in every dimension, or (a rule-based part) ``constant``."""
     m, p = F.slice(mask, start + 1, width), F.slice(padded, start + 1, width)
-    return ~F.exists(m, lambda x: x) | F.forall(p, lambda x: x)
+    idle = ~F.exists(m, lambda x: x) | F.forall(p, lambda x: x)
+    return idle if constant is None else idle | constant
 
 
 def clock_gaps(frames: DataFrame, key: str, order: Sequence[str], seconds: str, fps: float, tolerance: float) -> DataFrame:
@@ -181,10 +236,24 @@ def resume_after(df: DataFrame, rank: str, start_batch: int, batch: int) -> Data
     return df.where(F.col(rank) >= start_batch * batch)
 
 
-def rank_batches(df: DataFrame, group: str, order: Sequence[str], ranks: int, batch: int) -> DataFrame:
-    """Strided rank and batch number within each group; batches never mix groups."""
-    i = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    return df.withColumn("_i", i).withColumns({"rank": (F.col("_i") % ranks).cast("long"), "batch": F.floor(F.floor(F.col("_i") / ranks) / batch).cast("long")}).drop("_i")
+def rank_batches(df: DataFrame, group: str, order: Sequence[str], ranks: int, batch: int, rest: str = "keep") -> DataFrame:
+    """Strided rank and batch number within each group; batches never mix groups.
+
+    ``rest`` says what becomes of a group's last round of ``ranks * batch`` rows if it is not full: "keep" leaves it short,
+    "drop" drops it, "pad" fills it with the group's rows again, from its first.
+    """
+    by = Window.partitionBy(group).orderBy(*order)
+    out = df.withColumns({"_i": F.row_number().over(by) - 1, "_n": F.count("*").over(Window.partitionBy(group))})
+    size = ranks * batch
+    if rest == "drop":
+        out = out.where(F.col("_i") < F.floor(F.col("_n") / size) * size)
+    elif rest == "pad":
+        whole = F.ceil(F.col("_n") / size) * size
+        # A row stands at its place and at each whole number of group lengths behind it, up to the full round.
+        out = out.withColumn("_i", F.explode(F.expr("sequence(_i, _i + _n * floor((ceil(_n / {0}) * {0} - 1 - _i) / _n), _n)".format(size)))).where(F.col("_i") < whole)
+    elif rest != "keep":
+        raise ValueError(f"unknown rest {rest}")
+    return out.withColumns({"rank": (F.col("_i") % ranks).cast("long"), "batch": F.floor(F.floor(F.col("_i") / ranks) / batch).cast("long")}).drop("_i", "_n")
 
 
 def strided_shard(rank: Column, shards: int, k: int) -> Column:

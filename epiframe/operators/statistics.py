@@ -10,7 +10,7 @@ share of its rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -106,6 +106,35 @@ def step_statistics(rows: DataFrame, by: Sequence[str], value: str = "value", qu
     return moments(rows, by, value).join(floor_quantiles(rows, by, quantiles, value), list(by))
 
 
+def transformed_steps(frames: DataFrame, chunk: Column, transform: Callable[[Column], Column], by: Sequence[str] = (), quantiles: Sequence[float] = (*LOW, *HIGH)) -> DataFrame:
+    """Statistics by step and dimension of chunks of vectors after a transform.
+
+    The transform is applied to whole chunks once; it must be causal (step j may only depend on steps up to j), as the
+    statistics of step j then equal those of chunks cut after it.
+    """
+    rows = frames.select(*by, F.posexplode(transform(chunk)).alias("step", "_row")).select(*by, "step", F.posexplode("_row").alias("dim", "value"))
+    return step_statistics(rows, [*by, "step", "dim"], quantiles=quantiles)
+
+
+def transformed_states(frames: DataFrame, state: Column, transform: Callable[[Column], Column], by: Sequence[str] = (), quantiles: Sequence[float] = (*LOW, *HIGH)) -> DataFrame:
+    """Statistics by dimension of state vectors after a transform."""
+    rows = frames.select(*by, F.posexplode(transform(state)).alias("dim", "value"))
+    return step_statistics(rows, [*by, "dim"], quantiles=quantiles)
+
+
+def first_frame_means(frames: DataFrame, key: Sequence[str], order: Sequence[str], value: str, by: Sequence[str]) -> DataFrame:
+    """Mean value of episodes' first frames."""
+    first = frames.groupBy(*key).agg(F.min_by(F.struct(*by, value), F.struct(*order)).alias("_f")).select("_f.*")
+    return first.groupBy(*by).agg(F.avg(value).alias("init"))
+
+
+def capped_lengths(lengths: DataFrame, length: str, nodes: DataFrame, available: str) -> DataFrame:
+    """Lengths scaled so that their sum is the least that any node has: ``max(1, int(l * s))``, and never more than they are."""
+    least = nodes.agg(F.min(available).alias("_a")).crossJoin(lengths.agg(F.sum(length).alias("_t")))
+    scale = F.least(F.lit(1.0), F.col("_a") / F.col("_t"))
+    return lengths.crossJoin(F.broadcast(least)).withColumn("capped", F.greatest(F.lit(1), F.floor(F.col(length) * scale)).cast("long")).drop("_a", "_t")  # one row
+
+
 def global_from_steps(steps: DataFrame, by: Sequence[str], low: Sequence[str] = (), high: Sequence[str] = ()) -> DataFrame:
     """One row from the statistics of several steps: extremes, mean of means, and the spread within and between steps."""
     spread = F.when(F.count("*") > 1, F.sqrt(F.avg(F.col("std") * F.col("std")) + F.var_samp("mean"))).otherwise(F.max("std"))

@@ -65,15 +65,15 @@ def dim_pad_mask(spark, d):
     return _rows(_vec(spark, d), L.pad_to(F.slice("e", 1, 3), 6)[1])
 
 
-@query(f"WITH {_VEC}, p AS (SELECT vec_id, e[1:10] || [0.0::DOUBLE, 0.0::DOUBLE] AS p FROM v) SELECT vec_id, CAST((i - 1) // 4 AS BIGINT) AS piece, CAST((i - 1) % 4 AS BIGINT) AS dim, p[i] AS x FROM p, (SELECT unnest(range(1, 13)) AS i)")
+@query(f"WITH {_VEC}, p AS (SELECT vec_id, e || [0.0::DOUBLE] AS p FROM v) SELECT vec_id, CAST((i - 1) // 5 AS BIGINT) AS piece, CAST((i - 1) % 5 AS BIGINT) AS dim, p[i] AS x FROM p, (SELECT unnest(range(1, 66)) AS i)")
 def fixed_chunks(spark, d):
-    c = _vec(spark, d).select("vec_id", F.posexplode(A.fixed_chunks(F.slice("e", 1, 10), 4)).alias("piece", "p"))
+    c = _vec(spark, d).select("vec_id", F.posexplode(A.fixed_chunks("e", 5)).alias("piece", "p"))
     return c.select("vec_id", F.col("piece").cast("long").alias("piece"), F.posexplode("p").alias("dim", "x")).withColumn("dim", F.col("dim").cast("long"))
 
 
-@query(f"WITH {_VEC}, k AS (SELECT vec_id, list_filter(e[1:8], lambda x: x > 0) || list_filter(e[1:8], lambda x: NOT x > 0) AS p FROM v), p AS (SELECT * FROM k) {_LONG}")
+@query(f"WITH {_VEC}, k AS (SELECT vec_id, list_filter(e, lambda x: x > 0) || list_filter(e, lambda x: NOT x > 0) AS p FROM v), p AS (SELECT * FROM k) {_LONG}")
 def left_align(spark, d):
-    return _rows(_vec(spark, d), A.left_aligned(F.slice("e", 1, 8), F.transform(F.slice("e", 1, 8), lambda x: x > 0)))
+    return _rows(_vec(spark, d), A.left_aligned("e", F.transform("e", lambda x: x > 0)))
 
 
 @query(f"WITH {_VEC}, p AS (SELECT vec_id, e[1:6] || e[61:64] AS p FROM v) {_LONG}")

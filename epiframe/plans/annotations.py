@@ -78,10 +78,10 @@ def token_registry(spark, d):
 
 @query("SELECT coalesce(a.n_name, b.n_name) AS name, a.n_nationkey AS old_id, b.n_nationkey + 100 AS new_id FROM (SELECT * FROM nation WHERE n_nationkey < 15) a FULL JOIN (SELECT * FROM nation WHERE n_nationkey > 5) b ON a.n_name = b.n_name")
 def vocabulary_remap(spark, d):
-    n = table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("name"))
-    a = n.where("n_nationkey < 15").withColumnRenamed("n_nationkey", "old_id")
-    b = n.where("n_nationkey > 5").select("name", (F.col("n_nationkey") + 100).alias("new_id"))
-    return a.join(b, "name", "full_outer").select("name", "old_id", "new_id")
+    from epiframe.operators.lookups import remapped_vocabulary
+
+    n = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("name"))
+    return remapped_vocabulary(n.where("id < 15"), n.where("id > 5").select("name", (F.col("id") + 100).alias("id")), "name", "id").select("name", "old_id", "new_id")
 
 
 @query("SELECT c_custkey, sha256('{\"a\":' || CAST(c_custkey AS VARCHAR) || ',\"b\":\"' || c_mktsegment || '\"}') AS digest FROM customer")

@@ -92,7 +92,7 @@ def index_remap(spark, d):
     e = frames(spark, d)
     f = e.df.select("event_id", "user_id", "value", e.frame_index().alias("i"), e.length().alias("n"))
     asked = f.select("event_id", "user_id", F.least(F.col("i") + 3, F.col("n") - 1).alias("i"))
-    return asked.join(f.select("user_id", "i", F.col("event_id").alias("wanted"), "value"), ["user_id", "i"]).select("event_id", "wanted", "value")
+    return L.requested_rows(asked, f.select("user_id", "i", F.col("event_id").alias("wanted"), "value"), ["user_id", "i"]).select("event_id", "wanted", "value")
 
 
 @query("WITH s AS (SELECT event_type, avg(value) AS m, stddev_pop(value) AS s FROM events GROUP BY event_type) SELECT event_id, round((value - m) / s, 6) AS z FROM events JOIN s USING (event_type)")

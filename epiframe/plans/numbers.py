@@ -16,7 +16,7 @@ MIN, MAX, MEAN, STD, Q01, Q99 = 0.0, 200.0, 20.0, 15.0, 1.0, 90.0
 
 
 def _stats() -> N.Stats:
-    return N.Stats.fixed(MIN, MAX, MEAN, STD, Q01, Q99)
+    return N.Stats.fixed(MIN, MAX, MEAN, STD, Q01, Q99, q001=0.5, q999=120.0, q0001=0.25, q9999=150.0, q00001=0.125, q99999=180.0)
 
 
 
@@ -41,6 +41,9 @@ for _name, _mode, _sql in (
     ("norm_zscore", "z-score", _clamped(f"((value - {MEAN}) / ({STD}::DOUBLE + 1e-8::DOUBLE))")),
     ("norm_minmax", "min/max", _clamped(_range_sql(MIN, MAX))),
     ("norm_q01q99", "q01/q99", _clamped(_range_sql(Q01, Q99))),
+    ("norm_q001q999", "q001/q999", _clamped(_range_sql(0.5, 120.0))),
+    ("norm_q0001q9999", "q0001/q9999", _clamped(_range_sql(0.25, 150.0))),
+    ("norm_q00001q99999", "q00001/q99999", _clamped(_range_sql(0.125, 180.0))),
     ("norm_tanh", "tanh", f"tanh({_range_sql(MIN, MAX)})"),
     ("norm_const", "-10/50", _clamped(_range_sql(-10.0, 50.0))),
     ("norm_identity", "identity", f"greatest(least(value, {MAX}), {MIN})::DOUBLE"),
@@ -50,6 +53,21 @@ for _name, _mode, _sql in (
     query(f"SELECT event_id, round({_sql}, 6) AS y FROM events", name=_name)(_norm(_mode))
 
 
+@query("""WITH s AS (SELECT i, avg(x) AS m, stddev_samp(x) AS s FROM (SELECT unnest(embedding)::DOUBLE AS x, unnest(range(1, 65)) AS i FROM embeddings) WHERE i <= 60 GROUP BY i)
+SELECT vec_id, CAST(v.i AS BIGINT) AS dim, round(CASE WHEN s.m IS NULL THEN x ELSE greatest(least((x - m) / (s + 1e-8::DOUBLE), 5), -5) END, 5) AS y
+FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(1, 65)) AS i FROM embeddings) v LEFT JOIN s ON s.i = v.i""")
+def norm_vector(spark, d):
+    """Whole vectors by statistics of their first 60 dimensions; the last four pass through."""
+    from epiframe.operators import statistics as S
+
+    v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    rows = v.select(F.posexplode(F.slice("e", 1, 60)).alias("dim", "value"))
+    s = S.moments(rows, ["dim"]).agg(F.array_sort(F.collect_list(F.struct("dim", "min", "max", "mean", "std"))).alias("s"))  # one row a dimension
+    one = s.select(*(F.transform("s", lambda r, c=c: r[c]).alias(c) for c in ("min", "max", "mean", "std")))
+    y = v.crossJoin(F.broadcast(one)).select("vec_id", F.posexplode(N.vector(F.col("e"), "z-score", N.Stats.of(quantiles=()))).alias("dim", "y"))
+    return y.select("vec_id", (F.col("dim") + 1).cast("long").alias("dim"), F.round("y", 5).alias("y"))
+
+
 @query("SELECT event_id, round(value, 4) AS x FROM events")
 def norm_roundtrip(spark, d):
     return table(spark, d, "events").select("event_id", F.round(N.backward(N.forward(F.col("value"), "q01/q99-tail", _stats()), "q01/q99-tail", _stats()), 4).alias("x"))

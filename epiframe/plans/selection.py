@@ -110,7 +110,7 @@ def first_n_per_group(spark, d):
 @query("SELECT user_id FROM (SELECT user_id, min(event_id) AS a, max(event_id) AS b FROM events GROUP BY user_id) WHERE a >= 2 AND b <= 100000")
 def episodes_in_range(spark, d):
     e = table(spark, d, "events").groupBy("user_id").agg(F.min("event_id").alias("a"), F.max("event_id").alias("b"))
-    return e.where("a >= 2 and b <= 100000").select("user_id")
+    return S.inside_range(e, "a", "b", 2, 100_000).select("user_id")
 
 
 @query("WITH n AS (SELECT count(*) AS n FROM customer) SELECT c_custkey AS i, (c_custkey * {s} + 5000019 % n) % n AS j FROM customer, n".replace("{s}", "(SELECT min(k) FROM range(1, 100000) t(k), n WHERE k >= greatest(1, CAST(floor(n * CAST(0.618 AS DOUBLE)) AS BIGINT)) AND gcd(k, n) = 1)"))
@@ -149,7 +149,7 @@ def set_difference(spark, d):
 
 @query("SELECT n_nationkey AS k FROM nation INTERSECT SELECT r_regionkey FROM region")
 def feature_intersection(spark, d):
-    return table(spark, d, "nation").select(F.col("n_nationkey").alias("k")).intersect(table(spark, d, "region").select(F.col("r_regionkey").alias("k")))
+    return S.common_keys(table(spark, d, "nation").select(F.col("n_nationkey").alias("k")), table(spark, d, "region").select(F.col("r_regionkey").alias("k")), ["k"])
 
 
 @query("SELECT c_custkey AS id, 'customer' AS part FROM customer UNION ALL SELECT s_suppkey, 'supplier' FROM supplier")
@@ -193,10 +193,36 @@ def frame_validation(spark, d):
 
 @query("SELECT DISTINCT user_id FROM events")
 def unique_indices(spark, d):
-    return table(spark, d, "events").select("user_id").distinct()
+    return S.unique_sorted(table(spark, d, "events"), "user_id")
 
 
-@query("SELECT vec_id, NOT (bool_or(x >= 0.2)) AS noop FROM (SELECT vec_id, unnest(embedding[1:4]) AS x FROM embeddings) GROUP BY vec_id")
+@query("""WITH i AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events),
+p AS (SELECT event_type, n, unnest(range(0, CAST(ceil(n / 32.0) AS BIGINT) * 32)) AS i FROM (SELECT DISTINCT event_type, n FROM i))
+SELECT i.event_id, p.i % 4 AS rank, (p.i // 4) // 8 AS batch FROM p JOIN i ON i.event_type = p.event_type AND i.i = p.i % p.n""")
+def padded_batches(spark, d):
+    return S.rank_batches(table(spark, d, "events").select("event_type", "event_id"), "event_type", ["event_id"], 4, 8, "pad").select("event_id", "rank", "batch")
+
+
+@query("WITH i AS (SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY event_id) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events) SELECT event_id, i % 4 AS rank, (i // 4) // 8 AS batch FROM i WHERE i < n // 32 * 32")
+def full_batches(spark, d):
+    return S.rank_batches(table(spark, d, "events").select("event_type", "event_id"), "event_type", ["event_id"], 4, 8, "drop").select("event_id", "rank", "batch")
+
+
+@query("SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL OR quality = 1")
+def qualified_rows(spark, d):
+    return S.qualified_only(table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels"), "doc_id", "left"), "quality").select("doc_id")
+
+
+@query(f"""WITH {FRAMES_SQL}, z AS (SELECT event_id, step, value, first_value(value) OVER (PARTITION BY event_id ORDER BY step) AS v0 FROM c)
+SELECT event_id, bool_or(abs(value - v0) >= 25) FILTER (step < 4) AS d0, bool_or(value >= 80) FILTER (step < 4) AS d1 FROM z GROUP BY event_id""")
+def activity_by_dim(spark, d):
+    e = frames(spark, d)
+    c = e.df.select("event_id", F.transform(e.chunk("value", STEPS), lambda x: F.array(x, x)).alias("c"))
+    m = c.select("event_id", S.active_dims(F.col("c"), [25.0, 80.0], True).alias("r"), S.active_dims(F.col("c"), [25.0, 80.0], False).alias("a"))
+    return m.select("event_id", F.get("r", F.lit(0)).alias("d0"), F.get("a", F.lit(1)).alias("d1"))
+
+
+@query("SELECT vec_id, NOT (bool_or(x >= 0.2)) AS noop FROM (SELECT vec_id, unnest(embedding) AS x FROM embeddings) GROUP BY vec_id")
 def noop_parts(spark, d):
     v = table(spark, d, "embeddings").withColumns({"m": F.transform("embedding", lambda x: x >= F.lit(0.2).cast("float")), "p": F.transform("embedding", lambda x: F.lit(False))})
-    return v.select("vec_id", S.noop_parts(F.col("m"), F.col("p"), 0, 4).alias("noop"))
+    return v.select("vec_id", S.noop_parts(F.col("m"), F.col("p"), 0, 64).alias("noop"))

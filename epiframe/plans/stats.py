@@ -54,8 +54,9 @@ FROM (SELECT *, first_value(value) OVER (PARTITION BY event_id ORDER BY step) AS
 def transformed_step_stats(spark, d):
     """Statistics of chunks relative to their first value."""
     e = frames(spark, d)
-    c = e.df.select(e.chunk("value", STEPS).alias("c")).select(F.transform("c", lambda x: x - F.element_at("c", 1)).alias("r"))
-    s = S.moments(explode_steps(c, "r"), ["step"])
+    c = e.df.select(F.transform(e.chunk("value", STEPS), lambda x: F.array(x)).alias("c"))
+    first = F.get(F.get("c", F.lit(0)), F.lit(0))
+    s = S.transformed_steps(c, F.col("c"), lambda chunk: F.transform(chunk, lambda row: F.transform(row, lambda x: x - first)), quantiles=(0.01,))
     return s.select(F.col("step").cast("long").alias("step"), "n", *(F.round(x, 6).alias(x) for x in ("min", "max", "mean", "std")))
 
 
@@ -123,6 +124,23 @@ def anchor_plan(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(F.count("*").alias("n")).select("user_id", F.explode(S.anchors(F.col("n"), 7)).alias("anchor"))
 
 
+@query("""WITH e AS (SELECT unnest(embedding)::DOUBLE AS x, unnest(range(0, 64)) AS i FROM embeddings), t AS (SELECT i, asinh(x / 1.5) AS y FROM e),
+r AS (SELECT i, y, row_number() OVER (PARTITION BY i ORDER BY y) - 1 AS k, count(*) OVER (PARTITION BY i) AS n FROM t)
+SELECT CAST(i AS BIGINT) AS dim, count(*) AS n, round(avg(y), 6) AS mean, round(stddev_samp(y), 6) AS std, round(max(CASE WHEN k = CAST(floor(CAST(0.01 AS DOUBLE) * (n - 1)) AS BIGINT) THEN y END), 6) AS q01 FROM r GROUP BY i""")
+def transformed_state_stats(spark, d):
+    """Statistics of whole vectors after a compression."""
+    v = table(spark, d, "embeddings").select(F.col("embedding").cast("array<double>").alias("e"))
+    s = S.transformed_states(v, F.col("e"), lambda c: F.transform(c, lambda x: F.asinh(x / 1.5)), quantiles=(0.01,))
+    return s.select(F.col("dim").cast("long").alias("dim"), "n", F.round("mean", 6).alias("mean"), F.round("std", 6).alias("std"), F.round("q01", 6).alias("q01"))
+
+
+@query("SELECT event_type, greatest(1, CAST(floor(n * least(1.0::DOUBLE, a / t::DOUBLE)) AS BIGINT)) AS capped FROM (SELECT event_type, count(*) AS n FROM events GROUP BY event_type), (SELECT count(*) AS t FROM events), (SELECT min(c) AS a FROM (SELECT user_id % 4 AS node, count(*) * 3 AS c FROM events GROUP BY user_id % 4))")
+def capped_lengths(spark, d):
+    e = table(spark, d, "events")
+    nodes = e.groupBy((F.col("user_id") % 4).alias("node")).agg((F.count("*") * 3).alias("c"))
+    return S.capped_lengths(e.groupBy("event_type").agg(F.count("*").alias("n")), "n", nodes, "c").select("event_type", "capped")
+
+
 @query("SELECT event_type, round(sum(value) / count(*), 6) AS mean, CAST(sum(CASE WHEN value > 20 THEN 1 ELSE 0 END) AS BIGINT) AS high FROM events GROUP BY event_type")
 def synced_sums(spark, d):
     return table(spark, d, "events").groupBy("event_type").agg(F.round(F.sum("value") / F.count("*"), 6).alias("mean"), F.sum(F.when(F.col("value") > 20, 1).otherwise(0)).alias("high"))
@@ -132,4 +150,4 @@ def synced_sums(spark, d):
 SELECT event_type, round(avg(value), 6) AS init FROM f WHERE r = 1 GROUP BY event_type""")
 def init_positions(spark, d):
     e = frames(spark, d)
-    return e.df.withColumn("i", e.frame_index()).where("i = 0").groupBy("event_type").agg(F.round(F.avg("value"), 6).alias("init"))
+    return S.first_frame_means(e.df, e.key, e.order, "value", ["event_type"]).select("event_type", F.round("init", 6).alias("init"))

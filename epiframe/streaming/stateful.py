@@ -2,7 +2,8 @@
 
 Rows of a micro-batch are put in the order of their sequence number first; a
 row whose number is not above the last one seen of its key is late and dropped.
-State is bounded: a buffer's length, a chunk, or the open steps of a chunk.
+State is bounded: a buffer's length, a chunk, or the open steps of a chunk, and it goes
+when a key has had no rows for IDLE_MILLISECONDS; a key that comes back starts anew.
 """
 
 from __future__ import annotations
@@ -20,8 +21,20 @@ def _ordered(batches: Iterator[pd.DataFrame], order: str, last: int) -> pd.DataF
     return rows[rows[order] > last].drop_duplicates(order)
 
 
+#: A key's state goes after so long without rows of it.
+IDLE_MILLISECONDS = 3_600_000
+
+
 def _stateful(df: DataFrame, key: str, function, output: str, state: str) -> DataFrame:
-    return df.groupBy(key).applyInPandasWithState(function, output, state, "append", GroupStateTimeout.NoTimeout)
+    def run(k, batches, held: GroupState):
+        if held.hasTimedOut:
+            held.remove()
+            return
+        yield from function(k, batches, held)
+        if held.exists:
+            held.setTimeoutDuration(IDLE_MILLISECONDS)
+
+    return df.groupBy(key).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def history(df: DataFrame, key: str, order: str, value: str, steps: int) -> DataFrame:
@@ -122,11 +135,6 @@ def isolate_errors(batch: DataFrame, errors, good_sink, bad_sink) -> None:
         marked.unpersist()
 
 
-def micro_batches(df: DataFrame, rows: int, path: str | None = None) -> dict:
-    """Options that bound a file stream's micro-batch; ``rows`` is a guide for sources that count rows."""
-    return {"maxFilesPerTrigger": "1", "maxRowsPerBatch": str(rows)} | ({"path": path} if path else {})
-
-
 def window_counts(df: DataFrame, time: str, late: str, width: str, *by: str) -> DataFrame:
     """Event-time counts with a watermark (an addition of this engine)."""
     return df.withWatermark(time, late).groupBy(F.window(time, width), *by).agg(F.count("*").alias("n"))

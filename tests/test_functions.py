@@ -168,7 +168,6 @@ def test_permutation():
         s = selection.coprime_stride(n)
         assert len({(i * s + 3) % n for i in range(n)}) == n
     assert statistics.even_places(11, 3) == [0, 5, 10]
-    assert serving.replan_queue(8, 5) == 5
 
 
 def test_bad_weight_raises(spark):
@@ -249,3 +248,109 @@ def test_quantiles_of_groups_with_a_null_key_and_no_rows(spark):
     got = {r.g: r.q5 for r in statistics.linear_quantiles(df, ["g"], (0.5,)).collect()}
     assert got == {None: 2.0, "a": 2.0}
     assert statistics.floor_quantiles(df.limit(0), ["g"], (0.5,)).count() == 0
+
+
+@pytest.mark.parametrize("mode", ["q001/q999", "q0001/q9999", "q00001/q99999"])
+def test_normalise_by_far_quantiles(spark, mode):
+    s = normalize.Stats.fixed(-2.0, 6.0, 1.0, 1.5, -1.0, 4.0, q001=-1.5, q999=4.5, q0001=-1.8, q9999=5.0, q00001=-1.9, q99999=5.5)
+    low, high = mode.split("/")
+    df = spark.createDataFrame([(x,) for x in (-1.5, 0.0, 3.9, 5.0)], "x double")
+    for r in df.select("x", normalize.forward(F.col("x"), mode, s).alias("y"), normalize.close(normalize.backward(normalize.forward(F.col("x"), mode, s), mode, s), F.col("x")).alias("ok")).collect():
+        lo, hi = {"q001": -1.5, "q999": 4.5, "q0001": -1.8, "q9999": 5.0, "q00001": -1.9, "q99999": 5.5}[low], {"q999": 4.5, "q9999": 5.0, "q99999": 5.5}[high]
+        assert r.y == pytest.approx(2 * (r.x - lo) / (hi - lo) - 1) and r.ok
+    with pytest.raises(KeyError):
+        normalize.forward(F.col("x"), mode, normalize.Stats.fixed(0, 1, 0, 1, 0, 1))
+
+
+def test_normalise_chunks_by_steps(spark):
+    lists = lambda v: F.array(*(F.array(*map(F.lit, r)) for r in v))
+    s = normalize.Stats(lists([[0.0, 0.0]] * 3), lists([[2.0, 4.0]] * 3), lists([[1.0, 2.0], [2.0, 2.0], [0.0, 0.0]]), lists([[1.0, 2.0]] * 3))
+    x = lists([[1.0, 4.0, 9.0], [1.0, 4.0, 9.0]])
+    df = spark.range(1)
+    assert [[pytest.approx(v) for v in r] for r in df.select(normalize.chunk(x, "z-score", s)).first()[0]] == [[0.0, 1.0, 9.0], [-1.0, 1.0, 9.0]]
+    back = df.select(normalize.chunk(normalize.chunk(x, "min/max", s), "min/max", s, inverse=True)).first()[0]
+    assert [v for r in back for v in r] == pytest.approx([1.0, 4.0, 9.0] * 2)
+    with pytest.raises(Exception, match="3 steps for a chunk of 4"):
+        df.select(normalize.chunk(lists([[1.0]] * 4), "z-score", s)).collect()
+
+
+def test_normaliser_resolution():
+    known = {"arm": {"global", "stepwise"}, "hand": {"global"}}
+    find = lambda key, kind="action", **k: normalize.resolve(key, kind, "z-score", {"hand": "min/max"}, {"arm"}, known, **{"stepwise": True, **k})
+    assert find("arm") == normalize.Resolved("z-score", True, False)
+    assert find("hand", "state") == normalize.Resolved("min/max", False, True)
+    assert find("hand", strict=False) == normalize.Resolved("identity", False, False)
+    with pytest.raises(KeyError):
+        find("hand")
+
+
+def test_composite_transform(spark):
+    unit = transforms.EachPart(("g",), lambda c: F.transform(c, lambda x: 2 * (x / 100.0) - 1), lambda c: F.transform(c, lambda x: (x + 1) * 50.0))
+    t = transforms.Composite((unit, transforms.Concat(("g", "a"), (1, 2), "all")))
+    df = spark.createDataFrame([([25.0], [1.0, 2.0])], "g array<double>, a array<double>")
+    out = t.forward({"g": F.col("g"), "a": F.col("a")})
+    assert df.select(out["all"]).first()[0] == [-0.5, 1.0, 2.0]
+    back = t.backward(out)
+    assert list(df.select(back["g"], back["a"]).first()) == [[25.0], [1.0, 2.0]] and t.invertible
+    assert transforms.observation_tolerance(10) == pytest.approx(0.04)
+
+
+def test_phase_rates_and_accumulated_means(spark):
+    from epiframe.operators import metrics
+
+    rows = spark.createDataFrame([("a", 1, None), ("a", 0, 1), ("b", 1, 1)], "task string, reach int, grasp int")
+    assert {r.task: (r.reach, r.grasp) for r in metrics.phase_rates(rows, "task", ["reach", "grasp"]).collect()} == {"a": (0.5, 1.0), "b": (1.0, 1.0), "__overall__": (0.75, 1.0)}
+    rows = spark.createDataFrame([(0, "acc", 1.0), (0, "acc", 0.0), (0, "other", 5.0), (0, "l1", None), (1, "acc", 1.0)], "step int, field string, value double")
+    assert sorted(map(tuple, metrics.accumulated_means(rows, "step", "field", "value", ["acc", "l1"]).collect())) == [(0, "acc", 0.5), (1, "acc", 1.0)]
+
+
+def test_micro_batches(spark):
+    rng = np.random.default_rng(3)
+    rows = [(s, int(t), i) for s in ("x", "y", "z") for i, t in enumerate(rng.integers(0, 300, 80))]
+    got = serving.micro_batches(spark.createDataFrame(rows, "server string, at long, id long").repartition(5), "server", "at", "id", 5, 20).collect()
+    want = []
+    for s in ("x", "y", "z"):
+        number, held = -1, []
+        for _, t, i in [*sorted(r for r in rows if r[0] == s), (s, 10**9, -1)]:
+            if held and (t >= held[0][0] + 20 or len(held) == 5):
+                want += [(s, a, b, number, held[-1][0] if len(held) == 5 else held[0][0] + 20) for a, b in held]
+                held = []
+            if not held:
+                number += 1
+            held.append((t, i))
+    assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_ensemble_of_vectors_and_gripper(spark):
+    p = spark.createDataFrame([("e", 0, [[1.0, 2.0], [3.0, 4.0]]), ("e", 1, [[5.0, 8.0]])], "k string, i long, c array<array<double>>")
+    assert {r.step: (r.value, r.votes) for r in serving.ensemble_vectors(p, "k", "i", "c").collect()} == {0: ([1.0, 2.0], 1), 1: ([4.0, 6.0], 2)}
+    df = spark.createDataFrame([(x,) for x in (0.0, 0.5, 0.6, -2.0)], "x double")
+    assert [tuple(r) for r in df.select(serving.gripper_decoded(F.col("x"), True), serving.gripper_decoded(F.col("x"), False)).collect()] == [(-1.0, 0.0), (-1.0, 1.0), (1.0, 1.0), (-1.0, -1.0)]
+    c = spark.createDataFrame([("e", i, [float(i), i + 0.5, i + 0.7]) for i in range(5)], "k string, i long, c array<double>")
+    assert [r.served for r in serving.replanned(c, "k", ["i"], "c", 3, 2).orderBy("i").collect()] == [0.0, 0.5, 2.0, 2.5, 4.0]
+
+
+def test_movement_by_norm_and_dims(spark):
+    rows = [("e", i, [0.0, 0.3 * (i >= 2)], [0.4 * (i >= 2)]) for i in range(4)] + [("still", i, [1.0, 1.0], [1.0]) for i in range(3)]
+    df = spark.createDataFrame(rows, "k string, i int, a array<double>, b array<double>")
+    assert sorted((r.k, r.i) for r in selection.first_movement_of(df, "k", ["i"], ["a", "b"], 0.45).collect()) == [("e", 2), ("e", 3), ("still", 2)]
+    c = F.lit([[1.0, 0.0], [1.5, 0.0], [9.0, 9.0], [9.0, 9.0]])
+    assert spark.range(1).select(selection.active_dims(c, [0.5, 0.1], True), selection.active_dims(c, [0.5, 0.1], True, always=[1]), selection.constant_part(c, 0, 1, 0.5), selection.constant_part(c, 1, 1, 0.5)).first()[:] == ([True, False], [True, True], True, False)
+    assert spark.range(1).select(selection.zero_inactive_dims(c, F.array(F.lit(True), F.lit(False)))).first()[0] == [[1.0, 0.0], [1.5, 0.0], [9.0, 0.0], [9.0, 0.0]]
+
+
+def test_untested_helpers(spark):
+    from epiframe.functions import arrays
+
+    assert one(spark, arrays.pad_right(F.col("v"), 3), v=[1.0]) == [1.0, 0.0, 0.0]
+    assert list(spark.range(1).select(*arrays.split_parts(F.lit([1.0, 2.0, 3.0]), (1, 2))).first()) == [[1.0], [2.0, 3.0]]
+    assert one(spark, selection.all_active(2)) == [True, True]
+
+
+def test_entry_without_the_training_data_folder(monkeypatch):
+    import sys
+
+    import __spark_entry__ as e
+
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    assert "chunk_step_stats" in e.queries() and not any(k.startswith("op") and k[2].isdigit() for k in e.queries()) and "pipeline" not in e.oracle_sql()
