@@ -63,7 +63,7 @@ def norm_vector(spark, d):
     v = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     rows = v.select(F.posexplode(F.slice("e", 1, 60)).alias("dim", "value"))
     s = S.moments(rows, ["dim"]).agg(F.array_sort(F.collect_list(F.struct("dim", "min", "max", "mean", "std"))).alias("s"))  # one row a dimension
-    one = s.select(*(F.transform("s", lambda r, c=c: r[c]).alias(c) for c in ("min", "max", "mean", "std")))
+    one = s.select(*(F.col(f"s.{c}").alias(c) for c in ("min", "max", "mean", "std")))
     y = v.crossJoin(F.broadcast(one)).select("vec_id", F.posexplode(N.vector(F.col("e"), "z-score", N.Stats.of(quantiles=()))).alias("dim", "y"))
     return y.select("vec_id", (F.col("dim") + 1).cast("long").alias("dim"), F.round("y", 5).alias("y"))
 
