@@ -47,8 +47,8 @@ def loc(value: Column, rounded: bool = True) -> Column:
 
 
 def boxes_text(payload: Column) -> Column:
-    """``BBox: name <y1><x1><y2><x2>; ...`` of a JSON object of boxes; null if it holds none."""
-    entries = F.map_entries(F.from_json(payload, "map<string,array<double>>"))
+    """``BBox: name <y1><x1><y2><x2>; ...`` of a JSON object of boxes; entries without four numbers are left out, null if no other is there."""
+    entries = F.filter(F.map_entries(F.from_json(payload, "map<string,array<double>>")), lambda b: F.size(b["value"]) == 4)
     one = lambda b: F.concat(b["key"], F.lit(" "), *(loc(F.element_at(b["value"], i)) for i in (2, 1, 4, 3)))
     return F.when(F.size(entries) > 0, F.concat(F.lit("BBox: "), F.array_join(F.transform(entries, one), "; ")))
 

@@ -9,6 +9,7 @@ predicates on the episode and column lists reach the Parquet scan.
 from __future__ import annotations
 
 import json
+import math
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -17,7 +18,7 @@ from pyspark.sql import functions as F
 
 from epiframe.operators.episodes import with_offsets
 from epiframe.operators.selection import rank_rows
-from epiframe.spec import Feature, json_safe, table_schema
+from epiframe.spec import FRAME_COLUMNS, Feature, json_safe, table_schema
 
 #: The annotation files of a store, as JSON lines of {"<kind>_index", "<kind>"}.
 ANNOTATIONS = {
@@ -31,6 +32,7 @@ ANNOTATIONS = {
 }
 FILES_PER_CHUNK = 1000
 FILE_BYTES = 100 << 20
+BYTES_OF = {"float32": 4, "float64": 8, "int64": 8, "int32": 4, "bool": 1}
 
 
 def _fs(spark: SparkSession, path: str):
@@ -69,6 +71,9 @@ class Store:
 
     def frames(self, columns: Sequence[str] | None = None, episodes: Sequence[int] | None = None) -> DataFrame:
         """Frames, optionally of some episodes and columns; files are found at any depth below ``data``."""
+        if not exists(self.spark, f"{self.root}/data"):
+            df = self.spark.createDataFrame([], table_schema(self.features()))
+            return df.select(*columns) if columns else df
         df = self.spark.read.option("recursiveFileLookup", "true").schema(table_schema(self.features())).parquet(f"{self.root}/data")
         if episodes is not None:
             df = df.where(F.col("episode_index").isin(*episodes))
@@ -86,7 +91,8 @@ class Store:
         return self.frames(["index"]).count()
 
     def tasks(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/meta/tasks.parquet")
+        """Texts by number, those of later appends included."""
+        return self.spark.read.parquet(f"{self.root}/meta/tasks*.parquet")
 
     def episodes(self) -> DataFrame:
         """Episode metadata without its statistics columns."""
@@ -94,6 +100,7 @@ class Store:
         return df.select(*(F.col(f"`{c}`") for c in df.columns if not c.startswith("stats/")))
 
     def episode_statistics(self) -> DataFrame:
+        """Statistics of each episode, a list per feature and statistic."""
         df = self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.root}/meta/episodes")
         return df.select("episode_index", *(F.col(f"`{c}`") for c in df.columns if c.startswith("stats/")))
 
@@ -163,10 +170,10 @@ def indexed(frames: DataFrame, episode: str, order: Sequence[str], fps: float) -
     return f.withColumns({"timestamp": F.col("frame_index") / F.lit(float(fps)), "index": F.col("_from") + F.col("frame_index"), "episode_index": F.col(episode).cast("long")}).drop("_from")
 
 
-def rolled(episodes: DataFrame, size: str, file_bytes: int = FILE_BYTES, per_chunk: int = FILES_PER_CHUNK) -> DataFrame:
-    """(chunk_index, file_index) of each episode: files are cut by running size, chunks hold ``per_chunk`` files."""
+def rolled(episodes: DataFrame, size: str, file_bytes: int = FILE_BYTES, per_chunk: int = FILES_PER_CHUNK, first: int = 0) -> DataFrame:
+    """(chunk_index, file_index) of each episode: files are cut by running size from file ``first`` on, chunks hold ``per_chunk`` files."""
     run = with_offsets(episodes, "episode_index", size, "_a", "_b")
-    file = F.floor(F.col("_a") / file_bytes)
+    file = F.floor(F.col("_a") / file_bytes) + first
     return run.withColumns({"chunk_index": F.floor(file / per_chunk).cast("long"), "file_index": (file % per_chunk).cast("long")}).drop("_a", "_b")
 
 
@@ -174,22 +181,119 @@ def next_file(chunk: int, file: int, per_chunk: int = FILES_PER_CHUNK) -> tuple[
     return (chunk + 1, 0) if file == per_chunk - 1 else (chunk, file + 1)
 
 
-def write_store(frames: DataFrame, root: str, features: dict[str, Feature], fps: float, task: str, episode: str, order: Sequence[str], buckets: int = 16) -> Store:
-    """Writes a packed store: indexed frames sorted by episode, tasks, episode ranges and info."""
-    spark, root = frames.sparkSession, root.rstrip("/")
-    coded, tasks = encode_tasks(frames, task)
-    rows = indexed(coded, episode, order, fps)
-    names = list(dict.fromkeys([f.name for f in table_schema(features)]))
-    rows.select(*names).repartitionByRange(buckets, "index").sortWithinPartitions("index").write.mode("overwrite").parquet(f"{root}/data/chunk-000")
-    tasks.write.mode("overwrite").parquet(f"{root}/meta/tasks.parquet")
-    written = spark.read.parquet(f"{root}/data/chunk-000")
-    spans = written.groupBy("episode_index").agg(F.count("*").alias("length"), F.min("index").alias("dataset_from_index"), (F.max("index") + 1).alias("dataset_to_index"))
-    spans.write.mode("overwrite").parquet(f"{root}/meta/episodes/chunk-000")
-    total = spans.agg(F.count("*").alias("e"), F.sum("length").alias("f")).first()
-    write_json(spark, f"{root}/meta/info.json", {"fps": fps, "total_episodes": total.e, "total_frames": total.f, "features": {k: {"dtype": f.dtype, "shape": list(f.shape), "names": list(f.names) if f.names else None} for k, f in features.items()}})
+def frame_bytes(frames: DataFrame, features: dict[str, Feature]) -> float:
+    """Bytes of an uncompressed frame: fixed widths by the features' shapes, texts and images by their mean length."""
+    width, loose = 8.0 * len(FRAME_COLUMNS), []
+    for name, f in features.items():
+        if f.dtype in ("string", "image"):
+            loose.append(F.avg(F.octet_length(name)))
+        elif f.dtype != "video" and name not in FRAME_COLUMNS:
+            width += BYTES_OF[f.dtype] * math.prod(f.shape)
+    return width + (sum(x or 0.0 for x in frames.agg(*loose).first()) if loose else 0.0)
+
+
+def _numeric(features: dict[str, Feature]) -> dict[str, int]:
+    """Scalars and vectors whose statistics an episode has, with their widths (0 for a scalar)."""
+    kept = {k: f for k, f in features.items() if f.dtype not in ("string", "image", "video") and len(f.shape) == 1 and k not in FRAME_COLUMNS}
+    return {k: 0 if f.shape == (1,) else f.shape[0] for k, f in kept.items()}
+
+
+def episode_metadata(rows: DataFrame, tasks: DataFrame, features: dict[str, Feature]) -> DataFrame:
+    """One row per episode: length, range of the global index, file, texts of its tasks and ``stats/<feature>/<statistic>`` as lists.
+
+    Deviations are those of the population; a null component is left out of its statistics.
+    """
+    parts = {"min": F.min, "max": F.max, "mean": F.avg, "std": F.stddev_pop, "count": F.count}
+    stats = []
+    for name, width in _numeric(features).items():
+        dims = [F.get(name, F.lit(i)) for i in range(width)] if width else [F.col(name)]
+        stats += [F.array(*(f(x.cast("double")) for x in dims)).alias(f"stats/{name}/{k}") for k, f in parts.items()]
+    spans = rows.groupBy("episode_index").agg(
+        F.count("*").alias("length"),
+        F.min("index").alias("dataset_from_index"),
+        (F.max("index") + 1).alias("dataset_to_index"),
+        F.first("chunk_index").alias("data/chunk_index"),
+        F.first("file_index").alias("data/file_index"),
+        *stats,
+    )
+    texts = rows.select("episode_index", "task_index").distinct().join(tasks, "task_index").groupBy("episode_index").agg(F.sort_array(F.collect_list("task")).alias("tasks"))
+    return spans.join(texts, "episode_index", "left")
+
+
+def _described(features: dict[str, Feature]) -> dict:
+    return {k: {"dtype": f.dtype, "shape": list(f.shape), "names": list(f.names) if f.names else None} for k, f in features.items()}
+
+
+def create_store(spark: SparkSession, root: str, features: dict[str, Feature], fps: float, file_bytes: int = FILE_BYTES, per_chunk: int = FILES_PER_CHUNK) -> Store:
+    """An empty store: its info file alone.  A store that is there already raises."""
+    root = root.rstrip("/")
+    if exists(spark, f"{root}/meta/info.json"):
+        raise ValueError(f"{root} holds a store")
+    table_schema(features)
+    write_json(spark, f"{root}/meta/info.json", {"fps": fps, "total_episodes": 0, "total_frames": 0, "total_tasks": 0, "next_file": 0, "chunks_size": per_chunk, "data_files_size_in_mb": file_bytes / (1 << 20), "features": _described(features)})
     return Store(spark, root)
 
 
+def append_episodes(store: Store, frames: DataFrame, task: str, episode: str, order: Sequence[str]) -> Store:
+    """Adds whole episodes: they are numbered in key order after those of the store, and so are their frames and new task texts.
+
+    Files are cut by running size and follow the store's last; an episode lies in one file.  Rows without an episode are
+    left out.  The info file is written last and all numbers and folders come from it, so a run that broke off is
+    repeated over its own folders.  An empty table changes no count.
+    """
+    spark, root, info, features = store.spark, store.root, store.info(), store.features()
+    per_chunk, limit = info.get("chunks_size", FILES_PER_CHUNK), int(info.get("data_files_size_in_mb", FILE_BYTES >> 20) * (1 << 20))
+    if "next_file" not in info:  # a store of another writer
+        info = info | {"next_file": store.episodes().agg(F.max(F.col("`data/chunk_index`") * per_chunk + F.col("`data/file_index`"))).first()[0] + 1}
+    done, base, begun = info["total_episodes"], info["total_frames"], info.get("total_tasks") or (store.tasks().count() if info["total_episodes"] else 0)
+    data, meta, new_tasks = f"{root}/data/episodes-{done:09d}", f"{root}/meta/episodes/episodes-{done:09d}", f"{root}/meta/{_tasks_folder(begun)}"
+
+    texts = frames.where(F.col(task).isNotNull()).select(F.col(task).alias("task")).distinct()
+    if begun:
+        texts = texts.join(store.tasks().where(F.col("task_index") < begun).select("task"), "task", "left_anti")
+    rank_rows(texts, ["task"], "_rank").select((F.col("_rank") + begun).alias("task_index"), "task").write.mode("overwrite").parquet(new_tasks)
+    tasks = store.tasks()
+
+    spans = rank_rows(frames.where(F.col(episode).isNotNull()).groupBy(episode).agg(F.count("*").alias("_n")), [episode], "_rank")
+    spans = spans.select(F.col(episode).alias("_episode"), (F.col("_rank") + done).alias("episode_index"), "_n", (F.col("_n") * F.lit(frame_bytes(frames, features))).cast("long").alias("_bytes"))
+    placed = rolled(with_offsets(spans, "episode_index", "_n", "_from", "_to"), "_bytes", limit, per_chunk, info["next_file"]).drop("_n", "_to", "_bytes")
+
+    fps, own_time = F.lit(float(info["fps"])), "timestamp" in frames.columns
+    rows = frames.withColumns({"_frame": (F.row_number().over(Window.partitionBy(episode).orderBy(*order)) - 1).cast("long"), "_episode": F.col(episode), "_task": F.col(task)})
+    rows = rows.drop("episode_index", "index", "task_index", "chunk_index", "file_index").join(placed, "_episode").join(tasks.withColumnRenamed("task", "_task"), "_task", "left")
+    rows = rows.withColumns({"frame_index": F.col("_frame"), "index": F.col("_from") + F.col("_frame") + base, "timestamp": F.coalesce("timestamp", F.col("_frame") / fps) if own_time else F.col("_frame") / fps})
+    schema = table_schema(features)
+    files = rows.select(*(F.col(f.name).cast(f.dataType) for f in schema), "chunk_index", "file_index").repartition("chunk_index", "file_index").sortWithinPartitions("chunk_index", "file_index", "index")
+    files.write.mode("overwrite").partitionBy("chunk_index", "file_index").parquet(data)
+
+    written = spark.read.schema(schema.add("chunk_index", "long").add("file_index", "long")).parquet(data)
+    episode_metadata(written, tasks, features).write.mode("overwrite").parquet(meta)
+    total = spark.read.parquet(meta).agg(F.count("*").alias("e"), F.sum("length").alias("f"), F.max(F.col("`data/chunk_index`") * per_chunk + F.col("`data/file_index`")).alias("last")).first()
+    if total.e:
+        write_json(spark, f"{root}/meta/info.json", info | {"total_episodes": done + total.e, "total_frames": base + total.f, "total_tasks": begun + spark.read.parquet(new_tasks).count(), "next_file": total.last + 1})
+    return store
+
+
+def _tasks_folder(begun: int) -> str:
+    return f"tasks-{begun:09d}.parquet" if begun else "tasks.parquet"
+
+
+def write_store(frames: DataFrame, root: str, features: dict[str, Feature], fps: float, task: str, episode: str, order: Sequence[str], file_bytes: int = FILE_BYTES) -> Store:
+    """Writes a packed store where there is none: frames in files of about ``file_bytes``, tasks, episodes with their statistics, and info."""
+    return append_episodes(create_store(frames.sparkSession, root, features, fps, file_bytes), frames, task, episode, order)
+
+
+def write_json_lines(df: DataFrame, path: str, append: bool = False) -> None:
+    """Rows as JSON lines; ``append`` adds files to those that are there.  Nulls are kept as fields."""
+    df.write.mode("append" if append else "overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def image_shapes_repaired(stats: dict, prefix: str = "observation.images.") -> dict:
+    """Statistics whose image entries of shape (3,) are (3, 1, 1), as later writers store them."""
+    fix = lambda v: [[[x]] for x in v] if isinstance(v, list) and len(v) == 3 and not isinstance(v[0], list) else v
+    return {k: {n: fix(v) if n != "count" else v for n, v in s.items()} if k.startswith(prefix) else s for k, s in stats.items()}
+
+
 def statistics_to_json(stats: DataFrame, keys: Sequence[str], spark: SparkSession, path: str) -> None:
     """Statistics rows (bounded by parts x steps x dimensions) as one JSON document."""
     write_json(spark, path, {"/".join(str(r[k]) for k in keys): {c: r[c] for c in stats.columns if c not in keys} for r in stats.toLocalIterator()})

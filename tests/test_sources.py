@@ -16,7 +16,7 @@ FEATURES = {"action": Feature("float32", (2,), ("a", "b")), "speed": Feature("fl
 def store(spark, tmp_path_factory):
     rows = [(e, i, [float(e), float(i)], e + i / 10, ["lift", "drop", None][e % 3]) for e in range(5) for i in range(e + 2)]
     df = spark.createDataFrame(rows, "ep long, t long, action array<double>, speed double, task string").withColumn("action", F.col("action").cast("array<float>"))
-    return S.write_store(df, str(tmp_path_factory.mktemp("store")), FEATURES, 10.0, "task", "ep", ["t"], buckets=2)
+    return S.write_store(df, str(tmp_path_factory.mktemp("store")), FEATURES, 10.0, "task", "ep", ["t"], file_bytes=200)
 
 
 def test_roundtrip(store):
@@ -52,6 +52,55 @@ def test_concat_manifest_annotations(store, spark, tmp_path):
     assert [tuple(r) for r in store.annotations().collect()] == [("scene", 1, "one")]
 
 
+def test_files_hold_whole_episodes_in_order(store):
+    e = store.episodes().orderBy("episode_index").collect()
+    places = [(r["data/chunk_index"], r["data/file_index"]) for r in e]
+    assert places == sorted(places) and len(set(places)) > 1
+    assert [r.tasks for r in e] == [["lift"], ["drop"], None, ["lift"], ["drop"]]
+    s = {r.episode_index: r for r in store.episode_statistics().collect()}
+    assert s[1]["stats/action/min"] == [1.0, 0.0] and s[1]["stats/action/max"] == [1.0, 2.0]
+    assert s[1]["stats/action/count"] == [3, 3] and s[1]["stats/action/std"] == pytest.approx([0.0, (2 / 3) ** 0.5])
+    assert s[0]["stats/speed/mean"] == pytest.approx([0.05])
+
+
+def test_append(spark, tmp_path):
+    schema = "ep long, t long, action array<float>, speed double, task string"
+    rows = lambda eps, task: spark.createDataFrame([(e, i, [float(e), float(i)], 1.0, task) for e in eps for i in range(3)], schema)
+    new = S.create_store(spark, str(tmp_path / "s"), FEATURES, 5.0, file_bytes=150)
+    assert new.frames().count() == 0
+    with pytest.raises(ValueError):
+        S.create_store(spark, new.root, FEATURES, 5.0)
+    S.append_episodes(new, rows([4, 2], "lift"), "task", "ep", ["t"])
+    for _ in range(2):  # an empty table changes nothing
+        S.append_episodes(new, rows([], "none"), "task", "ep", ["t"])
+    before = new.info()
+    S.append_episodes(new, rows([1, 7], "drop").union(rows([9], "lift")), "task", "ep", ["t"])
+    after = new.info()
+    S.write_json(spark, f"{new.root}/meta/info.json", before)  # as if the run had broken off before its end
+    S.append_episodes(new, rows([1, 7], "drop").union(rows([9], "lift")), "task", "ep", ["t"])
+    assert new.info() == after
+    assert (after["total_episodes"], after["total_frames"], after["total_tasks"]) == (5, 15, 2)
+    f = new.frames().orderBy("index").collect()
+    assert [r["index"] for r in f] == list(range(15)) and [r.episode_index for r in f] == [e for e in range(5) for _ in range(3)]
+    assert [r.action[0] for r in f[::3]] == [2.0, 4.0, 1.0, 7.0, 9.0] and [r.task_index for r in f[::3]] == [0, 0, 1, 1, 0]
+    assert sorted((r.task_index, r.task) for r in new.tasks().collect()) == [(0, "lift"), (1, "drop")]
+    files = [(r["data/chunk_index"], r["data/file_index"]) for r in new.episodes().orderBy("episode_index").collect()]
+    assert files == sorted(files) and set(files[:2]).isdisjoint(files[2:])
+
+
+def test_json_lines(spark, tmp_path):
+    df = spark.createDataFrame([(0, "a"), (1, None)], "task_index long, task string")
+    S.write_json_lines(df.where("task_index = 0"), str(tmp_path / "j"))
+    S.write_json_lines(df.where("task_index = 1"), str(tmp_path / "j"), append=True)
+    back = spark.read.schema(df.schema).json(str(tmp_path / "j")).orderBy("task_index").collect()
+    assert [tuple(r) for r in back] == [(0, "a"), (1, None)]
+
+
+def test_image_shapes():
+    got = S.image_shapes_repaired({"observation.images.top": {"mean": [1, 2, 3], "count": [5]}, "action": {"mean": [1, 2, 3]}})
+    assert got == {"observation.images.top": {"mean": [[[1]], [[2]], [[3]]], "count": [5]}, "action": {"mean": [1, 2, 3]}}
+
+
 def test_rolling(spark):
     e = spark.createDataFrame([(i, 40) for i in range(6)], "episode_index long, size long")
     got = [tuple(r) for r in S.rolled(e, "size", 100, 2).orderBy("episode_index").select("chunk_index", "file_index").collect()]
