@@ -36,7 +36,7 @@ def split_plan(text: Column, mark: str = "[PLAN]") -> tuple[Column, Column]:
 
 def plan_step(plan: Column, number: Column) -> Column:
     """The first line that starts with ``n.``, trimmed; null if none does."""
-    lines = F.transform(F.split(plan, "\n"), F.trim)
+    lines = F.transform(F.split(plan, "\n"), lambda x: F.trim(x))  # F.trim itself would take the index as characters to trim
     return F.try_element_at(F.filter(lines, lambda x: x.startswith(F.concat(number.cast("string"), F.lit(".")))), F.lit(1))
 
 

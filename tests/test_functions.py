@@ -354,3 +354,8 @@ def test_entry_without_the_training_data_folder(monkeypatch):
 
     monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
     assert "chunk_step_stats" in e.queries() and not any(k.startswith("op") and k[2].isdigit() for k in e.queries()) and "pipeline" not in e.oracle_sql()
+
+
+def test_plan_step_keeps_digits_of_its_line(spark):
+    df = spark.createDataFrame([("0. pick\n1. place 21\n2. go", 1)], "plan string, n long")
+    assert df.select(T.plan_step(F.col("plan"), F.col("n"))).first()[0] == "1. place 21"
