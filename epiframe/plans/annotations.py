@@ -155,3 +155,15 @@ def collate_batches(spark, d):
 def built_samples(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("task"), F.when(F.col("conv_id") % 3 == 0, F.col("role")).alias("plan"))
     return P.build_samples(c, {"plan": 1.0}, "conv_id").select("conv_id", "turn", "sample")
+
+
+_HEAD = "'<chat_user_prefix><image0_image_!><image1_image_!><bos>Embodiment: <embodiment_text_!>; Task: <command_text_!_200>' || {memory} || ' State: <proprio_proprio_!>;<chat_user_suffix><chat_assistant_prefix>Action: <EOV><EOC><action_action>|<eos>'"
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN m THEN 'memory' ELSE 'base' END AS builder, text AS command, {_HEAD.format(memory="CASE WHEN m THEN ' Memory: <memory_text_!>' ELSE '' END")} AS template, CASE WHEN m THEN role END AS memory_slot FROM (SELECT *, conv_id % 3 = 0 AS m FROM conversations)")
+def template_samples(spark, d):
+    from epiframe.operators import templates
+
+    c = table(spark, d, "conversations").select("conv_id", "turn", F.col("text").alias("task"), F.when(F.col("conv_id") % 3 == 0, F.col("role")).alias("memory"))
+    out = templates.build(c, {"memory": 1.0, "subtask": 2.0}, "conv_id")
+    return out.select("conv_id", "turn", "builder", "command", "template", F.try_element_at("slots", F.lit("memory")).alias("memory_slot"))

@@ -358,4 +358,4 @@ def test_entry_without_the_training_data_folder(monkeypatch):
 
 def test_plan_step_keeps_digits_of_its_line(spark):
     df = spark.createDataFrame([("0. pick\n1. place 21\n2. go", 1)], "plan string, n long")
-    assert df.select(T.plan_step(F.col("plan"), F.col("n"))).first()[0] == "1. place 21"
+    assert df.select(text.plan_step(F.col("plan"), F.col("n"))).first()[0] == "1. place 21"
