@@ -4,6 +4,9 @@ Rows of a micro-batch are put in the order of their sequence number first; a
 row whose number is not above the last one seen of its key is late and dropped.
 State is bounded: a buffer's length, a chunk, or the open steps of a chunk, and it goes
 when a key has had no rows for IDLE_MILLISECONDS; a key that comes back starts anew.
+With timeouts Spark plans batches without data for ever, so that an ``availableNow`` trigger ends only where
+``spark.sql.streaming.noDataMicroBatches.enabled`` is false.
+A value is a number or a vector of numbers; a chunk is an array of either.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import ArrayType
 
 
 def _ordered(batches: Iterator[pd.DataFrame], order: str, last: int) -> pd.DataFrame:
@@ -25,6 +29,25 @@ def _ordered(batches: Iterator[pd.DataFrame], order: str, last: int) -> pd.DataF
 IDLE_MILLISECONDS = 3_600_000
 
 
+def _value(x):
+    """A number, or a vector as a list."""
+    return [float(v) for v in x] if hasattr(x, "__len__") else float(x)
+
+
+def _held(v) -> list[float]:
+    """A value as state keeps it."""
+    return v if isinstance(v, list) else [v]
+
+
+def _kind(df: DataFrame, column: str, depth: int = 0) -> tuple[str, bool]:
+    """(Spark type of the column's values, whether they are vectors) below ``depth`` arrays."""
+    t = df.schema[column].dataType
+    for _ in range(depth):
+        t = t.elementType
+    wide = isinstance(t, ArrayType)
+    return ("array<double>" if wide else "double"), wide
+
+
 def _stateful(df: DataFrame, key: str, function, output: str, state: str) -> DataFrame:
     def run(k, batches, held: GroupState):
         if held.hasTimedOut:
@@ -39,90 +62,100 @@ def _stateful(df: DataFrame, key: str, function, output: str, state: str) -> Dat
 
 def history(df: DataFrame, key: str, order: str, value: str, steps: int) -> DataFrame:
     """The last ``steps`` values at every row, oldest first; the first value fills what is missing; a row with ``reset`` true clears."""
+    number, wide = _kind(df, value)
 
     def run(k, batches, state: GroupState):
-        last, held = state.get if state.exists else (-1, [])
-        held, out = list(held), []
+        last, kept = state.get if state.exists else (-1, [])
+        held, out = [list(v) if wide else v[0] for v in kept], []
         for r in _ordered(batches, order, last).itertuples():
             if getattr(r, "reset", False):
                 held = []
-            v = float(getattr(r, value))
+            v = _value(getattr(r, value))
             held = (held or [v] * (steps - 1))[-(steps - 1) :] + [v] if steps > 1 else [v]
             last = int(getattr(r, order))
             out.append((k[0], last, held))
-        state.update((last, held))
+        state.update((last, [_held(v) for v in held]))
         yield pd.DataFrame(out, columns=[key, order, "history"])
 
     kind = df.schema[key].dataType.simpleString()
-    return _stateful(df, key, run, f"{key} {kind}, {order} long, history array<double>", "last long, held array<double>")
+    return _stateful(df, key, run, f"{key} {kind}, {order} long, history array<{number}>", "last long, held array<array<double>>")
 
 
 def chunk_cache(df: DataFrame, key: str, order: str, chunk: str, steps: int) -> DataFrame:
     """Serves ``steps`` rows of a chunk before the next chunk is taken; row 0 where the chunk is shorter."""
+    number, wide = _kind(df, chunk, 1)
 
     def run(k, batches, state: GroupState):
-        last, held, at = state.get if state.exists else (-1, [], 0)
-        held, out = list(held), []
+        last, kept, at = state.get if state.exists else (-1, [], 0)
+        held, out = [list(v) if wide else v[0] for v in kept], []
         for r in _ordered(batches, order, last).itertuples():
             if not held or at >= steps:
-                held, at = [float(x) for x in getattr(r, chunk)], 0
+                held, at = [_value(x) for x in getattr(r, chunk)], 0
             last = int(getattr(r, order))
             out.append((k[0], last, at, held[at] if at < len(held) else held[0]))
             at += 1
-        state.update((last, held, at))
+        state.update((last, [_held(v) for v in held], at))
         yield pd.DataFrame(out, columns=[key, order, "position", "served"])
 
     kind = df.schema[key].dataType.simpleString()
-    return _stateful(df, key, run, f"{key} {kind}, {order} long, position long, served double", "last long, held array<double>, at long")
+    return _stateful(df, key, run, f"{key} {kind}, {order} long, position long, served {number}", "last long, held array<array<double>>, at long")
 
 
 def ensemble(df: DataFrame, key: str, order: str, chunk: str) -> DataFrame:
-    """At every row the mean of all predictions made so far for its own step; steps behind are dropped."""
+    """At every row the mean of all predictions made so far for its own step, by component; steps behind are dropped."""
+    number, wide = _kind(df, chunk, 1)
 
     def run(k, batches, state: GroupState):
         last, steps, sums, votes = state.get if state.exists else (-1, [], [], [])
-        open_ = {s: [a, n] for s, a, n in zip(steps, sums, votes)}
+        open_ = {s: [list(a), n] for s, a, n in zip(steps, sums, votes)}
         out = []
         for r in _ordered(batches, order, last).itertuples():
             now = int(getattr(r, order))
             for j, x in enumerate(getattr(r, chunk)):
-                slot = open_.setdefault(now + j, [0.0, 0])
-                slot[0] += float(x)
+                v = _held(_value(x))
+                slot = open_.setdefault(now + j, [[0.0] * len(v), 0])
+                slot[0] = [a + b for a, b in zip(slot[0], v)]
                 slot[1] += 1
             open_ = {s: v for s, v in open_.items() if s >= now}
-            out.append((k[0], now, open_[now][0] / open_[now][1], open_[now][1]))
+            mean = [a / open_[now][1] for a in open_[now][0]]
+            out.append((k[0], now, mean if wide else mean[0], open_[now][1]))
             last = now
         state.update((last, list(open_), [v[0] for v in open_.values()], [v[1] for v in open_.values()]))
         yield pd.DataFrame(out, columns=[key, order, "value", "votes"])
 
     kind = df.schema[key].dataType.simpleString()
-    return _stateful(df, key, run, f"{key} {kind}, {order} long, value double, votes long", "last long, steps array<long>, sums array<double>, votes array<long>")
+    return _stateful(df, key, run, f"{key} {kind}, {order} long, value {number}, votes long", "last long, steps array<long>, sums array<array<double>>, votes array<long>")
+
 
+def sensor_sync(df: DataFrame, key: str, time: str, topic: str, value: str, clock: str, others: tuple[str, ...], depth: int = 80, depths: dict[str, int] | None = None) -> DataFrame:
+    """At every message of the clock topic, the nearest of the last messages of each other topic, later ones on ties; nothing while a buffer is empty.
 
-def sensor_sync(df: DataFrame, key: str, time: str, topic: str, value: str, clock: str, others: tuple[str, ...], depth: int = 80) -> DataFrame:
-    """At every message of the clock topic, the nearest of the last ``depth`` messages of each other topic, later ones on ties; nothing while a buffer is empty."""
+    A topic keeps ``depth`` messages, or its own number in ``depths``.
+    """
+    number, wide = _kind(df, value)
 
     def run(k, batches, state: GroupState):
         names, times, values = state.get if state.exists else ([], [], [])
-        rings: dict[str, list[tuple[int, float]]] = {t: [] for t in others}
+        rings: dict[str, list[tuple[int, list[float]]]] = {t: [] for t in others}
         for n, t, v in zip(names, times, values):
-            rings[n].append((t, v))
+            rings[n].append((t, list(v)))
         rows = pd.concat(list(batches), ignore_index=True)
         rows["_clock"] = rows[topic] == clock
+        shown = lambda v: v if wide else v[0]
         out = []
         for r in rows.sort_values([time, "_clock"], kind="stable").itertuples():
-            t, name = int(getattr(r, time)), getattr(r, topic)
+            t, name, v = int(getattr(r, time)), getattr(r, topic), _held(_value(getattr(r, value)))
             if name in rings:
-                rings[name] = [*rings[name], (t, float(getattr(r, value)))][-depth:]
+                rings[name] = [*rings[name], (t, v)][-(depths or {}).get(name, depth) :]
             elif name == clock and all(rings.values()):
                 nearest = [min(reversed(rings[o]), key=lambda m: abs(m[0] - t)) for o in others]
-                out.append((k[0], t, float(getattr(r, value)), [m[1] for m in nearest]))
+                out.append((k[0], t, shown(v), [shown(m[1]) for m in nearest]))
         flat = [(n, t, v) for n in others for t, v in rings[n]]
         state.update(([x[0] for x in flat], [x[1] for x in flat], [x[2] for x in flat]))
         yield pd.DataFrame(out, columns=[key, time, "clock_value", "nearest"])
 
     kind = df.schema[key].dataType.simpleString()
-    return _stateful(df, key, run, f"{key} {kind}, {time} long, clock_value double, nearest array<double>", "names array<string>, times array<long>, held array<double>")
+    return _stateful(df, key, run, f"{key} {kind}, {time} long, clock_value {number}, nearest array<{number}>", "names array<string>, times array<long>, held array<array<double>>")
 
 
 def isolate_errors(batch: DataFrame, errors, good_sink, bad_sink) -> None:

@@ -51,6 +51,42 @@ def test_sensor_sync(spark, tmp_path):
     assert sorted((r.t, r.nearest) for r in spark.table("sync").collect()) == [(5, [1.0]), (7, [3.0])]
 
 
+@pytest.fixture(scope="module")
+def vectors(spark, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("vectors"))
+    rows = [(k, i, [float(k), float(i)], [[float(i + j), float(k - j)] for j in range(3)]) for k in range(2) for i in range(6)]
+    schema = "k long, seq long, x array<double>, chunk array<array<double>>"
+    for f in range(FILES):
+        spark.createDataFrame([r for r in rows if r[1] // 2 == f], schema).coalesce(1).write.mode("append").parquet(path)
+    return path, schema, spark.createDataFrame(rows, schema)
+
+
+def test_vector_history_equals_batch(spark, vectors):
+    batch = Episodes(vectors[2], ["k"], ["seq"])
+    want = {(r.k, r.seq): r.h for r in batch.df.select("k", "seq", batch.history("x", 3).alias("h")).collect()}
+    assert {(r.k, r.seq): r.history for r in drain(spark, vectors, lambda s: S.history(s, "k", "seq", "x", 3), "vhistory").collect()} == want
+
+
+def test_vector_chunk_cache_equals_batch(spark, vectors):
+    want = {(r.k, r.seq): r.served for r in serving.chunk_cache(vectors[2], "k", ["seq"], "chunk", 2).collect()}
+    assert {(r.k, r.seq): r.served for r in drain(spark, vectors, lambda s: S.chunk_cache(s, "k", "seq", "chunk", 2), "vcache").collect()} == want
+
+
+def test_vector_ensemble_equals_batch(spark, vectors):
+    want = {(r.k, r.step): (r.value, r.votes) for r in serving.ensemble_vectors(vectors[2], "k", "seq", "chunk").where("step < 6").collect()}
+    assert {(r.k, r.seq): (r.value, r.votes) for r in drain(spark, vectors, lambda s: S.ensemble(s, "k", "seq", "chunk"), "vensemble").collect()} == want
+
+
+def test_vector_sensor_sync(spark, tmp_path):
+    rows = [(1, 0, "arm", [0.0, 1.0]), (1, 2, "cam", [5.0]), (1, 3, "arm", [2.0, 3.0]), (1, 4, "head", [9.0]), (1, 6, "cam", [6.0]), (1, 7, "head", [8.0])]
+    schema = "k long, t long, topic string, v array<double>"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "s"))
+    stream = spark.readStream.schema(schema).parquet(str(tmp_path / "s"))
+    q = S.sensor_sync(stream, "k", "t", "topic", "v", "head", ("arm", "cam"), depths={"cam": 1}).writeStream.format("memory").queryName("vsync").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert sorted((r.t, r.clock_value, r.nearest) for r in spark.table("vsync").collect()) == [(4, [9.0], [[2.0, 3.0], [5.0]]), (7, [8.0], [[2.0, 3.0], [6.0]])]
+
+
 def test_isolate_errors(spark):
     got = {}
     df = spark.createDataFrame([(1,), (-1,)], "x int")
