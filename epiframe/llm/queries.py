@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from epiframe.llm import chat_format, decontaminate, html_text, language_id, license_digest, near_dedup, packing, quality, substring_dedup, top_k
+from epiframe.llm import centroids, chat_format, collocations, decontaminate, html_text, language_id, license_digest, line_dedup, near_dedup, packing, quality, substring_dedup, top_k
 from epiframe.llm.sampling import held_out
 
 
@@ -78,6 +78,23 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.expand(conversations.union(extra)))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document, those dropped as repeated, and a digest of the lines kept."""
+    out = line_dedup.drop_repeated_lines(_table(spark, sf_dir, "documents").select("doc_id", "text"), digest=True)
+    return out.select("doc_id", F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"), F.col("_kept").alias("kept_sha256"))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best phrases of two and three words of each language."""
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector's centroid after five rounds, its distance, and the sums of distances."""
+    assigned, final = centroids.clusters(_table(spark, sf_dir, "embeddings"))
+    return centroids.with_inertia(assigned, final).withColumnRenamed("id", "vec_id").select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 QUERIES = {
     "op1_html_extraction": op1_html_extraction,
     "op2_benchmark_decontamination": op2_benchmark_decontamination,
@@ -89,6 +106,9 @@ QUERIES = {
     "op8_substring_dedup": op8_substring_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_chat_formatting": op10_chat_formatting,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_centroid_clustering": op13_centroid_clustering,
 }
 
 _TOP_K_SQL = """
@@ -147,6 +167,64 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM u GROUP BY conv_id
 """
 
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_LINE_SQL = rf"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS s FROM documents),
+l AS (SELECT doc_id, unnest(s) AS line, unnest(range(len(s))) AS i FROM d),
+k AS (SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), {_AZ}) AS key FROM l),
+c AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+m AS (SELECT k.doc_id, k.line, k.i, coalesce(k.doc_id < c.last, FALSE) AS gone FROM k LEFT JOIN c ON c.key = k.key)
+SELECT doc_id, count(*) AS n_lines, CAST(sum(CASE WHEN gone THEN 1 ELSE 0 END) AS BIGINT) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY doc_id
+"""
+
+_PHRASE_SQL = rf"""
+WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), {_AZ}), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS MATERIALIZED (SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda x: x <> '') AS w FROM p),
+g AS (
+  SELECT lang, 1 AS m, unnest(w) AS phrase FROM w
+  UNION ALL SELECT lang, 2, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM w WHERE len(w) > 1
+  UNION ALL SELECT lang, 3, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) FROM w WHERE len(w) > 2
+), f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY lang, m, phrase HAVING count(*) >= 10),
+n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM w GROUP BY lang),
+x AS (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS s FROM f WHERE m > 1),
+u AS (SELECT *, unnest(range(1, m)) AS k FROM x),
+c AS (SELECT lang, phrase, a, k, array_to_string(s[1:k], ' ') AS lp, array_to_string(s[k + 1:], ' ') AS rp FROM u),
+z AS (
+  SELECT c.lang, c.phrase, a, k, l.f AS l, r.f AS r, CAST((CAST(1000000 AS HUGEINT) * a * a) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+  FROM c JOIN f l ON l.lang = c.lang AND l.phrase = c.lp JOIN f r ON r.lang = c.lang AND r.phrase = c.rp
+), b AS (SELECT * FROM z QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+t AS (SELECT lang, a, unnest([s[1] || ' ' || s[2], s[2] || ' ' || s[3]]) AS phrase FROM x WHERE m = 3),
+o AS (SELECT lang, phrase, max(a) AS most FROM t GROUP BY lang, phrase),
+y AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, a DESC, b.phrase) AS rank FROM b LEFT JOIN o ON o.lang = b.lang AND o.phrase = b.phrase WHERE o.most IS NULL OR 100 * o.most < 50 * a)
+SELECT y.lang, rank, phrase, a, l, r, n, score FROM y JOIN n ON n.lang = y.lang WHERE rank <= 2000
+"""
+
+
+def _centroid_sql(rounds: int = 5) -> str:
+    gap = "CAST(list_sum(list_transform(list_zip(v.v, c.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT) * 64 + c.c"
+    steps = "".join(
+        f"""a{i} AS MATERIALIZED (SELECT v.id, any_value(v.v) AS v, min({gap}) AS m FROM v, c{i} c GROUP BY v.id),
+s{i} AS (SELECT m % 64 AS c, i, CAST(sum(x) AS BIGINT) AS s, count(*) AS n FROM (SELECT m, unnest(v) AS x, unnest(range(64)) AS i FROM a{i}) GROUP BY 1, 2),
+n{i} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM s{i} GROUP BY c),
+c{i + 1} AS MATERIALIZED (SELECT c.c, coalesce(n.v, c.v) AS v FROM c{i} c LEFT JOIN n{i} n ON n.c = c.c),
+"""
+        for i in range(rounds)
+    )
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS id, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || CAST(vec_id AS VARCHAR)), v) - 1 AS c, v FROM v WHERE vec_id IS NOT NULL QUALIFY c < 40),
+{steps}a{rounds} AS MATERIALIZED (SELECT v.id, any_value(v.vec_id) AS vec_id, min({gap}) AS m FROM v, c{rounds} c GROUP BY v.id),
+d AS (SELECT vec_id, m % 64 AS c, m // 64 AS distance FROM a{rounds})
+SELECT vec_id, CAST(d.c AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY d.c) AS BIGINT) AS cluster_inertia,
+  CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.v, ',')) AS centroid_sha256
+FROM d JOIN c{rounds} c ON c.c = d.c
+"""
+
+
 #: Packing, extraction, learned scores and the CGK search have no SQL form; tests hold them against brute force.
 ORACLES: dict[str, str] = {
     "op4_minhash_near_dedup": _NEAR_SQL,
@@ -154,4 +232,7 @@ ORACLES: dict[str, str] = {
     "op7_ball_tree_top_k": _TOP_K_SQL,
     "op8_substring_dedup": _WINDOW_SQL,
     "op10_chat_formatting": _CHAT_SQL,
+    "op11_line_dedup": _LINE_SQL,
+    "op12_phrase_collocations": _PHRASE_SQL,
+    "op13_centroid_clustering": _centroid_sql(),
 }
