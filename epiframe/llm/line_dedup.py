@@ -189,7 +189,7 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     repeated = staged(counted.where("count > 1"), "lines")
     keys, held = repeated.agg(F.count("*"), F.coalesce(F.sum("count"), F.lit(0))).first()
     small = keys * KEY_BYTES <= sent_bytes
-    probes = 0 if small else docs.agg(F.sum(F.length(text_col))).first()[0] // min_chars
+    probes = 0 if small else (docs.agg(F.sum(F.length(text_col))).first()[0] or 0) // max(1, min_chars)
     shards = max(1, -(-keys // SHARD_KEYS), -(-probes // SHARD_LINES))
     arrays = staged(repeated.withColumn("shard", F.pmod("high", F.lit(shards))).groupBy("shard").applyInArrow(_shard, perfect_hash.SCHEMA), "line-arrays")
     row = docs.select(carried.column, key, text)
