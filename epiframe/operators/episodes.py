@@ -5,6 +5,10 @@ Every function takes a frame DataFrame, its episode ``key`` columns and its
 them share one window specification, so Spark plans one exchange and one sort
 for any number of them.  Frames are bounded by the chunk or history length:
 memory does not grow with an episode.
+
+Long episodes are cut into blocks of frames (:meth:`Episodes.spread`): a block
+gets copies of the frames before and behind it that its windows reach, so one
+episode is many tasks and its windows are the same expressions.
 """
 
 from __future__ import annotations
@@ -15,6 +19,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from epiframe.operators.selection import order_bounds, order_bucket
+from epiframe.operators.spread import numbered, running_total
+
+#: Own frames of a block; a table of no more rows is not cut.
+BLOCK_ROWS = 250_000
 
 
 class Episodes:
@@ -22,14 +30,46 @@ class Episodes:
 
     def __init__(self, df: DataFrame, key: Sequence[str], order: Sequence[str]):
         self.df, self.key, self.order = df, list(key), list(order)
-        self.by = Window.partitionBy(*self.key).orderBy(*self.order)
+        self._windows(self.key, self.order)
+        self.blocked = False
+
+    def _windows(self, key: Sequence[str], order: Sequence[str]) -> None:
+        self.by = Window.partitionBy(*key).orderBy(*order)
         self.whole = self.by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
 
+    @classmethod
+    def spread(cls, df: DataFrame, key: Sequence[str], order: Sequence[str], back: int = 0, ahead: int = 0, rows: int = BLOCK_ROWS, frame: str | None = None) -> Episodes:
+        """Episodes whose windows reach ``back`` frames before and ``ahead`` behind a frame, cut into blocks of ``rows`` frames.
+
+        ``frame`` names a column with the 0-based place of a frame in its episode; without it frames are numbered first
+        (one more shuffle).  Windows beyond the reach are wrong on blocks; take frames with :meth:`select`, which leaves
+        the copies out.  A frame is copied to at most two more blocks, as a block is no shorter than the reach.
+        """
+        n = df.count()
+        if n <= rows:
+            return cls(df, key, order)
+        e = cls.__new__(cls)
+        e.key, e.order, e.blocked = list(key), list(order), True
+        placed = df.withColumn("_frame", F.col(frame)) if frame else numbered(df, key, order, "_frame", buckets=n // rows + 1)
+        rows = max(rows, back + ahead)
+        at = F.col("_frame")
+        near = F.sequence(F.floor(F.greatest(at - ahead, F.lit(0)) / rows), F.floor((at + back) / rows))
+        e.df = placed.withColumn("_block", F.explode(near)).withColumn("_own", F.floor(at / rows) == F.col("_block"))
+        e._windows([*key, "_block"], ["_frame"])
+        return e
+
+    def select(self, *columns: Column | str) -> DataFrame:
+        """Columns of every frame, windows among them."""
+        return self.df.select(*columns, F.col("_own")).where("_own").drop("_own") if self.blocked else self.df.select(*columns)
+
     def frame_index(self) -> Column:
         """0-based place in the episode."""
-        return F.row_number().over(self.by) - 1
+        return F.col("_frame") if self.blocked else F.row_number().over(self.by) - 1
 
     def length(self) -> Column:
+        """Frames of the episode; not on blocks, see :func:`epiframe.operators.spread.numbered`."""
+        if self.blocked:
+            raise ValueError("a block does not see its whole episode")
         return F.count("*").over(self.whole)
 
     def first(self, c: str) -> Column:
@@ -57,7 +97,7 @@ class Episodes:
 
     def chunk_pad(self, steps: int) -> Column:
         """For each step of a chunk whether it lies past the end."""
-        left = self.length() - self.frame_index()
+        left = F.count("*").over(self.by.rowsBetween(0, steps - 1))
         return F.transform(F.sequence(F.lit(0), F.lit(steps - 1)), lambda j: j >= left)
 
     def history(self, c: str, steps: int, stride: int = 1) -> Column:
@@ -69,8 +109,12 @@ class Episodes:
         before = F.lag(F.struct(F.col(c).alias("v"))).over(self.by)
         return F.when(before.isNotNull() & ~before["v"].eqNullSafe(F.col(c)), 1).otherwise(0)
 
-    def running(self, c: Column | str) -> Column:
-        return F.sum(c).over(self.by.rowsBetween(Window.unboundedPreceding, 0))
+
+def runs(df: DataFrame, key: Sequence[str], order: Sequence[str], c: str, out: str = "run", rows: int = BLOCK_ROWS) -> DataFrame:
+    """Adds the number of a frame's run of equal values in its episode."""
+    e = Episodes.spread(df, key, order, back=1, rows=rows)
+    changed = e.select(*df.columns, e.changed(c).alias("_changed"))
+    return running_total(changed, key, order, F.col("_changed"), out, None if rows == BLOCK_ROWS else df.count() // rows + 1).drop("_changed")
 
 
 def seconds_to_frames(seconds: Column, fps: Column | float) -> Column:

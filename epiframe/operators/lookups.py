@@ -9,9 +9,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from epiframe.operators.spread import neighbours
+
 
 def decode(rows: DataFrame, key: str, dictionary: DataFrame, dict_key: str, text: str, out: str, missing: str | None = None, order: Sequence[str] = ()) -> DataFrame:
     """Text of a dictionary index; of repeated entries the first in ``order`` counts (ties, and no order: the smallest text); ``missing`` where there is none."""
@@ -44,17 +46,15 @@ def nearest_within(left: DataFrame, right: DataFrame, key: str, time: str, right
     return left.join(best, left_id, "left").select(*left.columns, *(F.col("_m")[c].alias(c) for c in value))
 
 
-def nearest_latest(left: DataFrame, right: DataFrame, key: Sequence[str], time: str, value: str, out: str) -> DataFrame:
+def nearest_latest(left: DataFrame, right: DataFrame, key: Sequence[str], time: str, value: str, out: str, buckets: int | None = None) -> DataFrame:
     """For each left row the right row of its key nearest in time, however far; of two as near the later one.
 
-    Both sides are merged in time order: the nearest is the last right row at or
-    before, or the first after; no pairs are made.
+    Both sides are merged in time order, cut into buckets where a key is long:
+    the nearest is the last right row at or before, or the first after; no pairs are made.
     """
-    both = left.withColumn("_r", F.lit(False)).unionByName(right.select(*key, time, value).withColumn("_r", F.lit(True)).withColumnRenamed(value, "_v"), allowMissingColumns=True)
-    hit = F.when(F.col("_r"), F.struct(F.col(time).alias("t"), F.col("_v").alias("v")))
-    before = F.last(hit, ignorenulls=True).over(Window.partitionBy(*key).orderBy(F.col(time), F.when(F.col("_r"), 0).otherwise(1), F.col("_v")).rowsBetween(Window.unboundedPreceding, 0))
-    after = F.last(hit, ignorenulls=True).over(Window.partitionBy(*key).orderBy(F.col(time).desc(), F.when(F.col("_r"), 0).otherwise(1), F.col("_v").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    m = both.withColumns({"_a": before, "_z": after}).where(~F.col("_r"))
+    both = left.withColumn("_r", F.lit(False)).unionByName(right.select(*key, time, value).withColumn("_r", F.lit(True)).withColumnRenamed(value, "_w"), allowMissingColumns=True)
+    hit = F.when(F.col("_r"), F.struct(F.col(time).alias("t"), F.col("_w").alias("v")))
+    m = neighbours(both, key, time, hit, [F.col("_w")], "_a", "_z", buckets).where(~F.col("_r"))
     later = F.col("_a").isNull() | (F.col("_z")["t"] - F.col(time) <= F.col(time) - F.col("_a")["t"])
     return m.withColumn(out, F.when(F.col("_z").isNotNull() & later, F.col("_z")["v"]).otherwise(F.col("_a")["v"])).select(*left.columns, out)
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -79,25 +79,32 @@ def successful_only(rows: DataFrame, flags: DataFrame, key: str, flag: str) -> D
     return rows.join(good, key, "left_semi") if good.limit(1).count() else rows
 
 
+def _from_movement(frames: DataFrame, key: str, order: Sequence[str], shown: Callable[[Column | None], Column], threshold: float) -> DataFrame:
+    """Frames of each episode from the first whose ``shown(frame before)`` is above the threshold on, or the last one if none is."""
+    from epiframe.operators.episodes import Episodes
+
+    e = Episodes.spread(frames.withColumn("_x", shown(None)), [key], order, back=1)
+    moved = e.select(*frames.columns, shown(F.lag("_x").over(e.by)).alias("_move"))
+    at = F.struct(*order)
+    starts = moved.groupBy(F.col(key).alias("_key")).agg(F.coalesce(F.min(F.when(F.col("_move") > threshold, at)), F.max(at)).alias("_start"))
+    return moved.join(starts, moved[key].eqNullSafe(starts["_key"])).where(at >= F.col("_start")).select(*frames.columns)
+
+
 def first_movement(frames: DataFrame, key: str, order: Sequence[str], value: str, threshold: float) -> DataFrame:
-    """Frames from the first that moved by more than ``threshold``; an episode that never moves keeps its last frame."""
-    by = Window.partitionBy(key).orderBy(*order)
-    whole = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    moved = frames.withColumns({"_i": F.row_number().over(by), "_move": F.abs(F.col(value) - F.lag(value).over(by))})
-    start = F.coalesce(F.min(F.when(F.col("_move") > threshold, F.col("_i"))).over(whole), F.max("_i").over(whole))
-    return moved.withColumn("_start", start).where("_i >= _start").drop("_i", "_move", "_start")
+    """Drops an episode's frames before the first whose change from the frame before is above the threshold; one that never moves keeps its last frame."""
+    return _from_movement(frames, key, order, lambda before: F.col(value) if before is None else F.abs(F.col(value) - before), threshold)
 
 
 def first_movement_of(frames: DataFrame, key: str, order: Sequence[str], vectors: Sequence[str], threshold: float) -> DataFrame:
     """As :func:`first_movement`, by the Euclidean norm of the change over all components of several vector parts."""
-    by = Window.partitionBy(key).orderBy(*order)
     whole = F.concat(*(F.col(v).cast("array<double>") for v in vectors))
-    before = F.lag(whole).over(by)
-    square = F.aggregate(F.zip_with(whole, before, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x)
-    moved = frames.withColumns({"_i": F.row_number().over(by), "_move": F.sqrt(square)})
-    all_rows = by.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    start = F.coalesce(F.min(F.when(F.col("_move") > threshold, F.col("_i"))).over(all_rows), F.max("_i").over(all_rows))
-    return moved.withColumn("_start", start).where("_i >= _start").drop("_i", "_move", "_start")
+
+    def shown(before: Column | None) -> Column:
+        if before is None:
+            return whole
+        return F.sqrt(F.aggregate(F.zip_with(whole, before, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda t, x: t + x))
+
+    return _from_movement(frames, key, order, shown, threshold)
 
 
 def qualified_only(rows: DataFrame, flag: str) -> DataFrame:
@@ -236,14 +243,15 @@ def resume_after(df: DataFrame, rank: str, start_batch: int, batch: int) -> Data
     return df.where(F.col(rank) >= start_batch * batch)
 
 
-def rank_batches(df: DataFrame, group: str, order: Sequence[str], ranks: int, batch: int, rest: str = "keep") -> DataFrame:
+def rank_batches(df: DataFrame, group: str, order: Sequence[str], ranks: int, batch: int, rest: str = "keep", buckets: int | None = None) -> DataFrame:
     """Strided rank and batch number within each group; batches never mix groups.
 
     ``rest`` says what becomes of a group's last round of ``ranks * batch`` rows if it is not full: "keep" leaves it short,
     "drop" drops it, "pad" fills it with the group's rows again, from its first.
     """
-    by = Window.partitionBy(group).orderBy(*order)
-    out = df.withColumns({"_i": F.row_number().over(by) - 1, "_n": F.count("*").over(Window.partitionBy(group))})
+    from epiframe.operators.spread import numbered
+
+    out = numbered(df, [group], order, "_i", "_n", buckets)
     size = ranks * batch
     if rest == "drop":
         out = out.where(F.col("_i") < F.floor(F.col("_n") / size) * size)

@@ -8,11 +8,13 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from epiframe.operators.spread import last_known, numbered, running_total
+
 
 def chunk_cache(frames: DataFrame, key: str, order: Sequence[str], chunk: str, steps: int, out: str = "served") -> DataFrame:
     """What a cache serves: a new chunk every ``steps`` frames, its row ``position`` in between, row 0 if it is shorter."""
-    by = Window.partitionBy(key).orderBy(*order)
-    f = frames.withColumn("_i", F.row_number().over(by) - 1).withColumns({"request": F.floor(F.col("_i") / steps).cast("long"), "position": (F.col("_i") % steps).cast("long")})
+    f = numbered(frames, [key], order, "_i")
+    f = f.withColumns({"request": F.floor(F.col("_i") / steps).cast("long"), "position": (F.col("_i") % steps).cast("long")})
     source = F.first(chunk).over(Window.partitionBy(key, "request").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
     f = f.withColumn("_c", source)
     at = F.when(F.col("position") < F.size("_c"), F.col("position")).otherwise(0).cast("int")
@@ -27,14 +29,13 @@ def temporal_ensemble(predictions: DataFrame, key: str, step: str, chunk: str, o
 
 def held_command(frames: DataFrame, key: str, order: Sequence[str], command: str, hold: str, out: str = "command") -> DataFrame:
     """The command, or the last one before it while ``hold`` is true."""
-    by = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return frames.withColumn(out, F.last(F.when(~F.col(hold), F.col(command)), ignorenulls=True).over(by))
+    said = F.when(~F.col(hold) & F.col(command).isNotNull(), F.col(command))
+    return last_known(frames, [key], order, said, out)
 
 
 def recordings(frames: DataFrame, key: str, order: Sequence[str], reset: str, out: str = "recording") -> DataFrame:
     """Number of the recording a frame belongs to: each reset starts one."""
-    by = Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return frames.withColumn(out, F.sum(F.when(F.col(reset), 1).otherwise(0)).over(by).cast("long"))
+    return running_total(frames, [key], order, F.when(F.col(reset), 1).otherwise(0), out)
 
 
 def trial_plan(trials: DataFrame, trial: str, inits: int, environments: int) -> DataFrame:

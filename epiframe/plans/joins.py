@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from epiframe.operators import lookups as L
 from epiframe.operators.episodes import episode_table, with_offsets
+from epiframe.operators.spread import numbered
 from epiframe.plans.registry import query, table
+from epiframe.plans.windows import KEY, ORDER, events
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_quantity, p_name FROM lineitem LEFT JOIN (SELECT p_partkey, min(p_name) AS p_name FROM part GROUP BY p_partkey) ON l_partkey = p_partkey")
@@ -87,10 +89,7 @@ def keyed_override(spark, d):
 @query("""WITH f AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
 SELECT a.event_id, b.event_id AS wanted, b.value FROM f a JOIN f b ON a.user_id = b.user_id AND b.i = least(a.i + 3, a.n - 1)""")
 def index_remap(spark, d):
-    from epiframe.plans.windows import frames
-
-    e = frames(spark, d)
-    f = e.df.select("event_id", "user_id", "value", e.frame_index().alias("i"), e.length().alias("n"))
+    f = numbered(events(spark, d), KEY, ORDER, "i", "n").select("event_id", "user_id", "value", "i", "n")
     asked = f.select("event_id", "user_id", F.least(F.col("i") + 3, F.col("n") - 1).alias("i"))
     return L.requested_rows(asked, f.select("user_id", "i", F.col("event_id").alias("wanted"), "value"), ["user_id", "i"]).select("event_id", "wanted", "value")
 

@@ -102,7 +102,7 @@ def binarize(spark, d):
 def relative_chunk(spark, d):
     """Chunks of (value, value): the first dimension relative to the state, the second left as it is."""
     e = frames(spark, d)
-    c = e.df.select("event_id", "value", e.chunk("value", STEPS).alias("c"))
+    c = e.select("event_id", "value", e.chunk("value", STEPS).alias("c"))
     rows = F.transform("c", lambda x: F.array(x, x))
     r = c.select("event_id", F.posexplode(T.relative(rows, F.array("value", "value"), -1, (0,))).alias("step", "v"))
     return r.select("event_id", F.col("step").cast("long").alias("step"), F.round(F.element_at("v", 1), 6).alias("d0"), F.element_at("v", 2).alias("d1"))

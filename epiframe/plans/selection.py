@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from epiframe.functions import arrays as A
 from epiframe.operators import selection as S
 from epiframe.plans.registry import query, table
-from epiframe.plans.windows import FRAMES_SQL, STEPS, frames
+from epiframe.plans.windows import FRAMES_SQL, STEPS, events, frames
 
 
 @query("SELECT event_id, user_id, value FROM events WHERE user_id IN (1, 3, 5)")
@@ -53,8 +53,7 @@ def failed_anti(spark, d):
 s AS (SELECT user_id, coalesce(min(i) FILTER (mv > 60), max(i)) AS st FROM m GROUP BY user_id)
 SELECT m.event_id, m.value FROM m JOIN s USING (user_id) WHERE m.i >= s.st""")
 def first_movement_trim(spark, d):
-    e = frames(spark, d)
-    return S.first_movement(e.df, "user_id", ["ts", "event_id"], "value", 60.0).select("event_id", "value")
+    return S.first_movement(events(spark, d), "user_id", ["ts", "event_id"], "value", 60.0).select("event_id", "value")
 
 
 @query("""SELECT d.doc_id, l.quality IS NULL OR lower(trim(CAST(CASE WHEN l.toxic = 1 THEN -1 ELSE l.quality END AS VARCHAR))) IN ('', 'null', 'none', 'nan', '-1') AS missing
@@ -71,14 +70,14 @@ _ACTIVE = f"WITH {FRAMES_SQL}, z AS (SELECT event_id, step, value, first_value(v
 @query(_ACTIVE + "SELECT event_id, active FROM a")
 def activity_mask(spark, d):
     e = frames(spark, d)
-    return e.df.select("event_id", e.chunk("value", STEPS).alias("c")).select("event_id", S.active(F.col("c"), 25.0, True).alias("active"))
+    return e.select("event_id", e.chunk("value", STEPS).alias("c")).select("event_id", S.active(F.col("c"), 25.0, True).alias("active"))
 
 
 @query(f"""WITH {FRAMES_SQL}, z AS (SELECT event_id, step, value, first_value(value) OVER (PARTITION BY event_id ORDER BY step) AS v0 FROM c)
 SELECT event_id, CAST(step AS BIGINT) AS step, CASE WHEN bool_or(step < 4 AND abs(value - v0) >= 25) OVER (PARTITION BY event_id) THEN value ELSE 0 END AS value FROM z""")
 def masked_zero(spark, d):
     e = frames(spark, d)
-    c = e.df.select("event_id", e.chunk("value", STEPS).alias("c"))
+    c = e.select("event_id", e.chunk("value", STEPS).alias("c"))
     return c.select("event_id", F.posexplode(S.zero_where_inactive(F.col("c"), S.active(F.col("c"), 25.0, True))).alias("step", "value")).withColumn("step", F.col("step").cast("long"))
 
 
@@ -217,7 +216,7 @@ def qualified_rows(spark, d):
 SELECT event_id, bool_or(abs(value - v0) >= 25) FILTER (step < 4) AS d0, bool_or(value >= 80) FILTER (step < 4) AS d1 FROM z GROUP BY event_id""")
 def activity_by_dim(spark, d):
     e = frames(spark, d)
-    c = e.df.select("event_id", F.transform(e.chunk("value", STEPS), lambda x: F.array(x, x)).alias("c"))
+    c = e.select("event_id", F.transform(e.chunk("value", STEPS), lambda x: F.array(x, x)).alias("c"))
     m = c.select("event_id", S.active_dims(F.col("c"), [25.0, 80.0], True).alias("r"), S.active_dims(F.col("c"), [25.0, 80.0], False).alias("a"))
     return m.select("event_id", F.get("r", F.lit(0)).alias("d0"), F.get("a", F.lit(1)).alias("d1"))
 

@@ -6,13 +6,14 @@ from pyspark.sql import functions as F
 
 from epiframe.operators import statistics as S
 from epiframe.operators.episodes import explode_steps
+from epiframe.operators.spread import numbered
 from epiframe.plans.registry import query, table
-from epiframe.plans.windows import FRAMES_SQL, STEPS, frames
+from epiframe.plans.windows import FRAMES_SQL, KEY, ORDER, STEPS, events, frames
 
 
 def _long(spark, d):
     e = frames(spark, d)
-    return explode_steps(e.df.select(e.chunk("value", STEPS).alias("c")), "c")
+    return explode_steps(e.select(e.chunk("value", STEPS).alias("c")), "c")
 
 
 def _rounded(df, keep, values):
@@ -45,8 +46,7 @@ def state_stats(spark, d):
 @query("""WITH f AS (SELECT value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events)
 SELECT count(*) AS n, min(value) AS min, max(value) AS max, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS std FROM f WHERE i % 4 = 0""")
 def state_stats_downsampled(spark, d):
-    e = frames(spark, d)
-    return _rounded(S.moments(e.df.withColumn("i", e.frame_index()).where("i % 4 = 0"), []), ["n", "min", "max"], ["mean", "std"])
+    return _rounded(S.moments(numbered(events(spark, d), KEY, ORDER, "i").where("i % 4 = 0"), []), ["n", "min", "max"], ["mean", "std"])
 
 
 @query(f"""WITH {FRAMES_SQL} SELECT CAST(step AS BIGINT) AS step, count(*) AS n, round(min(value - v0), 6) AS min, round(max(value - v0), 6) AS max, round(avg(value - v0), 6) AS mean, round(stddev_samp(value - v0), 6) AS std
@@ -54,7 +54,7 @@ FROM (SELECT *, first_value(value) OVER (PARTITION BY event_id ORDER BY step) AS
 def transformed_step_stats(spark, d):
     """Statistics of chunks relative to their first value."""
     e = frames(spark, d)
-    c = e.df.select(F.transform(e.chunk("value", STEPS), lambda x: F.array(x)).alias("c"))
+    c = e.select(F.transform(e.chunk("value", STEPS), lambda x: F.array(x)).alias("c"))
     first = F.get(F.get("c", F.lit(0)), F.lit(0))
     s = S.transformed_steps(c, F.col("c"), lambda chunk: F.transform(chunk, lambda row: F.transform(row, lambda x: x - first)), quantiles=(0.01,))
     return s.select(F.col("step").cast("long").alias("step"), "n", *(F.round(x, 6).alias(x) for x in ("min", "max", "mean", "std")))
@@ -149,5 +149,4 @@ def synced_sums(spark, d):
 @query("""WITH f AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS r FROM events)
 SELECT event_type, round(avg(value), 6) AS init FROM f WHERE r = 1 GROUP BY event_type""")
 def init_positions(spark, d):
-    e = frames(spark, d)
-    return S.first_frame_means(e.df, e.key, e.order, "value", ["event_type"]).select("event_type", F.round("init", 6).alias("init"))
+    return S.first_frame_means(events(spark, d), KEY, ORDER, "value", ["event_type"]).select("event_type", F.round("init", 6).alias("init"))

@@ -6,35 +6,33 @@ from pyspark.sql import functions as F
 
 from epiframe.operators import serving as S
 from epiframe.plans.registry import query, table
-from epiframe.plans.windows import FRAMES_SQL, STEPS, frames
+from epiframe.plans.windows import FRAMES_SQL, STEPS, events, frames
 
 
 @query("""WITH f AS (SELECT event_id, user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
 SELECT f.event_id, f.i // 5 AS request, f.i % 5 AS position, g.value AS served FROM f JOIN f g ON g.user_id = f.user_id AND g.i = least((f.i // 5) * 5 + f.i % 5, f.n - 1)""")
 def chunk_cache_serve(spark, d):
     e = frames(spark, d)
-    f = e.df.select("event_id", "user_id", "ts", e.chunk("value", STEPS).alias("c"))
+    f = e.select("event_id", "user_id", "ts", e.chunk("value", STEPS).alias("c"))
     return S.chunk_cache(f, "user_id", ["ts", "event_id"], "c", 5).select("event_id", "request", "position", "served")
 
 
 @query(f"WITH {FRAMES_SQL} SELECT user_id, CAST(i + step AS BIGINT) AS step, round(avg(value), 6) AS value, count(*) AS votes FROM c GROUP BY user_id, i + step")
 def temporal_ensemble(spark, d):
     e = frames(spark, d)
-    p = e.df.select("user_id", e.frame_index().cast("long").alias("i"), e.chunk("value", STEPS).alias("c"))
+    p = e.select("user_id", e.frame_index().cast("long").alias("i"), e.chunk("value", STEPS).alias("c"))
     return S.temporal_ensemble(p, "user_id", "i", "c").withColumn("value", F.round("value", 6))
 
 
 @query("""SELECT event_id, last_value(CASE WHEN event_type <> 'view' THEN value > 20 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS command FROM events""")
 def gripper_hold(spark, d):
-    e = frames(spark, d)
-    f = e.df.withColumns({"c": F.col("value") > 20, "h": F.col("event_type") == "view"})
+    f = events(spark, d).withColumns({"c": F.col("value") > 20, "h": F.col("event_type") == "view"})
     return S.held_command(f, "user_id", ["ts", "event_id"], "c", "h").select("event_id", "command")
 
 
 @query("SELECT event_id, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS recording FROM events")
 def recordings(spark, d):
-    e = frames(spark, d)
-    return S.recordings(e.df.withColumn("r", F.col("event_type") == "error"), "user_id", ["ts", "event_id"], "r").select("event_id", "recording")
+    return S.recordings(events(spark, d).withColumn("r", F.col("event_type") == "error"), "user_id", ["ts", "event_id"], "r").select("event_id", "recording")
 
 
 @query("SELECT event_id, event_id % 7 AS init, event_id % 3 AS environment FROM events")
