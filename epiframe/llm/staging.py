@@ -67,6 +67,18 @@ def scratch(spark: SparkSession) -> Iterator[None]:
             files.delete(at, True)
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of a query that ends inside go with it, as its result is kept otherwise; the session's setting is put back at the end."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
 def united(passes: Iterable[tuple[DataFrame, Broadcast]], empty: DataFrame, every: int = 16) -> DataFrame:
     """The union of the passes of a loop over blocks; each ``every`` of them are written, so that the plan stays small, and what was sent for them goes."""
     done, now, sent = empty, empty, []
