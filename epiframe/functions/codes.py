@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,19 +106,57 @@ def token_of_code(code: Column, base: int, size: int, descending: bool = False)
     return F.lit(base) - c if descending else F.lit(base) + c
 
 
-def db4_wavelet(signal: Sequence[float], levels: int = 3) -> list[np.ndarray]:
-    """Periodised db4 decomposition [approximation, details from coarse to fine]."""
-    #: The eight db4 scaling coefficients.
-    low = np.array([0.23037781330885523, 0.7148465705525415, 0.6308807679295904, -0.02798376941698385, -0.18703481171888114, 0.030841381835986965, 0.032883011666982945, -0.010597401784997278])
-    high = low[::-1] * np.where(np.arange(8) % 2 == 0, 1, -1)
-    now, details = np.asarray(signal, dtype=float), []
-    for _ in range(levels):
-        if len(now) % 2:
-            now = np.append(now, now[-1])
-        at = (2 * np.arange(len(now) // 2)[:, None] + np.arange(8)) % len(now)
-        details.append(now[at] @ high)
-        now = now[at] @ low
-    return [now, *details[::-1]]
+#: The eight db4 scaling coefficients.
+DB4 = (0.23037781330885523, 0.7148465705525415, 0.6308807679295904, -0.02798376941698385, -0.18703481171888114, 0.030841381835986965, 0.032883011666982945, -0.010597401784997278)
+
+
+def _filters() -> tuple[tuple[float, ...], tuple[float, ...]]:
+    """Low and high pass: the high pass is the low pass backwards with alternating signs."""
+    return DB4, tuple(x * (-1) ** k for k, x in enumerate(reversed(DB4)))
+
+
+def wavelet_split(signal: Column) -> tuple[Column, Column]:
+    """(approximation, detail) of one level of the periodised db4 filter bank; a signal of odd length repeats its last value."""
+    even = F.when(F.size(signal) % 2 == 1, F.concat(signal, F.slice(signal, -1, 1))).otherwise(signal)
+
+    def band(taps: Sequence[float]) -> Column:
+        weighed = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(w).alias("w")) for k, w in enumerate(taps)))
+        of = lambda x: F.transform(F.sequence(F.lit(0), F.floor(F.size(x) / 2).cast("int") - 1), lambda i: F.aggregate(weighed, F.lit(0.0), lambda t, f: t + f["w"] * F.get(x, (2 * i + f["k"]) % F.size(x))))
+        return F.when(F.size(signal) > 0, F.get(F.transform(F.array(even), of), F.lit(0))).otherwise(F.array().cast("array<double>"))
+
+    low, high = _filters()
+    return band(low), band(high)
+
+
+def wavelet_join(approximation: Column, detail: Column, length: Column | int | None = None) -> Column:
+    """The inverse of :func:`wavelet_split`, cut to ``length`` values."""
+    both = F.array(*(F.struct(F.lit(k).alias("k"), F.lit(l).alias("l"), F.lit(h).alias("h")) for k, (l, h) in enumerate(zip(*_filters()))))
+    bands = F.struct(approximation.alias("a"), detail.alias("d"))
+
+    def whole(b: Column) -> Column:
+        n = F.size(b["a"])
+        at = lambda j, k: F.pmod(F.floor((j - k) / 2).cast("int"), n)
+        value = lambda j: F.aggregate(F.filter(both, lambda f: F.pmod(j - f["k"], F.lit(2)) == 0), F.lit(0.0), lambda t, f: t + f["l"] * F.get(b["a"], at(j, f["k"])) + f["h"] * F.get(b["d"], at(j, f["k"])))
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), 2 * n - 1), value)).otherwise(F.array().cast("array<double>"))
+
+    out = F.get(F.transform(F.array(bands), whole), F.lit(0))
+    return out if length is None else F.slice(out, 1, length)
+
+
+def wavelet_bands(rows: DataFrame, signal: str, levels: int = 3, out: str = "band") -> DataFrame:
+    """Adds ``band0`` (the approximation) and ``band1`` .. (details from coarse to fine) of a filter bank; each level is a projection of the one before."""
+    now, details = rows.withColumn("_now", F.col(signal).cast("array<double>")), []
+    for n in range(levels):
+        low, high = wavelet_split(F.col("_now"))
+        now = now.withColumns({"_low": low, f"_high{n}": high}).drop("_now").withColumnRenamed("_low", "_now")
+        details.append(f"_high{n}")
+    names = ["_now", *reversed(details)]
+    return now.withColumnsRenamed({c: f"{out}{i}" for i, c in enumerate(names)})
+
+
+def wavelet_energy(band: Column) -> Column:
+    """Sum of squares, a feature of a part."""
+    return F.aggregate(band, F.lit(0.0), lambda t, x: t + x * x)
 
 
 class RunCodec:

@@ -175,13 +175,6 @@ def resolve(key: str, kind: str, default: str, modes: Mapping[str, str], unclipp
     return Resolved(mode, per_step, key not in unclipped)
 
 
-def resolve_mode(key: str, default: str, exceptions: dict[str, str], available: set[str] | None = None) -> str:
-    """The mode of a part: its own exception or the default; ``identity`` where it has no statistics."""
-    if available is not None and key not in available:
-        return "identity"
-    return exceptions.get(key, default)
-
-
 def guard(x: Column, s: Stats, sigmas: float | None = None) -> Column:
     """Clip to [q01, q99], or pull to mean +- sigmas * std (a tiny std counts as 1)."""
     if sigmas is None:

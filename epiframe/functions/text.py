@@ -133,29 +133,6 @@ def serialize_groups(groups: Sequence[tuple[int, Column, Column]]) -> Column:
     return F.flatten(F.array(*(F.when(skip, F.array().cast("array<bigint>")).otherwise(F.concat(F.array(F.lit(marker).cast("long")), codes)) for marker, codes, skip in groups)))
 
 
-def strip_markers(tokens: Column, markers: Sequence[int]) -> Column:
-    return F.filter(tokens, lambda x: ~x.isin(*markers))
-
-
-def parse_groups(tokens: Sequence[int], widths: dict[int, int]) -> dict[int, list[int]]:
-    """Codes after each known marker, filled with zeros or cut to the marker's width; others are skipped."""
-    out: dict[int, list[int]] = {}
-    now: int | None = None
-    for t in tokens:
-        if t in widths:
-            now = t
-            out.setdefault(t, [])
-        elif now is not None and len(out[now]) < widths[now]:
-            out[now].append(int(t))
-    return {m: (v + [0] * widths[m])[: widths[m]] for m, v in out.items()}
-
-
-def block_layout(tokens: Sequence[int], block: int, bos: int, eos: int, pad: int) -> tuple[list[int], list[int]]:
-    """(inputs, labels) for block-wise prediction: the last block padded, a block of bos before, labels one block ahead, eos after."""
-    fill = list(tokens) + [pad] * (-len(tokens) % block)
-    return [bos] * block + fill, fill + [eos] * block
-
-
 PLACEHOLDER = re.compile(r"<([a-z][a-z0-9_]*?)(!)?(?:_(\d+))?>")
 
 

@@ -156,20 +156,6 @@ def stores_of_manifest(spark: SparkSession, entries: Sequence[str]) -> list[str]
     return [r for r, ok in zip(roots, there) if ok]
 
 
-def encode_tasks(frames: DataFrame, text: str) -> tuple[DataFrame, DataFrame]:
-    """(frames with task_index, task table): texts numbered in their order."""
-    tasks = rank_rows(frames.where(F.col(text).isNotNull()).select(F.col(text).alias("task")).distinct(), ["task"], "task_index").select("task_index", "task")
-    return frames.join(tasks, frames[text] == tasks["task"], "left").drop("task"), tasks
-
-
-def indexed(frames: DataFrame, episode: str, order: Sequence[str], fps: float) -> DataFrame:
-    """Adds frame_index, timestamp and the global index (episodes in key order)."""
-    sizes = with_offsets(frames.groupBy(episode).agg(F.count("*").alias("_n")), episode, "_n", "_from", "_to")
-    f = frames.withColumn("frame_index", (F.row_number().over(Window.partitionBy(episode).orderBy(*order)) - 1).cast("long"))
-    f = f.join(sizes.select(episode, "_from"), episode)
-    return f.withColumns({"timestamp": F.col("frame_index") / F.lit(float(fps)), "index": F.col("_from") + F.col("frame_index"), "episode_index": F.col(episode).cast("long")}).drop("_from")
-
-
 def rolled(episodes: DataFrame, size: str, file_bytes: int = FILE_BYTES, per_chunk: int = FILES_PER_CHUNK, first: int = 0) -> DataFrame:
     """(chunk_index, file_index) of each episode: files are cut by running size from file ``first`` on, chunks hold ``per_chunk`` files."""
     run = with_offsets(episodes, "episode_index", size, "_a", "_b")
