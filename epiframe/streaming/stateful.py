@@ -1,22 +1,25 @@
-"""Serving operators on Structured Streaming, each with keyed state.
+"""Serving operators on Structured Streaming, each with keyed state in ``transformWithState``.
 
 Rows of a micro-batch are put in the order of their sequence number first; a
 row whose number is not above the last one seen of its key is late and dropped.
-State is bounded: a buffer's length, a chunk, or the open steps of a chunk, and it goes
-when a key has had no rows for IDLE_MILLISECONDS; a key that comes back starts anew.
-With timeouts Spark plans batches without data for ever, so that an ``availableNow`` trigger ends only where
-``spark.sql.streaming.noDataMicroBatches.enabled`` is false.
+State is bounded: a buffer's length, a chunk, the open steps of a chunk, or an
+open batch.  It is kept until a row with ``reset`` (see :func:`history`), or,
+with ``idle``, until the watermark of the ``event_time`` column is that much past
+the key's last row: an event-time timer clears it, and a key that comes back starts
+anew.  Event-time timers need no batches without data, so any trigger ends.
+The state store must be RocksDB (``spark.sql.streaming.stateStore.providerClass``).
 A value is a number or a vector of numbers; a chunk is an array of either.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import ArrayType
 
 
@@ -25,10 +28,6 @@ def _ordered(batches: Iterator[pd.DataFrame], order: str, last: int) -> pd.DataF
     return rows[rows[order] > last].drop_duplicates(order)
 
 
-#: A key's state goes after so long without rows of it.
-IDLE_MILLISECONDS = 3_600_000
-
-
 def _value(x):
     """A number, or a vector as a list."""
     return [float(v) for v in x] if hasattr(x, "__len__") else float(x)
@@ -48,23 +47,59 @@ def _kind(df: DataFrame, column: str, depth: int = 0) -> tuple[str, bool]:
     return ("array<double>" if wide else "double"), wide
 
 
-def _stateful(df: DataFrame, key: str, function, output: str, state: str) -> DataFrame:
-    def run(k, batches, held: GroupState):
-        if held.hasTimedOut:
-            held.remove()
-            return
-        yield from function(k, batches, held)
-        if held.exists:
-            held.setTimeoutDuration(IDLE_MILLISECONDS)
+def _milliseconds(times: pd.Series) -> pd.Series:
+    return times.astype("datetime64[ms]").astype("int64")
+
+
+class _Keyed(StatefulProcessor):
+    """Runs ``function(key, rows, state)`` over a key's rows; ``state`` has ``exists``, ``get`` and ``update``."""
+
+    def __init__(self, function: Callable, schema: str, event_time: str | None, idle: int | None):
+        self.function, self.schema, self.event_time, self.idle = function, schema, event_time, idle
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.state = handle.getValueState("state", self.schema)
+
+    @property
+    def exists(self) -> bool:
+        return self.state.exists()
+
+    @property
+    def get(self) -> tuple:
+        return self.state.get()
+
+    def update(self, value: tuple) -> None:
+        self.state.update(value)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        batches = list(rows)
+        yield from self.function(key, batches, self)
+        if self.idle is not None:
+            for at in list(self.handle.listTimers()):
+                self.handle.deleteTimer(at)
+            self.handle.registerTimer(max(int(_milliseconds(b[self.event_time]).max()) for b in batches) + self.idle)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.state.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
 
-    return df.groupBy(key).applyInPandasWithState(run, output, state, "append", GroupStateTimeout.ProcessingTimeTimeout)
 
+def _stateful(df: DataFrame, key: str, function: Callable, output: str, state: str, event_time: str | None, idle: timedelta | None) -> DataFrame:
+    if idle is not None and event_time is None:
+        raise ValueError("idle keys are known by an event_time column that has a watermark")
+    wait = None if idle is None else int(idle.total_seconds() * 1000)
+    return df.groupBy(key).transformWithStateInPandas(_Keyed(function, state, event_time, wait), output, "Append", "None" if idle is None else "EventTime")
 
-def history(df: DataFrame, key: str, order: str, value: str, steps: int) -> DataFrame:
+
+def history(df: DataFrame, key: str, order: str, value: str, steps: int, event_time: str | None = None, idle: timedelta | None = None) -> DataFrame:
     """The last ``steps`` values at every row, oldest first; the first value fills what is missing; a row with ``reset`` true clears."""
     number, wide = _kind(df, value)
 
-    def run(k, batches, state: GroupState):
+    def run(k, batches, state: _Keyed):
         last, kept = state.get if state.exists else (-1, [])
         held, out = [list(v) if wide else v[0] for v in kept], []
         for r in _ordered(batches, order, last).itertuples():
@@ -78,14 +113,14 @@ def history(df: DataFrame, key: str, order: str, value: str, steps: int) -> Data
         yield pd.DataFrame(out, columns=[key, order, "history"])
 
     kind = df.schema[key].dataType.simpleString()
-    return _stateful(df, key, run, f"{key} {kind}, {order} long, history array<{number}>", "last long, held array<array<double>>")
+    return _stateful(df, key, run, f"{key} {kind}, {order} long, history array<{number}>", "last long, held array<array<double>>", event_time, idle)
 
 
-def chunk_cache(df: DataFrame, key: str, order: str, chunk: str, steps: int) -> DataFrame:
+def chunk_cache(df: DataFrame, key: str, order: str, chunk: str, steps: int, event_time: str | None = None, idle: timedelta | None = None) -> DataFrame:
     """Serves ``steps`` rows of a chunk before the next chunk is taken; row 0 where the chunk is shorter."""
     number, wide = _kind(df, chunk, 1)
 
-    def run(k, batches, state: GroupState):
+    def run(k, batches, state: _Keyed):
         last, kept, at = state.get if state.exists else (-1, [], 0)
         held, out = [list(v) if wide else v[0] for v in kept], []
         for r in _ordered(batches, order, last).itertuples():
@@ -98,14 +133,14 @@ def chunk_cache(df: DataFrame, key: str, order: str, chunk: str, steps: int) ->
         yield pd.DataFrame(out, columns=[key, order, "position", "served"])
 
     kind = df.schema[key].dataType.simpleString()
-    return _stateful(df, key, run, f"{key} {kind}, {order} long, position long, served {number}", "last long, held array<array<double>>, at long")
+    return _stateful(df, key, run, f"{key} {kind}, {order} long, position long, served {number}", "last long, held array<array<double>>, at long", event_time, idle)
 
 
-def ensemble(df: DataFrame, key: str, order: str, chunk: str) -> DataFrame:
+def ensemble(df: DataFrame, key: str, order: str, chunk: str, event_time: str | None = None, idle: timedelta | None = None) -> DataFrame:
     """At every row the mean of all predictions made so far for its own step, by component; steps behind are dropped."""
     number, wide = _kind(df, chunk, 1)
 
-    def run(k, batches, state: GroupState):
+    def run(k, batches, state: _Keyed):
         last, steps, sums, votes = state.get if state.exists else (-1, [], [], [])
         open_ = {s: [list(a), n] for s, a, n in zip(steps, sums, votes)}
         out = []
@@ -124,17 +159,17 @@ def ensemble(df: DataFrame, key: str, order: str, chunk: str) -> DataFrame:
         yield pd.DataFrame(out, columns=[key, order, "value", "votes"])
 
     kind = df.schema[key].dataType.simpleString()
-    return _stateful(df, key, run, f"{key} {kind}, {order} long, value {number}, votes long", "last long, steps array<long>, sums array<array<double>>, votes array<long>")
+    return _stateful(df, key, run, f"{key} {kind}, {order} long, value {number}, votes long", "last long, steps array<long>, sums array<array<double>>, votes array<long>", event_time, idle)
 
 
-def sensor_sync(df: DataFrame, key: str, time: str, topic: str, value: str, clock: str, others: tuple[str, ...], depth: int = 80, depths: dict[str, int] | None = None) -> DataFrame:
+def sensor_sync(df: DataFrame, key: str, time: str, topic: str, value: str, clock: str, others: tuple[str, ...], depth: int = 80, depths: dict[str, int] | None = None, event_time: str | None = None, idle: timedelta | None = None) -> DataFrame:
     """At every message of the clock topic, the nearest of the last messages of each other topic, later ones on ties; nothing while a buffer is empty.
 
     A topic keeps ``depth`` messages, or its own number in ``depths``.
     """
     number, wide = _kind(df, value)
 
-    def run(k, batches, state: GroupState):
+    def run(k, batches, state: _Keyed):
         names, times, values = state.get if state.exists else ([], [], [])
         rings: dict[str, list[tuple[int, list[float]]]] = {t: [] for t in others}
         for n, t, v in zip(names, times, values):
@@ -155,7 +190,76 @@ def sensor_sync(df: DataFrame, key: str, time: str, topic: str, value: str, cloc
         yield pd.DataFrame(out, columns=[key, time, "clock_value", "nearest"])
 
     kind = df.schema[key].dataType.simpleString()
-    return _stateful(df, key, run, f"{key} {kind}, {time} long, clock_value {number}, nearest array<{number}>", "names array<string>, times array<long>, held array<array<double>>")
+    return _stateful(df, key, run, f"{key} {kind}, {time} long, clock_value {number}, nearest array<{number}>", "names array<string>, times array<long>, held array<array<double>>", event_time, idle)
+
+
+class _Batcher(StatefulProcessor):
+    """Gathers a server's requests; the timer of the open batch flushes it."""
+
+    def __init__(self, key: str, arrival: str, tie: str, most: int, wait: int):
+        self.names, self.arrival, self.tie, self.most, self.wait = [key, arrival, tie, "batch", "flushed"], arrival, tie, most, wait
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.number = handle.getValueState("number", "n long")
+        self.open = handle.getListState("open", "at long, tie long")
+
+    def _close(self, key, held: list[tuple[int, int]], flushed: int) -> list[tuple]:
+        n = self.number.get()[0] if self.number.exists() else 0
+        self.number.update((n + 1,))
+        return [(key[0], at, tie, n, flushed) for at, tie in held]
+
+    def _keep(self, held: list[tuple[int, int]]) -> None:
+        """Writes the open batch back, with the timer of its end."""
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if held:
+            self.open.put(held)
+            self.handle.registerTimer(held[0][0] + self.wait)
+        else:
+            self.open.clear()
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        held = [(int(at), int(tie)) for at, tie in self.open.get()] if self.open.exists() else []
+        new = pd.concat(list(rows), ignore_index=True)
+        new["_at"] = _milliseconds(new[self.arrival])
+        out = []
+        for at, tie in new.sort_values(["_at", self.tie], kind="stable")[["_at", self.tie]].itertuples(index=False):
+            if held and at >= held[0][0] + self.wait:
+                out += self._close(key, held, held[0][0] + self.wait)
+                held = []
+            held.append((int(at), int(tie)))
+            if len(held) == self.most:
+                out += self._close(key, held, int(at))
+                held = []
+        self._keep(held)
+        yield self._table(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = [(int(at), int(tie)) for at, tie in self.open.get()] if self.open.exists() else []
+        due = held and held[0][0] + self.wait <= expiredTimerInfo.getExpiryTimeInMs()
+        if due:
+            self.open.clear()
+        yield self._table(self._close(key, held, held[0][0] + self.wait) if due else [])
+
+    def _table(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=self.names).astype({c: "int64" for c in self.names[1:]})
+
+    def close(self) -> None:
+        pass
+
+
+def micro_batches(df: DataFrame, key: str, arrival: str, tie: str, most: int, wait: timedelta, late: str = "0 seconds") -> DataFrame:
+    """(key, arrival, tie, batch, flushed) of requests as their batch is flushed: when it is full, or when its wait since the first request has passed.
+
+    ``arrival`` is a timestamp; times come out in milliseconds.  A batch that no further request of its server ends is flushed by an
+    event-time timer, once the watermark (``late`` behind the newest request of any server) passes its end.  Batches are those of
+    :func:`epiframe.operators.serving.micro_batches` where requests come in the order of arrival.
+    """
+    kind = df.schema[key].dataType.simpleString()
+    waits = int(wait.total_seconds() * 1000)
+    rows = df.withWatermark(arrival, late).groupBy(key)
+    return rows.transformWithStateInPandas(_Batcher(key, arrival, tie, most, waits), f"`{key}` {kind}, `{arrival}` long, `{tie}` long, batch long, flushed long", "Append", "EventTime")
 
 
 def isolate_errors(batch: DataFrame, errors, good_sink, bad_sink) -> None:

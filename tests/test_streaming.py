@@ -1,3 +1,6 @@
+import random
+from datetime import datetime, timedelta
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +90,51 @@ def test_vector_sensor_sync(spark, tmp_path):
     assert sorted((r.t, r.clock_value, r.nearest) for r in spark.table("vsync").collect()) == [(4, [9.0], [[2.0, 3.0], [5.0]]), (7, [8.0], [[2.0, 3.0], [6.0]])]
 
 
+def requests(rng, n):
+    """(server, milliseconds, id) in the order of arrival, and one request an hour later that moves the watermark past all waits."""
+    at, out = 0, []
+    for i in range(n):
+        at += rng.choice([0, 1, 5, 40, 400])
+        out.append((rng.randrange(3), at, i))
+    return [*out, (9, at + 3_600_000, n)]
+
+
+@pytest.mark.parametrize("files", [1, 5])
+def test_micro_batches_equal_batch(spark, tmp_path, files):
+    rows = requests(random.Random(files), 120)
+    schema = "server long, at timestamp, id long"
+    start = datetime(2024, 1, 1)
+    size = -(-len(rows) // files)
+    for f in range(files):
+        part = [(k, start + timedelta(milliseconds=t), i) for k, t, i in rows[f * size : (f + 1) * size]]
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    out = S.micro_batches(stream, "server", "at", "id", 4, timedelta(milliseconds=50))
+    q = out.writeStream.format("memory").queryName(f"batches{files}").outputMode("append").trigger(availableNow=True).start()
+    assert q.awaitTermination(180)
+    base = int(spark.createDataFrame([(start,)], "t timestamp").select(F.unix_millis("t")).first()[0])
+    got = sorted((r.server, r.at - base, r.id, r.batch, r.flushed - base) for r in spark.table(f"batches{files}").collect())
+    replay = serving.micro_batches(spark.createDataFrame(rows, "server long, at long, id long"), "server", "at", "id", 4, 50)
+    want = sorted((r.server, r["at"], r.id, r.batch, r.flushed) for r in replay.collect() if r.server != 9)
+    assert got == want  # the last request's own batch is still open
+
+
+def test_idle_keys_start_anew_and_others_keep_their_state(spark, tmp_path):
+    start = datetime(2024, 1, 1)
+    schema = "k long, seq long, t timestamp, x double"
+    for f, rows in enumerate([[(1, 0, 0, 1.0), (2, 0, 0, 5.0)], [(2, 1, 100, 6.0)], [(2, 2, 101, 7.0)], [(1, 1, 102, 2.0), (2, 3, 102, 8.0)]]):
+        spark.createDataFrame([(k, s, start + timedelta(seconds=t), x) for k, s, t, x in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    for name, out in (("kept", S.history(stream(), "k", "seq", "x", 2)), ("idle", S.history(stream().withWatermark("t", "0 seconds"), "k", "seq", "x", 2, "t", timedelta(seconds=30)))):
+        q = out.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+        assert q.awaitTermination(180)
+    of = lambda name, k: [r.history for r in spark.table(name).where(f"k = {k}").orderBy("seq").collect()]
+    assert of("kept", 1) == [[1.0, 1.0], [1.0, 2.0]] and of("idle", 1) == [[1.0, 1.0], [2.0, 2.0]]
+    assert of("kept", 2)[-1] == of("idle", 2)[-1] == [7.0, 8.0]
+    with pytest.raises(ValueError):
+        S.history(stream(), "k", "seq", "x", 2, idle=timedelta(seconds=1))
+
+
 def test_isolate_errors(spark):
     got = {}
     df = spark.createDataFrame([(1,), (-1,)], "x int")
