@@ -269,14 +269,23 @@ def region(page: Page, chosen: set[int]) -> int:
     return root
 
 
+def in_article(page: Page, element: int) -> bool:
+    """Whether an element is, or lies in, an article or main element."""
+    while element > 0:
+        if page.elements[element][1] in ("article", "main"):
+            return True
+        element = page.elements[element][0]
+    return False
+
+
 def main_text(page: str | None) -> str:
     """The article text of one page."""
     if not page:
         return ""
     p = Page(page)
     chosen = content_paths(p) if p.blocks else set()
-    if not chosen:
-        return ""
+    if not chosen:  # no text outside links: an article that is all links is still the article
+        return " ".join(text for _, element, text, _, _ in p.blocks if in_article(p, element))
     root = region(p, chosen)
     article = p.elements[root][1] in ("article", "main")
     whole = p.elements[root][1] in ("", "html", "body")

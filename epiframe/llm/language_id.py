@@ -5,7 +5,8 @@ bytes (A-Z in lower case, digits and white space unified), hashed to ``BUCKETS``
 the kernel of two texts is the share of n-grams present in both, normalised.
 Training takes at most ``PER_LANGUAGE`` labelled rows of each language, of which
 ``LANDMARKS`` are Nystroem landmarks; one-versus-rest kernel ridge regression is
-solved on the driver from packed presence bits (2 KB a row).  Scoring is two
+solved on the driver from packed presence bits (2 KB a row), unpacked ``BLOCK`` rows at
+a time; of many languages each has at least ``FEWEST`` landmarks.  Scoring is two
 matrix products per batch of texts: presence by landmarks, then by weights.
 
 A null text, or one without a letter, is ``und`` with score 0; so is every text
@@ -32,6 +33,8 @@ BUCKETS = 16_384
 PER_LANGUAGE = 400
 LANDMARKS = 320
 RIDGE = 1e-2
+FEWEST = 4
+BLOCK = 1_600
 ROWS = 128
 UNKNOWN = "und"
 _LETTER = regex.compile(r"\p{L}")
@@ -78,20 +81,24 @@ class Model:
         self.langs = sorted(set(langs))
         if not self.langs:
             return
-        x = np.unpackbits(np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1), axis=1).astype(np.float32)
-        x /= np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+        packed = np.frombuffer(b"".join(bits), np.uint8).reshape(len(bits), -1)
+
+        def unpacked(rows) -> np.ndarray:
+            x = np.unpackbits(packed[rows], axis=1).astype(np.float32)
+            return x / np.sqrt(np.maximum(x.sum(axis=1, keepdims=True), 1))
+
         names = np.array(langs)
         y = (names[:, None] == np.array(self.langs)[None, :]).astype(np.float64)
-        each = max(1, LANDMARKS // len(self.langs))
+        each = max(FEWEST, LANDMARKS // len(self.langs))
         pick = np.concatenate([np.flatnonzero(names == lang)[:each] for lang in self.langs])
-        self.landmarks = x[pick].T.copy()
-        k_mm = (x[pick] @ self.landmarks).astype(np.float64)
-        values, vectors = np.linalg.eigh(k_mm)
+        self.landmarks = unpacked(pick).T.copy()
+        kernel = np.concatenate([unpacked(slice(lo, lo + BLOCK)) @ self.landmarks for lo in range(0, len(names), BLOCK)]).astype(np.float64)
+        values, vectors = np.linalg.eigh(kernel[pick])
         good = values > 1e-6 * values[-1]
         root = vectors[:, good] / np.sqrt(values[good])
-        phi = np.c_[(x @ self.landmarks).astype(np.float64) @ root, np.ones(len(x))]
+        phi = np.c_[kernel @ root, np.ones(len(kernel))]
         weight = 1 / y.sum(axis=0)[y.argmax(axis=1)]
-        gram = phi.T @ (phi * weight[:, None]) + RIDGE * np.eye(phi.shape[1]) * weight.sum() / len(x)
+        gram = phi.T @ (phi * weight[:, None]) + RIDGE * np.eye(phi.shape[1]) * weight.sum() / len(kernel)
         solved = np.linalg.solve(gram, phi.T @ (y * weight[:, None]))
         self.weights = (root @ solved[:-1]).astype(np.float32)
         self.bias = solved[-1].astype(np.float32)

@@ -37,10 +37,6 @@ LICENSES = [
     ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
     ("Unlicense", 'This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE. For more information, please refer to <https://unlicense.org/>'),
     ("Apache-2.0-notice", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
-    ("Apache-2.0-line", "Licensed under the Apache License, Version 2.0."),
-    ("CC-BY-NC-4.0-line", "Licensed under CC BY-NC 4.0."),
-    ("GPL-3.0-line", "This work is licensed under the GNU General Public License, version 3."),
-    ("MIT-line", "Released under the MIT License."),
 ]
 
 #: Digests of all known forms of licences, those above and of :mod:`epiframe.llm.license_variants`.
@@ -90,12 +86,16 @@ def catalogue(spark: SparkSession) -> DataFrame:
 
 def known_forms(spark: SparkSession) -> DataFrame:
     """(license_id, license_digest) of every form of the built-in licences: titled, bulleted and full texts as well."""
-    with TABLE.open(newline="") as f:
-        lines = [f"{r['license_id']} {r['license_digest']}" for r in csv.DictReader(f)]
+    lines = [" ".join(x) for x in _forms()]
     lines = spark.range(1).select(F.explode(F.split(F.lit("\n".join(lines)), "\n")).alias("line"))
     return F.broadcast(lines.select(F.split("line", " ")[0].alias("license_id"), F.split("line", " ")[1].alias("license_digest")))
 
 
+def _forms() -> list[tuple[str, str]]:
+    with TABLE.open(newline="") as f:
+        return [(r["license_id"], r["license_digest"]) for r in csv.DictReader(f)]
+
+
 def scan(docs: DataFrame, known: DataFrame | None = None, text_col: str = "text") -> DataFrame:
     """All columns of ``docs`` with ``_digest`` and ``_license`` (null: none known)."""
     known = known_forms(docs.sparkSession) if known is None else known
@@ -119,10 +119,9 @@ def _canonical_sql(text: str) -> str:
     return f"trim(regexp_replace({c}, ' +', ' ', 'g'))"
 
 
-#: DuckDB: the same over ``documents``.
+#: DuckDB: the same over ``documents``, by the digests of all known forms.
 ORACLE = f"""
-WITH known(license_id, text) AS (VALUES {", ".join(f"({_quoted(i)}, {_quoted(t)})" for i, t in LICENSES)}),
-digests AS (SELECT license_id, sha256({_canonical_sql("text")}) AS digest FROM known),
+WITH known(license_id, digest) AS (VALUES {", ".join(f"('{i}', '{x}')" for i, x in _forms())}),
 docs AS (SELECT doc_id, sha256({_canonical_sql("text")}) AS digest FROM documents)
-SELECT doc_id, docs.digest AS digest, license_id FROM docs LEFT JOIN digests ON docs.digest = digests.digest
+SELECT doc_id, docs.digest AS digest, license_id FROM docs LEFT JOIN known ON docs.digest = known.digest
 """

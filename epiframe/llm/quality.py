@@ -11,7 +11,7 @@ capitals and of a word that repeats the last one.  A two-layer numpy network
 gives a logit; a temperature fitted on a fifth of the sample calibrates it.
 
 Training takes at most ``PER_LABEL`` labelled rows of each label, of at most
-``SAMPLE_BYTES`` each; tokens of those (2 bytes each) are all that reaches the driver.  Scoring reads every text whole,
+``SAMPLE_BYTES`` each and ``LABEL_BYTES`` together; tokens of those (2 bytes each) are all that reaches the driver.  Scoring reads every text whole,
 where it lies, without a shuffle.  Null and empty texts are scored as texts
 without words.  Without labelled rows of both labels every score is 0.5.
 """
@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from epiframe.llm.sampling import held_out, per_label
@@ -36,6 +36,8 @@ NEAR = 2
 PER_LABEL = 2_000
 #: Labelled texts of more bytes are not trained on, so that the sample is bounded in bytes too.
 SAMPLE_BYTES = 65_536
+#: Bytes of all training texts of a label together.
+LABEL_BYTES = 16 << 20
 HIDDEN = 32
 EPOCHS = 60
 DECAY = 3e-3
@@ -206,7 +208,10 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", text_c
     known = labels.where(F.col(label_col).isin(0, 1) & ~held_out()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("label"))
     short = docs.where(F.coalesce(F.octet_length(text_col), F.lit(0)) <= SAMPLE_BYTES).select("doc_id", F.col(text_col).alias("text"))
     few = per_label(known, "label", per_label_rows)
-    sample = short.join(F.broadcast(few), "doc_id").select("label", "text")
+    # At most per_label_rows rows a label, so the running sum is over a bounded group; it bounds the texts in sum.
+    order = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
+    sized = short.join(F.broadcast(few), "doc_id").withColumn("_upto", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(order))
+    sample = sized.where(F.col("_upto") <= LABEL_BYTES).select("label", "text")
     rows = sorted((r.label, bytes(r.ids)) for r in map_arrow(sample, _tokens, "label int, ids binary").collect())
     return Model([np.frombuffer(b, "<u2").astype(np.int64) for _, b in rows], np.array([label for label, _ in rows]))
 
