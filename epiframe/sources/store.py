@@ -3,21 +3,25 @@
 A packed store has ``data/chunk-NNN/file-NNN.parquet``, ``meta/info.json``,
 ``meta/tasks.parquet`` and ``meta/episodes/*.parquet``; the older layout has one
 data file per episode and JSON lines for its metadata.  All tables are lazy;
-predicates on the episode and column lists reach the Parquet scan.
+predicates on the episode and column lists reach the Parquet scan, and of listed
+episodes only the files that hold them are opened.  What a run that broke off left
+behind lies beyond the counts of the info file and is not read.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from epiframe.operators.episodes import with_offsets
 from epiframe.operators.selection import rank_rows
+from epiframe.operators.spread import numbered
 from epiframe.spec import FRAME_COLUMNS, Feature, json_safe, table_schema
 
 #: The annotation files of a store, as JSON lines of {"<kind>_index", "<kind>"}.
@@ -30,6 +34,8 @@ ANNOTATIONS = {
     "eef_acc_mag": "annotations/eef_acc_mag_annotation.jsonl",
     "eef_direction": "annotations/eef_direction_annotation.jsonl",
 }
+#: Fixed value: the name of a data file by chunk and file number.
+DATA_FILE = "data/chunk-{:03d}/file-{:03d}.parquet"
 FILES_PER_CHUNK = 1000
 FILE_BYTES = 100 << 20
 BYTES_OF = {"float32": 4, "float64": 8, "int64": 8, "int32": 4, "bool": 1}
@@ -69,12 +75,35 @@ class Store:
     def features(self) -> dict[str, Feature]:
         return {k: Feature(v["dtype"], tuple(v["shape"]), tuple(v["names"]) if v.get("names") else None) for k, v in self.info()["features"].items()}
 
+    def _committed(self, df: DataFrame) -> DataFrame:
+        total = self.info().get("total_episodes")
+        return df if total is None else df.where(F.col("episode_index") < total)
+
+    def data_files(self) -> list[tuple[int, str]]:
+        """(number, path) of the data files that have the packed layout's names, by one listing."""
+        fs, p = _fs(self.spark, f"{self.root}/data/*/*.parquet")
+        per_chunk = self.info().get("chunks_size", FILES_PER_CHUNK)
+        found = (re.search(r"/chunk-(\d+)/file-(\d+)\.parquet$", x) for x in (str(f.getPath()) for f in fs.globStatus(p) or []))
+        return sorted((int(m[1]) * per_chunk + int(m[2]), m.string) for m in found if m)
+
+    def files_of(self, episodes: Sequence[int]) -> list[str] | None:
+        """The data files that hold some episodes, by the episodes' metadata; None where they lie elsewhere."""
+        if not exists(self.spark, f"{self.root}/meta/episodes"):
+            return None
+        held = self.episodes().where(F.col("episode_index").isin(*episodes)).select("`data/chunk_index`", "`data/file_index`").distinct()
+        paths = sorted(f"{self.root}/{DATA_FILE.format(*r)}" for r in held.collect())
+        return paths if all(exists(self.spark, x) for x in paths) else None
+
     def frames(self, columns: Sequence[str] | None = None, episodes: Sequence[int] | None = None) -> DataFrame:
         """Frames, optionally of some episodes and columns; files are found at any depth below ``data``."""
-        if not exists(self.spark, f"{self.root}/data"):
-            df = self.spark.createDataFrame([], table_schema(self.features()))
+        schema = table_schema(self.features())
+        files = [f"{self.root}/data"] if exists(self.spark, f"{self.root}/data") else []
+        if files and episodes is not None and (known := self.files_of(episodes)) is not None:
+            files = known
+        if not files:
+            df = self.spark.createDataFrame([], schema)
             return df.select(*columns) if columns else df
-        df = self.spark.read.option("recursiveFileLookup", "true").schema(table_schema(self.features())).parquet(f"{self.root}/data")
+        df = self._committed(self.spark.read.option("recursiveFileLookup", "true").schema(schema).parquet(*files))
         if episodes is not None:
             df = df.where(F.col("episode_index").isin(*episodes))
         return df.select(*columns) if columns else df
@@ -87,8 +116,20 @@ class Store:
         """Rows whose global ``index`` is in ``wanted``."""
         return self.frames().join(wanted.select("index").distinct(), "index", "left_semi").select(*columns)
 
+    def row_counts(self) -> DataFrame:
+        """(path, rows) of the data files.  No column is asked for, so tasks read footers and no data page."""
+        df = self.spark.read.option("recursiveFileLookup", "true").schema(table_schema(self.features())).parquet(f"{self.root}/data")
+        return df.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count("*").alias("rows"))
+
     def count(self) -> int:
-        return self.frames(["index"]).count()
+        """Frames of the committed files, from their footers."""
+        if not exists(self.spark, f"{self.root}/data"):
+            return 0
+        beyond = {x.split(":", 1)[-1].lstrip("/") for n, x in self.data_files() if n >= self.info().get("next_file", math.inf)}
+        counts = self.row_counts()
+        if beyond:
+            counts = counts.where(~F.regexp_replace("path", "^[a-z]+:/*", "").isin(*beyond))
+        return counts.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
 
     def tasks(self) -> DataFrame:
         """Texts by number, those of later appends included."""
@@ -96,12 +137,12 @@ class Store:
 
     def episodes(self) -> DataFrame:
         """Episode metadata without its statistics columns."""
-        df = self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.root}/meta/episodes")
+        df = self._committed(self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.root}/meta/episodes"))
         return df.select(*(F.col(f"`{c}`") for c in df.columns if not c.startswith("stats/")))
 
     def episode_statistics(self) -> DataFrame:
         """Statistics of each episode, a list per feature and statistic."""
-        df = self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.root}/meta/episodes")
+        df = self._committed(self.spark.read.option("recursiveFileLookup", "true").parquet(f"{self.root}/meta/episodes"))
         return df.select("episode_index", *(F.col(f"`{c}`") for c in df.columns if c.startswith("stats/")))
 
     def annotations(self) -> DataFrame:
@@ -220,19 +261,40 @@ def create_store(spark: SparkSession, root: str, features: dict[str, Feature], f
     return Store(spark, root)
 
 
-def append_episodes(store: Store, frames: DataFrame, task: str, episode: str, order: Sequence[str]) -> Store:
+def _moved(store: Store, written: str, first: int) -> None:
+    """Gives the files that a run wrote their names in the packed layout; files from number ``first`` on are of a run that broke off, and go."""
+    fs, p = _fs(store.spark, f"{written}/chunk_index=*/file_index=*/*.parquet")
+    path = store.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    for n, x in store.data_files():
+        if n >= first:
+            fs.delete(path(x), False)
+
+    def move(source: str) -> None:
+        chunk, file = map(int, re.search(r"/chunk_index=(\d+)/file_index=(\d+)/", source).groups())
+        target = path(f"{store.root}/{DATA_FILE.format(chunk, file)}")
+        fs.mkdirs(target.getParent())
+        if not fs.rename(path(source), target):
+            raise OSError(f"{source} could not be renamed to {target}")
+
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(move, [str(f.getPath()) for f in fs.globStatus(p) or []]))
+    fs.delete(path(written), True)
+
+
+def append_episodes(store: Store, frames: DataFrame, task: str, episode: str, order: Sequence[str], note: dict | None = None) -> Store:
     """Adds whole episodes: they are numbered in key order after those of the store, and so are their frames and new task texts.
 
     Files are cut by running size and follow the store's last; an episode lies in one file.  Rows without an episode are
     left out.  The info file is written last and all numbers and folders come from it, so a run that broke off is
-    repeated over its own folders.  An empty table changes no count.
+    repeated over its own folders.  An empty table changes no count.  ``note`` is written into the info file with the
+    counts, or alone where there are no episodes.
     """
     spark, root, info, features = store.spark, store.root, store.info(), store.features()
     per_chunk, limit = info.get("chunks_size", FILES_PER_CHUNK), int(info.get("data_files_size_in_mb", FILE_BYTES >> 20) * (1 << 20))
     if "next_file" not in info:  # a store of another writer
         info = info | {"next_file": store.episodes().agg(F.max(F.col("`data/chunk_index`") * per_chunk + F.col("`data/file_index`"))).first()[0] + 1}
     done, base, begun = info["total_episodes"], info["total_frames"], info.get("total_tasks") or (store.tasks().count() if info["total_episodes"] else 0)
-    data, meta, new_tasks = f"{root}/data/episodes-{done:09d}", f"{root}/meta/episodes/episodes-{done:09d}", f"{root}/meta/{_tasks_folder(begun)}"
+    data, meta, new_tasks = f"{root}/_writing/episodes-{done:09d}", f"{root}/meta/episodes/episodes-{done:09d}", f"{root}/meta/{_tasks_folder(begun)}"
 
     texts = frames.where(F.col(task).isNotNull()).select(F.col(task).alias("task")).distinct()
     if begun:
@@ -245,7 +307,7 @@ def append_episodes(store: Store, frames: DataFrame, task: str, episode: str, or
     placed = rolled(with_offsets(spans, "episode_index", "_n", "_from", "_to"), "_bytes", limit, per_chunk, info["next_file"]).drop("_n", "_to", "_bytes")
 
     fps, own_time = F.lit(float(info["fps"])), "timestamp" in frames.columns
-    rows = frames.withColumns({"_frame": (F.row_number().over(Window.partitionBy(episode).orderBy(*order)) - 1).cast("long"), "_episode": F.col(episode), "_task": F.col(task)})
+    rows = numbered(frames, [episode], order, "_frame").withColumns({"_frame": F.col("_frame").cast("long"), "_episode": F.col(episode), "_task": F.col(task)})
     rows = rows.drop("episode_index", "index", "task_index", "chunk_index", "file_index").join(placed, "_episode").join(tasks.withColumnRenamed("task", "_task"), "_task", "left")
     rows = rows.withColumns({"frame_index": F.col("_frame"), "index": F.col("_from") + F.col("_frame") + base, "timestamp": F.coalesce("timestamp", F.col("_frame") / fps) if own_time else F.col("_frame") / fps})
     schema = table_schema(features)
@@ -255,11 +317,48 @@ def append_episodes(store: Store, frames: DataFrame, task: str, episode: str, or
     written = spark.read.schema(schema.add("chunk_index", "long").add("file_index", "long")).parquet(data)
     episode_metadata(written, tasks, features).write.mode("overwrite").parquet(meta)
     total = spark.read.parquet(meta).agg(F.count("*").alias("e"), F.sum("length").alias("f"), F.max(F.col("`data/chunk_index`") * per_chunk + F.col("`data/file_index`")).alias("last")).first()
+    _moved(store, data, info["next_file"])
+    if not total.e and note:
+        write_json(spark, f"{root}/meta/info.json", info | note)
     if total.e:
-        write_json(spark, f"{root}/meta/info.json", info | {"total_episodes": done + total.e, "total_frames": base + total.f, "total_tasks": begun + spark.read.parquet(new_tasks).count(), "next_file": total.last + 1})
+        write_json(spark, f"{root}/meta/info.json", info | (note or {}) | {"total_episodes": done + total.e, "total_frames": base + total.f, "total_tasks": begun + spark.read.parquet(new_tasks).count(), "next_file": total.last + 1})
     return store
 
 
+class FrameSink:
+    """Adds a stream of single frames to a store: ``frames.writeStream.foreachBatch(FrameSink(...))``.
+
+    Frames of an episode are kept aside until one of them has ``done``; then the episode is appended whole.  The info file
+    names the last micro-batch and the folder of the frames kept aside, and is written once, at the end: a batch that comes
+    again is left out, and one that broke off anywhere is done anew from the same frames.  Frames without an episode are
+    left out; frames of an episode that was saved begin another one.
+    """
+
+    def __init__(self, root: str, task: str, episode: str, order: Sequence[str], done: str = "done"):
+        self.root, self.task, self.episode, self.order, self.done = root.rstrip("/"), task, episode, list(order), done
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        store = Store(spark, self.root)
+        before = store.info().get("sink", {"batch": -1, "open": None})
+        if batch_id <= before["batch"]:
+            return
+        rows = batch.where(F.col(self.episode).isNotNull())
+        if before["open"]:
+            rows = spark.read.schema(batch.schema).parquet(f"{self.root}/{before['open']}").unionByName(rows)
+        every, aside = (f"{self.root}/_frames/{name}-{batch_id:012d}" for name in ("batch", "open"))
+        rows.write.mode("overwrite").parquet(every)
+        rows = spark.read.schema(batch.schema).parquet(every)
+        ended = rows.where(self.done).select(self.episode).distinct()
+        rows.join(ended, self.episode, "left_anti").write.mode("overwrite").parquet(aside)
+        whole = rows.join(ended, self.episode, "left_semi").drop(self.done)
+        append_episodes(store, whole, self.task, self.episode, self.order, {"sink": {"batch": batch_id, "open": aside.removeprefix(f"{self.root}/")}})
+        for old in (every, before["open"] and f"{self.root}/{before['open']}"):
+            if old:
+                fs, p = _fs(spark, old)
+                fs.delete(p, True)
+
+
 def _tasks_folder(begun: int) -> str:
     return f"tasks-{begun:09d}.parquet" if begun else "tasks.parquet"
 

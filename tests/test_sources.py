@@ -88,6 +88,117 @@ def test_append(spark, tmp_path):
     assert files == sorted(files) and set(files[:2]).isdisjoint(files[2:])
 
 
+def test_listed_episodes_open_only_their_files(store):
+    files = {p for _, p in store.data_files()}
+    assert len(files) > 2 and all("/data/chunk-000/file-" in p for p in files)
+    one = store.episodes().where("episode_index = 3").first()
+    opened = {f.split(":", 1)[-1].replace("//", "/") for f in store.frames(episodes=[3]).inputFiles()}
+    assert len(opened) == 1 and opened.pop().endswith(S.DATA_FILE.format(one["data/chunk_index"], one["data/file_index"]))
+    assert store.frames(episodes=[3, 77]).count() == 5 and store.frames(["index"], [77]).count() == 0
+
+
+def test_counts_read_no_data_page(store, tmp_path):
+    """Files whose pages are overwritten can still be counted, and no longer read."""
+    import shutil
+
+    import pyarrow.parquet as pq
+
+    shutil.copytree(store.root, tmp_path / "broken")
+    broken = S.Store(store.spark, str(tmp_path / "broken"))
+    want = sorted(r.rows for r in store.row_counts().collect())
+    for _, path in broken.data_files():
+        path = path.removeprefix("file:")
+        meta = pq.read_metadata(path)
+        pages = [meta.row_group(i).column(j) for i in range(meta.num_row_groups) for j in range(meta.num_columns)]
+        with open(path, "r+b") as f:
+            for c in pages:
+                f.seek(c.dictionary_page_offset or c.data_page_offset)
+                f.write(b"\xff" * c.total_compressed_size)
+    for f in (tmp_path / "broken").rglob(".*.crc"):
+        f.unlink()
+    assert broken.count() == 20 and sorted(r.rows for r in broken.row_counts().collect()) == want
+    with pytest.raises(Exception):
+        broken.frames().collect()
+
+
+def test_a_store_of_another_writer_is_read(spark, tmp_path):
+    import pandas as pd
+
+    root = tmp_path / "other"
+    for d in ("meta/episodes/chunk-000", "data/chunk-000", "data/chunk-001"):
+        (root / d).mkdir(parents=True)
+    features = {"speed": {"dtype": "float64", "shape": [1], "names": None}}
+    S.write_json(spark, f"{root}/meta/info.json", {"fps": 10, "total_episodes": 2, "total_frames": 4, "chunks_size": 1, "features": features})
+    for e in range(2):
+        pd.DataFrame({"speed": [1.0, 2.0], "timestamp": [0.0, 0.1], "frame_index": [0, 1], "episode_index": [e, e], "index": [2 * e, 2 * e + 1], "task_index": [0, 0]}).to_parquet(root / S.DATA_FILE.format(e, 0))
+    pd.DataFrame({"episode_index": [0, 1], "length": [2, 2], "dataset_from_index": [0, 2], "dataset_to_index": [2, 4], "data/chunk_index": [0, 1], "data/file_index": [0, 0], "tasks": [["lift"]] * 2}).to_parquet(root / "meta/episodes/chunk-000/file-000.parquet")
+    pd.DataFrame({"task_index": [0], "task": ["lift"]}).to_parquet(root / "meta/tasks.parquet")
+    other = S.Store(spark, str(root))
+    assert other.count() == 4 and [r.episode_index for r in other.episode(1).collect()] == [1, 1] and len(other.frames(episodes=[1]).inputFiles()) == 1
+    S.append_episodes(other, spark.createDataFrame([(5, 0, 3.0, "drop")], "ep long, t long, speed double, task string"), "task", "ep", ["t"])
+    assert other.count() == 5 and other.frames().where("episode_index = 2").first()["index"] == 4
+    assert sorted(r.task for r in other.tasks().collect()) == ["drop", "lift"]
+
+
+SINGLE = "ep long, t long, action array<float>, speed double, task string, done boolean"
+
+
+def single(spark, rows):
+    return spark.createDataFrame([(e, t, [float(e), float(t)], 0.5, f"task {e % 2}", d) for e, t, d in rows], SINGLE)
+
+
+BATCHES = [[(4, 0, False), (2, 0, False)], [(4, 1, True), (2, 1, False)], [], [(2, 2, True), (9, 0, True), (7, 0, False)], [(7, 1, True), (4, 0, True)]]
+
+
+def contents(store):
+    columns = ["index", "episode_index", "frame_index", "timestamp", "task_index", "action", "speed"]
+    texts = {r.task_index: r.task for r in store.tasks().collect()}
+    return [(*r[:4], texts[r.task_index], *r[5:]) for r in store.frames().select(columns).orderBy("index").collect()]
+
+
+@pytest.fixture(scope="module")
+def appended(spark, tmp_path_factory):
+    """What the batches' whole episodes are when they are appended as they end."""
+    want = S.create_store(spark, str(tmp_path_factory.mktemp("want") / "s"), FEATURES, 5.0, file_bytes=100)
+    for rows in ([(4, 0, False), (4, 1, True)], [(2, 0, False), (2, 1, False), (2, 2, True), (9, 0, True)], [(7, 0, False), (7, 1, True), (4, 0, True)]):
+        S.append_episodes(want, single(spark, rows).drop("done"), "task", "ep", ["t"])
+    return contents(want)
+
+
+def test_frame_sink_over_a_stream(spark, tmp_path, appended):
+    for rows in BATCHES:
+        if rows:
+            single(spark, rows).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    got = S.create_store(spark, str(tmp_path / "s"), FEATURES, 5.0, file_bytes=100)
+    stream = spark.readStream.schema(SINGLE).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = stream.writeStream.foreachBatch(S.FrameSink(got.root, "task", "ep", ["t"])).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    assert q.awaitTermination(300)
+    assert contents(got) == appended and got.count() == 9
+
+
+def test_frame_sink_repeats_and_crashes(spark, tmp_path, appended, monkeypatch):
+    got = S.create_store(spark, str(tmp_path / "s"), FEATURES, 5.0, file_bytes=100)
+    sink, real = S.FrameSink(got.root, "task", "ep", ["t"]), S.write_json
+
+    def broken(*_):
+        raise OSError("lost")
+
+    for n, rows in enumerate(BATCHES):
+        if n in (1, 3):  # the run breaks off just before its end
+            before = contents(got) if n > 1 else []
+            monkeypatch.setattr(S, "write_json", broken)
+            with pytest.raises(OSError):
+                sink(single(spark, rows), n)
+            monkeypatch.setattr(S, "write_json", real)
+            assert (contents(got) if n > 1 else []) == before and got.count() == len(before)
+        sink(single(spark, rows), n)
+        after = got.info()
+        if n == 3:
+            sink(single(spark, rows), n)  # the same batch again
+        assert got.info() == after and after["sink"]["batch"] == n
+    assert contents(got) == appended
+
+
 def test_json_lines(spark, tmp_path):
     df = spark.createDataFrame([(0, "a"), (1, None)], "task_index long, task string")
     S.write_json_lines(df.where("task_index = 0"), str(tmp_path / "j"))
