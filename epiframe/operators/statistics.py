@@ -26,10 +26,14 @@ def quantile_name(q: float) -> str:
     return "q" + f"{q:.5f}".split(".")[1].rstrip("0")
 
 
+def _moments(value: str, population: bool = False) -> list[Column]:
+    std = F.stddev_pop(value) if population else F.stddev_samp(value)
+    return [F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), std.alias("std")]
+
+
 def moments(rows: DataFrame, by: Sequence[str], value: str = "value", population: bool = False) -> DataFrame:
     """n, min, max, mean, std of each group."""
-    std = F.stddev_pop(value) if population else F.stddev_samp(value)
-    return rows.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), std.alias("std"))
+    return rows.groupBy(*by).agg(*_moments(value, population))
 
 
 #: Accuracy of the sketches (their rank error is n / ACCURACY) and the distance of the bounds from a wanted place, in errors.
@@ -43,19 +47,26 @@ def _same(left: DataFrame, right: DataFrame, by: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, (left[c].eqNullSafe(right[f"_by_{c}"]) for c in by), F.lit(True))
 
 
-def _placed(rows: DataFrame, by: Sequence[str], quantiles: Sequence[float], value: str) -> DataFrame:
+def _sketched(rows: DataFrame, by: Sequence[str], quantiles: Sequence[float], value: str, *more: Column) -> tuple[DataFrame, bool, list[float]]:
+    """(a sketch of each group with its size and ``more`` aggregates, whether these are few and collected, the places of its bounds)."""
+    wanted = sorted({min(1.0, max(0.0, q + side * MARGIN / ACCURACY)) for q in quantiles for side in (-1, 1)})
+    sketch = rows.groupBy(*(F.col(c).alias(f"_by_{c}") for c in by)).agg(F.percentile_approx(value, [float(q) for q in wanted], ACCURACY).alias("_s"), F.count(value).alias("_m"), *more)
+    few = sketch.limit(LITERAL_GROUPS + 1).collect()
+    if len(few) <= LITERAL_GROUPS:
+        return rows.sparkSession.createDataFrame(few, sketch.schema), True, wanted
+    return sketch, False, wanted
+
+
+def _placed(rows: DataFrame, by: Sequence[str], quantiles: Sequence[float], value: str, sketched: tuple[DataFrame, bool, list[float]]) -> DataFrame:
     """(by, _v, _c, _end, _n, _kept): values of each group near the wanted places with how many there are and up to them.
 
     Values outside the bounds are in rows with ``_kept`` false, counted by the bound below them; groups of at most
     ACCURACY values, where the margin is less than some places, keep all.
     """
+    sketch, few, wanted = sketched
     known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
-    wanted = sorted({min(1.0, max(0.0, q + side * MARGIN / ACCURACY)) for q in quantiles for side in (-1, 1)})
-    sketch = known.groupBy(*(F.col(c).alias(f"_by_{c}") for c in by)).agg(F.percentile_approx("_v", [float(q) for q in wanted], ACCURACY).alias("_s"), F.count("*").alias("_m"))
-    few = sketch.limit(LITERAL_GROUPS + 1).collect()
-    if len(few) <= LITERAL_GROUPS:
-        sketch = rows.sparkSession.createDataFrame(few, sketch.schema)
-    joined = known.join(F.broadcast(sketch) if len(few) <= LITERAL_GROUPS else sketch, _same(known, sketch, by))
+    sketch = sketch.select(*(f"_by_{c}" for c in by), "_s", "_m")
+    joined = known.join(F.broadcast(sketch) if few else sketch, _same(known, sketch, by))
     place = {q: i for i, q in enumerate(wanted)}
     s = lambda q: F.get("_s", F.lit(place[q]))
     v = F.col("_v")
@@ -68,25 +79,42 @@ def _placed(rows: DataFrame, by: Sequence[str], quantiles: Sequence[float], valu
     return counted.withColumns({"_end": F.sum("_c").over(w.rowsBetween(Window.unboundedPreceding, 0)), "_n": F.sum("_c").over(Window.partitionBy(*by))})
 
 
-def _at(place: Column) -> Column:
-    """The value at a 0-based place of the sorted values, an aggregate over :func:`_placed`."""
-    hit = (F.col("_end") > place) & (F.col("_end") - F.col("_c") <= place)
-    missed = F.raise_error(F.lit("a wanted place lies outside the sketch's bounds")).cast("double")
-    return F.max(F.when(hit, F.when(F.col("_kept"), F.col("_v")).otherwise(missed)))
+def _hit(place: Column) -> Column:
+    return (F.col("_end") > place) & (F.col("_end") - F.col("_c") <= place)
+
+
+def _found(rows: DataFrame, by: Sequence[str], quantiles: Sequence[float], value: str, places: dict[str, Column], sketched) -> DataFrame:
+    """(by, _n, a column for each place): the values at 0-based places of each group's sorted values.
+
+    A place that lies outside its bounds (which the sketch's error makes all but impossible) sends its group through one
+    more pass that sorts the whole group; without such groups that pass has nothing to read.
+    """
+    sketched = sketched or _sketched(rows, by, quantiles, value)
+    at = [F.max(F.when(_hit(p) & F.col("_kept"), F.col("_v"))).alias(name) for name, p in places.items()]
+    missed = reduce(lambda a, b: a | b, (_hit(p) & ~F.col("_kept") for p in places.values()))
+    first = _placed(rows, by, quantiles, value, sketched).groupBy(*by).agg(F.max("_n").alias("_n"), *at, F.coalesce(F.max(missed), F.lit(False)).alias("_missed"))
+    again = first.where("_missed").select(*(F.col(c).alias(f"_by_{c}") for c in by))
+    known = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    whole = known.join(F.broadcast(again) if sketched[1] else again, _same(known, again, by), "left_semi")
+    w = Window.partitionBy(*by)
+    sorted_ = whole.withColumns({"_kept": F.lit(True), "_c": F.lit(1), "_end": F.row_number().over(w.orderBy("_v")), "_n": F.count("*").over(w)})
+    second = sorted_.groupBy(*by).agg(F.max("_n").alias("_n"), *at)
+    # An aggregate without groups has a row even of nothing.
+    second = second if by else second.where("_n is not null")
+    return first.where("not _missed").drop("_missed").unionByName(second)
 
 
-def floor_quantiles(rows: DataFrame, by: Sequence[str], quantiles: Sequence[float], value: str = "value") -> DataFrame:
+def floor_quantiles(rows: DataFrame, by: Sequence[str], quantiles: Sequence[float], value: str = "value", sketched=None) -> DataFrame:
     """The value at place ``int(q * (n - 1))`` of each group's sorted values, one column per quantile."""
-    placed = _placed(rows, by, quantiles, value)
-    return placed.groupBy(*by).agg(*(_at(F.floor(F.lit(q) * (F.col("_n") - 1))).alias(quantile_name(q)) for q in quantiles))
+    places = {quantile_name(q): F.floor(F.lit(q) * (F.col("_n") - 1)) for q in quantiles}
+    return _found(rows, by, quantiles, value, places, sketched).drop("_n")
 
 
 def linear_quantiles(rows: DataFrame, by: Sequence[str], quantiles: Sequence[float], value: str = "value") -> DataFrame:
     """Linearly interpolated exact quantiles, from the values at the two places around ``q * (n - 1)``."""
-    placed = _placed(rows, by, quantiles, value)
     place = lambda q: F.lit(q) * (F.col("_n") - 1)
-    ends = [c for i, q in enumerate(quantiles) for c in (_at(F.floor(place(q))).alias(f"_lo{i}"), _at(F.ceil(place(q))).alias(f"_hi{i}"))]
-    found = placed.groupBy(*by).agg(F.max("_n").alias("_n"), *ends)
+    places = {f"{side}{i}": f(place(q)) for i, q in enumerate(quantiles) for side, f in (("_lo", F.floor), ("_hi", F.ceil))}
+    found = _found(rows, by, quantiles, value, places, None)
 
     def between(i: int, q: float) -> Column:
         lo, hi, at = F.col(f"_lo{i}").cast("double"), F.col(f"_hi{i}").cast("double"), place(q)
@@ -102,8 +130,12 @@ def approximate_quantiles(rows: DataFrame, by: Sequence[str], quantiles: Sequenc
 
 
 def step_statistics(rows: DataFrame, by: Sequence[str], value: str = "value", quantiles: Sequence[float] = (*LOW, *HIGH)) -> DataFrame:
-    """Moments and floor quantiles of each group."""
-    return moments(rows, by, value).join(floor_quantiles(rows, by, quantiles, value), list(by))
+    """Moments and floor quantiles of each group that has a value; moments come with the sketches, in one pass."""
+    sketch, few, wanted = sketched = _sketched(rows, by, quantiles, value, *_moments(value))
+    found = floor_quantiles(rows, by, quantiles, value, sketched)
+    side = sketch.drop("_s", "_m")
+    both = found.join(F.broadcast(side) if few else side, _same(found, side, by))
+    return both.select(*by, "n", "min", "max", "mean", "std", *(quantile_name(q) for q in quantiles))
 
 
 def transformed_steps(frames: DataFrame, chunk: Column, transform: Callable[[Column], Column], by: Sequence[str] = (), quantiles: Sequence[float] = (*LOW, *HIGH)) -> DataFrame:

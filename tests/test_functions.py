@@ -374,3 +374,25 @@ def test_entry_without_the_training_data_folder(monkeypatch):
 def test_plan_step_keeps_digits_of_its_line(spark):
     df = spark.createDataFrame([("0. pick\n1. place 21\n2. go", 1)], "plan string, n long")
     assert df.select(text.plan_step(F.col("plan"), F.col("n"))).first()[0] == "1. place 21"
+
+
+@pytest.mark.parametrize("by", [[], ["g"]])
+def test_quantiles_when_the_bounds_are_wrong(spark, monkeypatch, by):
+    """Bounds that miss their places: the groups are sorted whole, with the same values."""
+    rng = np.random.default_rng(12)
+    rows = [(g, float(x)) for g, n in ((0, 900), (1, 3), (None, 400)) for x in np.round(rng.normal(size=n), 1)]
+    df = spark.createDataFrame([*rows, (2, None)], "g long, value double")
+    qs = [0.01, 0.25, 0.9]
+    shown = lambda out: sorted(map(str, (tuple(r) for r in out.collect())))
+    want = [shown(f(df, by, qs)) for f in (statistics.floor_quantiles, statistics.linear_quantiles)] + [shown(statistics.step_statistics(df, by, quantiles=qs).drop("mean", "std"))]
+    monkeypatch.setattr(statistics, "ACCURACY", 8)
+    sketched = statistics._sketched
+
+    def wrong(*args):
+        sketch, few, wanted = sketched(*args)
+        return sketch.withColumn("_s", F.transform("_s", lambda x: x - 100)), few, wanted
+
+    monkeypatch.setattr(statistics, "_sketched", wrong)
+    assert [shown(f(df, by, qs)) for f in (statistics.floor_quantiles, statistics.linear_quantiles)] + [shown(statistics.step_statistics(df, by, quantiles=qs).drop("mean", "std"))] == want
+    x = np.sort([v for g, v in rows if by == [] or g == 0])
+    assert statistics.floor_quantiles(df.where("g = 0") if by else df, by, qs).first()["q25"] == x[int(0.25 * (len(x) - 1))]
