@@ -90,6 +90,64 @@ def split(merged: Column, slots: Sequence[Slot], widths: dict[str, int]) -> dict
     return out
 
 
+@dataclass(frozen=True)
+class Aligned:
+    """A part brought to a width: its chunk, which of its dimensions are operated, and which were filled in."""
+
+    chunk: Column
+    operated: Column
+    padded: Column
+
+
+def aligned(parts: dict[str, Column], masks: dict[str, Column], widths: dict[str, int], steps: Column) -> dict[str, Aligned]:
+    """Every key of ``widths`` as a chunk of that width.
+
+    Narrower parts are filled with zeros, wider ones cut; their masks too, with false.  A part without a mask is operated in
+    all dimensions, those filled in included.  A part that an embodiment does not have, or that is null, is virtual: zeros
+    of ``steps`` steps, operated nowhere, and filled in everywhere.
+    """
+    out = {}
+    for k, width in widths.items():
+        zeros = F.transform(F.sequence(F.lit(0), steps), lambda _: F.array_repeat(F.lit(0.0), width))
+        zeros, none, every = F.slice(zeros, 1, steps), F.array_repeat(F.lit(False), width), F.array_repeat(F.lit(True), width)
+        if k not in parts:
+            out[k] = Aligned(zeros, none, every)
+            continue
+        chunk = parts[k]
+        mask = F.slice(F.concat(masks[k], none), 1, width) if k in masks else every
+        own = F.size(F.get(chunk, F.lit(0)))
+        filled = F.transform(F.sequence(F.lit(1), F.lit(width)), lambda i: i > own)
+        here = chunk.isNotNull()
+        out[k] = Aligned(
+            F.when(here, _rows(chunk, lambda row: pad_right(row, width))).otherwise(zeros),
+            F.when(here, F.coalesce(mask, every)).otherwise(none),
+            F.when(here, filled).otherwise(every),
+        )
+    return out
+
+
+def _rows(chunk: Column, of) -> Column:
+    return F.transform(chunk, lambda row: of(row))
+
+
+def concatenated(parts: dict[str, Aligned], steps: Column) -> Aligned:
+    """All parts side by side."""
+    chunks = [p.chunk for p in parts.values()]
+    whole = F.slice(F.transform(F.sequence(F.lit(0), steps), lambda i: F.concat(*(F.coalesce(F.get(c, i), F.array().cast("array<double>")) for c in chunks))), 1, steps)
+    return Aligned(whole, F.concat(*(p.operated for p in parts.values())), F.concat(*(p.padded for p in parts.values())))
+
+
+def separated(chunk: Column, widths: dict[str, int], own: dict[str, int]) -> dict[str, Column]:
+    """The inverse of :func:`concatenated` and :func:`aligned`: the parts an embodiment has, in their own widths."""
+    out, at = {}, 0
+    cut = lambda start, width: F.transform(chunk, lambda row: F.slice(row, start, width))
+    for k, width in widths.items():
+        if k in own:
+            out[k] = cut(at + 1, min(width, own[k]))
+        at += width
+    return out
+
+
 def pad_to(vector: Column, width: int) -> tuple[Column, Column]:
     """(vector of ``width``, mask that is true where padded)."""
     return pad_right(vector, width), F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: i >= F.size(vector))

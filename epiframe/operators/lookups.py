@@ -7,6 +7,7 @@ row looks into three buckets at most.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -31,10 +32,20 @@ def decode_ordinal(rows: DataFrame, key: str, dictionary: DataFrame, order: Sequ
 
 
 def in_range(points: DataFrame, point: str, ranges: DataFrame, start: str, end: str, width: int) -> DataFrame:
-    """Each point with the range [start, end) that holds it: ranges are listed in every bucket of ``width`` they touch."""
-    spread = ranges.withColumn("_b", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
-    p = points.withColumn("_b", F.floor(F.col(point) / width))
-    return p.join(spread, "_b").where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("_b")
+    """Each point with the ranges [start, end) that hold it.
+
+    Ranges are listed in the buckets they touch.  Buckets are ``width`` wide, or 16, 256, ... times as wide for longer
+    ranges, so that a range of any length touches three at most; a point looks into one bucket of each width in use (at
+    most 16, collected when this is called).
+    """
+    size = F.col(end) - F.col(start)
+    level = F.greatest(F.lit(0), F.least(F.lit(15), F.ceil(F.log(size / width) / math.log(16)))).cast("int")
+    of = ranges.where(size > 0).withColumn("_l", level)
+    used = sorted(r[0] for r in of.select("_l").distinct().collect())
+    bucket = lambda x: F.floor(x / (F.lit(float(width)) * F.pow(F.lit(16.0), F.col("_l"))))
+    spread = of.withColumn("_b", F.explode(F.sequence(bucket(F.col(start)), bucket(F.col(end) - 1))))
+    p = points.withColumn("_l", F.explode(F.array(*map(F.lit, used)) if used else F.array().cast("array<int>"))).withColumn("_b", bucket(F.col(point)))
+    return p.join(spread, ["_l", "_b"]).where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end))).drop("_l", "_b")
 
 
 def nearest_within(left: DataFrame, right: DataFrame, key: str, time: str, right_time: str, tolerance: int, left_id: str, value: Sequence[str], tie: Sequence[str]) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 from epiframe.functions import text as T
 from epiframe.operators.selection import hashed_uniform, is_missing
@@ -64,6 +65,41 @@ def collate(samples: DataFrame, batch: str, vector: str, order: Sequence[str]) -
     return samples.groupBy(batch).agg(F.transform(rows, lambda r: r["_v"]).alias("rows"), (F.min(F.size(vector)) == F.max(F.size(vector))).alias("same_width"))
 
 
+def leaves(schema: StructType, skip: Sequence[str] = (), prefix: str = "") -> list[str]:
+    """Paths of the columns of a table, fields of structs at any depth."""
+    out = []
+    for f in schema:
+        if (path := f"{prefix}{f.name}") in skip:
+            continue
+        out += leaves(f.dataType, skip, f"{path}.") if isinstance(f.dataType, StructType) else [path]
+    return out
+
+
+def collate_tree(samples: DataFrame, batch: str, order: Sequence[str], metadata: Sequence[str] = (), ragged: Sequence[str] = ()) -> DataFrame:
+    """(batch, a column ``a.b`` for each leaf with the batch's values in order, metadata, unstackable).
+
+    Structs are gone into at any depth.  ``unstackable`` names the leaves whose arrays differ in length (these, and those
+    in ``ragged``, stay lists; a null counts as another length); ``metadata`` columns come as one list of structs.  A batch
+    is bounded by the batch size that numbered it.
+    """
+    paths = leaves(samples.schema, [batch, *metadata])
+    rows = F.array_sort(F.collect_list(F.struct(*(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), F.struct(*(F.col(p).alias(f"v{i}") for i, p in enumerate(paths)), F.struct(*(F.col(m) for m in metadata), F.lit(0).alias("_")).alias("m")).alias("_v"))))
+    lists = samples.groupBy(batch).agg(rows.alias("_rows"))
+    of = lambda name: F.transform("_rows", lambda r: r["_v"][name])
+    kinds = {p: samples.select(p).schema[0].dataType for p in paths}
+    uneven = [F.when(F.size(F.array_distinct(F.transform(of(f"v{i}"), lambda x: F.coalesce(F.size(x), F.lit(-1))))) > 1, p) for i, p in enumerate(paths) if isinstance(kinds[p], ArrayType) and p not in ragged]
+    named = F.filter(F.array(*uneven), lambda x: x.isNotNull()) if uneven else F.array().cast("array<string>")
+    meta = [F.transform("_rows", lambda r: F.struct(*(r["_v"]["m"][m].alias(m) for m in metadata))).alias("metadata")] if metadata else []
+    return lists.select(batch, *(of(f"v{i}").alias(p) for i, p in enumerate(paths)), *meta, named.alias("unstackable"))
+
+
+def concat_batches(batches: DataFrame, by: Sequence[str], order: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """The rows of several batches' arrays one behind the other, column by column; a batch without a column adds nothing to it."""
+    rows = F.array_sort(F.collect_list(F.struct(*(F.col(c).alias(f"_o{i}") for i, c in enumerate(order)), F.struct(*columns).alias("_v"))))
+    joined = lambda c: F.flatten(F.filter(F.transform("_rows", lambda r: r["_v"][c]), lambda x: x.isNotNull()))
+    return batches.groupBy(*by).agg(rows.alias("_rows")).select(*by, *(joined(c).alias(c) for c in columns))
+
+
 def widths_seen(samples: DataFrame, batch: str, vector: str) -> DataFrame:
     """Which widths a batch mixes, for a report on why it does not stack."""
     return samples.groupBy(batch, F.size(vector).alias("width")).agg(F.count("*").alias("n"))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 MISSING_TEXT = ("", "null", "none", "nan", "-1")
 #: Values of an annotation that mean "missing" besides null, NaN and -1.
@@ -203,6 +204,39 @@ def frame_errors(features: dict[str, tuple[str, int]]) -> Column:
     return F.filter(F.array(*checks), lambda x: x.isNotNull())
 
 
+def observation_errors(df: DataFrame, required: dict[str, tuple[int, int | None, str]], texts: Sequence[str] = ()) -> tuple[Column, list[str]]:
+    """(error texts of an observation, warnings) against {column: (rank, width of the innermost arrays or None, type of a value)} and text columns.
+
+    A missing column and a rank that does not agree are errors of every row, as the schema tells; nulls and widths are looked
+    at row by row.  A value type that differs is only a warning.
+    """
+    checks, warnings = [], []
+    kinds = dict(df.dtypes)
+    for name, (rank, width, kind) in required.items():
+        if name not in kinds:
+            checks.append(F.lit(f"{name}: missing"))
+            continue
+        t, depth = df.schema[name].dataType, 0
+        while isinstance(t, ArrayType):
+            t, depth = t.elementType, depth + 1
+        if depth != rank:
+            checks.append(F.lit(f"{name}: rank {depth}, not {rank}"))
+            continue
+        if t.simpleString() != kind:
+            warnings.append(f"{name}: {t.simpleString()}, expected {kind}")
+        checks.append(F.when(F.col(name).isNull(), F.lit(f"{name}: null")))
+        if width is not None and depth:
+            rows = F.col(name)
+            for _ in range(depth - 2):
+                rows = F.flatten(rows)
+            off = F.size(rows) != width if depth == 1 else F.exists(rows, lambda r: F.size(r) != width)
+            checks.append(F.when(off, F.lit(f"{name}: width is not {width}")))
+    for name in texts:
+        bad = name not in kinds or kinds[name] != "string"
+        checks.append(F.lit(f"{name}: not a text") if bad else F.when(F.col(name).isNull(), F.lit(f"{name}: null")))
+    return F.filter(F.array(*checks), lambda x: x.isNotNull()), warnings
+
+
 def quarantine(df: DataFrame, errors: Column) -> tuple[DataFrame, DataFrame]:
     """(good rows, bad rows with their errors)."""
     marked = df.withColumn("errors", errors)

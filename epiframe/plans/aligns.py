@@ -89,3 +89,21 @@ def shape_sums(spark, d):
 @query(f"WITH {_VEC} SELECT vec_id, coalesce(CAST((SELECT min(i) FROM (SELECT unnest(range(1, 65)) AS i) WHERE abs(e[i] - e[7]) < 1e-6) AS BIGINT), 0) - 1 AS place FROM v")
 def approx_membership(spark, d):
     return _vec(spark, d).select("vec_id", A.approx_index(F.col("e"), F.element_at("e", 7)).cast("long").alias("place"))
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, CAST(l_quantity AS DOUBLE) AS q, l_linenumber % 3 = 0 AS idle FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN idle THEN '0.0,0.0,0.0' ELSE q || ',' || (q + 1) || ',0.0' END || ',' || q || ',0.0,0.0' AS second,
+  CASE WHEN idle THEN 'false,false,false' ELSE 'true,false,false' END || ',true,false,false' AS operated,
+  CASE WHEN idle THEN 'true,true,true' ELSE 'false,false,true' END || ',false,true,true' AS padded, CASE WHEN idle THEN NULL ELSE q || ',' || (q + 1) END AS back FROM x""")
+def padding_merger(spark, d):
+    """Two steps of an arm that some rows lack (two of three dimensions), a gripper cut from two to one, and a virtual part."""
+    l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("q"), (F.col("l_linenumber") % 3 == 0).alias("idle"))
+    two = lambda *xs: F.array(F.array(*(F.lit(9.0) for _ in xs)), F.array(*xs))
+    l = l.withColumns({"arm": F.when(~F.col("idle"), two(F.col("q"), F.col("q") + 1)), "grip": two(F.col("q"), F.lit(5.0))})
+    widths = {"arm": 3, "grip": 1, "leg": 2}
+    parts = L.aligned({"arm": F.col("arm"), "grip": F.col("grip")}, {"arm": F.array(F.lit(True), F.lit(False))}, widths, F.lit(2))
+    whole = L.concatenated(parts, F.lit(2))
+    l = l.withColumns({"chunk": whole.chunk, "operated": whole.operated, "padded": whole.padded})
+    shown = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",")
+    back = F.when(~F.col("idle"), shown(F.get(L.separated(F.col("chunk"), widths, {"arm": 2, "grip": 1})["arm"], F.lit(1))))
+    return l.select("l_orderkey", "l_linenumber", shown(F.get("chunk", F.lit(1))).alias("second"), shown(F.col("operated")).alias("operated"), shown(F.col("padded")).alias("padded"), back.alias("back"))

@@ -393,6 +393,21 @@ def cache_key(action_size: int, directories: Sequence[str], transforms: Sequence
     return F.sha2(F.lit(json.dumps({"action_size": action_size, "directories": sorted(directories), "transforms": list(transforms)}, sort_keys=True)), 256)
 
 
+def statistics_name(key: str, version: str) -> str:
+    """The file of the statistics of a :func:`cache_key` made by a version of the code."""
+    return f"dataset_stats_{key}_{version}.json"
+
+
+def find_statistics(spark: SparkSession, folder: str, key: str, version: str) -> tuple[str, bool | None]:
+    """(path, whether it is of this version): of statistics in a folder, else those of another version (the first by name), else the path to write and None."""
+    fs, p = _fs(spark, f"{folder.rstrip('/')}/{statistics_name(key, '*')}")
+    known = sorted(f.getPath().getName() for f in fs.globStatus(p) or [])
+    exact = statistics_name(key, version)
+    if exact in known or not known:
+        return f"{folder.rstrip('/')}/{exact}", True if known else None
+    return f"{folder.rstrip('/')}/{known[0]}", False
+
+
 def episode_path(episode: Column, per_chunk: int = FILES_PER_CHUNK) -> Column:
     """Data file of an episode in the older layout."""
     return F.format_string("data/chunk-%03d/episode_%06d.parquet", F.floor(episode / per_chunk), episode)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -158,6 +158,56 @@ def deep_merge(base: dict, over: dict) -> dict:
     return base | {k: deep_merge(base[k], v) if isinstance(v, dict) and isinstance(base.get(k), dict) else v for k, v in over.items()}
 
 
+def processors(sources: dict[str, str], per_type: dict[str, dict], base: dict | None = None, overrides: dict | None = None, whole: Sequence[str] = ("action_state_merger",), own: Sequence[str] = ()) -> dict[str, dict]:
+    """The configuration of each embodiment type: that of the type with ``base`` laid on it, then ``overrides``.
+
+    ``sources`` has the type of each source.  ``per_type`` must have just the types that sources use.  Keys in ``whole`` are
+    replaced by the base's, not merged; keys in ``own`` stay those of the type.  The type is added under ``embodiment_type``.
+    """
+    wanted = set(sources.values())
+    if set(per_type) != wanted:
+        raise ValueError(f"configurations must be those of the embodiment types; missing: {sorted(wanted - set(per_type))}; extra: {sorted(set(per_type) - wanted)}")
+    out = {}
+    for kind in sorted(wanted):
+        merged = deep_merge(per_type[kind], base or {})
+        merged |= {k: base[k] for k in whole if base and base.get(k) is not None}
+        merged |= {k: per_type[kind][k] for k in own if k in per_type[kind]}
+        out[kind] = merged | (overrides or {}) | {"embodiment_type": kind}
+    return out
+
+
+def equal_sources(configurations: Iterable[tuple[str, str, dict]]) -> dict[str, dict]:
+    """One configuration for each type of (source, type, configuration); sources of a type that differ raise."""
+    out: dict[str, dict] = {}
+    for source, kind, config in configurations:
+        if out.setdefault(kind, config) != config:
+            raise ValueError(f"embodiment type {kind} has sources with different configurations; the latest is {source}")
+    return out
+
+
+def consistent(config: dict, there: Callable[[str], bool], folder: str = "model/tokenizer/vq_config/ckpt_dir", width: str = "model/model_arch/action_dim", parts: str = "model/tokenizer/vq_config/max_action_shape_meta") -> None:
+    """Raises with all problems of a configuration at once: a folder that is not there, a width that is not the sum of its parts."""
+
+    def at(path: str):
+        node = config
+        for k in path.split("/"):
+            node = node.get(k) if isinstance(node, dict) else None
+        return node
+
+    errors = []
+    if isinstance(at(folder), str) and not there(at(folder)):
+        errors.append(f"{folder}: {at(folder)} does not exist")
+    if isinstance(at(width), int) and isinstance(at(parts), dict) and at(width) != sum(at(parts).values()):
+        errors.append(f"{width}: {at(width)} is not {sum(at(parts).values())}, the sum of {parts}")
+    if errors:
+        raise ValueError("; ".join(errors))
+
+
+def map_leaves(tree: dict, function: Callable) -> dict:
+    """``function`` of every leaf of nested dictionaries."""
+    return {k: map_leaves(v, function) if isinstance(v, dict) else function(v) for k, v in tree.items()}
+
+
 def passes_through(columns: Sequence[str], used: Sequence[str]) -> list[str]:
     """Columns that no part consumes and that are neither observation nor action."""
     return [c for c in columns if c not in used and "observation" not in c and "action" not in c]

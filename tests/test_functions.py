@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from epiframe.functions import align, codes, normalize, rotations, text, transforms
-from epiframe.operators import samples, selection, serving, statistics
+from epiframe.operators import lookups, samples, selection, serving, statistics
 from epiframe.operators.episodes import Episodes
 
 
@@ -396,3 +396,70 @@ def test_quantiles_when_the_bounds_are_wrong(spark, monkeypatch, by):
     assert [shown(f(df, by, qs)) for f in (statistics.floor_quantiles, statistics.linear_quantiles)] + [shown(statistics.step_statistics(df, by, quantiles=qs).drop("mean", "std"))] == want
     x = np.sort([v for g, v in rows if by == [] or g == 0])
     assert statistics.floor_quantiles(df.where("g = 0") if by else df, by, qs).first()["q25"] == x[int(0.25 * (len(x) - 1))]
+
+
+def test_collated_trees(spark):
+    from epiframe.operators import samples
+
+    rows = [(0, 1, ([1.0, 2.0], ("a", [1])), "m1"), (0, 0, ([3.0, 4.0], ("b", [1, 2])), "m0"), (1, 0, ([5.0], ("c", None)), None)]
+    df = spark.createDataFrame(rows, "b long, t long, x struct<action:array<double>,deep:struct<task:string,gt:array<long>>>, meta string")
+    got = {r.b: r for r in samples.collate_tree(df, "b", ["t"], ["meta"]).collect()}
+    assert got[0]["x.action"] == [[3.0, 4.0], [1.0, 2.0]] and got[0]["x.deep.task"] == ["b", "a"] and [m.meta for m in got[0].metadata] == ["m0", "m1"]
+    assert got[0].unstackable == ["x.deep.gt"] and got[1].unstackable == []
+    assert samples.collate_tree(df, "b", ["t"], ragged=["x.deep.gt"]).where("b = 0").first().unstackable == []
+    parts = spark.createDataFrame([(1, [[1.0]], [7]), (0, [[2.0], [3.0]], None)], "i long, arm array<array<double>>, n array<long>")
+    assert tuple(samples.concat_batches(parts, [], ["i"], ["arm", "n"]).first()) == ([[2.0], [3.0], [1.0]], [7])
+
+
+def test_observation_errors(spark):
+    df = spark.createDataFrame([([[1.0, 2.0]], [1.0], "go", 3), ([[1.0]], None, None, 3)], "s array<array<double>>, v array<float>, task string, n int")
+    errors, warnings = selection.observation_errors(df, {"s": (2, 2, "double"), "v": (1, 1, "double"), "n": (1, None, "int"), "gone": (1, 1, "double")}, ["task", "plan"])
+    got = [r[0] for r in df.select(errors).collect()]
+    every = ["n: rank 0, not 1", "gone: missing", "plan: not a text"]
+    assert got[0] == every and got[1] == ["s: width is not 2", "v: null", every[0], every[1], "task: null", every[2]]
+    assert warnings == ["v: float, expected double"]
+
+
+def test_processor_configurations():
+    from epiframe import spec
+
+    per = {"a": {"norm": "z", "merger": {"x": 1}, "action_state_merger": {"old": 1}, "kind": "own"}, "b": {"norm": "q"}}
+    got = spec.processors({"s1": "a", "s2": "b", "s3": "a"}, per, {"merger": {"y": 2}, "action_state_merger": {"new": 1}, "kind": "base"}, {"steps": 1}, own=["kind"])
+    assert got["a"] == {"norm": "z", "merger": {"x": 1, "y": 2}, "action_state_merger": {"new": 1}, "kind": "own", "steps": 1, "embodiment_type": "a"}
+    assert got["b"]["kind"] == "base"
+    with pytest.raises(ValueError, match="extra: \\['b'\\]"):
+        spec.processors({"s": "a"}, per)
+    assert spec.equal_sources([("s", "a", {"x": 1}), ("t", "a", {"x": 1})]) == {"a": {"x": 1}}
+    with pytest.raises(ValueError):
+        spec.equal_sources([("s", "a", {"x": 1}), ("t", "a", {"x": 2})])
+    bad = {"model": {"tokenizer": {"vq_config": {"ckpt_dir": "/none", "max_action_shape_meta": {"arm": 6, "hand": 1}}}, "model_arch": {"action_dim": 8}}}
+    with pytest.raises(ValueError, match="does not exist.*is not 7"):
+        spec.consistent(bad, lambda _: False)
+    bad["model"]["model_arch"]["action_dim"] = 7
+    spec.consistent(bad, lambda _: True)
+    assert spec.map_leaves({"a": {"b": 1}, "c": 2}, lambda x: x + 1) == {"a": {"b": 2}, "c": 3}
+
+
+def test_helpers_that_had_no_test(spark):
+    from epiframe import spec
+    from epiframe.functions import align, text
+    from epiframe.operators import samples
+
+    assert spec.passes_through(["a", "observation.x", "action", "note"], ["a"]) == ["note"]
+    row = spark.range(1).select(
+        text.key_values(F.lit("a=1,b=2")).alias("kv"),
+        text.points_text(F.lit("cup"), F.array(F.lit(-1.0), F.lit(0.5))).alias("hidden"),
+        selection.oversample_index(F.lit(7), 3).alias("over"),
+        align.fill_absent(F.create_map(F.lit("arm"), F.array(F.lit(1.0))), [("arm", 1), ("leg", 2)]).alias("filled"),
+    ).first()
+    assert row.kv == {"a": "1", "b": "2"} and row.hidden == "cup: Not visible" and row.over == 1 and row.filled == {"arm": [1.0], "leg": [0.0, 0.0]}
+
+
+def test_ranges_of_any_length(spark):
+    rng = np.random.default_rng(11)
+    starts = rng.integers(-10**6, 10**6, 60)
+    ranges = [(i, int(a), int(a) + int(10 ** rng.uniform(0, 9))) for i, a in enumerate(starts)] + [(90, 0, 10**9), (91, 5, 5), (92, None, 7), (93, 7, 1)]
+    points = [(int(p),) for p in rng.integers(-10**6, 10**8, 300)] + [(5,), (0,)]
+    df = lookups.in_range(spark.createDataFrame(points, "p long"), "p", spark.createDataFrame(ranges, "id long, a long, b long"), "a", "b", 1000)
+    want = sorted((p, i) for (p,) in points for i, a, b in ranges if a is not None and a <= p < b)
+    assert sorted((r.p, r.id) for r in df.collect()) == want

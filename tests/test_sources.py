@@ -284,3 +284,16 @@ def test_episode_file_store(spark, tmp_path):
     assert store.tasks().first().task == "lift" and store.episodes().first().length == 2
     path = spark.range(1).select(S.episode_path(F.lit(1234))).first()[0]
     assert path == "data/chunk-001/episode_001234.parquet"
+
+
+def test_statistics_are_found_by_key_and_version(spark, tmp_path):
+    folder = str(tmp_path)
+    path, same = S.find_statistics(spark, folder, "k1", "v2")
+    assert same is None and path.endswith("dataset_stats_k1_v2.json")
+    S.write_json(spark, f"{folder}/{S.statistics_name('k1', 'v1')}", {"x": 1})
+    S.write_json(spark, f"{folder}/{S.statistics_name('k1', 'v0')}", {"x": 0})
+    S.write_json(spark, f"{folder}/{S.statistics_name('k2', 'v2')}", {"x": 2})
+    path, same = S.find_statistics(spark, folder, "k1", "v2")
+    assert same is False and S.read_json(spark, path) == {"x": 0}
+    path, same = S.find_statistics(spark, folder, "k1", "v1")
+    assert same is True and S.read_json(spark, path) == {"x": 1}
