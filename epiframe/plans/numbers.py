@@ -240,3 +240,19 @@ SELECT user_id, round(sum(value * CASE WHEN i = 1 THEN pow(0.7::DOUBLE, n - 1) E
 def ema(spark, d):
     e = table(spark, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("l"))
     return e.select("user_id", F.round(T.ema(F.transform("l", lambda s: s["value"]), 0.3), 4).alias("ema"))
+
+
+_POSE = {"r0": "1-s*(y*y+z*z)", "r1": "s*(x*y-z*w)", "r2": "s*(x*z+y*w)", "r3": "s*(x*y+z*w)", "r4": "1-s*(x*x+z*z)", "r5": "s*(y*z-x*w)"}
+
+
+@query(f"WITH {_VEC}, p AS (SELECT vec_id, e, e[4] AS x, e[5] AS y, e[6] AS z, e[7] AS w, 2 / (e[4]*e[4] + e[5]*e[5] + e[6]*e[6] + e[7]*e[7]) AS s FROM v) SELECT vec_id, round(e[1], 6) AS px, " + ", ".join(f"round({x}, 6) + 0.0 AS {k}" for k, x in _POSE.items()) + ", e[4] > 0 OR e[5] > 0 OR e[6] > 0 OR e[7] > 0 AS turns FROM p")
+def pose_six(spark, d):
+    """A quaternion pose as position and six components, and its mask."""
+    p = _vec(spark, d).withColumns({"p": R.pose_to_six(F.slice("e", 1, 7)), "m": R.pose_mask_to_six(F.transform(F.slice("e", 1, 7), lambda x: x > 0))})
+    return p.select("vec_id", F.round(F.element_at("p", 1), 6).alias("px"), *(F.round(F.element_at("p", i + 4), 6).alias(f"r{i}") for i in range(6)), F.element_at("m", 9).alias("turns"))
+
+
+@query(f"WITH {_VEC} SELECT vec_id, round(e[1], 6) AS px, round(e[4], 6) AS a, round(e[5], 6) AS b, round(e[6], 6) AS c FROM v")
+def euler_pose_round_trip(spark, d):
+    p = _vec(spark, d).withColumn("p", R.quaternion_pose_to_euler(R.euler_pose_to_quaternion(F.slice("e", 1, 6))))
+    return p.select("vec_id", F.round(F.element_at("p", 1), 6).alias("px"), *(F.round(F.element_at("p", i + 4), 6).alias(c) for i, c in enumerate("abc")))

@@ -28,4 +28,4 @@ def query(oracle: str | None = None, name: str | None = None):
     return register
 
 
-from epiframe.plans import aligns, annotations, codec, evaluation, joins, metrics, numbers, selection, stats, streams, windows  # noqa: E402,F401
+from epiframe.plans import aligns, annotations, codec, evaluation, joins, metrics, numbers, parts, selection, stats, streams, windows  # noqa: E402,F401

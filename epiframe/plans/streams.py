@@ -38,3 +38,19 @@ def recordings(spark, d):
 @query("SELECT event_id, event_id % 7 AS init, event_id % 3 AS environment FROM events")
 def trial_plan(spark, d):
     return S.trial_plan(table(spark, d, "events").select("event_id"), "event_id", 7, 3)
+
+
+_WAIT = 40_000
+
+
+@query(f"""WITH RECURSIVE q AS (SELECT user_id, event_id, epoch_us(ts) // 1000000 AS arrival, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts) // 1000000, event_id) AS i FROM events),
+r AS (SELECT user_id, event_id, arrival, i, arrival AS began, 1 AS c, 0 AS batch FROM q WHERE i = 1
+  UNION ALL SELECT q.user_id, q.event_id, q.arrival, q.i, CASE WHEN q.arrival >= r.began + {_WAIT} OR r.c = 4 THEN q.arrival ELSE r.began END,
+    CASE WHEN q.arrival >= r.began + {_WAIT} OR r.c = 4 THEN 1 ELSE r.c + 1 END, r.batch + CASE WHEN q.arrival >= r.began + {_WAIT} OR r.c = 4 THEN 1 ELSE 0 END
+  FROM r JOIN q ON q.user_id = r.user_id AND q.i = r.i + 1)
+SELECT user_id, event_id, CAST(arrival AS BIGINT) AS arrival, CAST(batch AS BIGINT) AS batch,
+  CAST(CASE WHEN count(*) OVER w = 4 THEN max(arrival) OVER w ELSE began + {_WAIT} END AS BIGINT) AS flushed FROM r WINDOW w AS (PARTITION BY user_id, batch)""")
+def micro_batch_replay(spark, d):
+    """Requests of a server gathered until there are four, or the wait since the first has passed."""
+    e = table(spark, d, "events").select("user_id", "event_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("arrival"))
+    return S.micro_batches(e, "user_id", "arrival", "event_id", 4, _WAIT)
