@@ -1,9 +1,16 @@
 import random
+import zlib
+from collections import Counter, defaultdict
 
+import numpy as np
+import public_tokenizers
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 import corpus_pipeline as p
+from epiframe.llm import decontaminate, quality
+from tests.llm.test_operators import brute_components, words
 
 SF = "/root/testdata/sf0.01"
 
@@ -74,3 +81,73 @@ def test_run(spark):
     n = out.select("doc_id").distinct().count()
     assert 100 < n < 200
     assert out.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 4096").count() == 0
+
+
+def brute_quality(spark, docs, sf):
+    """Rows of a score of at least the threshold, each text scored alone by the model that the stage trains."""
+    model = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    alone = lambda t: model.scores(*quality.tokens(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())])))[0]
+    return [r for r in docs.collect() if alone(r.text or "") >= quality.REJECT]
+
+
+def brute_near(rows):
+    first = {d: c for d, _, c in brute_components([(r.doc_id, r.text) for r in rows])}
+    return [r for r in rows if first[r.doc_id] == r.doc_id]
+
+
+def brute_substrings(rows, width=35):
+    split = {r.doc_id: words(r.text) for r in rows}
+    seen = Counter(tuple(w[i : i + width]) for w in split.values() for i in range(len(w) - width + 1))
+    out = {}
+    for r in rows:
+        w, gone = split[r.doc_id], set()
+        for i in range(len(w) - width + 1):
+            if seen[tuple(w[i : i + width])] > 1:
+                gone.update(range(i, i + width))
+        out[r.doc_id] = " ".join(x for i, x in enumerate(w) if i not in gone) if gone else r.text or ""
+    return out
+
+
+def brute_contaminated(rows, items):
+    """Ids of the rows of which some span is within an item's bound, by the edit distance to every span."""
+    folded = lambda t: decontaminate.fold_words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]))[0]
+    wanted = [w for w in (folded(t or "") for t in items) if len(w)]
+    return {r.doc_id for r in rows for text in [folded(r.text or "")] for w in wanted if len(text) and decontaminate.best_span(w, text)[0] <= decontaminate.bound(len(w))}
+
+
+def test_run_equals_brute_force_stage_by_stage(spark, sf):
+    """Every stage of the pipeline over the whole small tables, on what the stage before kept."""
+    now = {name: stage for name, stage in p.STAGES}
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    ids = lambda rows: sorted(r.doc_id for r in rows)
+    step = lambda name, df: spark.createDataFrame(now[name](spark, df, sf).collect(), docs.schema)
+
+    kept = step("quality_classifier", docs)
+    assert ids(kept.collect()) == ids(brute_quality(spark, docs, sf))
+    alone = step("near_dedup", kept)
+    assert ids(alone.collect()) == ids(brute_near(kept.collect())) and alone.count() < kept.count()
+    cut = step("substring_dedup", alone)
+    assert {r.doc_id: r.text for r in cut.collect()} == brute_substrings(alone.collect())
+    clean = step("benchmark_decontamination", cut)
+    items = [r.text for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    found = brute_contaminated(cut.collect(), items)
+    gone = set(ids(cut.collect())) - set(ids(clean.collect()))
+    assert gone <= found and len(gone) >= 0.95 * len(found)
+
+    tokenizer = tokenizers.Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    pieces, sequences = defaultdict(list), defaultdict(list)
+    for r in now["packing"](spark, clean, sf).collect():
+        pieces[r.doc_id].append((r.start, r.length, r.ids_crc32))
+        sequences[r.sequence_id].append((r.offset, r.length))
+    rows = clean.collect()
+    assert set(pieces) == set(ids(rows))
+    for r in rows:
+        of = np.array([*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2], dtype="<u4")
+        at = 0
+        for start, length, crc in sorted(pieces[r.doc_id]):
+            assert start == at and zlib.crc32(of[start : start + length].tobytes()) == crc
+            at += length
+        assert at == len(of)
+    for s in sequences.values():
+        ends = [o + n for o, n in sorted(s)]
+        assert [o for o, _ in sorted(s)] == [0, *ends[:-1]] and ends[-1] <= 4096
