@@ -4,13 +4,13 @@ A table is cut into buckets of its (group, order) by literal bounds, so that a
 bucket holds about ``BUCKET_ROWS`` rows whether these are one group or many.
 What a row takes from earlier buckets of its group is carried by a table of one
 row for each bucket and group: it is joined on both, which no group makes hot,
-and the rest is a window inside the bucket.
+and the rest is a window inside the bucket.  Bucket and group are one struct, which
+is never null (null groups are groups), so that join and window share one shuffle.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,32 +24,32 @@ class Spread:
     def __init__(self, df: DataFrame, key: Sequence[str], order: Sequence[str], within: Sequence[str | Column] = (), buckets: int | None = None):
         self.columns, self.key = df.columns, list(key)
         bounds = order_bounds(df, [*key, *order], buckets)
-        self.alone = bounds is None
-        self.df = df.withColumn("_b", order_bucket(bounds, [*key, *order]))
-        self.by = Window.partitionBy("_b", *key).orderBy(*order, *within)
+        self.df = df.withColumn("_bucket", F.struct(order_bucket(bounds, [*key, *order]).alias("_number"), *key))
+        self.by = Window.partitionBy("_bucket").orderBy(*order, *within)
         self.order = [*order, *within]
 
-    def joined(self, ends: dict[str, Column], carried: dict[str, Column], rows: DataFrame | None = None) -> DataFrame:
+    def joined(self, ends: dict[str, Column], carried: dict[str, Column]) -> DataFrame:
         """The rows with what is carried to their bucket: ``ends`` are aggregates of a bucket and group, ``carried`` are windows over these (see :attr:`earlier`)."""
-        table = self.df.groupBy("_b", *self.key).agg(*(a.alias(n) for n, a in ends.items())).select(F.col("_b").alias("_b2"), *(F.col(c).alias(f"_by_{c}") for c in self.key), *(c.alias(n) for n, c in carried.items()))
-        rows = self.df if rows is None else rows
-        same = reduce(lambda a, b: a & b, (rows[c].eqNullSafe(table[f"_by_{c}"]) for c in self.key), rows["_b"] == table["_b2"])
-        return rows.join(table, same).drop("_b2", *(f"_by_{c}" for c in self.key))
+        table = self.df.groupBy("_bucket").agg(*(a.alias(n) for n, a in ends.items())).select("_bucket", *(c.alias(n) for n, c in carried.items()))
+        return self.df.join(table, "_bucket")
+
+    @property
+    def group(self):
+        return Window.partitionBy(*(F.col("_bucket")[c] for c in self.key))
 
     @property
     def earlier(self):
-        return Window.partitionBy(*self.key).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+        return self.group.orderBy(F.col("_bucket")["_number"]).rowsBetween(Window.unboundedPreceding, -1)
 
     @property
     def later(self):
-        return Window.partitionBy(*self.key).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+        return self.group.orderBy(F.col("_bucket")["_number"].desc()).rowsBetween(Window.unboundedPreceding, -1)
 
 
 def numbered(df: DataFrame, key: Sequence[str], order: Sequence[str], out: str = "frame_index", length: str | None = None, buckets: int | None = None) -> DataFrame:
     """Adds the 0-based place of a row in its group, and the group's number of rows."""
     s = Spread(df, key, order, buckets=buckets)
-    whole = Window.partitionBy(*s.key)
-    rows = s.joined({"_n": F.count("*")}, {"_s": F.coalesce(F.sum("_n").over(s.earlier), F.lit(0)), "_len": F.sum("_n").over(whole)})
+    rows = s.joined({"_n": F.count("*")}, {"_s": F.coalesce(F.sum("_n").over(s.earlier), F.lit(0)), "_len": F.sum("_n").over(s.group)})
     place = (F.col("_s") + F.row_number().over(s.by) - 1).alias(out)
     return rows.select(*s.columns, place, *([F.col("_len").alias(length)] if length else []))
 
@@ -86,7 +86,7 @@ def neighbours(df: DataFrame, key: Sequence[str], time: str, value: Column, tie:
         {"_p": F.last("_last", ignorenulls=True).over(s.earlier), "_q": F.last("_first", ignorenulls=True).over(s.later)},
     )
     # A value and a row without one may share a time: values come first in the look back, and last in the look ahead.
-    back = Window.partitionBy("_b", *s.key).orderBy(F.col(time), F.col("_v").isNull(), *names).rowsBetween(Window.unboundedPreceding, 0)
-    ahead = Window.partitionBy("_b", *s.key).orderBy(F.col(time).desc(), F.col("_v").isNull(), *(F.col(n).desc() for n in names)).rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("_bucket").orderBy(F.col(time), F.col("_v").isNull(), *names).rowsBetween(Window.unboundedPreceding, 0)
+    ahead = Window.partitionBy("_bucket").orderBy(F.col(time).desc(), F.col("_v").isNull(), *(F.col(n).desc() for n in names)).rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumns({before: F.coalesce(F.last("_v", ignorenulls=True).over(back), F.col("_p")), after: F.coalesce(F.last("_v", ignorenulls=True).over(ahead), F.col("_q"))})
     return rows.select(*s.columns, before, after)

@@ -98,8 +98,8 @@ def test_rank_batches_in_buckets(frames, rest):
 
 
 def alone(plan):
-    """Windows of a plan that have no block or bucket among their groups."""
-    return [w for w in re.findall(r"windowspecdefinition\(([^)]*)", plan) if not re.search(r"_b#|_block#|_b2#", w)]
+    """Windows in the order of frames that have no block or bucket among their groups."""
+    return [w for w in re.findall(r"windowspecdefinition\(([^)]*)", plan) if re.search(r"\bt#", w) and not re.search(r"_bucket#|_block#", w)]
 
 
 def test_one_episode_of_ten_million_frames(spark):
@@ -120,5 +120,17 @@ def test_plans_have_no_window_over_a_whole_group(frames):
     shifted = e.select("k", "t", e.shift("x", 2))
     made = [shifted, selection.rank_batches(frames, "k", ["t"], 2, 2, buckets=20), runs(frames, ["k"], ["t"], "x", rows=50)]
     for df in made:
-        left = alone(df._jdf.queryExecution().optimizedPlan().toString())  # what is carried between buckets: one row a bucket and group
-        assert all("k#" in w and " t#" not in w for w in left), left
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert re.search(r"windowspecdefinition\((_bucket|k#\d+L?, _block|_block)", plan) and not alone(plan), plan
+
+
+def test_join_and_window_of_a_bucket_share_a_shuffle(spark, frames):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = numbered(frames, ["k"], ["t"], "i", buckets=20)._jdf.queryExecution().sparkPlan().toString()
+        executed = numbered(frames, ["k"], ["t"], "i", buckets=20)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "SortMergeJoin" in plan
+    # Rows by bucket, counts by bucket, counts by group, counts by bucket again.
+    assert executed.count("Exchange hashpartitioning") <= 4 and executed.count("ENSURE_REQUIREMENTS") <= 4
