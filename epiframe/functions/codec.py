@@ -1,6 +1,6 @@
 """Action chunks as tokens and back: keys are parted into learned and rule keys, learned ones cut to one width and coded by residual codebooks, rule ones by constrained bit sequences, and all serialised behind markers.
 
-Codebooks are model parameters of fixed size and travel as literals; every step is a column expression.
+Codebooks are model parameters of fixed size and travel with the kernels (:mod:`epiframe.functions.kernels`).
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from epiframe.functions import kernels
 from epiframe.functions import tokens as T
 
 #: A codebook: its entries, each of chunk width times segment length components, time by time.
@@ -24,46 +25,6 @@ def parted(keys: Sequence[str], rule_pattern: str) -> tuple[list[str], list[str]
     return [k for k in keys if k not in rules], rules
 
 
-def wide_chunks(chunk: Column, width: int, dims: int) -> list[Column]:
-    """A chunk of vectors cut into chunks of ``width`` components each, the last filled with zeros."""
-
-    def cut(at: int) -> Column:
-        have = min(width, dims - at)
-        return F.transform(chunk, lambda row: F.concat(F.slice(row, at + 1, have), F.array_repeat(F.lit(0.0), width - have)))
-
-    return [cut(at) for at in range(0, dims, width)]
-
-
-def joined_chunks(chunks: Sequence[Column], dims: int) -> Column:
-    """The inverse of :func:`wide_chunks`."""
-    zipped = F.arrays_zip(*(c.alias(f"c{i}") for i, c in enumerate(chunks)))
-    return F.transform(zipped, lambda z: F.slice(F.concat(*(z[f"c{i}"] for i in range(len(chunks)))), 1, dims))
-
-
-def _books(books: Sequence[Book]) -> Column:
-    return F.array(*(F.array(*(F.struct(F.lit(k).cast("long").alias("k"), F.array(*(F.lit(float(x)) for x in v)).alias("v")) for k, v in enumerate(book))) for book in books))
-
-
-def residual_code(vector: Column, books: Sequence[Book]) -> Column:
-    """The code of each book in turn: the entry nearest to what the books before left over (ties: the smaller code)."""
-    gap = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda t, x: t + x)
-    start = F.struct(vector.alias("rest"), F.array().cast("array<bigint>").alias("codes"))
-
-    def step(s: Column, book: Column) -> Column:
-        best = F.array_min(F.transform(book, lambda e: F.struct(gap(s["rest"], e["v"]).alias("d"), e["k"].alias("k"), e["v"].alias("v"))))
-        return T._bound(best, lambda b: F.struct(F.zip_with(s["rest"], b["v"], lambda x, y: x - y).alias("rest"), F.concat(s["codes"], F.array(b["k"])).alias("codes")))
-
-    return F.aggregate(_books(books), start, step, lambda s: s["codes"])
-
-
-def residual_value(codes: Column, books: Sequence[Book]) -> Column:
-    """The sum of the entries of codes, one a book; codes beyond a book count as its last."""
-    width = len(books[0][0])
-    entry = lambda n: F.get(F.get(_books(books), F.lit(n)), F.least(F.get(codes, F.lit(n)), F.lit(len(books[n]) - 1)).cast("int"))["v"]
-    zeros = F.array(*[F.lit(0.0)] * width)
-    return F.aggregate(F.array(*(entry(n) for n in range(len(books)))), zeros, lambda t, v: F.zip_with(t, v, lambda x, y: x + y))
-
-
 @dataclass(frozen=True)
 class ActionCodec:
     """``dims``: key -> components of a step, in order; ``steps`` of a chunk; learned keys are cut to ``width`` and to segments of ``segment`` steps, coded by ``books``; rule keys have one component."""
@@ -85,6 +46,9 @@ class ActionCodec:
     def bits(self) -> T.RunColumns:
         return T.RunColumns(self.steps, self.shortest, self.book_size)
 
+    def _layout(self) -> tuple:
+        return self.width, self.segment, self.books
+
     def keys(self) -> tuple[list[str], list[str]]:
         return parted(list(self.dims), self.rule_pattern)
 
@@ -102,11 +66,9 @@ class ActionCodec:
         learned, rules = self.keys()
         by_name = {}
         for k in learned:
-            for name, chunk in zip(self.chunk_names(k), wide_chunks(parts[k], self.width, self.dims[k])):
-                segments = lambda c: F.transform(F.sequence(F.lit(0), F.lit(self.steps // self.segment - 1)), lambda i: residual_code(F.flatten(F.slice(c, i * self.segment + 1, self.segment)), self.books))
-                by_name[name] = T._bound(chunk, segments)
-        of_level = lambda codes, n: F.transform(codes, lambda c: F.get(c, F.lit(n)))
-        out = [of_level(by_name[g.key], g.level) for g in self.groups() if g.level >= 0]
+            coded = kernels.residual_coder(self.steps, self.dims[k], *self._layout())(parts[k].cast("array<array<double>>"))
+            by_name |= {name: F.get(coded, F.lit(i)) for i, name in enumerate(self.chunk_names(k))}
+        out = [F.get(by_name[g.key], F.lit(g.level)) for g in self.groups() if g.level >= 0]
         binary = lambda k: F.transform(parts[k], lambda row: (F.get(row, F.lit(0)) > self.threshold).cast("int"))
         return out + [self.bits.encode(binary(k)) for k in rules]
 
@@ -118,14 +80,8 @@ class ActionCodec:
         learned, rules = self.keys()
         groups, out = self.groups(), {}
         for k in learned:
-            chunks = []
-            for name in self.chunk_names(k):
-                levels = T.learned_levels(parsed, groups, name)
-                at = lambda c, i: F.transform(c, lambda level: F.get(level, i))
-                rows = lambda v: F.transform(F.sequence(F.lit(0), F.lit(self.segment - 1)), lambda t: F.slice(v, t * self.width + 1, self.width))
-                whole = lambda c: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(self.steps // self.segment - 1)), lambda i: rows(residual_value(at(c, i), self.books))))
-                chunks.append(F.when(levels.isNotNull(), T._bound(levels, whole)))
-            out[k] = joined_chunks(chunks, self.dims[k])
+            levels = [T.learned_levels(parsed, groups, name) for name in self.chunk_names(k)]
+            out[k] = kernels.residual_decoder(self.steps, self.dims[k], *self._layout())(*levels)
         for k in rules:
             digits = F.get(parsed, F.lit(next(i for i, g in enumerate(groups) if g.key == k)))
             out[k] = F.when(digits.isNotNull(), F.transform(self.bits.decode(digits), lambda b: F.array(F.when(b == 1, 1.0).otherwise(-1.0))))

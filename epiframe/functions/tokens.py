@@ -1,7 +1,7 @@
 """Token sequences as columns: constrained bit sequences, marked groups of codes, blocks, and modality pieces.
 
-Everything is a fold or a map over an array column with the layout as a
-literal, so whole tables are encoded and parsed without Python in the tasks.
+Sequences are put together by column expressions with the layout as a literal; what goes through
+a sequence token by token is a numpy kernel over Arrow batches (:mod:`epiframe.functions.kernels`).
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from epiframe.functions import kernels
 from epiframe.functions.codes import RunCodec
 
 #: The role of a token in a sequence, and the label of a token that is not trained.
@@ -33,24 +34,11 @@ def _longs(values: Sequence[int]) -> Column:
 # --- constrained bit sequences ---------------------------------------------
 
 
-def bit_runs(bits: Column) -> Column:
-    """Runs of equal bits as structs (b, n)."""
-    empty = F.array().cast("array<struct<b:int,n:int>>")
-
-    def step(runs: Column, bit: Column) -> Column:
-        last = F.try_element_at(runs, F.lit(-1))
-        one = F.struct(bit.cast("int").alias("b"), F.lit(1).alias("n"))
-        longer = F.struct(last["b"].alias("b"), (last["n"] + 1).alias("n"))
-        return F.when(last["b"] == bit, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(longer))).otherwise(F.concat(runs, F.array(one)))
-
-    return F.aggregate(bits, empty, step)
-
-
 class RunColumns:
     """:class:`epiframe.functions.codes.RunCodec` over columns of bit arrays: validity, repair, ranks in base-``base`` digits and back.
 
-    Counts of ways to go on are a literal table; ranks are long, or decimals of 38 digits where 64 bits do not do.
-    A codec whose ranks times its base need more raises.
+    Ranks are 64 bits wide, or Python's integers where those do not do.  A codec whose ranks times its base need more than 38
+    digits raises.  Null bits count as 0.
     """
 
     def __init__(self, length: int, shortest: int, base: int):
@@ -60,92 +48,25 @@ class RunColumns:
         if most >= 10**38:
             raise ValueError(f"ranks of {self.total} need more than 38 digits")
         self.kind = "long" if most < 2**63 else "decimal(38,0)"
-        cap = shortest + 1
-        self._table = F.array(*(self._number(self.codec._count(left, run, first)) for left in range(length) for run in range(1, cap + 1) for first in (False, True)))
-
-    def _number(self, n: int) -> Column:
-        return F.lit(str(n)).cast(self.kind)
-
-    def _ways(self, left: Column, run: Column, first: Column) -> Column:
-        cap = self.shortest + 1
-        return F.get(self._table, (left * cap + F.least(run, F.lit(cap)) - 1) * 2 + first.cast("int"))
-
-    def _zero(self, s: Column, left: Column) -> Column:
-        """Sequences that have a 0 at the next place: none where that would end an inner run too early."""
-        on = self._ways(left, s["run"] + 1, s["first"])
-        turn = F.when(s["first"] | (s["run"] > self.shortest), self._ways(left, F.lit(1), F.lit(False))).otherwise(self._number(0))
-        return F.when(s["last"] < 0, self._ways(left, F.lit(1), F.lit(True))).when(s["last"] == 0, on).otherwise(turn)
-
-    def _start(self) -> list[Column]:
-        return [F.lit(-1).alias("last"), F.lit(0).alias("run"), F.lit(True).alias("first")]
 
-    @staticmethod
-    def _next(s: Column, bit: Column) -> list[Column]:
-        same = s["last"] == bit
-        return [bit.alias("last"), F.when(same, s["run"] + 1).otherwise(1).alias("run"), (s["first"] & (same | (s["last"] < 0))).alias("first")]
+    def _layout(self) -> tuple:
+        return self.codec, self.length, self.shortest, self.base, int if self.kind == "long" else object
 
     def valid(self, bits: Column) -> Column:
         """Whether all runs but the first and the last are longer than ``shortest``."""
-        inner = lambda r: F.slice(r, 2, F.greatest(F.size(r) - 2, F.lit(0)))
-        return _bound(bit_runs(bits), lambda r: F.forall(inner(r), lambda x: x["n"] > self.shortest))
+        return kernels.bits_valid(self.shortest)(bits)
 
     def repair(self, bits: Column) -> Column:
         """Inner runs that are too short take the value of the run on their left, from the left on, until none is."""
-
-        def merged(runs: Column) -> Column:
-            placed = F.transform(runs, lambda r, i: F.struct(r["b"].alias("b"), r["n"].alias("n"), (i == F.size(runs) - 1).alias("end")))
-
-            def step(out: Column, r: Column) -> Column:
-                last = F.try_element_at(out, F.lit(-1))
-                joins = (last["b"] == r["b"]) | (~r["end"] & (r["n"] <= self.shortest))
-                longer = F.struct(last["b"].alias("b"), (last["n"] + r["n"]).alias("n"))
-                return F.when(last.isNotNull() & joins, F.concat(F.slice(out, 1, F.size(out) - 1), F.array(longer))).otherwise(F.concat(out, F.array(F.struct(r["b"].alias("b"), r["n"].alias("n")))))
-
-            return F.aggregate(placed, F.array().cast("array<struct<b:int,n:int>>"), step)
-
-        whole = _bound(bit_runs(bits), merged)
-        return F.flatten(F.transform(whole, lambda r: F.array_repeat(r["b"], r["n"])))
-
-    def rank(self, bits: Column) -> Column:
-        """The place of a valid sequence among all of its length, in order."""
-        placed = F.transform(bits, lambda b, i: F.struct(b.cast("int").alias("b"), (F.lit(self.length - 1) - i).alias("left")))
-        start = F.struct(self._number(0).alias("rank"), *self._start())
-
-        def step(s: Column, x: Column) -> Column:
-            more = F.when(x["b"] == 1, self._zero(s, x["left"])).otherwise(self._number(0))
-            return F.struct((s["rank"] + more).cast(self.kind).alias("rank"), *self._next(s, x["b"]))
-
-        return F.aggregate(placed, start, step, lambda s: s["rank"])
-
-    def unrank(self, rank: Column) -> Column:
-        """The sequence at a place."""
-        start = F.struct(rank.cast(self.kind).alias("rank"), F.array().cast("array<int>").alias("bits"), *self._start())
-
-        def step(s: Column, left: Column) -> Column:
-            def put(zero: Column) -> Column:
-                bit = (s["rank"] >= zero).cast("int")
-                rest = F.when(s["rank"] >= zero, s["rank"] - zero).otherwise(s["rank"]).cast(self.kind)
-                return F.struct(rest.alias("rank"), F.concat(s["bits"], F.array(bit)).alias("bits"), *self._next(s, bit))
-
-            return _bound(self._zero(s, left), put)
-
-        places = F.array(*(F.lit(i) for i in range(self.length - 1, -1, -1))) if self.length else F.array().cast("array<int>")
-        return F.aggregate(places, start, step, lambda s: s["bits"])
+        return kernels.bits_repair(self.shortest)(bits)
 
     def encode(self, bits: Column) -> Column:
         """Digits of the repaired sequence's rank, the most significant first."""
-
-        def digit(r: Column, i: int) -> Column:
-            low = r % self._number(self.base ** (i + 1)) if i + 1 < self.digits else r
-            return F.call_function("div", low.cast(self.kind), self._number(self.base**i)).cast("long")
-
-        return _bound(self.rank(self.repair(bits)), lambda r: F.array(*(digit(r, i) for i in range(self.digits - 1, -1, -1))) if self.digits else F.array().cast(_LONGS))
+        return kernels.bits_coder(*self._layout())(bits)
 
     def decode(self, digits: Column) -> Column:
         """The sequence of a rank given in digits; digits are clamped to the base, and ranks past the last count as the last."""
-        inside = F.transform(digits, lambda d: F.least(F.greatest(d, F.lit(0)), F.lit(self.base - 1)))
-        rank = F.aggregate(inside, self._number(0), lambda s, d: F.least((s * self._number(self.base) + d).cast(self.kind), self._number(max(self.total - 1, 0))))
-        return self.unrank(rank)
+        return kernels.bits_decoder(*self._layout())(digits.cast(_LONGS))
 
 
 # --- marked groups ---------------------------------------------------------
@@ -171,6 +92,17 @@ def marked_groups(learned: Sequence[str], rules: Sequence[str], levels: int, cod
     return [Group(k, n, first_marker + i, w) for i, (k, n, w) in enumerate(spec)]
 
 
+def _placed(tokens: Column, shuffle: Column | None, key: str, level: Column) -> Column:
+    """Tokens, or none where they are null; with ``shuffle`` in a struct behind their place in a row's own order."""
+    tokens = F.coalesce(tokens, _longs([]))
+    return tokens if shuffle is None else F.struct(level.alias("level"), F.xxhash64(shuffle, F.lit(key)).alias("place"), tokens.alias("tokens"))
+
+
+def _in_order(pieces: Sequence[Column], shuffle: Column | None) -> Column:
+    """Pieces of :func:`_placed` one behind the other."""
+    return F.concat(*pieces) if shuffle is None else F.flatten(F.sort_array(F.array(*pieces))["tokens"])
+
+
 def serialize_marked(groups: Sequence[Group], codes: Sequence[Column], skip: Column | None = None, shuffle: Column | None = None) -> Column:
     """Marker and codes of each group in the order of the groups.
 
@@ -179,48 +111,32 @@ def serialize_marked(groups: Sequence[Group], codes: Sequence[Column], skip: Col
     """
     last = max((g.level for g in groups), default=-1) + 1
     pieces = []
-    for i, (g, c) in enumerate(zip(groups, codes)):
-        here = c.isNotNull() if skip is None else c.isNotNull() & ~F.coalesce(F.array_contains(skip, g.key), F.lit(False))
-        place = F.lit(i).cast("long") if shuffle is None else F.xxhash64(shuffle, F.lit(g.key))
-        piece = F.struct(F.lit(g.level if g.level >= 0 else last).alias("level"), place.alias("place"), F.concat(_longs([g.marker]), c.cast(_LONGS)).alias("tokens"))
-        pieces.append(F.when(here, piece))
-    kept = F.filter(F.array(*pieces), lambda p: p.isNotNull())
-    return F.flatten(F.transform(kept if shuffle is None else F.array_sort(kept), lambda p: p["tokens"]))
+    for g, c in zip(groups, codes):
+        tokens = F.concat(_longs([g.marker]), c.cast(_LONGS))  # null where the codes are
+        if skip is not None:
+            tokens = F.when(~F.coalesce(F.array_contains(skip, g.key), F.lit(False)), tokens)
+        level = F.lit(g.level if g.level >= 0 else last)
+        pieces.append(_placed(tokens, shuffle, g.key, level))
+    return _in_order(pieces, shuffle)
 
 
 def parse_marked(tokens: Column, groups: Sequence[Group]) -> Column:
     """Codes of each group in the order of ``groups``, null where its marker does not occur.
 
-    One fold: a known marker opens its group, which takes the tokens behind it, whatever they are, until it has its
+    A known marker opens its group, which takes the tokens behind it, whatever they are, until it has its
     width; other tokens outside a group are skipped, a group cut short is filled with zeros, and of a repeated marker
     the last group counts.
     """
-    markers, widths = _longs([g.marker for g in groups]), F.array(*(F.lit(g.width) for g in groups))
-    none = F.array(*(F.lit(None).cast(_LONGS) for _ in groups))
-    start = F.struct(F.lit(-1).alias("open"), F.lit(0).alias("left"), none.alias("parts"))
-    put = lambda parts, at, value: F.transform(parts, lambda p, i: F.when(i == at, value(p)).otherwise(p))
-
-    def step(s: Column, t: Column) -> Column:
-        def go(at: Column) -> Column:
-            taking, found = s["left"] > 0, (s["left"] <= 0) & (at >= 0)
-            opened = F.when(found, at).otherwise(s["open"])
-            left = F.when(taking, s["left"] - 1).when(found, F.get(widths, at)).otherwise(0)
-            grown = put(s["parts"], s["open"], lambda p: F.concat(p, F.array(t)))
-            fresh = put(s["parts"], at, lambda _: F.array().cast(_LONGS))
-            return F.struct(opened.alias("open"), left.alias("left"), F.when(taking, grown).when(found, fresh).otherwise(s["parts"]).alias("parts"))
-
-        return _bound((F.array_position(markers, t) - 1).cast("int"), go)
-
-    fill = lambda p, i: F.concat(p, F.array_repeat(F.lit(0).cast("long"), F.get(widths, i) - F.size(p)))
-    return F.aggregate(tokens.cast(_LONGS), start, step, lambda s: F.transform(s["parts"], fill))
+    if not groups:
+        return F.transform(F.slice(tokens.cast(_LONGS), 1, 0), lambda _: F.lit(None).cast(_LONGS))
+    return kernels.groups_parser([g.marker for g in groups], [g.width for g in groups])(tokens.cast(_LONGS))
 
 
 def learned_levels(parsed: Column, groups: Sequence[Group], key: str) -> Column:
     """A learned key's codes by level: zeros for levels that are missing, null where all are."""
     at = [(i, g.width) for i, g in enumerate(groups) if g.key == key and g.level >= 0]
-    levels = F.array(*(F.get(parsed, F.lit(i)) for i, _ in at))
     zeros = F.array(*(F.coalesce(F.get(parsed, F.lit(i)), F.array_repeat(F.lit(0).cast("long"), w)) for i, w in at))
-    return F.when(F.exists(levels, lambda x: x.isNotNull()), zeros)
+    return F.when(F.coalesce(*(F.get(parsed, F.lit(i)) for i, _ in at)).isNotNull(), zeros)
 
 
 def without_markers(tokens: Column, groups: Sequence[Group]) -> Column:
@@ -248,14 +164,12 @@ def serialize_signed(parts: Sequence[SignedPart], codes: Sequence[Column], shuff
     levels = []
     for n in range(max(p.levels for p in parts)):
         rows = []
-        for place, i in enumerate(ranked):
+        for i in ranked:
             p, c = parts[i], codes[i].cast(_LONGS)
             if n < p.levels:
-                blocks = [F.concat(_longs([p.signs[b]]), F.slice(c, b * p.width + 1, p.width)) for b in range(n * p.blocks, (n + 1) * p.blocks)]
-                order = F.lit(place).cast("long") if shuffle is None else F.xxhash64(shuffle, F.lit(p.name))
-                rows.append(F.when(c.isNotNull(), F.struct(order.alias("place"), F.concat(*blocks).alias("tokens"))))
-        kept = F.filter(F.array(*rows), lambda r: r.isNotNull())
-        levels.append(F.flatten(F.transform(F.array_sort(kept), lambda r: r["tokens"])))
+                blocks = [x for b in range(n * p.blocks, (n + 1) * p.blocks) for x in (_longs([p.signs[b]]), F.slice(c, b * p.width + 1, p.width))]
+                rows.append(_placed(F.concat(*blocks), shuffle, p.name, F.lit(n)))
+        levels.append(_in_order(rows, shuffle))
     return F.concat(*levels)
 
 
@@ -263,11 +177,9 @@ def parse_signed(tokens: Column, parts: Sequence[SignedPart]) -> Column:
     """Map of part to codes, in whatever order parts come; blocks that are missing are zeros, parts without any are left out."""
     groups = [Group(p.name, b, s, p.width) for p in parts for b, s in enumerate(p.signs)]
 
-    def named(parsed: Column) -> Column:
-        whole = [F.flatten(learned_levels(parsed, groups, p.name)) for p in parts]
-        return F.map_filter(F.map_from_arrays(F.array(*(F.lit(p.name) for p in parts)), F.array(*whole)), lambda _, v: v.isNotNull())
-
-    return _bound(parse_marked(tokens, groups), named)
+    parsed, none = parse_marked(tokens, groups), F.array().cast("array<struct<part:string,codes:array<bigint>>>")
+    whole = [(F.lit(p.name), F.flatten(learned_levels(parsed, groups, p.name))) for p in parts]
+    return F.map_from_entries(F.concat(*(F.when(v.isNotNull(), F.array(F.struct(k.alias("part"), v.alias("codes")))).otherwise(none) for k, v in whole)))
 
 
 def with_indicators(tokens: Column, order: Column, indicators: dict[str, int], separator: int) -> Column:
