@@ -129,7 +129,8 @@ def signed_tokens(spark, d):
 def _signed(spark, d):
     l = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     run = lambda m, n: F.array(*((F.col("l_partkey") * m + j) % 50 for j in range(n)))
-    return l, [run(1, 8), F.when(F.col("l_suppkey") % 4 != 0, run(2, 6)), run(3, 2)]
+    l = l.withColumns({"left": run(1, 8), "right": F.when(F.col("l_suppkey") % 4 != 0, run(2, 6)), "lower": run(3, 2)})
+    return l, [F.col(p.name) for p in _BODY]
 
 
 @query("""SELECT l_orderkey, l_linenumber, part, codes FROM (

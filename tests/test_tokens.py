@@ -123,3 +123,49 @@ def test_codec_keys_chunks_and_absent_parts(spark):
     assert back.arm == [[1.5, 0.0, 1.0], [0.5, 0.0, 1.0]] and back.grip == [[1.0], [-1.0]]
     idle = rows.withColumn("t", c.encode({"arm": F.col("arm"), "grip": F.col("grip")}, skip=F.array(F.lit("grip"))))
     assert idle.withColumn("p", T.parse_marked(F.col("t"), c.groups())).select(c.decode(F.col("p"))["grip"].alias("g")).first().g is None
+
+
+def test_codes_equal_plain_python_for_any_chunk(spark):
+    """Ties go to the smaller code, NaN and null are equally far from every entry, null chunks leave their groups out."""
+    rng = random.Random(8)
+    books = [[[rng.choice([-1.0, 0.0, 0.5, 1.0]) for _ in range(4)] for _ in range(5)] for _ in range(2)]
+    c = K.ActionCodec({"arm": 3}, "grip", 5, 2, 2, books)
+    rows = [[[rng.choice([0.0, 0.25, -0.75, 1.0]) for _ in range(3)] for _ in range(5)] for _ in range(60)]
+    rows += [[[float("nan"), 0.25, 1.0]] * 5, [[None, 0.25, 1.0]] * 5, None]
+
+    def plain(chunk):
+        out = []
+        for level in range(2):
+            for piece in range(2):
+                out.append(4 * 0 + 5 + len(out) // 3)  # the marker
+                for segment in range(2):
+                    rest = [(row + [0.0])[piece * 2 + j] for row in chunk[segment * 2 : segment * 2 + 2] for j in range(2)]
+                    for book in books[: level + 1]:
+                        lost = any(x is None or x != x for x in rest)
+                        code = 0 if lost else min(range(5), key=lambda k: (sum((x - y) * (x - y) for x, y in zip(rest, book[k])), k))
+                        rest = rest if lost else [x - y for x, y in zip(rest, book[code])]
+                    out.append(code)
+        return out
+
+    got = column(spark, rows, "array<array<double>>", lambda v: c.encode({"arm": v}))
+    assert got == [plain(r) for r in rows[:-1]] + [[]]
+
+
+def test_null_bits_count_as_zero_and_null_sequences_stay_null(spark):
+    c = T.RunColumns(6, 1, 3)
+    rows = [[1, None, 0, 1, 1, 1], [None] * 6, None]
+    assert column(spark, rows, "array<int>", c.encode) == [c.codec.encode([1, 0, 0, 1, 1, 1]), c.codec.encode([0] * 6), None]
+
+
+def test_null_tokens_are_kept_inside_a_group(spark):
+    assert column(spark, [[50, None, 3, None, 51, 4], None], "array<long>", lambda v: T.parse_marked(v, GROUPS)) == [[[None, 3], [4, 0], None, None, None], None]
+
+
+@pytest.mark.parametrize("name", ["codec_reconstruction", "action_tokens", "signed_round_trip", "marked_round_trip", "bit_codec"])
+def test_tokens_are_coded_and_parsed_once_and_not_by_folds(spark, sf, name, capsys):
+    from epiframe.plans.registry import QUERIES
+
+    QUERIES[name](spark, sf).explain()
+    plan = capsys.readouterr().out
+    assert "aggregate(array" not in plan and "aggregate(transform" not in plan and "aggregate(concat" not in plan
+    assert plan.count("[parse(") + plan.count(", parse(") == (name in ("codec_reconstruction", "signed_round_trip", "marked_round_trip"))
