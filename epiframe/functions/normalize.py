@@ -112,21 +112,37 @@ def forward(x: Column, mode: str, s: Stats) -> Column:
     return F.when(F.isnan(x), 0.0).otherwise(y)
 
 
-def backward(y: Column, mode: str, s: Stats) -> Column:
-    """The component from its normalised value, inside the limits."""
+def lines(mode: str, s: Stats) -> Column:
+    """:func:`affine` of each dimension of statistics that are arrays, for :func:`vector`; nulls for ``identity``, which has none."""
+    if mode == "identity":
+        return F.transform(s.mean, lambda _: F.struct(F.lit(None).cast("double").alias("scale"), F.lit(None).cast("double").alias("offset")))
+
+    def line(_: Column, i: Column) -> Column:
+        scale, offset = affine(mode, s.at(i))
+        return F.struct(scale.alias("scale"), offset.alias("offset"))
+
+    return F.transform(s.mean, line)
+
+
+def backward(y: Column, mode: str, s: Stats, line: Column | None = None) -> Column:
+    """The component from its normalised value, inside the limits; ``line`` is its scale and offset, if they are known."""
     if mode == "identity":
         return y
     if mode == "tanh":
         y = F.atanh(F.greatest(F.least(y, F.lit(1 - 1e-7)), F.lit(-1 + 1e-7)))
-    scale, offset = affine(mode, s)
+    scale, offset = affine(mode, s) if line is None else (line["scale"], line["offset"])
     x = (y - offset) / scale
     return expand_tails(x, s) if mode.endswith("-tail") else x
 
 
-def vector(x: Column, mode: str, s: Stats, inverse: bool = False) -> Column:
-    """A vector by statistics that are arrays over its dimensions; dimensions beyond them pass through."""
-    one = backward if inverse else forward
-    return F.transform(x, lambda v, i: F.when(i < F.size(s.mean), one(v, mode, s.at(i))).otherwise(v))
+def vector(x: Column, mode: str, s: Stats, inverse: bool = False, lines: Column | None = None) -> Column:
+    """A vector by statistics that are arrays over its dimensions; dimensions beyond them pass through.
+
+    The way back takes scales and offsets from ``lines`` (:func:`lines`), so that many vectors share them.
+    """
+    line = lambda i: None if lines is None else F.get(lines, i)
+    one = (lambda v, i: backward(v, mode, s.at(i), line(i))) if inverse else (lambda v, i: forward(v, mode, s.at(i)))
+    return F.transform(x, lambda v, i: F.when(i < F.size(s.mean), one(v, i)).otherwise(v))
 
 
 def chunk(x: Column, mode: str, s: Stats, inverse: bool = False) -> Column:

@@ -28,27 +28,29 @@ def last_step(observations: Column) -> Column:
     return F.try_element_at(observations, F.lit(-1))
 
 
-def _row_sums(guess: Column, truth: Column, valid: Column, close: float) -> Column:
+def _nothing() -> Column:
+    """Sums in which nothing counts."""
+    return F.struct(F.lit(0.0).alias("l1"), F.lit(0).cast("long").alias("hits"), F.lit(0).cast("long").alias("n"))
+
+
+def _row_sums(guess: Column, truth: Column, valid: Column | None, close: float) -> Column:
     """(l1, hits, n) of one step: sums over the dimensions that are valid."""
-    zipped = F.arrays_zip(guess.alias("g"), truth.alias("t"), valid.alias("v"))
-    start = F.struct(F.lit(0.0).alias("l1"), F.lit(0).cast("long").alias("hits"), F.lit(0).cast("long").alias("n"))
+    gaps = F.zip_with(guess, truth, lambda g, t: F.abs(g - t))
+    gaps = gaps if valid is None else F.zip_with(gaps, valid, lambda x, v: F.when(v, x))
 
-    def add(s: Column, z: Column) -> Column:
-        gap, counts = F.abs(z["g"] - z["t"]), F.coalesce(z["v"], F.lit(False)) & z["g"].isNotNull() & z["t"].isNotNull()
-        one = F.when(counts, 1).otherwise(0)
-        return F.struct((s["l1"] + F.when(counts, gap).otherwise(0.0)).alias("l1"), (s["hits"] + F.when(counts & (gap < close), 1).otherwise(0)).alias("hits"), (s["n"] + one).alias("n"))
+    def add(s: Column, x: Column) -> Column:
+        return F.when(x.isNull(), s).otherwise(F.struct((s["l1"] + x).alias("l1"), (s["hits"] + F.when(x < close, 1).otherwise(0)).alias("hits"), (s["n"] + 1).alias("n")))
 
-    return F.aggregate(zipped, start, add)
+    return F.coalesce(F.aggregate(gaps, _nothing(), add), _nothing())
 
 
 def step_sums(frames: DataFrame, keep: Sequence[str], guess: str = "guess", truth: str = "truth", past: str | None = "past", valid: Column | None = None, close: float = CLOSE) -> DataFrame:
     """(keep, step, l1, hits, n) of each frame's chunk of vectors; steps past the end and dimensions that are not valid count nothing."""
     columns = [F.col(guess).alias("g"), F.col(truth).alias("t"), *([F.col(past).alias("p")] if past else [])]
-    every = lambda row: F.transform(row, lambda _: F.lit(True))
 
     def one(z: Column) -> Column:
-        dims = every(z["t"]) if valid is None else valid
-        return _row_sums(z["g"], z["t"], F.when(F.coalesce(z["p"], F.lit(True)), F.transform(dims, lambda _: F.lit(False))).otherwise(dims) if past else dims, close)
+        sums = _row_sums(z["g"], z["t"], valid, close)
+        return F.when(F.coalesce(z["p"], F.lit(True)), _nothing()).otherwise(sums) if past else sums
 
     sums = F.transform(F.arrays_zip(*columns), one)
     return frames.select(*keep, F.posexplode(sums).alias("step", "s")).select(*keep, "step", "s.l1", "s.hits", "s.n")
@@ -77,27 +79,33 @@ def physical(chunk: Column, slots: Sequence[align.Slot], widths: dict[str, int],
     Metrics of parts that are coded by tokens use the statistics of that space instead of the model's.
     """
 
-    def row(v: Column) -> Column:
-        parts = align.split(v, slots, widths)
-        return align.merge({k: normalize.vector(x, modes[k], stats[k], inverse=True) for k, x in parts.items()}, slots)
+    def rows(lines: Column) -> Column:
+        def row(v: Column) -> Column:
+            parts = align.split(v, slots, widths)
+            return align.merge({k: normalize.vector(x, modes[k], stats[k], inverse=True, lines=lines[k]) for k, x in parts.items()}, slots)
+
+        return F.transform(chunk, row)
 
-    return F.transform(chunk, row)
+    lines = F.struct(*(normalize.lines(modes[k], stats[k]).alias(k) for k in widths))
+    return F.get(F.transform(F.array(lines), rows), F.lit(0))  # scales and offsets once a chunk
 
 
 def part_rates(frames: DataFrame, parts: Sequence[tuple[str, int]], keep: Sequence[str] = (), guess: str = "guess", truth: str = "truth", past: str | None = "past", rule_parts: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
     """(keep, part, l1, binary): mean error of each part's dimensions, and for rule parts the share on the same side of the threshold; parts beyond the vectors are left out."""
     cut = lambda c, at, width: F.transform(F.col(c), lambda row: F.slice(row, at + 1, width))
     side = lambda c: F.transform(c, lambda row: F.transform(row, lambda x: (x > threshold).cast("double")))
-    out, at = None, 0
+    rows, at = [], 0
     for name, width in parts:
-        here = frames.withColumns({"_g": cut(guess, at, width), "_t": cut(truth, at, width)}).where(F.size(F.get("_t", F.lit(0))) == width)
-        l1 = rates(step_sums(here, keep, "_g", "_t", past), keep).select(*keep, F.lit(name).alias("part"), "l1", "n")
-        if name in rule_parts:
-            same = rates(step_sums(here.withColumns({"_g": side(F.col("_g")), "_t": side(F.col("_t"))}), keep, "_g", "_t", past), keep).select(*keep, F.col("accuracy").alias("binary"))
-            l1 = l1.join(same, list(keep)) if keep else l1.crossJoin(same)  # one row each
-        else:
-            l1 = l1.withColumn("binary", F.lit(None).cast("double"))
-        out, at = (l1 if out is None else out.unionByName(l1)), at + width
+        of = lambda binary, g, t: F.struct(F.lit(name).alias("part"), F.lit(binary).alias("_binary"), g.alias("_g"), t.alias("_t"))  # noqa: B023, E731
+        g, t = cut(guess, at, width), cut(truth, at, width)
+        here = F.size(F.get(truth, F.lit(0))) >= at + width
+        rows += [F.when(here, of(False, g, t))] + ([F.when(here, of(True, side(g), side(t)))] if name in rule_parts else [])
+        at += width
+    # All parts of a frame in one pass over the frames, which come out of windows.
+    cuts = frames.select(*keep, *([past] if past else []), F.inline(F.array(*rows))).where("part is not null")
+    each = rates(step_sums(cuts, [*keep, "part", "_binary"], "_g", "_t", past), [*keep, "part", "_binary"])
+    value = lambda binary, c: F.max(F.when(F.col("_binary") == binary, F.col(c)))
+    out = each.groupBy(*keep, "part").agg(value(False, "l1").alias("l1"), value(True, "accuracy").alias("binary"), value(False, "n").alias("n"))
     return out.where("n > 0").drop("n")
 
 

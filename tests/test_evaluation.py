@@ -43,3 +43,21 @@ def test_parts_beyond_the_vectors_are_left_out(frames):
 
 def test_last_step(spark):
     assert spark.range(1).select(E.last_step(F.array(F.lit(1), F.lit(5))).alias("x"), E.last_step(F.array().cast("array<int>")).alias("y")).first() == (5, None)
+
+
+def test_all_parts_come_from_one_pass_over_the_frames(spark, sf, capsys):
+    from epiframe.plans.registry import QUERIES
+
+    QUERIES["open_loop_parts"](spark, sf).explain()
+    plan = capsys.readouterr().out
+    assert plan.count("FileScan parquet") == 1 and plan.count("Generate posexplode") == 1
+
+
+def test_rule_parts_of_frames_without_a_group(spark):
+    from pyspark.sql import functions as F
+
+    from epiframe.operators import evaluation as E
+
+    rows = spark.createDataFrame([(None, [[1.0, 0.0]], [[2.0, 1.0]]), ("x", [[1.0, 1.0]], [[1.0, 1.0]]), ("x", [[3.0]], [[1.0]])], "k string, guess array<array<double>>, truth array<array<double>>")
+    out = E.part_rates(rows, [("a", 1), ("b", 1)], ["k"], past=None, rule_parts=["b"]).orderBy(F.col("k").asc_nulls_first(), "part").collect()
+    assert [tuple(r) for r in out] == [(None, "a", 1.0, None), (None, "b", 1.0, 0.0), ("x", "a", 1.0, None), ("x", "b", 0.0, 1.0)]
