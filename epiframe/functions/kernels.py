@@ -29,18 +29,33 @@ def _cut(a: pa.ListArray) -> tuple[pa.Array, np.ndarray]:
     return a.values.slice(at[0], at[-1] - at[0]), at - at[0]
 
 
-def _dense(a: pa.Array, widths: Sequence[int], fill) -> np.ndarray:
-    """Nested lists as one array of (rows, *widths): longer lists are cut, and what is missing or null is ``fill``."""
-    rows, index, inside = len(a), [np.arange(len(a))], np.ones(len(a), dtype=bool)
+def _placed(a: pa.Array, widths: Sequence[int]) -> tuple[pa.Array, np.ndarray, tuple[np.ndarray, ...]]:
+    """The innermost values of nested lists, which of them lie within ``widths``, and the places of those in (rows, *widths)."""
+    index, inside = [np.arange(len(a))], np.ones(len(a), dtype=bool)
     for width in widths:
         a, at = _cut(a)
         sizes = np.diff(at)
         place = np.arange(len(a)) - np.repeat(at[:-1], sizes)
         index = [np.repeat(i, sizes) for i in index] + [place]
         inside = np.repeat(inside, sizes) & (place < width)
+    return a, inside, tuple(i[inside] for i in index)
+
+
+def _dense(a: pa.Array, widths: Sequence[int], fill) -> np.ndarray:
+    """Nested lists as one array of (rows, *widths): longer lists are cut, and what is missing or null is ``fill``."""
+    rows = len(a)
+    a, inside, places = _placed(a, widths)
     values = (a.fill_null(fill) if a.null_count else a).to_numpy(zero_copy_only=False)
     out = np.full((rows, *widths), fill, dtype=values.dtype)
-    out[tuple(i[inside] for i in index)] = values[inside]
+    out[places] = values[inside]
+    return out
+
+
+def _known(a: pa.Array, widths: Sequence[int]) -> np.ndarray:
+    """Where :func:`_dense` has a value of its own."""
+    out = np.zeros((len(a), *widths), dtype=bool)
+    values, inside, places = _placed(a, widths)
+    out[places] = values.is_valid().to_numpy(zero_copy_only=False)[inside]
     return out
 
 
@@ -245,3 +260,32 @@ def bits_decoder(codec: RunCodec, length: int, shortest: int, base: int, kind: t
         return _lists(out, pa.int32(), _null(digits))
 
     return _udf(decode, "array<int>")
+
+
+# --- errors of chunks ------------------------------------------------------
+
+
+def part_sums(spans: Sequence[tuple[int, int, bool]], close: float, threshold: float) -> Callable[..., Column]:
+    """(guess, truth, past) -> sums (l1, hits, n) of a chunk for each span (first dimension, width, binary) over its steps.
+
+    Steps that lie in the past mask, or beyond it, count nothing, nor does what either side lacks.  Binary spans compare
+    the sides of the threshold.
+    """
+    dims = max(at + width for at, width, _ in spans)
+
+    def sums(guess: pa.Array, truth: pa.Array, past: pa.Array) -> pa.Array:
+        steps = (max((int(np.diff(_cut(c)[1]).max(initial=0)) for c in (guess, truth))),)
+        g, t = (_dense(c, (*steps, dims), np.nan) for c in (guess, truth))
+        counts = _known(guess, (*steps, dims)) & _known(truth, (*steps, dims)) & ~_dense(past, steps, True).astype(bool)[..., None]
+        out = []
+        for at, width, binary in spans:
+            here = slice(at, at + width)
+            x, y, c = g[..., here], t[..., here], counts[..., here]
+            # Spark's order: NaN is above every threshold.
+            gap = np.abs(((x > threshold) | np.isnan(x)) * 1.0 - ((y > threshold) | np.isnan(y))) if binary else np.abs(x - y)
+            out.append((np.where(c, gap, 0.0).sum((1, 2)), (c & (gap < close)).sum((1, 2)), c.sum((1, 2))))
+        l1, hits, n = (np.stack(x, axis=1).ravel() for x in zip(*out))
+        rows = pa.StructArray.from_arrays([pa.array(l1, pa.float64()), pa.array(hits, pa.int64()), pa.array(n, pa.int64())], names=["l1", "hits", "n"])
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(guess) + 1) * len(spans), pa.int32()), rows)
+
+    return _udf(sums, "array<struct<l1:double,hits:bigint,n:bigint>>")

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from epiframe.functions import align, normalize
+from epiframe.functions import align, kernels, normalize
 from epiframe.operators.episodes import BLOCK_ROWS, Episodes
 from epiframe.operators.metrics import CLOSE, merge_payload
 
@@ -92,18 +92,20 @@ def physical(chunk: Column, slots: Sequence[align.Slot], widths: dict[str, int],
 
 def part_rates(frames: DataFrame, parts: Sequence[tuple[str, int]], keep: Sequence[str] = (), guess: str = "guess", truth: str = "truth", past: str | None = "past", rule_parts: Sequence[str] = (), threshold: float = 0.5) -> DataFrame:
     """(keep, part, l1, binary): mean error of each part's dimensions, and for rule parts the share on the same side of the threshold; parts beyond the vectors are left out."""
-    cut = lambda c, at, width: F.transform(F.col(c), lambda row: F.slice(row, at + 1, width))
-    side = lambda c: F.transform(c, lambda row: F.transform(row, lambda x: (x > threshold).cast("double")))
-    rows, at = [], 0
+    spans, named, at = [], [], 0
     for name, width in parts:
-        of = lambda binary, g, t: F.struct(F.lit(name).alias("part"), F.lit(binary).alias("_binary"), g.alias("_g"), t.alias("_t"))  # noqa: B023, E731
-        g, t = cut(guess, at, width), cut(truth, at, width)
-        here = F.size(F.get(truth, F.lit(0))) >= at + width
-        rows += [F.when(here, of(False, g, t))] + ([F.when(here, of(True, side(g), side(t)))] if name in rule_parts else [])
+        for binary in [False, True][: 1 + (name in rule_parts)]:
+            spans.append((at, width, binary))
+            here = F.size(F.get(truth, F.lit(0))) >= at + width
+            s = F.get("_sums", F.lit(len(named)))
+            named.append(F.when(here, F.struct(F.lit(name).alias("part"), F.lit(binary).alias("_binary"), *(s[c].alias(c) for c in ("l1", "hits", "n")))))
         at += width
-    # All parts of a frame in one pass over the frames, which come out of windows.
-    cuts = frames.select(*keep, *([past] if past else []), F.inline(F.array(*rows))).where("part is not null")
-    each = rates(step_sums(cuts, [*keep, "part", "_binary"], "_g", "_t", past), [*keep, "part", "_binary"])
+    # All parts of a frame in one pass over the frames, which come out of windows; only their sums leave the row.
+    chunks = [F.col(c).cast("array<array<double>>") for c in (guess, truth)]
+    none_past = F.transform(guess, lambda _: F.lit(False))
+    summed = frames.withColumn("_sums", kernels.part_sums(spans, CLOSE, threshold)(*chunks, F.col(past) if past else none_past))
+    sums = summed.select(*keep, F.inline(F.array(*named))).where("part is not null")
+    each = rates(sums, [*keep, "part", "_binary"])
     value = lambda binary, c: F.max(F.when(F.col("_binary") == binary, F.col(c)))
     out = each.groupBy(*keep, "part").agg(value(False, "l1").alias("l1"), value(True, "accuracy").alias("binary"), value(False, "n").alias("n"))
     return out.where("n > 0").drop("n")
