@@ -69,8 +69,7 @@ def clip(x: Column, low, high) -> Column:
 
 def pad_right(vector: Col, width: int, value: float = 0.0) -> Column:
     """Exactly ``width`` components: cut or filled with ``value``."""
-    v = col(vector)
-    return F.slice(F.concat(v, F.array_repeat(F.lit(value), F.greatest(F.lit(width) - F.size(v), F.lit(0)))), 1, width)
+    return F.slice(F.concat(col(vector), F.array_repeat(F.lit(value), width)), 1, width)  # the vector is computed once
 
 
 def pad_mask(vector: Col, width: int) -> Column:
