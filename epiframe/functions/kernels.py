@@ -41,9 +41,21 @@ def _placed(a: pa.Array, widths: Sequence[int]) -> tuple[pa.Array, np.ndarray, t
     return a, inside, tuple(i[inside] for i in index)
 
 
+def _whole(a: pa.Array, widths: Sequence[int]) -> np.ndarray | None:
+    """The values of nested lists that all have exactly ``widths`` and no nulls, as one array; None if any has not."""
+    rows = len(a)
+    for width in widths:
+        a, at = _cut(a)
+        if (np.diff(at) != width).any():
+            return None
+    return None if a.null_count else a.to_numpy(zero_copy_only=False).reshape(rows, *widths)
+
+
 def _dense(a: pa.Array, widths: Sequence[int], fill) -> np.ndarray:
     """Nested lists as one array of (rows, *widths): longer lists are cut, and what is missing or null is ``fill``."""
     rows = len(a)
+    if (whole := _whole(a, widths)) is not None:
+        return whole
     a, inside, places = _placed(a, widths)
     values = (a.fill_null(fill) if a.null_count else a).to_numpy(zero_copy_only=False)
     out = np.full((rows, *widths), fill, dtype=values.dtype)
@@ -126,11 +138,12 @@ def residual_coder(steps: int, dims: int, width: int, segment: int, books: Seque
         for n, book in enumerate(entries):
             some = max(1, DISTANCES // len(book))
             for lo in range(0, len(rest), some):
-                part, gap = rest[lo : lo + some], np.zeros((len(rest[lo : lo + some]), len(book)))
+                part = np.ascontiguousarray(rest[lo : lo + some].T)
+                gap = np.zeros((len(book), part.shape[1]))
                 for j in range(book.shape[1]):  # component by component, so that sums round as a fold's do
-                    d = part[:, j, None] - book[:, j]
+                    d = part[j] - book[:, j, None]
                     gap += d * d
-                codes[lo : lo + some, n] = gap.argmin(axis=1)
+                codes[lo : lo + some, n] = gap.argmin(axis=0)
             rest = rest - book[codes[:, n]]
         return _lists(codes.reshape(-1, pieces, segments, len(entries)).transpose(0, 1, 3, 2), pa.int64(), _null(chunk))
 

@@ -92,8 +92,8 @@ class Episodes:
     def chunk(self, c: str, steps: int) -> Column:
         """The next ``steps`` values from this frame on, the last repeated past the end."""
         seen = F.collect_list(F.struct(F.col(c).alias("v"))).over(self.by.rowsBetween(0, steps - 1))
-        values = F.transform(seen, lambda s: s["v"])
-        return F.concat(values, F.array_repeat(F.element_at(values, -1), F.lit(steps) - F.size(values)))
+        held = lambda s: F.concat(s["v"], F.array_repeat(F.element_at(s, -1)["v"], F.lit(steps) - F.size(s)))
+        return F.get(F.transform(F.array(seen), held), F.lit(0))  # named, so that the window is one, not one for each use
 
     def chunk_pad(self, steps: int) -> Column:
         """For each step of a chunk whether it lies past the end."""

@@ -24,8 +24,8 @@ MOST_BUCKETS = 8_192
 BOUND_SAMPLE = 20
 
 
-def order_bounds(df: DataFrame, order: Sequence[str], buckets: int | None = None) -> Column | None:
-    """Upper bounds of all but the last bucket of a table's global order, as a literal array of structs; None for one bucket.
+def order_bounds(df: DataFrame, order: Sequence[str], buckets: int | None = None) -> list[Column]:
+    """Upper bounds of all but the last bucket of a table's global order, as literal structs; none for one bucket.
 
     The driver sees at most BOUND_SAMPLE * MOST_BUCKETS rows of the order columns.
     """
@@ -33,20 +33,20 @@ def order_bounds(df: DataFrame, order: Sequence[str], buckets: int | None = None
     n = keys.count()
     buckets = min(MOST_BUCKETS, n // BUCKET_ROWS + 1) if buckets is None else buckets
     if buckets < 2 or not n:
-        return None
+        return []
     sample = keys.sample(min(1.0, 2 * BOUND_SAMPLE * buckets / n), 11).orderBy(F.struct(*order)).limit(BOUND_SAMPLE * MOST_BUCKETS).collect()
     picked = list(dict.fromkeys(sample[len(sample) * i // buckets] for i in range(1, buckets))) if sample else []
     types = [keys.schema[c].dataType for c in order]
-    return F.array(*(F.struct(*(F.lit(v).cast(t).alias(c) for v, t, c in zip(row, types, order))) for row in picked)) if picked else None
+    return [F.struct(*(F.lit(v).cast(t).alias(c) for v, t, c in zip(row, types, order))) for row in picked]
 
 
-def order_bucket(bounds: Column | None, order: Sequence[str]) -> Column:
-    """The number of a row's bucket: how many bounds are not above it, by binary search."""
-    if bounds is None:
+def order_bucket(bounds: Sequence[Column], order: Sequence[str]) -> Column:
+    """The number of a row's bucket: how many bounds are not above it, by binary search in as many steps as their number needs."""
+    if not bounds:
         return F.lit(0)
-    key = F.struct(*order)
-    steps = F.array(*(F.lit(1 << i) for i in range(MOST_BUCKETS.bit_length(), -1, -1)))
-    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(bounds, at + step - 1) <= key, F.lit(False)), at + step).otherwise(at))
+    key, upper = F.struct(*order), F.array(*bounds)
+    steps = F.array(*(F.lit(1 << i) for i in range(len(bounds).bit_length() - 1, -1, -1)))
+    return F.aggregate(steps, F.lit(0), lambda at, step: F.when(F.coalesce(F.get(upper, at + step - 1) <= key, F.lit(False)), at + step).otherwise(at))
 
 
 def rank_rows(df: DataFrame, order: Sequence[str], out: str = "_rank", buckets: int | None = None) -> DataFrame:

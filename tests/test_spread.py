@@ -124,6 +124,22 @@ def test_plans_have_no_window_over_a_whole_group(frames):
         assert re.search(r"windowspecdefinition\((_bucket|k#\d+L?, _block|_block)", plan) and not alone(plan), plan
 
 
+def test_a_chunk_is_one_window_that_is_shuffled_once(frames):
+    e = Episodes.spread(frames, ["k"], ["t"], 0, 3, rows=50)
+    plan = e.select("k", "t", e.chunk("x", 4).alias("c"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("collect_list(") == 1 and plan.count("struct(v, x#") == 1, plan
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 8, 9, 300])
+def test_a_bucket_is_found_in_as_many_steps_as_bounds_need(spark, n):
+    bounds = [F.struct(F.lit(10 * i).cast("long").alias("id")) for i in range(1, n + 1)]
+    bucketed = spark.range(10 * n + 25).select("id", selection.order_bucket(bounds, ["id"]).alias("b"))
+    assert all(r.b == min(r.id // 10, n) for r in bucketed.collect())
+    plan = bucketed._jdf.queryExecution().optimizedPlan().toString()
+    steps = re.findall(r"aggregate\(\[([\d,]+)\]", plan)
+    assert [len(x.split(",")) for x in steps] == ([n.bit_length()] if n else [])
+
+
 def test_join_and_window_of_a_bucket_share_a_shuffle(spark, frames):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:

@@ -3,10 +3,13 @@
 import itertools
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from epiframe.functions import codec as K
+from epiframe.functions import kernels
 from epiframe.functions import tokens as T
 
 
@@ -151,6 +154,17 @@ def test_codes_equal_plain_python_for_any_chunk(spark):
     assert got == [plain(r) for r in rows[:-1]] + [[]]
 
 
+def test_chunks_of_full_width_are_not_gathered_value_by_value(monkeypatch):
+    values = np.arange(2.0 * 3 * 2).reshape(2, 3, 2)
+    monkeypatch.setattr(kernels, "_placed", None)
+    whole = pa.array([[[9.0, 9.0]] * 3, *values.tolist()], pa.list_(pa.list_(pa.float64())))
+    assert np.array_equal(kernels._dense(whole[1:], (3, 2), np.nan), values)
+    monkeypatch.undo()
+    ragged = pa.array([[[1.0, 2.0, 3.0], [], [4.0]], [[None, 5.0]] * 4, None], whole.type)
+    want = [[[1, 2], [0, 0], [4, 0]], [[0, 5]] * 3, [[0, 0]] * 3]
+    assert kernels._dense(ragged, (3, 2), 0.0).tolist() == want
+
+
 def test_null_bits_count_as_zero_and_null_sequences_stay_null(spark):
     c = T.RunColumns(6, 1, 3)
     rows = [[1, None, 0, 1, 1, 1], [None] * 6, None]
